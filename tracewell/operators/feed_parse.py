@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.functions.addresses import is_ipv4, is_ipv6
+from tracewell.functions.addresses import is_ipv4, is_ipv6, let
 from tracewell.functions.shell import first_word_is_option, splits_into_words
 
 CORRUPT = "_corrupt_record"
@@ -54,10 +54,12 @@ def _segments(raw: Column) -> Column:
 
 def broken_quoting(raw: Column) -> Column:
     """True where a quoted field is never closed, text follows a closing quote, or a quote stands inside a bare field."""
-    parts = _segments(raw)
-    last = F.size(parts) - 1
-    outside = F.transform(parts, lambda x, i: F.when(i % 2 == 1, True).when(i == 0, x.rlike(rf"(?s)\A(?:.*,)?{_BLANK}\z")).when(i == last, x.rlike(rf"(?s)\A{_BLANK}(?:,.*)?\z")).otherwise((x == "") | x.rlike(rf"(?s)\A{_BLANK},(?:.*,)?{_BLANK}\z")))
-    return F.contains(raw, F.lit('"')) & ((F.size(parts) % 2 == 0) | ~F.forall(outside, lambda ok: ok))
+
+    def broken(parts: Column) -> Column:
+        outside = lambda x, i: F.when(i % 2 == 1, True).when(i == 0, x.rlike(rf"(?s)\A(?:.*,)?{_BLANK}\z")).when(i == F.size(parts) - 1, x.rlike(rf"(?s)\A{_BLANK}(?:,.*)?\z")).otherwise((x == "") | x.rlike(rf"(?s)\A{_BLANK},(?:.*,)?{_BLANK}\z"))
+        return (F.size(parts) % 2 == 0) | ~F.forall(F.transform(parts, outside), lambda ok: ok)
+
+    return F.contains(raw, F.lit('"')) & let(_segments(raw), broken)
 
 
 def fields(raw: Column) -> Column:
@@ -84,9 +86,15 @@ def _bad_address(kind: Column, address: Column) -> Column:
 
 
 def _bad_command(command: Column) -> Column:
-    text = F.coalesce(command, F.lit(""))
-    control = text.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
-    return (F.trim(text, F.lit(" \t\r\n")) == "") | control | ~splits_into_words(text) | first_word_is_option(text)
+    def bad(text: Column) -> Column:
+        control = text.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
+        return (F.trim(text, F.lit(" \t\r\n")) == "") | control | ~splits_into_words(text) | first_word_is_option(text)
+
+    return let(F.coalesce(command, F.lit("")), bad)
+
+
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields) + f", {CORRUPT} string"
 
 
 def classify(rows: DataFrame, raw: str = "raw", feed: str = "feed") -> DataFrame:
@@ -99,32 +107,39 @@ def classify(rows: DataFrame, raw: str = "raw", feed: str = "feed") -> DataFrame
     is null or neither ``sockets`` nor ``compile_commands`` has no layout: only its quoting is judged and no record is
     built. Repeated rows stay repeated; an empty table gives an empty one.
     """
-    row = F.regexp_replace(F.col(raw), r"\r\z", "")
     is_socket, is_command = F.coalesce(F.col(feed) == "sockets", F.lit(False)), F.coalesce(F.col(feed) == "compile_commands", F.lit(False))
-    read = lambda schema: F.from_csv(F.col("__row"), T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())]).simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ").replace(",", ", "), _READER)
-    df = rows.withColumn("__row", row)
-    df = df.withColumn("__s", F.when(is_socket, read(SOCKET_SCHEMA))).withColumn("__c", F.when(is_command, read(COMMAND_SCHEMA)))
-    corrupt = F.coalesce(F.col(f"__s.{CORRUPT}"), F.col(f"__c.{CORRUPT}"))
-    # A reader may trim control characters and smooth over quotes: such rows are judged by the exact rules as well.
-    doubtful = F.col("__row").isNull() | corrupt.isNotNull() | F.col("__row").rlike(r'["\x00-\x1f\x7f-\x9f]') | (F.col("__row") == "") | ~(is_socket | is_command)
-    df = df.withColumn("__doubtful", doubtful).withColumn("__broken", F.when(F.col("__doubtful"), F.coalesce(broken_quoting(F.col("__row")), F.lit(False))).otherwise(False))
-    df = df.withColumn("__f", F.when(F.col("__doubtful") & ~F.col("__broken"), F.coalesce(fields(F.col("__row")), F.array().cast("array<string>"))))
-    socket = F.when(is_socket, F.when(F.col("__doubtful"), _exact(SOCKET_SCHEMA, F.col("__f"))).otherwise(_blank_to_null(SOCKET_SCHEMA, F.col("__s"))))
-    command = F.when(is_command, F.when(F.col("__doubtful"), _exact(COMMAND_SCHEMA, F.col("__f"))).otherwise(_blank_to_null(COMMAND_SCHEMA, F.col("__c"))))
-    df = df.withColumn("socket", socket).withColumn("command", command).withColumn("corrupt_raw", F.when(corrupt.isNotNull(), F.col(raw)))
-    width = F.when(is_socket, len(SOCKET_SCHEMA.fields)).when(is_command, len(COMMAND_SCHEMA.fields))
-    state = F.coalesce(F.col("socket.state"), F.lit(""))
-    reason = (
-        F.when(F.col("__broken"), "broken_quoting")
-        .when(F.col("__f").isNotNull() & (F.size("__f") != width), "column_count")
-        .when(is_socket & _bad_address(F.coalesce(F.col("socket.kind"), F.lit("")), F.col("socket.local_address")), "invalid_local_address")
-        .when(is_socket & ~state.isin(STATES), "invalid_state")
-        .when(is_command & _bad_command(F.col("command.command")), "invalid_command")
-    )
-    df = df.withColumn("reason", reason)
-    keep = lambda name: F.when(F.col("reason").isNull(), F.col(name)).alias(name)
+
+    def permissive(row: Column) -> Column:
+        return F.struct(F.when(is_socket, F.from_csv(row, _ddl(SOCKET_SCHEMA), _READER)).alias("s"), F.when(is_command, F.from_csv(row, _ddl(COMMAND_SCHEMA), _READER)).alias("c"))
+
+    def judge(row: Column, read: Column) -> Column:
+        corrupt = read["s"][CORRUPT].isNotNull() | read["c"][CORRUPT].isNotNull()
+        corrupt = F.coalesce(corrupt, F.lit(False))
+        # A reader may trim control characters and smooth over quotes: such rows are taken apart by the exact rules.
+        doubtful = row.isNull() | corrupt | row.rlike(r'["\x00-\x1f\x7f-\x9f]') | (row == "") | ~(is_socket | is_command)
+        apart = lambda broken: F.when(broken, F.lit(None).cast("array<string>")).otherwise(F.coalesce(fields(row), F.array().cast("array<string>")))
+        exact = lambda broken: let(apart(broken), lambda f: verdict(broken, f, _exact(SOCKET_SCHEMA, f), _exact(COMMAND_SCHEMA, f), corrupt))
+        plain = verdict(F.lit(False), F.lit(None).cast("array<string>"), _blank_to_null(SOCKET_SCHEMA, read["s"]), _blank_to_null(COMMAND_SCHEMA, read["c"]), corrupt)
+        return F.when(doubtful, let(F.coalesce(broken_quoting(row), F.lit(False)), exact)).otherwise(plain)
+
+    def verdict(broken: Column, parts: Column, socket: Column, command: Column, corrupt: Column) -> Column:
+        return let(F.struct(F.when(is_socket, socket).alias("socket"), F.when(is_command, command).alias("command")), lambda rec: F.struct(reason(broken, parts, rec).alias("reason"), rec["socket"].alias("socket"), rec["command"].alias("command"), corrupt.alias("corrupt")))
+
+    def reason(broken: Column, parts: Column, rec: Column) -> Column:
+        width = F.when(is_socket, len(SOCKET_SCHEMA.fields)).when(is_command, len(COMMAND_SCHEMA.fields))
+        return (
+            F.when(broken, "broken_quoting")
+            .when(parts.isNotNull() & (F.size(parts) != width), "column_count")
+            .when(is_socket & _bad_address(F.coalesce(rec["socket"]["kind"], F.lit("")), rec["socket"]["local_address"]), "invalid_local_address")
+            .when(is_socket & ~F.coalesce(rec["socket"]["state"], F.lit("")).isin(STATES), "invalid_state")
+            .when(is_command & _bad_command(rec["command"]["command"]), "invalid_command")
+        )
+
+    judged = let(F.regexp_replace(F.col(raw), r"\r\z", ""), lambda row: let(permissive(row), lambda read: judge(row, read)))
     added = {"reason", "socket", "command", "corrupt_raw"}
-    return df.select(*[F.col(f"`{c}`") for c in rows.columns if c not in added], "reason", keep("socket"), keep("command"), "corrupt_raw")
+    kept = [F.col(f"`{c}`") for c in rows.columns if c not in added]
+    keep = lambda name: F.when(F.col("__j.reason").isNull(), F.col(f"__j.{name}")).alias(name)
+    return rows.withColumn("__j", judged).select(*kept, F.col("__j.reason").alias("reason"), keep("socket"), keep("command"), F.when(F.col("__j.corrupt"), F.col(raw)).alias("corrupt_raw"))
 
 
 def usable_sockets(rows: DataFrame) -> DataFrame:
