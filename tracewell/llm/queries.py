@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracewell.llm.eval_leaks import eval_leaks
 from tracewell.llm.event_runs import collapse_runs
 
 
@@ -15,5 +16,13 @@ def p5_found(spark: SparkSession, data: str) -> DataFrame:
     return collapse_runs(_table(spark, data, "trace_events"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found,)}
+def p6_found(spark: SparkSession, data: str) -> DataFrame:
+    return eval_leaks(_table(spark, data, "documents"), _table(spark, data, "eval_items"), spans=False).select("doc_id", "item_id")
+
+
+def p6_removal_spans(spark: SparkSession, data: str) -> DataFrame:
+    return eval_leaks(_table(spark, data, "documents"), _table(spark, data, "eval_items"))
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p6_found, p6_removal_spans)}
 ORACLES: dict[str, str] = {}
