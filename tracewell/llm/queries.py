@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.llm.eval_leaks import eval_leaks
 from tracewell.llm.event_runs import collapse_runs
+from tracewell.llm.sentences import sentence_units
 
 
 def _table(spark: SparkSession, data: str, name: str) -> DataFrame:
@@ -24,5 +25,9 @@ def p6_removal_spans(spark: SparkSession, data: str) -> DataFrame:
     return eval_leaks(_table(spark, data, "documents"), _table(spark, data, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p6_found, p6_removal_spans)}
+def p8_found(spark: SparkSession, data: str) -> DataFrame:
+    return sentence_units(_table(spark, data, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p6_found, p6_removal_spans, p8_found)}
 ORACLES: dict[str, str] = {}
