@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tracewell.llm.eval_leaks import eval_leaks
 from tracewell.llm.event_runs import collapse_runs
 from tracewell.llm.sentences import sentence_units
+from tracewell.llm.source_mix import mix_sources
 
 
 def _table(spark: SparkSession, data: str, name: str) -> DataFrame:
@@ -25,9 +26,17 @@ def p6_removal_spans(spark: SparkSession, data: str) -> DataFrame:
     return eval_leaks(_table(spark, data, "documents"), _table(spark, data, "eval_items"))
 
 
+def p7_mix_selection(spark: SparkSession, data: str) -> DataFrame:
+    return mix_sources(_table(spark, data, "documents"), _table(spark, data, "mix_targets"))[0]
+
+
+def p7_mix_shares(spark: SparkSession, data: str) -> DataFrame:
+    return mix_sources(_table(spark, data, "documents"), _table(spark, data, "mix_targets"))[1]
+
+
 def p8_found(spark: SparkSession, data: str) -> DataFrame:
     return sentence_units(_table(spark, data, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p6_found, p6_removal_spans, p8_found)}
+QUERIES = {f.__name__: f for f in (p5_found, p6_found, p6_removal_spans, p7_mix_selection, p7_mix_shares, p8_found)}
 ORACLES: dict[str, str] = {}
