@@ -56,7 +56,7 @@ def _digits(text: Column, pattern: str) -> Column:
 def json_object(raw: Column) -> Column:
     """The top-level fields of a line that is a JSON object, values as text or JSON text; null for any other line."""
     text = F.trim(raw, F.lit(" \t\r\n"))
-    return F.when(text.rlike(r"(?s)\A\{.*\}\z") & F.try_parse_json(text).isNotNull(), F.from_json(text, "map<string,string>"))
+    return F.when(F.startswith(text, F.lit("{")) & F.endswith(text, F.lit("}")) & F.try_parse_json(text).isNotNull(), F.from_json(text, "map<string,string>"))
 
 
 def field(fields: Column, *names: str) -> Column:
@@ -137,27 +137,37 @@ def extract_timestamp(raw: Column, year: int | Column) -> Column:
     date and time or a date at the line's head, or a syslog time, to which ``year`` is added.
     """
     year = F.lit(year) if isinstance(year, int) else year
+    return let(raw, lambda t: let(json_object(t), lambda o: F.when(o.isNotNull(), object_time(t, o)).otherwise(text_time(t, year))))
 
-    def from_object(o: Column) -> Column:
-        value = field(o, "ts", "time", "timestamp")
+
+def object_time(raw: Column, o: Column) -> Column:
+    """The time of a line that is an object, by its fields."""
+
+    def of(value: Column) -> Column:
         number = F.when(value.rlike(r"\A-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?\z"), F.floor(value.try_cast("double")).cast("bigint"))
         is_text = F.regexp_extract(F.trim(raw), r'(?i)"(?:ts|time|timestamp)"\s*:\s*(")', 1) != ""
         own = F.when(is_text, _civil(value)).otherwise(F.coalesce(value.try_cast("bigint"), number))
         micros = field(o, "__REALTIME_TIMESTAMP").try_cast("bigint")
         return F.when(value.isNotNull(), own).otherwise(F.floor(micros / 1000).cast("bigint"))
 
-    def from_text(s: Column) -> Column:
-        token = F.regexp_extract(s, r"\A(\d{4}-\d{2}-\d{2}T\S+|\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\S*|\d{4}-\d{2}-\d{2}(?=\s|\z))", 1)
-        syslog = r"\A(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) +(\d{1,2}) (\d{2}):(\d{2}):(\d{2}).*"
-        def named(p: Column) -> Column:
-            month = F.array_position(F.array(*[F.lit(m) for m in MONTHS.split()]), F.lower(p[0])).cast("int")
-            n = lambda i: p[i].try_cast("int")
-            at = F.try_make_timestamp(year.cast("int"), month, n(1), n(2), n(3), n(4).cast("decimal(16,6)"), F.lit("UTC"))
-            return F.when((n(2) <= 23) & (n(3) <= 59) & (n(4) <= 59), F.unix_millis(at))
+    return let(field(o, "ts", "time", "timestamp"), of)
+
 
-        return F.when(token != "", _civil(token)).when(s.rlike(rf"(?s){syslog}"), let(F.split(F.regexp_replace(s, rf"(?s){syslog}", "$1|$2|$3|$4|$5"), r"\|"), named))
+def text_time(raw: Column, year: Column) -> Column:
+    """The time at the head of a line of text."""
+    syslog = r"\A(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) +(\d{1,2}) (\d{2}):(\d{2}):(\d{2}).*"
+
+    def named(p: Column) -> Column:
+        month = F.array_position(F.array(*[F.lit(m) for m in MONTHS.split()]), F.lower(p[0])).cast("int")
+        n = lambda i: p[i].try_cast("int")
+        at = F.try_make_timestamp(year.cast("int"), month, n(1), n(2), n(3), n(4).cast("decimal(16,6)"), F.lit("UTC"))
+        return F.when((n(2) <= 23) & (n(3) <= 59) & (n(4) <= 59), F.unix_millis(at))
+
+    def of(s: Column) -> Column:
+        token = F.regexp_extract(s, r"\A(\d{4}-\d{2}-\d{2}T\S+|\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\S*|\d{4}-\d{2}-\d{2}(?=\s|\z))", 1)
+        return let(token, lambda t: F.when(t != "", _civil(t)).when(s.rlike(rf"(?s){syslog}"), let(F.split(F.regexp_replace(s, rf"(?s){syslog}", "$1|$2|$3|$4|$5"), r"\|"), named)))
 
-    return let(json_object(raw), lambda o: F.when(o.isNotNull(), from_object(o)).otherwise(let(strip_priority(raw), from_text)))
+    return let(strip_priority(raw), of)
 
 
 def parse_records(lines: DataFrame, year: int, raw: str = "raw") -> DataFrame:
@@ -171,15 +181,21 @@ def parse_records(lines: DataFrame, year: int, raw: str = "raw") -> DataFrame:
     def numeric(v: Column) -> Column:
         return F.coalesce(level_named(v), F.when(v.rlike(r"\A[0-7]\z"), severity_level(v.try_cast("int"))))
 
-    df = lines.withColumn("__o", json_object(text))
-    o = F.col("__o")
-    level = F.when(o.isNotNull(), F.coalesce(numeric(field(o, "severity")), numeric(field(o, "level")), numeric(field(o, "priority")))).otherwise(detect_level(text))
-    named = lambda *n: F.nullif(field(o, *n), F.lit(""))
-    source = F.when(o.isNotNull(), F.coalesce(named("source", "logger", "component", "service"), named("SYSLOG_IDENTIFIER"), named("_COMM"))).otherwise(syslog_source(text))
-    message = F.when(o.isNotNull(), F.coalesce(named("msg", "message"), text)).otherwise(text)
-    rest = F.when(o.isNotNull(), F.map_filter(o, lambda k, v: ~ascii_lower(k).isin(known)))
-    kept = [c for c in lines.columns if c not in ("ts_ms", "level", "source", "message", "fields")]
-    return df.select(*[F.col(f"`{c}`") for c in kept], extract_timestamp(text, year).alias("ts_ms"), level.alias("level"), source.alias("source"), message.alias("message"), rest.alias("fields"))
+    def from_object(t: Column, o: Column) -> Column:
+        named = lambda *n: F.nullif(field(o, *n), F.lit(""))
+        level = F.coalesce(let(field(o, "severity"), numeric), let(field(o, "level"), numeric), let(field(o, "priority"), numeric))
+        source = F.coalesce(named("source", "logger", "component", "service"), named("SYSLOG_IDENTIFIER"), named("_COMM"))
+        rest = F.map_filter(o, lambda k, v: ~ascii_lower(k).isin(known))
+        return F.struct(object_time(t, o).alias("ts_ms"), level.alias("level"), source.alias("source"), F.coalesce(named("msg", "message"), t).alias("message"), rest.alias("fields"))
+
+    def from_text(t: Column) -> Column:
+        none = F.lit(None).cast("map<string,string>")
+        return F.struct(text_time(t, F.lit(year)).alias("ts_ms"), detect_level(t).alias("level"), syslog_source(t).alias("source"), t.alias("message"), none.alias("fields"))
+
+    # each line is looked at once: as an object if it can be one, else as text
+    record = let(text, lambda t: let(json_object(t), lambda o: F.when(o.isNotNull(), from_object(t, o)).otherwise(from_text(t))))
+    kept = [F.col(f"`{c}`") for c in lines.columns if c not in ("ts_ms", "level", "source", "message", "fields")]
+    return lines.withColumn("__r", record).select(*kept, *[F.col(f"__r.{c}").alias(c) for c in ("ts_ms", "level", "source", "message", "fields")])
 
 
 @dataclass(frozen=True)

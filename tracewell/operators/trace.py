@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -257,28 +256,26 @@ def descriptor_leaks(events: DataFrame) -> DataFrame:
     """
     rows = events.select("trace_id", "seq", "tid", "kind", "syscall", "arguments", "result", "error").repartition("trace_id").sortWithinPartitions("trace_id", "seq")
 
-    def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, state = None, Descriptors()
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, begun = None, Descriptors(), False
 
-        def out(trace: object, found: list[tuple[int, int]]) -> pd.DataFrame:
-            return pd.DataFrame({"trace_id": [trace] * len(found), "tid": [t for t, _ in found], "fd": [f for _, f in found]})
+        def out(trace: object, found: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([trace] * len(found), pa.string()), pa.array([t for t, _ in found], pa.int64()), pa.array([f for _, f in found], pa.int64())], names=["trace_id", "tid", "fd"])
 
-        for df in batches:
-            for trace, _, tid, kind, name, args, result, error in df.itertuples(index=False):
-                if trace != now:
-                    if now is not None:
-                        yield out(now, state.end())
-                    now, state = trace, Descriptors()
-                if pd.isna(tid):
-                    tid = 0
+        for b in batches:
+            for trace, _, tid, kind, name, args, result, error in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if begun and trace != now:
+                    yield out(now, state.end())
+                    state = Descriptors()
+                now, begun, tid = trace, True, tid or 0
                 if kind == EXIT:
-                    state.leave(int(tid))
+                    state.leave(tid)
                 elif kind == CALL and name:
-                    state.call(int(tid), name, args or "", result or "", error)
-        if now is not None:
+                    state.call(tid, name, args or "", result or "", error)
+        if begun:
             yield out(now, state.end())
 
-    return rows.mapInPandas(over, "trace_id string, tid bigint, fd bigint")
+    return rows.mapInArrow(over, "trace_id string, tid bigint, fd bigint")
 
 
 def diff_stats(before: DataFrame, after: DataFrame) -> DataFrame:
