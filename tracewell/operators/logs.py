@@ -66,37 +66,38 @@ def field(fields: Column, *names: str) -> Column:
     return F.try_element_at(hits, F.lit(1))["value"]
 
 
-def detect_level(raw: Column) -> Column:
-    """The level a text line states within its first eight words; null if it states none.
+_WORDS = "|".join(n for names in _NAMES.values() for n in sorted(names, key=len, reverse=True))
+#: What can state a level, at its leftmost place: a priority at the head or after a tag, PRIORITY=, a pair, a name in
+#: brackets or before a colon, a bare name at the head or after a leading date and time.
+_STATED = (
+    r"\A<(?:1[0-8]\d|19[01]|\d{1,2})>|(?<=:\s)<[0-7]>|(?<!\S)PRIORITY=[0-7](?!\S)"
+    rf"|(?i)(?<!\S)(?:level|lvl|severity)=[\"',;]*(?:{_WORDS})[\"',;]*(?!\S)"
+    rf"|(?<!\S)[\[(<][\[\]()<>:]*(?:{_WORDS})[\[\]()<>:]*[\])>]:?(?!\S)|(?<!\S)[\[\]()<>:]*(?:{_WORDS})[\[\]()<>:]*:(?!\S)"
+    rf"|\A(?:\d{{4}}-\d{{2}}-\d{{2}}\S*\s+|\d{{4}}-\d{{2}}-\d{{2}}\s+\d{{2}}:\d{{2}}:\d{{2}}\S*\s+)?(?:{_WORDS})(?!\S)"
+)
 
-    A priority at the head, ``PRIORITY=``, ``level=`` and the like, and names in brackets or before a colon count
-    anywhere among those words; a bare name only at the head or after a leading date and time.
-    """
 
-    def scan(words: Column) -> Column:
-        first, second = F.coalesce(words[0], F.lit("")), F.coalesce(F.try_element_at(words, F.lit(2)), F.lit(""))
-        iso = first.rlike(r"\A\d{4}-\d{2}-\d{2}")
-        dated = first.rlike(r"\A\d{4}-\d{2}-\d{2}\z") & second.rlike(r"\A\d{2}:\d{2}:\d{2}")
-        tags = F.transform(words, lambda w, i: F.endswith(w, F.lit(":")))
+def stated_level(raw: Column) -> Column:
+    """The leftmost statement of a level within the first eight words of a line, empty where there is none."""
+    return F.regexp_extract(F.regexp_extract(F.trim(raw, F.lit(" \t\r\n")), r"\A(?:\S+\s+){0,7}\S+", 0), _STATED, 0)
+
 
-        def one(word: Column, i: Column) -> Column:
-            previous = F.coalesce(F.get(tags, i - 1), F.lit(False))
-            tagged = F.exists(F.slice(tags, F.lit(1), i), lambda t: t)
-            head = F.when(i == 0, _digits(word, r"\A<(\d{1,3})>"))
-            embedded = F.when(previous, _digits(word, r"\A<(\d{1,3})>"))
-            priority = _digits(word, r"\APRIORITY=(\d+)\z")
-            pair = ascii_lower(word).rlike(r"\A(?:level|lvl|severity)=")
-            bracketed = word.rlike(r"\A(?:\[.*\]:?|\(.*\):?|<.*>:?)\z") | (F.endswith(word, F.lit(":")) & (F.length(word) > 1))
-            bare = ~tagged & ((i == 0) | ((i == 1) & iso) | ((i == 2) & dated))
-            return F.coalesce(
-                F.when(head <= 191, severity_level(head)), F.when(embedded <= 7, severity_level(embedded)), F.when(priority <= 7, severity_level(priority)),
-                F.when(pair, level_named(F.trim(F.substring_index(F.substring(word, F.locate("=", word) + 1, F.length(word)), "\x00", 1), F.lit("\"',;")))),
-                F.when(bracketed, level_named(F.trim(word, F.lit("[]()<>:")))).otherwise(F.when(bare, level_named(word))),
-            )
+def level_of(stated: Column) -> Column:
+    """The level that a statement names."""
+    number = F.regexp_extract(stated, r"(?:<|PRIORITY=)(\d+)", 1)
+    name = F.regexp_extract(stated, r"([A-Za-z]+)[^A-Za-z]*\z", 1)
+    return F.when(stated != "", F.when(number != "", severity_level(number.try_cast("int"))).otherwise(level_named(name)))
+
+
+def detect_level(raw: Column) -> Column:
+    """The level a text line states within its first eight words; null if it states none."""
+    return level_of(stated_level(raw))
 
-        return F.try_element_at(F.filter(F.transform(words, one), lambda x: x.isNotNull()), F.lit(1))
 
-    return let(F.slice(F.split(F.trim(raw, F.lit(" \t\r\n")), r"\s+"), 1, 8), scan)
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns added that are worked out once a row, whatever filters and projections follow: a generator of one
+    row is no projection that the optimizer could copy into its consumers."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
 def strip_priority(raw: Column) -> Column:
@@ -107,22 +108,19 @@ def strip_priority(raw: Column) -> Column:
 def syslog_source(raw: Column) -> Column:
     """The program of ``<time> host program[pid]:``, null where the line has no such head or names a level there."""
     time = r"(?:[A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}\S*|\d{4}-\d{2}-\d{2}T\S+|\d{4}-\d{2}-\d{2}(?:\s+\d{2}:\d{2}:\d{2}\S*)?)"
-    tag = F.nullif(F.regexp_extract(strip_priority(raw), rf"\A(?:{time}\s+)?(?![A-Z][a-z]{{2}}\s+\d|\d{{4}}-)(?!\[)\S*[^\s:]\s+([A-Za-z0-9_./-]+)(?:\[\d*\])?:(?:\s|\z)", 1), F.lit(""))
+    tag = F.nullif(F.regexp_extract(raw, rf"\A\s*(?:<\d{{1,3}}>(?:\d\s)?\s*)?(?:{time}\s+)?(?![A-Z][a-z]{{2}}\s+\d|\d{{4}}-)(?!\[)\S*[^\s:]\s+([A-Za-z0-9_./-]+)(?:\[\d*\])?:(?:\s|\z)", 1), F.lit(""))
     return F.when(level_named(tag).isNull(), tag)
 
 
-def _civil(text: Column) -> Column:
-    """Milliseconds of an ISO date and time, UTC where it has no offset; null where it is none."""
-    shape = r"\A(\d{4})-(\d{2})-(\d{2})(?:[T ](\d{2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?([Zz]|[+-]\d{2}(?::?\d{2})?)?)?\z"
+_ISO = r"\A\d{4}-\d{2}-\d{2}(?:[T ](?:[01]\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:[.,]\d+)?)?(?:[Zz]|[+-]\d{2}(?::?\d{2})?)?)?\z"
 
-    def built(p: Column) -> Column:
-        n = lambda i: F.coalesce(F.nullif(p[i], F.lit("")).try_cast("int"), F.lit(0))
-        at = F.try_make_timestamp(n(0), n(1), n(2), n(3), n(4), n(5).cast("decimal(16,6)"), F.lit("UTC"))
-        digits = F.regexp_replace(p[7], r"\D", "")
-        east = F.coalesce(F.substring(digits, 1, 2).try_cast("int"), F.lit(0)) * 60 + F.coalesce(F.substring(digits, 3, 2).try_cast("int"), F.lit(0))
-        return F.when((n(3) <= 23) & (n(4) <= 59) & (n(5) <= 59), F.unix_millis(at) + F.rpad(F.substring(p[6], 1, 3), 3, "0").cast("int") - F.when(F.startswith(p[7], F.lit("-")), -east).otherwise(east) * 60000)
 
-    return F.when(text.rlike(shape), let(F.split(F.regexp_replace(text, shape, "$1|$2|$3|$4|$5|$6|$7|$8"), r"\|", -1), built))
+def _civil(text: Column) -> Column:
+    """Milliseconds of an ISO date and time, UTC where it has no offset; null where it is none."""
+    zoned = text.rlike(r"(?:[Zz]|:\d{2}(?:[.,]\d+)?[+-]\d{2}(?::?\d{2})?)\z")
+    plain = F.translate(text, ",z", ".Z")
+    full = F.when(zoned, plain).when(F.length(text) == 10, F.concat(plain, F.lit("T00:00:00Z"))).otherwise(F.concat(plain, F.lit("Z")))
+    return F.when(text.rlike(_ISO), F.unix_millis(full.try_cast("timestamp")))
 
 
 def parse_bound(text: Column) -> Column:
@@ -153,21 +151,23 @@ def object_time(raw: Column, o: Column) -> Column:
     return let(field(o, "ts", "time", "timestamp"), of)
 
 
-def text_time(raw: Column, year: Column) -> Column:
-    """The time at the head of a line of text."""
-    syslog = r"\A(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) +(\d{1,2}) (\d{2}):(\d{2}):(\d{2}).*"
+_HEAD = r"\A\s*(?:<\d{1,3}>(?:\d\s)?\s*)?"
+
+
+def time_token(raw: Column) -> Column:
+    """The date and time at the head of a line as written, after a priority; empty where there is none."""
+    return F.regexp_extract(raw, _HEAD + r"(\d{4}-\d{2}-\d{2}T\S+|\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\S*|\d{4}-\d{2}-\d{2}(?=\s|\z)|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) +\d{1,2} \d{2}:\d{2}:\d{2})", 1)
 
-    def named(p: Column) -> Column:
-        month = F.array_position(F.array(*[F.lit(m) for m in MONTHS.split()]), F.lower(p[0])).cast("int")
-        n = lambda i: p[i].try_cast("int")
-        at = F.try_make_timestamp(year.cast("int"), month, n(1), n(2), n(3), n(4).cast("decimal(16,6)"), F.lit("UTC"))
-        return F.when((n(2) <= 23) & (n(3) <= 59) & (n(4) <= 59), F.unix_millis(at))
 
-    def of(s: Column) -> Column:
-        token = F.regexp_extract(s, r"\A(\d{4}-\d{2}-\d{2}T\S+|\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\S*|\d{4}-\d{2}-\d{2}(?=\s|\z))", 1)
-        return let(token, lambda t: F.when(t != "", _civil(t)).when(s.rlike(rf"(?s){syslog}"), let(F.split(F.regexp_replace(s, rf"(?s){syslog}", "$1|$2|$3|$4|$5"), r"\|"), named)))
+def token_time(token: Column, year: Column) -> Column:
+    """The instant of such a token; the year stands in for a syslog time's missing one."""
+    written = F.concat(year.cast("string"), F.lit(" "), F.regexp_replace(token, " +", " "), F.lit(" Z"))
+    return F.when(token == "", F.lit(None).cast("bigint")).when(token < ":", _civil(token)).otherwise(F.unix_millis(F.try_to_timestamp(written, F.lit("yyyy MMM d HH:mm:ss X"))))
 
-    return let(strip_priority(raw), of)
+
+def text_time(raw: Column, year: Column) -> Column:
+    """The time at the head of a line of text."""
+    return token_time(time_token(raw), year)
 
 
 def parse_records(lines: DataFrame, year: int, raw: str = "raw") -> DataFrame:
@@ -175,27 +175,29 @@ def parse_records(lines: DataFrame, year: int, raw: str = "raw") -> DataFrame:
 
     lines: the named text column; others pass through. A null text is an empty line. Unknown stays null.
     """
-    text = F.coalesce(F.col(raw), F.lit(""))
     known = ["level", "severity", "priority", "msg", "message", "source", "logger", "component", "service", "syslog_identifier", "_comm", "ts", "time", "timestamp", "__realtime_timestamp"]
 
     def numeric(v: Column) -> Column:
         return F.coalesce(level_named(v), F.when(v.rlike(r"\A[0-7]\z"), severity_level(v.try_cast("int"))))
 
-    def from_object(t: Column, o: Column) -> Column:
-        named = lambda *n: F.nullif(field(o, *n), F.lit(""))
-        level = F.coalesce(let(field(o, "severity"), numeric), let(field(o, "level"), numeric), let(field(o, "priority"), numeric))
-        source = F.coalesce(named("source", "logger", "component", "service"), named("SYSLOG_IDENTIFIER"), named("_COMM"))
-        rest = F.map_filter(o, lambda k, v: ~ascii_lower(k).isin(known))
-        return F.struct(object_time(t, o).alias("ts_ms"), level.alias("level"), source.alias("source"), F.coalesce(named("msg", "message"), t).alias("message"), rest.alias("fields"))
-
-    def from_text(t: Column) -> Column:
-        none = F.lit(None).cast("map<string,string>")
-        return F.struct(text_time(t, F.lit(year)).alias("ts_ms"), detect_level(t).alias("level"), syslog_source(t).alias("source"), t.alias("message"), none.alias("fields"))
-
-    # each line is looked at once: as an object if it can be one, else as text
-    record = let(text, lambda t: let(json_object(t), lambda o: F.when(o.isNotNull(), from_object(t, o)).otherwise(from_text(t))))
-    kept = [F.col(f"`{c}`") for c in lines.columns if c not in ("ts_ms", "level", "source", "message", "fields")]
-    return lines.withColumn("__r", record).select(*kept, *[F.col(f"__r.{c}").alias(c) for c in ("ts_ms", "level", "source", "message", "fields")])
+    kept = [c for c in lines.columns if c not in ("ts_ms", "level", "source", "message", "fields")]
+    text = F.coalesce(F.col(raw), F.lit(""))
+    objects = F.startswith(F.ltrim(F.col("__t")), F.lit("{"))
+    # first the few matches that a line costs, once; then what they say, once
+    df = once(lines.select(*[F.col(f"`{c}`") for c in kept]), __t=text)
+    df = once(df, __o=F.when(objects, json_object(F.col("__t"))), __w=stated_level(F.col("__t")), __k=time_token(F.col("__t")), __q=syslog_source(F.col("__t")))
+    o = F.col("__o")
+    named = lambda *n: F.nullif(field(o, *n), F.lit(""))
+    by = lambda of_object, of_text: F.when(o.isNotNull(), of_object).otherwise(of_text)
+    df = once(
+        df,
+        ts_ms=by(object_time(F.col("__t"), o), token_time(F.col("__k"), F.lit(year))),
+        level=by(F.coalesce(let(field(o, "severity"), numeric), let(field(o, "level"), numeric), let(field(o, "priority"), numeric)), level_of(F.col("__w"))),
+        source=by(F.coalesce(named("source", "logger", "component", "service"), named("SYSLOG_IDENTIFIER"), named("_COMM")), F.col("__q")),
+        message=by(F.coalesce(named("msg", "message"), F.col("__t")), F.col("__t")),
+        fields=F.when(o.isNotNull(), F.map_filter(o, lambda k, v: ~ascii_lower(k).isin(known))),
+    )
+    return df.drop("__t", "__o", "__w", "__k", "__q")
 
 
 @dataclass(frozen=True)
@@ -325,21 +327,27 @@ def bucket_start(ts_ms: Column, seconds: Column | int) -> Column:
 def histogram(records: DataFrame, seconds: int | None = None) -> DataFrame:
     """(bucket_start, total, warn_or_higher): non-empty buckets of equal width, by :func:`pick_bucket` unless given.
 
-    The width comes from a one-row aggregate that is joined, so no value passes through the driver. Records without a
-    time are in no bucket; without a level they are not warnings.
+    Lines are read once: counted by minute first, of which every width is a multiple, then put together. The number of
+    minutes grows with the time that is covered, not with the lines. Records without a time are in no bucket; without a
+    level they are not warnings.
     """
     timed = records.where("ts_ms IS NOT NULL")
-    serious = F.coalesce((level_rank(F.col("level")) >= 3) & (level_rank(F.col("level")) <= 5), F.lit(False))
+    rank = level_rank(F.col("level"))
+    serious = F.coalesce((rank >= 3) & (rank <= 5), F.lit(False))
+    minutes = timed.groupBy(bucket_start(F.col("ts_ms"), BUCKET_SECONDS[0]).alias("__m")).agg(F.count(F.lit(1)).alias("total"), F.count_if(serious).alias("warn_or_higher"), F.min("ts_ms").alias("__a"), F.max("ts_ms").alias("__b"))
     if seconds is None:
-        reach = timed.agg(F.min("ts_ms").alias("a"), F.max("ts_ms").alias("b"))
-        size = F.floor((F.floor((F.col("b") - F.col("a")) / 1000) + 1)).cast("bigint")
+        whole = Window.partitionBy(F.lit(0))
+        reach = F.floor((F.max("__b").over(whole) - F.min("__a").over(whole)) / 1000) + 1
+        minutes = minutes.withColumn("__s", reach)
         width = F.lit(BUCKET_SECONDS[-1])
         for b in reversed(BUCKET_SECONDS[:-1]):
-            width = F.when(F.floor(size / b) <= MOST_BUCKETS, F.lit(b)).otherwise(width)
-        timed = timed.join(F.broadcast(reach.select(width.cast("bigint").alias("__w"))))  # one row
+            width = F.when(F.floor(F.col("__s") / b) <= MOST_BUCKETS, F.lit(b)).otherwise(width)
+    elif seconds % BUCKET_SECONDS[0] == 0:
+        width = F.lit(seconds)
     else:
-        timed = timed.withColumn("__w", F.lit(seconds).cast("bigint"))
-    return timed.groupBy(bucket_start(F.col("ts_ms"), F.col("__w")).alias("bucket_start")).agg(F.count(F.lit(1)).alias("total"), F.count_if(serious).alias("warn_or_higher"))
+        return timed.groupBy(bucket_start(F.col("ts_ms"), seconds).alias("bucket_start")).agg(F.count(F.lit(1)).alias("total"), F.count_if(serious).alias("warn_or_higher"))
+    start = (F.col("__m") - F.pmod(F.col("__m"), width)).cast("bigint")
+    return minutes.groupBy(start.alias("bucket_start")).agg(F.sum("total").alias("total"), F.sum("warn_or_higher").alias("warn_or_higher"))
 
 
 def rfc3339(ts_ms: Column) -> Column:

@@ -37,7 +37,7 @@ def _lines(spark: SparkSession, data: str) -> DataFrame:
     e = table(spark, data, "events")
     mark = F.when(F.col("event_type") == "error", "[ERROR] ").when(F.col("event_type") == "purchase", "WARNING ").when(F.col("event_type") == "signup", "level=info ").when(F.col("event_type") == "click", "<DEBUG> ").otherwise("")
     raw = F.concat(F.date_format(F.col("ts").cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z' "), mark, F.lit("app: user "), F.col("user_id").cast("string"), F.lit(" did "), F.col("event_type"))
-    return e.select(F.lit("events").alias("file"), F.col("event_id").alias("line_no"), raw.alias("raw"))
+    return logs.once(e, raw=raw).select(F.lit("events").alias("file"), F.col("event_id").alias("line_no"), "raw")
 
 
 def _records(spark: SparkSession, data: str) -> DataFrame:
