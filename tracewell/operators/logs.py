@@ -31,17 +31,14 @@ def ascii_lower(text: Column) -> Column:
 
 def level_named(word: Column) -> Column:
     """The level that a word names, null for any other word."""
-    low = ascii_lower(word)
-    out = F.when(low.isin(_NAMES["trace"]), "trace")
-    for level, names in list(_NAMES.items())[1:]:
-        out = out.when(low.isin(names), level)
-    return out
+    names = F.create_map(*[F.lit(x) for level, words in _NAMES.items() for w in words for x in (w, level)])
+    return F.try_element_at(names, ascii_lower(word))
 
 
 def severity_level(number: Column) -> Column:
     """The level of a syslog severity: the three lowest bits count."""
-    low = number.bitwiseAND(7)
-    return F.when(low <= 2, "fatal").when(low == 3, "error").when(low == 4, "warn").when(low <= 6, "info").when(low == 7, "debug")
+    levels = ["fatal", "fatal", "fatal", "error", "warn", "info", "info", "debug"]
+    return F.get(F.array(*[F.lit(x) for x in levels]), number.bitwiseAND(7))
 
 
 def level_rank(level: Column) -> Column:
@@ -107,8 +104,9 @@ def strip_priority(raw: Column) -> Column:
 
 def syslog_source(raw: Column) -> Column:
     """The program of ``<time> host program[pid]:``, null where the line has no such head or names a level there."""
-    time = r"(?:[A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}\S*|\d{4}-\d{2}-\d{2}T\S+|\d{4}-\d{2}-\d{2}(?:\s+\d{2}:\d{2}:\d{2}\S*)?)"
-    tag = F.nullif(F.regexp_extract(raw, rf"\A\s*(?:<\d{{1,3}}>(?:\d\s)?\s*)?(?:{time}\s+)?(?![A-Z][a-z]{{2}}\s+\d|\d{{4}}-)(?!\[)\S*[^\s:]\s+([A-Za-z0-9_./-]+)(?:\[\d*\])?:(?:\s|\z)", 1), F.lit(""))
+    time = r"(?:[A-Z][a-z]{2}\s++\d{1,2}\s++\d{2}:\d{2}:\d{2}\S*+|\d{4}-\d{2}-\d{2}T\S++|\d{4}-\d{2}-\d{2}(?:\s++\d{2}:\d{2}:\d{2}\S*+)?)"
+    host = r"(?![A-Z][a-z]{2}\s+\d|\d{4}-|\[)\S++(?<!:)"
+    tag = F.nullif(F.regexp_extract(raw, rf"\A\s*+(?:<\d{{1,3}}>(?:\d\s)?\s*+)?(?:{time}\s++)?{host}\s++([A-Za-z0-9_./-]++)(?:\[\d*+\])?:(?:\s|\z)", 1), F.lit(""))
     return F.when(level_named(tag).isNull(), tag)
 
 
@@ -117,7 +115,7 @@ _ISO = r"\A\d{4}-\d{2}-\d{2}(?:[T ](?:[01]\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:[.,]\d
 
 def _civil(text: Column) -> Column:
     """Milliseconds of an ISO date and time, UTC where it has no offset; null where it is none."""
-    zoned = text.rlike(r"(?:[Zz]|:\d{2}(?:[.,]\d+)?[+-]\d{2}(?::?\d{2})?)\z")
+    zoned = F.substring(text, 17, 50).rlike("[Zz+-]")
     plain = F.translate(text, ",z", ".Z")
     full = F.when(zoned, plain).when(F.length(text) == 10, F.concat(plain, F.lit("T00:00:00Z"))).otherwise(F.concat(plain, F.lit("Z")))
     return F.when(text.rlike(_ISO), F.unix_millis(full.try_cast("timestamp")))
