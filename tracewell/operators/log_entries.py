@@ -42,6 +42,7 @@ SOURCE_KEYS = ("source", "logger", "component", "service", "syslog_identifier",
 MESSAGE_KEYS = ("msg", "message")
 
 _WORDS = "|".join(sorted((w for w in LEVELS if len(w) > 1), key=len, reverse=True))
+_UPPER_WORDS = _WORDS.upper()
 _WORDS = f"(?:{_WORDS}|{_WORDS.upper()}|{'|'.join(w.capitalize() for w in LEVELS if len(w) > 1)})"
 _DATE = r"\d{4}-\d\d-\d\d"
 _MON = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
@@ -66,7 +67,8 @@ TOKENS = [
     ("KVO", r"[\w.]+=(?:\"(?:[^\"\\]|\\.)*\"|\S*)(?=\s|$)"),
     ("LOC", r"[\w./+-]+:\d+\](?=\s|$)"),
     ("TAGPID", rf"{_NAME}\[\d+\]:(?=\s|$)"),
-    ("LVL", rf"(?:{_WORDS}|[TDIWEFC])(?=\s|$)"),
+    ("LVLU", rf"(?:{_UPPER_WORDS}|[TDIWEFC])(?=\s|$)"),
+    ("LVL", rf"{_WORDS}(?=\s|$)"),
     ("TAG", rf"{_NAME}:(?=\s|$)"),
     ("BR", r"\[[^\]\s]*\](?=\s|$)"),
     ("DASH", r"-(?=\s|$)"),
@@ -94,18 +96,18 @@ LINE -> LINE_OPEN
 LINE -> LINE_MEMBER
 LINE -> LINE_CLOSE
 LINE -> LINE_PLAIN @-20
-LINE_DASHED -> ts=ISO DASH WHO DASH lvl=LVL DASH BODY
-LINE_DASHED -> ts=ISO DASH WHO DASH lvl=LVL DASH
-LINE_THREAD -> ts=ISO lvl=LVL BR WHO DASH BODY
-LINE_THREAD -> ts=ISO lvl=LVL BR WHO DASH
-LINE_THREAD -> ts=ISO lvl=LVL SKIP WHO DASH BODY @-6
+LINE_DASHED -> ts=ISO DASH WHO DASH LEVEL DASH BODY
+LINE_DASHED -> ts=ISO DASH WHO DASH LEVEL DASH
+LINE_THREAD -> ts=ISO LEVEL BR WHO DASH BODY
+LINE_THREAD -> ts=ISO LEVEL BR WHO DASH
+LINE_THREAD -> ts=ISO LEVEL SKIP WHO DASH BODY @-4
 LINE_BRACKET -> ts=ISO lvl=LVLB src=TAG BODY
 LINE_BRACKET -> ts=ISO lvl=LVLB src=TAG
 LINE_BRACKET -> ts=ISO lvl=LVLB src=TAGPID BODY
 LINE_BRACKET -> ts=ISO lvl=LVLB BODY @-4
-LINE_SPAN -> ts=ISO lvl=LVL src=TAG BODY
-LINE_SPAN -> ts=ISO lvl=LVL src=TAG
-LINE_SPAN -> ts=ISO lvl=LVL BODY @-5
+LINE_SPAN -> ts=ISO LEVEL src=TAG BODY
+LINE_SPAN -> ts=ISO LEVEL src=TAG
+LINE_SPAN -> ts=ISO lvl=LVLU BODY @-5
 LINE_MODULE -> ts=APT modlvl=MODLVL BODY
 LINE_MODULE -> ts=APT modlvl=MODLVL PIDB BODY
 LINE_MODULE -> ts=APT modlvl=MODLVL PIDB PIDB BODY
@@ -144,17 +146,22 @@ LINE_MEMBER -> MEMBER
 LINE_CLOSE -> CLOSE
 LINE_PLAIN -> ts=ISO BODY
 LINE_PLAIN -> ts=SYS BODY @-2
+LEVEL -> lvl=LVL
+LEVEL -> lvl=LVLU
 WHO -> src=NAME
 WHO -> src=TAG @-3
 WHO -> src=LVL @-3
+WHO -> src=LVLU @-3
 WHO -> src=OTHER @-4
 HOST -> NAME
 HOST -> OTHER @-1
 HOST -> NUM @-1
 HOST -> LVL @-3
+HOST -> LVLU @-3
 APP -> src=NAME
 APP -> src=OTHER @-1
 APP -> src=LVL @-1
+APP -> src=LVLU @-1
 APP -> src=NUM @-1
 APP -> DASH @-1
 PROC -> NUM
@@ -163,6 +170,7 @@ PROC -> OTHER @-1
 PROC -> DASH
 ID -> NAME
 ID -> LVL
+ID -> LVLU
 ID -> NUM
 ID -> OTHER @-1
 ID -> DASH
