@@ -336,7 +336,7 @@ def silver(context: Context) -> bool:
     if mark == "quoted":
         return nxt in ("upper", "open", "digit")
     if mark == "aside":
-        return nxt != "lower" and word == "word"
+        return nxt != "lower" and word in ("word", "last")
     if word == "last":
         return nxt != "lower"
     return word == "word"
@@ -365,7 +365,7 @@ def fit(texts: list[str], rounds: int = ROUNDS) -> Segmenter:
     """
     starters = learn_starters(texts)
     reader = Segmenter({}, starters)
-    cases: list[tuple[list[Context], list[bool]]] = [([c], [silver(c)]) for c in CONTEXTS]
+    cases: list[tuple[list[Context], list[bool]]] = []
     for text in texts:
         bodies = [(b, e) for _, b, e in reader.blocks(text) if b < e]
         for b, e in bodies:
@@ -384,11 +384,14 @@ def fit(texts: list[str], rounds: int = ROUNDS) -> Segmenter:
     weights: dict[tuple, float] = defaultdict(float)
     summed: dict[tuple, float] = defaultdict(float)
     step = 1
-    for _ in range(rounds):
-        for contexts, answer in cases:
+    known = [([c], [silver(c)]) for c in CONTEXTS]
+    for turn in range(rounds + 30):
+        wrong = 0
+        for contexts, answer in [*cases, *known, *known, *known] if turn < rounds else known * 3:
             model = Segmenter(weights, starters)
             guess = model.decode(contexts)
             if guess != answer:
+                wrong += 1
                 for tags, sign in ((answer, 1.0), (guess, -1.0)):
                     for i, (c, tag) in enumerate(zip(contexts, tags, strict=True)):
                         used = features(c) if tag else []
@@ -398,6 +401,8 @@ def fit(texts: list[str], rounds: int = ROUNDS) -> Segmenter:
                             weights[f] += sign
                             summed[f] += sign * step
             step += 1
+        if turn >= rounds and not wrong:
+            break
     return Segmenter({f: w - summed[f] / step for f, w in weights.items()}, starters)
 
 
