@@ -36,11 +36,9 @@ def redact_text(text: str | None) -> str | None:
 
     def pair(m: re.Match[str]) -> str:
         value = m[2]
-        if value.startswith("<REDACTED:"):
-            return m[0]
         quote = value[0] if value[0] in "\"'" else ""
         inner = value[1:-1] if quote else value
-        return m[1] + quote + token_for(inner) + quote if inner else m[0]
+        return m[1] + quote + token_for(inner) + quote if inner and not inner.startswith("<REDACTED:") else m[0]
 
     return _PAIR.sub(pair, text)
 

@@ -139,7 +139,7 @@ def unfinished(stitched: DataFrame) -> DataFrame:
 def lower_percentile(values: Column, p: int) -> Column:
     """The value at place floor((n-1) p / 100) of a group's sorted values; exact, never interpolated."""
     ordered = F.array_sort(F.collect_list(values))
-    return F.try_element_at(ordered, (F.floor((F.count(values) - 1) * p / 100) + 1).cast("int"))
+    return F.get(ordered, F.floor((F.count(values) - 1) * p / 100).cast("int"))
 
 
 def lower_percentiles(df: DataFrame, keys: list[str], value: str, ps: list[int]) -> DataFrame:

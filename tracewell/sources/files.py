@@ -247,7 +247,7 @@ def detect(path: str) -> str:
     if path.endswith(tuple(SUFFIXES)):
         return "unit"
     text = head.decode("utf-8", "replace").lstrip("﻿ \t\r\n")
-    if re.match(r"(?:<\?xml[^>]*\?>\s*)?(?:<!--.*?-->\s*)*<testsuites?[\s>]", text, re.S):
+    if re.match(r"(?:<\?xml[^>]*\?>\s*)?(?:<!--.*?-->\s*)*<testsuites?[\s/>]", text, re.S):
         return "junit_file"
     if text.startswith("[") and re.search(r'"directory"\s*:', text) and re.search(r'"file"\s*:', text):
         return "compile_db"
