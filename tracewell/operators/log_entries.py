@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.operators.earley import Grammar
+from tracewell.session import spread
 
 STRETCH = 16_384
 #: Tokens of a line that the grammar sees; no header has as many, what follows is message.
@@ -444,7 +445,7 @@ def parse_lines(lines: DataFrame, sources: DataFrame | None = None, spans: bool
         if len(rows) > MOST_FILES:
             raise ValueError(f"sources has more than {MOST_FILES} files")
         years = {r[0]: r[1] for r in rows}
-    return lines.select("file", F.col("line_no").cast("bigint").alias("line_no"), "raw").mapInArrow(_parser(years, spans), _PARSED)
+    return spread(lines.select("file", F.col("line_no").cast("bigint").alias("line_no"), "raw")).mapInArrow(_parser(years, spans), _PARSED)
 
 
 def log_entries(lines: DataFrame, sources: DataFrame | None = None, stretch: int = STRETCH) -> DataFrame:
