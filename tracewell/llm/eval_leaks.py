@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tracewell.llm.fm_index import FmIndex
+from tracewell.session import spread
 
 LEAST_WORDS, LEAST_LETTERS = 12, 24
 LETTER_LANGUAGES = ("zh",)
@@ -200,7 +201,7 @@ def eval_leaks(documents: DataFrame, items: DataFrame, least_words: int = LEAST_
             yield from settle(shard, coded)
 
     whole = documents.where("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''").selectExpr("CAST(doc_id AS bigint) AS doc_id", "text")
-    found = whole.mapInArrow(over, "doc_id bigint, item_id bigint, spans array<struct<start:int,end:int>>")
+    found = spread(whole).mapInArrow(over, "doc_id bigint, item_id bigint, spans array<struct<start:int,end:int>>")
     return found.dropDuplicates(["doc_id", "item_id"])
 
 

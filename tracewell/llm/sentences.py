@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.session import spread
+
 #: At most so many documents are fitted on; everything else reads every document whole.
 SAMPLE_DOCUMENTS = 2000
 ROUNDS = 4
@@ -430,4 +432,4 @@ def sentence_units(documents: DataFrame, sample_documents: int = SAMPLE_DOCUMENT
                 ends += [b for _, b in units]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["doc_id", "sent_start", "sent_end"])
 
-    return whole.mapInArrow(over, "doc_id bigint, sent_start int, sent_end int")
+    return spread(whole).mapInArrow(over, "doc_id bigint, sent_start int, sent_end int")
