@@ -387,13 +387,14 @@ def fit(texts: list[str], rounds: int = ROUNDS) -> Segmenter:
     summed: dict[tuple, float] = defaultdict(float)
     step = 1
     known = [([c], [silver(c)]) for c in CONTEXTS]
+    model = Segmenter(weights, starters)
     for turn in range(rounds + 30):
         wrong = 0
         for contexts, answer in [*cases, *known, *known, *known] if turn < rounds else known * 3:
-            model = Segmenter(weights, starters)
             guess = model.decode(contexts)
             if guess != answer:
                 wrong += 1
+                model.scores.clear()
                 for tags, sign in ((answer, 1.0), (guess, -1.0)):
                     for i, (c, tag) in enumerate(zip(contexts, tags, strict=True)):
                         used = features(c) if tag else []
