@@ -87,7 +87,7 @@ class Segmenter:
     """Finds candidates and their contexts, and decodes them under a model's weights."""
 
     def __init__(self, weights: dict | None = None, starters: frozenset[str] = frozenset()) -> None:
-        self.weights, self.starters = weights or {}, starters
+        self.weights, self.starters = {} if weights is None else weights, starters
         self.scores: dict[Context, float] = {}
 
     def _after(self, text: str, at: int, end: int) -> tuple[str, int]:
