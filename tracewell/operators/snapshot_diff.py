@@ -113,15 +113,16 @@ def diff_snapshots(rows: DataFrame, rows_per_part: int = ROWS_PER_PART) -> DataF
     out. The first snapshot of a scope yields nothing; an empty table gives an empty result.
     """
     known = rows.where("tbl IS NOT NULL AND scope IS NOT NULL AND snapshot_no IS NOT NULL")
-    records = known.groupBy("tbl", "scope", F.col("snapshot_no").cast("bigint").alias("snapshot_no"), "record_key").agg(F.max("value").alias("value"))
+    # each row also says that its snapshot exists, in a row without a key; partial sums before the shuffle make one of these
+    nothing = F.struct(F.lit(None).cast("string").alias("record_key"), F.lit(None).cast("string").alias("value"))
+    told = known.select("tbl", "scope", F.col("snapshot_no").cast("bigint").alias("snapshot_no"), F.inline(F.array(F.struct("record_key", "value"), nothing)))
+    records = told.groupBy("tbl", "scope", "snapshot_no", "record_key").agg(F.max("value").alias("value"))
     # Few scopes are large; the list of those is joined by whatever way its size suggests to the optimizer.
     large = known.groupBy("tbl", "scope").agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_per_part)).cast("int").alias("parts")).where("parts > 1")
     sized = records.join(large, ["tbl", "scope"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     part = F.when(F.col("record_key").isNull(), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("record_key"), F.col("parts")).cast("int")))
     spread = sized.select("tbl", "scope", F.explode(part).alias("part"), "snapshot_no", "record_key", "value")
-    # A record also says that its snapshot exists, to the other parts of its scope.
-    exists = sized.where("parts > 1").select("tbl", "scope", "snapshot_no", "parts").distinct().select("tbl", "scope", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "snapshot_no", F.lit(None).cast("string").alias("record_key"), F.lit(None).cast("string").alias("value"))
-    placed = spread.unionByName(exists).repartition("tbl", "scope", "part").sortWithinPartitions("tbl", "scope", "part", "snapshot_no", "record_key")
+    placed = spread.repartition("tbl", "scope", "part").sortWithinPartitions("tbl", "scope", "part", "snapshot_no", "record_key")
     return placed.mapInArrow(_parts, RESULT)
 
 
