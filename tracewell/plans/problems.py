@@ -29,6 +29,14 @@ def p2_found(spark: SparkSession, data: str) -> DataFrame:
     return diff_snapshots(rows)
 
 
+def p2_units(spark: SparkSession, data: str) -> DataFrame:
+    return diff_snapshots(unit_records(table(spark, data, "compile_units")))
+
+
+def p2_sections(spark: SparkSession, data: str) -> DataFrame:
+    return diff_snapshots(section_records(table(spark, data, "bundle_entries")))
+
+
 def p3_found(spark: SparkSession, data: str) -> DataFrame:
     records = table(spark, data, "log_records").select(F.lit("log_records").alias("tbl"), F.col("record_id").alias("row_id"), "file", F.col("stamp").alias("written"))
     buckets = table(spark, data, "log_buckets").select(F.lit("log_buckets").alias("tbl"), F.col("bucket_id").alias("row_id"), "file", F.col("bucket_start").alias("written"))
@@ -40,4 +48,19 @@ def p4_found(spark: SparkSession, data: str) -> DataFrame:
     return log_entries(table(spark, data, "log_lines"), table(spark, data, "log_sources")).drop("layout")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sockets, p1_commands, p2_found, p3_found, p4_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_sockets, p1_commands, p2_found, p2_units, p2_sections, p3_found, p4_found)}
+
+
+def _diff_sql(tbl: str, scope: str, records: str) -> str:
+    """Neighbouring snapshots of each scope, joined by key; records gives scope, snapshot_no, k and v."""
+    return f"""WITH n AS (SELECT scope, snapshot_no, lag(snapshot_no) OVER (PARTITION BY scope ORDER BY snapshot_no) AS before FROM (SELECT DISTINCT {scope} AS scope, snapshot_no FROM {tbl})), e AS ({records}),
+    a AS (SELECT n.scope, n.snapshot_no, e.k, e.v FROM n JOIN e ON e.scope = n.scope AND e.snapshot_no = n.snapshot_no WHERE before IS NOT NULL), b AS (SELECT n.scope, n.snapshot_no, e.k, e.v FROM n JOIN e ON e.scope = n.scope AND e.snapshot_no = n.before)
+    SELECT * FROM (SELECT '{tbl}' AS tbl, coalesce(a.scope, b.scope) AS scope, CAST(coalesce(a.snapshot_no, b.snapshot_no) AS BIGINT) AS snapshot_no, coalesce(a.k, b.k) AS record_key, CASE WHEN b.k IS NULL THEN 'added' WHEN a.k IS NULL THEN 'removed' WHEN a.v IS DISTINCT FROM b.v THEN 'changed' END AS change
+    FROM a FULL JOIN b ON a.scope = b.scope AND a.snapshot_no = b.snapshot_no AND a.k = b.k) WHERE change IS NOT NULL"""
+
+
+_SET = "list_sort(list_distinct(coalesce({0}, []::VARCHAR[])))"
+ORACLES = {
+    "p2_units": _diff_sql("compile_units", "project", f"SELECT project AS scope, snapshot_no, file AS k, max(coalesce(compiler, '') || '|' || coalesce(standard, '-') || '|' || CAST({_SET.format('includes')} AS VARCHAR) || CAST({_SET.format('defines')} AS VARCHAR) || CAST({_SET.format('flags')} AS VARCHAR) || CAST(coalesce(forced_includes, []::VARCHAR[]) AS VARCHAR)) AS v FROM compile_units GROUP BY 1, 2, 3"),
+    "p2_sections": _diff_sql("bundle_entries", "host", r"SELECT host AS scope, snapshot_no, regexp_extract(regexp_replace(trim(name), '^(\./)+', ''), '^reports/([^/]+)\.json$', 1) AS k, max(lower(trim(sha256))) AS v FROM bundle_entries GROUP BY 1, 2, 3 HAVING k <> ''"),
+}
