@@ -39,4 +39,11 @@ def p8_found(spark: SparkSession, data: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p5_found, p6_found, p6_removal_spans, p7_mix_selection, p7_mix_shares, p8_found)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "p5_found": r"""WITH c AS (SELECT trace_id, tid, seq, min(syscall) AS syscall, min(error) AS error, min(arguments) AS arguments, min(ts) AS ts FROM trace_events GROUP BY trace_id, tid, seq),
+    k AS (SELECT *, regexp_replace(array_to_string(list_transform(regexp_extract_all(arguments, '"(?:[^"\\]|\\.)*"(?:\.\.\.)?|[^"]+|"'), lambda t: CASE WHEN length(t) > 1 AND t LIKE '"%' AND t NOT LIKE '"/%' THEN '""' ELSE t END), ''), '0x[0-9a-fA-F]+|[0-9]+', '0', 'g') AS canon,
+    CAST(rpad(CASE WHEN contains(ts, '.') THEN split_part(ts, '.', 2) ELSE '' END, 6, '0') AS BIGINT) + 1000000 * CASE WHEN contains(ts, ':') THEN CAST(split_part(ts, ':', 1) AS BIGINT) * 3600 + CAST(split_part(ts, ':', 2) AS BIGINT) * 60 + CAST(split_part(split_part(ts, ':', 3), '.', 1) AS BIGINT) ELSE CAST(split_part(ts, '.', 1) AS BIGINT) END AS us FROM c),
+    i AS (SELECT *, row_number() OVER (PARTITION BY trace_id, tid ORDER BY seq) - row_number() OVER (PARTITION BY trace_id, tid, syscall, error, canon ORDER BY seq) AS island FROM k),
+    r AS (SELECT trace_id, tid, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS n_calls, count(us) AS known, arg_max(us, seq) FILTER (WHERE us IS NOT NULL) - arg_min(us, seq) FILTER (WHERE us IS NOT NULL) AS d FROM i GROUP BY trace_id, tid, syscall, error, canon, island HAVING count(*) >= 3)
+    SELECT trace_id, tid, first_seq, last_seq, n_calls, CASE WHEN known < 2 THEN 0 WHEN d < 0 THEN d + 86400000000 ELSE d END AS span_us FROM r""",
+}
