@@ -35,24 +35,38 @@ _ASCII_WORD = re.compile(r"[a-z0-9]+")
 
 
 @cache
-def _uncounted() -> re.Pattern[str]:
-    """Marks and invisible characters: combining marks, format characters, and fillers that show nothing."""
+def _uncounted() -> tuple[re.Pattern[str], re.Pattern[str]]:
+    """Marks and invisible characters (combining marks, format characters, fillers that show nothing), of the basic plane
+    and beyond it. Apart, since a class of the basic plane alone is matched by a table."""
     gone = [c for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) in ("Mn", "Mc", "Me", "Cf")]
     gone += [0x115F, 0x1160, 0x3164, 0xFFA0]
-    ranges: list[list[int]] = []
-    for c in sorted(gone):
-        if ranges and c == ranges[-1][1] + 1:
-            ranges[-1][1] = c
-        else:
-            ranges.append([c, c])
-    return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in ranges) + "]+")
+
+    def pattern(codes: list[int]) -> re.Pattern[str]:
+        ranges: list[list[int]] = []
+        for c in sorted(codes):
+            if ranges and c == ranges[-1][1] + 1:
+                ranges[-1][1] = c
+            else:
+                ranges.append([c, c])
+        return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in ranges) + "]+")
+
+    return pattern([c for c in gone if c < 0x10000]), pattern([c for c in gone if c >= 0x10000])
+
+
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
+
+
+def _counted(text: str) -> str:
+    basic, beyond = _uncounted()
+    text = basic.sub("", text)
+    return beyond.sub("", text) if _BEYOND.search(text) else text
 
 
 def reduced(text: str) -> str:
     """A text with compatible forms made the same, in one case, without marks and invisible characters."""
     if text.isascii():
         return text.lower()
-    return unicodedata.normalize("NFKD", _uncounted().sub("", unicodedata.normalize("NFKD", text)).casefold())
+    return unicodedata.normalize("NFKD", _counted(unicodedata.normalize("NFKD", text)).casefold())
 
 
 def words(text: str) -> list[str]:
@@ -71,7 +85,7 @@ def counted_places(text: str, by_letter: bool) -> tuple[list[str], list[tuple[in
     places: list[tuple[int, int]] = []
     joined = False
     for i, c in enumerate(text):
-        piece = unicodedata.normalize("NFKD", _uncounted().sub("", unicodedata.normalize("NFKD", c)).casefold())
+        piece = reduced(c)
         if not piece:
             continue
         for p in piece:
