@@ -23,6 +23,8 @@ from tracewell.session import spread
 
 #: At most so many documents are fitted on; everything else reads every document whole.
 SAMPLE_DOCUMENTS = 2000
+#: A document of the sample is fitted on only if it is no longer, so the driver holds a bounded amount of text.
+SAMPLE_LONGEST = 20_000
 ROUNDS = 4
 
 # Abbreviations by what may follow them.
@@ -413,12 +415,14 @@ def sentence_units(documents: DataFrame, sample_documents: int = SAMPLE_DOCUMENT
     """(doc_id, sent_start, sent_end): every sentence unit of every document, offsets in code points from 0.
 
     documents: doc_id, text; further columns are ignored. The model is fitted on at most ``sample_documents``
-    documents, those with the smallest hashes of their ids; every document is then read whole in one narrow pass.
+    documents, those with the smallest hashes of their ids, if not longer than ``SAMPLE_LONGEST``; every document is then
+    read whole in one narrow pass.
     Null, empty and blank texts have no units; repeated rows yield repeated units; null ids stay null.
     """
     whole = documents.where("text IS NOT NULL AND text <> ''").selectExpr("CAST(doc_id AS bigint) AS doc_id", "text")
-    ids = [r[0] for r in documents.where("doc_id IS NOT NULL").selectExpr("CAST(doc_id AS bigint) AS doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_documents).collect()]
-    sample = [r[0] for r in whole.where(F.col("doc_id").isin(ids)).orderBy("doc_id").limit(2 * sample_documents).select("text").collect()] if ids else []
+    # the smallest hashes come from a top-k of each partition; nothing is shuffled for it
+    ids = sorted({r[0] for r in documents.where("doc_id IS NOT NULL").selectExpr("CAST(doc_id AS bigint) AS doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_documents).collect()})
+    sample = [r[0] for r in whole.where(F.col("doc_id").isin(ids) & (F.length("text") <= SAMPLE_LONGEST)).orderBy("doc_id", "text").limit(2 * sample_documents).select("text").collect()] if ids else []
     model = fit(sample)
     weights, starters = model.weights, model.starters
 
