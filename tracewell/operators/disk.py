@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def own_sizes(nodes: DataFrame) -> DataFrame:
-    """Nodes with the sizes that count: of the names of one inode only the first, by node id, has any; nodes without an
-    inode always count. A hot inode's names are ranked by a minimum, not gathered."""
+def own_sizes(nodes: DataFrame, order: str | None = None) -> DataFrame:
+    """Nodes with the sizes that count: of the names of one inode only the first has any, by ``walk`` (a tree's order, depth
+    first) where there is one, else by node id; nodes without an inode always count. A hot inode's names are ranked by a
+    minimum, not gathered."""
+    order = order or ("walk" if "walk" in nodes.columns else "node_id")
     has = (F.coalesce("device", F.lit(0)) != 0) | (F.coalesce("inode", F.lit(0)) != 0)
-    first = nodes.where(has & (F.col("nlink") > 1)).groupBy("device", "inode").agg(F.min("node_id").alias("__first"))
-    counted = F.col("__first").isNull() | (F.col("__first") == F.col("node_id"))
+    first = nodes.where(has & (F.col("nlink") > 1)).groupBy("device", "inode").agg(F.min(order).alias("__first"))
+    counted = F.col("__first").isNull() | (F.col("__first") == F.col(order))
     return nodes.join(first, ["device", "inode"], "left").withColumn("counted", counted).withColumn("own_size", F.when(counted, F.col("size")).otherwise(0)).withColumn("own_allocated", F.when(counted, F.col("allocated")).otherwise(0)).drop("__first")
 
 

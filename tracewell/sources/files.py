@@ -209,13 +209,14 @@ class TreeReader(DataSourceReader):
 
 
 def read_tree(spark: SparkSession, path: str, exclude: list[str] = (), max_entries: int = 1_000_000, one_file_system: bool = False) -> DataFrame:
-    """Entries below a folder that all workers see, with node_id in depth-first order by path and parent_id."""
+    """Entries below a folder that all workers see, with node_id, parent_id and ``walk``, whose order is that of a
+    depth-first walk by names."""
     from pyspark.sql import functions as F
 
     spark.dataSource.register(TreeSource)
     rows = spark.read.format("tree").options(path=path, exclude=",".join(exclude), max_entries=str(max_entries), one_file_system=str(one_file_system).lower()).load()
     # an id that follows the path needs no global order: it is the path's digest
-    return rows.withColumn("node_id", F.xxhash64("rel_path")).withColumn("parent_id", F.when(F.col("parent_path").isNotNull(), F.xxhash64("parent_path")))
+    return rows.withColumn("walk", F.split("rel_path", "/")).withColumn("node_id", F.xxhash64("rel_path")).withColumn("parent_id", F.when(F.col("parent_path").isNotNull(), F.xxhash64("parent_path")))
 
 
 KINDS = "venv systemd junit directory elf bundle unit junit_file compile_db snapshot strace log".split()
