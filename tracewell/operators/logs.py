@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tracewell.errors import UsageError
 from tracewell.functions.addresses import let
-from tracewell.functions.timestamps import MONTHS
+from tracewell.session import spread
 
 # Levels in order, and the widths in seconds that a histogram's buckets can have.
 LEVEL_ORDER = ["trace", "debug", "info", "warn", "error", "fatal", "unknown"]
@@ -182,7 +182,7 @@ def parse_records(lines: DataFrame, year: int, raw: str = "raw") -> DataFrame:
     text = F.coalesce(F.col(raw), F.lit(""))
     objects = F.startswith(F.ltrim(F.col("__t")), F.lit("{"))
     # first the few matches that a line costs, once; then what they say, once
-    df = once(lines.select(*[F.col(f"`{c}`") for c in kept]), __t=text)
+    df = once(spread(lines.select(*[F.col(f"`{c}`") for c in kept])), __t=text)
     df = once(df, __o=F.when(objects, json_object(F.col("__t"))), __w=stated_level(F.col("__t")), __k=time_token(F.col("__t")), __q=syslog_source(F.col("__t")))
     o = F.col("__o")
     named = lambda *n: F.nullif(field(o, *n), F.lit(""))

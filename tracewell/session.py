@@ -45,5 +45,7 @@ def spread(df: DataFrame) -> DataFrame:
     """df over all cores where its scan has far fewer partitions than that, as with one small file; else df as it is.
 
     Rows are dealt out evenly, so this costs a shuffle only where most cores would stand idle."""
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
