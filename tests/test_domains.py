@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tracewell.errors import InputChanged, InvalidInput, LimitExceeded, UsageError
 from tracewell.functions.glob import glob_match, python_glob
-from tracewell.functions.redact import redact, redact_json, redact_text
+from tracewell.functions.redact import redact, redact_bytes, redact_json, redact_text
 from tracewell.operators import build, bundle, diff, disk, elf, graph, health, junit, logs, net, pyenv, trace, units
 from tracewell.plans import verdicts
 from tracewell.report import Report, check_schema, findings, human_bytes, no_findings, paginate, render_findings, to_json, within_budget
@@ -385,3 +385,16 @@ def test_stream_histogram(spark, tmp_path):
     q = follow_source.stream_histogram(s).writeStream.outputMode("complete").format("memory").queryName("h").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert rows(spark.table("h")) == [(0, 2, 1), (300, 1, 1)]
+
+
+def test_sessions_and_bounds(spark):
+    keep = logs.LogFilter(query="x", min_level="warn")
+    assert logs.load_session(logs.save_session(keep, ["a.log"], 2024)) == (keep, ["a.log"], 2024)
+    with pytest.raises(InvalidInput):
+        logs.load_session('{"schema": "other/v1"}')
+    df = spark.createDataFrame([("t", i) for i in (3, 1, 2)], "trace_id string, seq int")
+    first, more = trace.retained(df, 2)
+    assert more and rows(first) == [("t", 1), ("t", 2)] and not trace.retained(df, 3)[1]
+    assert redact_bytes(b"token=abc \xff").endswith("\ufffd".encode())
+    with pytest.raises(UnicodeDecodeError):
+        redact_bytes(b"\xff", strict=True)

@@ -72,3 +72,8 @@ def redact(text: Column) -> Column:
     """Texts without secrets. Only texts that can hold one go through Python; the test is a scan in the JVM."""
     suspect = text.rlike("(?i)PRIVATE KEY|bearer|" + "|".join([re.escape(p) for p in PREFIXES] + SECRET_NAMES))
     return F.when(suspect, _redact(text)).otherwise(text)
+
+
+def redact_bytes(data: bytes, strict: bool = False) -> bytes:
+    """Redacted bytes of a text; what is no UTF-8 becomes replacement characters, or is an error if strict."""
+    return redact_text(data.decode("utf-8", "strict" if strict else "replace")).encode()

@@ -6,13 +6,16 @@ nullable (null is unknown); 0 and ``unknown`` appear only where a report asks fo
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
+from dataclasses import fields as fields_of
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.errors import UsageError
 from tracewell.functions.addresses import let
+from tracewell.report import check_schema, to_json
 from tracewell.session import spread
 
 # Levels in order, and the widths in seconds that a histogram's buckets can have.
@@ -351,3 +354,18 @@ def histogram(records: DataFrame, seconds: int | None = None) -> DataFrame:
 def rfc3339(ts_ms: Column) -> Column:
     """Seconds precision, UTC."""
     return F.date_format(F.timestamp_millis(F.floor(ts_ms / 1000).cast("bigint") * 1000), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+SESSION_SCHEMA = "tracewell.log-session/v1"
+
+
+def save_session(keep: LogFilter, inputs: list[str], year: int | None = None) -> str:
+    """A filter and its inputs as a document."""
+    return to_json({"schema": SESSION_SCHEMA, "filter": asdict(keep), "inputs": inputs, "year": year}, pretty=True)
+
+
+def load_session(text: str) -> tuple[LogFilter, list[str], int | None]:
+    """The filter, inputs and year of such a document; another schema is an error, fields that are missing keep defaults."""
+    doc = check_schema(json.loads(text), SESSION_SCHEMA)
+    known = {f.name for f in fields_of(LogFilter)}
+    return LogFilter(**{k: v for k, v in doc.get("filter", {}).items() if k in known}), doc.get("inputs", []), doc.get("year")

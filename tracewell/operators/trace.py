@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.errors import InvalidInput
+from tracewell.report import bounded
 
 CALL, UNFINISHED, RESUMED, SIGNAL, EXIT, OTHER = "call", "unfinished", "resumed", "signal", "exit", "other"
 # Calls that read, write, open and share descriptors.
@@ -287,3 +288,8 @@ def diff_stats(before: DataFrame, after: DataFrame) -> DataFrame:
     percent = F.floor((mean("after") - mean("before")) * 100 / mean("before"))
     shift = F.when((mean("before") >= LEAST_SHIFT_NS) & (percent >= LEAST_SHIFT_PERCENT), percent)
     return j.select("syscall", "before_calls", "after_calls", (F.col("after_calls") - F.col("before_calls")).alias("calls_delta"), "before_errors", "after_errors", (F.col("after_errors") - F.col("before_errors")).alias("errors_delta"), shift.alias("latency_percent"))
+
+
+def retained(events: DataFrame, most: int = 10_000) -> tuple[DataFrame, bool]:
+    """The events that a report keeps, the first by trace and number, and whether there are more."""
+    return bounded(events, ["trace_id", "seq"], most)

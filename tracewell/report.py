@@ -112,3 +112,9 @@ def human_bytes(n: int) -> str:
     units = ["B", "KiB", "MiB", "GiB", "TiB"]
     i = min(int(math.log(n, 1024)) if n >= 1024 else 0, len(units) - 1)
     return f"{n} B" if i == 0 else f"{n / 1024**i:.1f} {units[i]}"
+
+
+def bounded(df: DataFrame, order: list[str], most: int) -> tuple[DataFrame, bool]:
+    """The first rows of a total order for a report that holds so many, and whether there are more."""
+    first = df.orderBy(*order).limit(most + 1)
+    return first.limit(most), first.count() > most
