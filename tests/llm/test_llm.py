@@ -169,6 +169,16 @@ def test_model_knows_every_context():
     assert len(wrong) <= 0.03 * len(CONTEXTS)
 
 
+def test_paragraph_ends_reach_the_units_against_the_rule():
+    rng = random.Random(3)
+    name = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    assert not silver(("call", "word", "lower"))
+    model = fit([f"It broke {name()}!\n\n{name()} was told of {name()}." for _ in range(60)])
+    text = "Stop it now! ghibca is up."
+    assert [text[a:b] for a, b in model.units(text)] == ["Stop it now!", "ghibca is up."]
+    assert [text[a:b] for a, b in fit([]).units(text)] == [text]  # never fitted on: the rule
+
+
 def test_units_never_overlap_and_cover_all_letters():
     rng = random.Random(9)
     model = fit([])

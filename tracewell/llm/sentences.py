@@ -3,17 +3,21 @@
 Characters are tagged as boundary or inside by a linear-chain model and decoded with Viterbi's algorithm. Only
 characters that can end a sentence (end marks with what closes after them, blanks between letters of a script without
 end marks) have a choice; all others are inside. Block structure (blank lines, headings, list items, fenced blocks)
-and quotation marks fix tags beforehand. The model is fitted when the query runs, on a bounded sample of documents
-whose tags come from unambiguous contexts and from paragraph ends (two paragraphs joined make a boundary whose
-answer is known); for scripts without end marks it is fitted on text stripped of punctuation. Words that open
-sentences in lower case, such as names of services, are learned from the same sample.
+and quotation marks fix tags beforehand. The model is fitted when the query runs, on sequences of a bounded sample of
+documents: running text tagged by rule (:func:`silver`), and paragraph ends (two paragraphs joined make a boundary
+whose answer is known, whatever the rule says); for scripts without end marks it is fitted on text stripped of
+punctuation. Fitting stops by the error on documents held out. The rule alone answers only contexts that the fitted
+sequences never had. Words that open sentences in lower case, such as names of services, are learned from the same
+sample.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +30,8 @@ SAMPLE_DOCUMENTS = 2000
 #: A document of the sample is fitted on only if it is no longer, so the driver holds a bounded amount of text.
 SAMPLE_LONGEST = 20_000
 ROUNDS = 4
+#: Every so-manieth document with cases is held out of fitting.
+HELD_OUT = 5
 
 # Abbreviations by what may follow them.
 TITLES = """dr mr mrs ms prof st hr fr frl sr sra srta d dª m mm mme mlle mgr ing gen col sgt lt capt rev hon pres gov sen rep
@@ -64,7 +70,14 @@ _NUMBERED = re.compile(r"[ \t]*(?:\d{1,4}|[a-zA-Z])[.)][ \t]+")
 _MAILED = re.compile(r"[ \t]{0,3}>")
 _LETTER = re.compile(r"[^\W\d_]")
 
-Context = tuple[str, str, str]
+#: Mark, word before, what follows; then, where there is one, the scripts around.
+Context = tuple[str, ...]
+
+
+@cache
+def _script(c: str) -> str:
+    """The script of a letter; '' for anything else."""
+    return unicodedata.name(c, "").partition(" ")[0].partition("-")[0] if c.isalpha() else ""
 
 
 def _quote_pairs(text: str) -> list[tuple[int, int]]:
@@ -88,8 +101,8 @@ def _quote_pairs(text: str) -> list[tuple[int, int]]:
 class Segmenter:
     """Finds candidates and their contexts, and decodes them under a model's weights."""
 
-    def __init__(self, weights: dict | None = None, starters: frozenset[str] = frozenset()) -> None:
-        self.weights, self.starters = {} if weights is None else weights, starters
+    def __init__(self, weights: dict | None = None, starters: frozenset[str] = frozenset(), seen: frozenset[Context] = frozenset()) -> None:
+        self.weights, self.starters, self.seen = {} if weights is None else weights, starters, seen
         self.scores: dict[Context, float] = {}
 
     def _after(self, text: str, at: int, end: int) -> tuple[str, int]:
@@ -112,6 +125,11 @@ class Segmenter:
             return "letter", start
         return ("open" if i > start else "point"), start
 
+    def _around(self, text: str, at: int, place: int, end: int) -> str:
+        """The scripts of the character before a mark, and of the first and last character of the word that follows."""
+        follows = _NAME_WORD.search(text, place, min(end, place + 40))
+        return f"{_script(text[at - 1 : at])}>{_script(follows[0][0])}>{_script(follows[0][-1])}" if follows else f"{_script(text[at - 1 : at])}>>"
+
     def _word(self, text: str, start: int, mark: int, nxt: str, place: int, end: int) -> str:
         """The kind of the word before a full stop."""
         begin = mark
@@ -183,7 +201,8 @@ class Segmenter:
             if mark in ";;":
                 letters = _LETTER.findall(text[max(start, at - 40) : at])
                 if gap and letters and "Ͱ" <= letters[-1] <= "Ͽ":
-                    out.append((reach, ("greek", "word", self._after(text, reach, end)[0])))
+                    nxt, place = self._after(text, reach, end)
+                    out.append((reach, ("greek", "word", nxt, self._around(text, at, place, end))))
                     last = reach
                 continue
             if "。" in mark or "！" in mark or "？" in mark or "｡" in mark:
@@ -214,16 +233,17 @@ class Segmenter:
             elif reach > stop and text[stop] in _CLOSERS and kind == "stop":
                 opened = text.rfind("(", last, at) if text[stop] == ")" else -1
                 kind = "aside" if opened >= 0 and not text[last:opened].strip(" \t\r\n>") else "stop"
-            out.append((reach, (kind, word, nxt)))
+            out.append((reach, (kind, word, nxt, self._around(text, at, place, end))))
             # what the next unit begins with is not known before decoding; a likely boundary is enough for its first bracket
             if silver((kind, word, nxt)):
                 last = reach
         return out
 
     def score(self, context: Context) -> float:
-        """How much a boundary is preferred in a context."""
+        """How much a boundary is preferred in a context; one never fitted on keeps the rule's tag, whatever stands beside it."""
         if context not in self.scores:
-            self.scores[context] = sum(self.weights.get(f, 0.0) for f in features(context))
+            known = context[:3] in self.seen
+            self.scores[context] = sum(self.weights.get(f, 0.0) for f in features(context)) if known else 1e9 if silver(context) else -1e9
         return self.scores[context]
 
     def decode(self, contexts: list[Context]) -> list[bool]:
@@ -319,14 +339,14 @@ class Segmenter:
 
 
 def features(context: Context) -> list[tuple]:
-    """What the model sees of a context: the whole of it, and its parts for contexts it never met."""
-    mark, word, nxt = context
-    return [("all", *context), ("mark", mark), ("mark word", mark, word), ("mark next", mark, nxt)]
+    """What the model sees of a context: the whole of it, with and without the scripts around, and its parts."""
+    mark, word, nxt, *around = context
+    return [("all", mark, word, nxt), ("mark", mark), ("mark word", mark, word), ("mark next", mark, nxt), *[("around", mark, word, nxt, x) for x in around]]
 
 
 def silver(context: Context) -> bool:
     """The tag of a context by what can be said without the model."""
-    mark, word, nxt = context
+    mark, word, nxt = context[:3]
     if mark == "blank":
         return nxt == "thai"
     if nxt == "point" or nxt == "other":
@@ -346,7 +366,7 @@ def silver(context: Context) -> bool:
     return word == "word"
 
 
-#: Every context that can come up; each is one training case, so none is foreign to the model.
+#: Every context that can come up, without the scripts around.
 CONTEXTS = [(m, w, n) for m in ("stop", "aside", "call", "question", "pause", "widepause", "wide", "own", "greek", "quoted") for w in (("word", "title", "never", "number", "last", "initial", "ordinal") if m in ("stop", "aside", "quoted") else ("word",)) for n in ("upper", "lower", "starter", "digit", "letter", "open", "point", "other")] + [("blank", "thai", "thai"), ("blank", "thai", "other")]
 
 
@@ -365,37 +385,21 @@ def fit(texts: list[str], rounds: int = ROUNDS) -> Segmenter:
     """A model fitted on texts: an averaged structured perceptron over their tag sequences.
 
     Paragraphs of one document are also joined two and two, so that a paragraph's end becomes a choice inside running
-    text whose answer is known. For Thai the joined lines are stripped of punctuation first.
+    text whose answer is known. For Thai the joined lines are stripped of punctuation first. The averages kept are those
+    of the round with the least error on the documents held out; fitting ends once it has not fallen for ``rounds``
+    rounds, or without documents held out after as many.
     """
     starters = learn_starters(texts)
-    reader = Segmenter({}, starters)
-    cases: list[tuple[list[Context], list[bool]]] = []
-    for text in texts:
-        bodies = [(b, e) for _, b, e in reader.blocks(text) if b < e]
-        for b, e in bodies:
-            found = [c for _, c in reader.candidates(text, b, e)]
-            if found:
-                cases.append((found, [silver(c) for c in found]))
-        for (b, e), (b2, e2) in zip(bodies, bodies[1:], strict=False):
-            one, two = text[b:e].strip(), text[b2:e2].strip()
-            if one and two and _THAI.search(one[-1]) and _THAI.search(two[0]):
-                one, two = (re.sub(r"[^\w\s฀-๿]", "", x).strip() for x in (one, two))
-            elif not one or not two or not re.search(r"[.!?…。！？।؟]\Z", one):
-                continue
-            found = reader.candidates(one + " " + two, 0, len(one) + 1 + len(two))
-            if found:
-                cases.append(([c for _, c in found], [True if p == len(one) and c[2] not in ("point", "other") and c[1] == "word" else silver(c) for p, c in found]))
+    cases, held = training_cases(texts, starters)
     weights: dict[tuple, float] = defaultdict(float)
     summed: dict[tuple, float] = defaultdict(float)
     step = 1
-    known = [([c], [silver(c)]) for c in CONTEXTS]
-    model = Segmenter(weights, starters)
-    for turn in range(rounds + 30):
-        wrong = 0
-        for contexts, answer in [*cases, *known, *known, *known] if turn < rounds else known * 3:
+    model = Segmenter(weights, starters, frozenset(c[:3] for contexts, _ in cases for c in contexts))
+    best, least, since = Segmenter({}, starters), float("inf"), 0
+    while cases and since < rounds:
+        for contexts, answer in cases:
             guess = model.decode(contexts)
             if guess != answer:
-                wrong += 1
                 model.scores.clear()
                 for tags, sign in ((answer, 1.0), (guess, -1.0)):
                     for i, (c, tag) in enumerate(zip(contexts, tags, strict=True)):
@@ -406,9 +410,43 @@ def fit(texts: list[str], rounds: int = ROUNDS) -> Segmenter:
                             weights[f] += sign
                             summed[f] += sign * step
             step += 1
-        if turn >= rounds and not wrong:  # the last weights answer every context, which averages need not
-            return Segmenter(dict(weights), starters)
-    return Segmenter({f: w - summed[f] / step for f, w in weights.items()}, starters)
+        since += 1
+        now = Segmenter({f: w - summed[f] / step for f, w in weights.items()}, starters, model.seen)
+        wrong = errors(now, held)
+        if wrong < least or not held:
+            best, least, since = now, wrong, since if not held else 0
+    return best
+
+
+def training_cases(texts: Iterable[str], starters: frozenset[str]) -> tuple[list, list]:
+    """(fitted on, held out): sequences of contexts with their tags, a document's all on one side."""
+    reader = Segmenter({}, starters)
+    sides: tuple[list[tuple[list[Context], list[bool]]], list] = ([], [])
+    taken = 0
+    for text in texts:
+        cases = sides[taken % HELD_OUT == HELD_OUT - 1]
+        before = len(cases)
+        bodies = [(b, e) for _, b, e in reader.blocks(text) if b < e]
+        for b, e in bodies:
+            found = [c for _, c in reader.candidates(text, b, e)]
+            if found:
+                cases.append((found, [silver(c) for c in found]))
+        for (b, e), (b2, e2) in zip(bodies, bodies[1:], strict=False):
+            one, two = text[b:e].strip(), text[b2:e2].strip()
+            if one and two and _THAI.search(one[-1]) and _THAI.search(two[0]):
+                one, two = (re.sub(r"[^\w\s฀-๿]", "", x).strip() for x in (one, two))
+            elif not one or not two or not re.search(r"[.!?…。！？।؟][”»’\"'」』]?\Z", one):
+                continue
+            found = reader.candidates(one + " " + two, 0, len(one) + 1 + len(two))
+            if found:
+                cases.append(([c for _, c in found], [True if p == len(one) and c[2] not in ("point", "other") and c[1] == "word" else silver(c) for p, c in found]))
+        taken += len(cases) > before
+    return sides
+
+
+def errors(model: Segmenter, cases: list[tuple[list[Context], list[bool]]]) -> int:
+    """Tags of the cases that the model gives otherwise."""
+    return sum(x != y for contexts, answer in cases for x, y in zip(model.decode(contexts), answer, strict=True))
 
 
 def sentence_units(documents: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> DataFrame:
@@ -424,10 +462,10 @@ def sentence_units(documents: DataFrame, sample_documents: int = SAMPLE_DOCUMENT
     ids = sorted({r[0] for r in documents.where("doc_id IS NOT NULL").selectExpr("CAST(doc_id AS bigint) AS doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_documents).collect()})
     sample = [r[0] for r in whole.where(F.col("doc_id").isin(ids) & (F.length("text") <= SAMPLE_LONGEST)).orderBy("doc_id", "text").limit(2 * sample_documents).select("text").collect()] if ids else []
     model = fit(sample)
-    weights, starters = model.weights, model.starters
+    weights, starters, seen = model.weights, model.starters, model.seen
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter = Segmenter(weights, starters)
+        segmenter = Segmenter(weights, starters, seen)
         for batch in batches:
             ids, starts, ends = [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
