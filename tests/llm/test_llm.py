@@ -140,6 +140,20 @@ def test_mix(spark):
     assert with_tokens(d.where("doc_id >= 1000")).select("n_tokens").distinct().collect() == [(0,)]
 
 
+def test_mix_queries_are_not_held_to_the_shortest_source(spark, tmp_path):
+    rng = random.Random(8)
+    text = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(n))
+    docs = [(i, text(rng.randrange(20, 60)), "a" if i % 2 else "b", "en", f"p{i % 5}") for i in range(600)] + [(1000, "alpha beta", "tiny", "en", "p")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, lang string, project string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("r", "a", 2.0, 2), ("r", "b", 1.0, 2), ("r", "tiny", 1.0, 3)], "recipe string, source string, target_weight double, max_repeats int").write.parquet(f"{tmp_path}/mix_targets.parquet")
+    whole = with_tokens(spark.read.parquet(f"{tmp_path}/documents.parquet")).groupBy("source").sum("n_tokens").rdd.collectAsMap()
+    rows = {r.source: r for r in queries.p7_mix_shares(spark, str(tmp_path)).collect()}
+    assert abs(sum(r.tokens for r in rows.values()) / sum(whole.values()) - 1) < 0.02
+    assert rows["tiny"].tokens == 3 * whole["tiny"] and rows["tiny"].reached_share < 0.01 and abs(rows["a"].tokens / rows["b"].tokens - 2) < 0.1
+    chosen = queries.p7_mix_selection(spark, str(tmp_path)).groupBy("source").sum("copies").rdd.collectAsMap()
+    assert chosen["tiny"] == 3 and chosen["a"] > chosen["b"] > 100
+
+
 UNITS = [
     ("Dr. Kra (of Fle Ltd.) runs it; ask. See Fig. 3 and Sec. 2.5, e.g. here. It ends at 10 p.m. Nobody cared, etc. and so on.", ["Dr. Kra (of Fle Ltd.) runs it; ask.", "See Fig. 3 and Sec. 2.5, e.g. here.", "It ends at 10 p.m.", "Nobody cared, etc. and so on."]),
     ("It was 3.5 MB on 192.0.2.1. “Who? Me!” asked Tor. (It failed.) Really?! Go 👍", ["It was 3.5 MB on 192.0.2.1.", "“Who? Me!” asked Tor.", "(It failed.)", "Really?!", "Go 👍"]),

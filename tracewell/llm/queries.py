@@ -27,11 +27,11 @@ def p6_removal_spans(spark: SparkSession, data: str) -> DataFrame:
 
 
 def p7_mix_selection(spark: SparkSession, data: str) -> DataFrame:
-    return mix_sources(_table(spark, data, "documents"), _table(spark, data, "mix_targets"))[0]
+    return mix_sources(_table(spark, data, "documents"), _table(spark, data, "mix_targets"), of_pool=1.0)[0]
 
 
 def p7_mix_shares(spark: SparkSession, data: str) -> DataFrame:
-    return mix_sources(_table(spark, data, "documents"), _table(spark, data, "mix_targets"))[1]
+    return mix_sources(_table(spark, data, "documents"), _table(spark, data, "mix_targets"), of_pool=1.0)[1]
 
 
 def p8_found(spark: SparkSession, data: str) -> DataFrame:
