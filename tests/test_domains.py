@@ -15,7 +15,7 @@ from tracewell.errors import InputChanged, InvalidInput, LimitExceeded, UsageErr
 from tracewell.functions.glob import glob_match, python_glob
 from tracewell.functions.redact import redact, redact_bytes, redact_json, redact_text
 from tracewell.operators import build, bundle, diff, disk, elf, graph, health, junit, logs, net, pyenv, trace, units
-from tracewell.plans import verdicts
+from tracewell.plans import domain_queries, verdicts
 from tracewell.report import Report, check_schema, findings, human_bytes, no_findings, paginate, render_findings, to_json, within_budget
 from tracewell.sources import files
 from tracewell.streaming import follow as follow_source
@@ -156,6 +156,15 @@ def test_net(spark):
     assert rows(verdicts.net_diff(changes), "severity", "code") == [("info", "net.closed_listeners")]
 
 
+def test_net_diff_by_host(spark, tmp_path):
+    at = lambda host, no, port, state="LISTEN": (host, no, "tcp", "0.0.0.0", port, "10.0.0.9" if state != "LISTEN" else "0.0.0.0", 0, state)
+    # a opens what b always had, b closes what a keeps
+    table = [at("a", 1, 80), at("a", 4, 80), at("a", 4, 22), at("b", 2, 22), at("b", 2, 80), at("b", 3, 22), at("a", 1, 443, "ESTABLISHED"), at("b", 3, 443, "ESTABLISHED")]
+    spark.createDataFrame(table, "host string, snapshot_no int, kind string, local_address string, local_port int, remote_address string, remote_port int, state string").write.parquet(f"{tmp_path}/sockets.parquet")
+    got = rows(domain_queries.net_diff_by_host(spark, str(tmp_path)), "change", "host", "local_port")
+    assert got == [("closed_connection", "a", 443), ("closed_listener", "b", 80), ("new_connection", "b", 443), ("new_listener", "a", 22)]
+
+
 def test_units(spark, tmp_path):
     (tmp_path / "etc/a.service.d").mkdir(parents=True)
     (tmp_path / "usr/a.service.d").mkdir(parents=True)

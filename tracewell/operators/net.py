@@ -96,12 +96,13 @@ def summary(sockets: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return sockets.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), F.count_if(is_listener()).alias("listeners"), F.count_if(tcp & (F.col("state") == "ESTABLISHED")).alias("established"), F.count_if(F.col("state") == "TIME_WAIT").alias("time_wait"), F.count_if(owner == "orphan").alias("orphans"), F.count_if(owner == "owner_unknown").alias("owner_unknown"), F.count_if(F.startswith("kind", F.lit("unix"))).alias("unix_sockets"))
 
 
-def diff_reports(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(change, kind, local_address, local_port, remote_address, remote_port): listeners and connections that are new or
-    gone; repeated rows of one side are all kept."""
-    listen = lambda df: df.where(is_listener()).select("kind", "local_address", "local_port", F.lit("").alias("remote_address"), F.lit(0).alias("remote_port"))
-    linked = lambda df: df.where(F.col("state") == "ESTABLISHED").select("kind", "local_address", "local_port", "remote_address", "remote_port")
-    ends = ["kind", "local_address", "local_port", "remote_address", "remote_port"]
+def diff_reports(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(change, keys, kind, local_address, local_port, remote_address, remote_port): listeners and connections that are
+    new or gone; repeated rows of one side are all kept. Without keys each side is the report of one host; reports of
+    many hosts need the column that tells these apart."""
+    listen = lambda df: df.where(is_listener()).select(*keys, "kind", "local_address", "local_port", F.lit("").alias("remote_address"), F.lit(0).alias("remote_port"))
+    linked = lambda df: df.where(F.col("state") == "ESTABLISHED").select(*keys, "kind", "local_address", "local_port", "remote_address", "remote_port")
+    ends = [*keys, "kind", "local_address", "local_port", "remote_address", "remote_port"]
     out = None
     for name, rows in (("listener", listen), ("connection", linked)):
         for change, x, y in (("new", after, before), ("closed", before, after)):

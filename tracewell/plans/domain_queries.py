@@ -329,6 +329,17 @@ def net_diff(spark, data):
     return net.diff_reports(b, a)
 
 
+@query(
+    f"""WITH s AS {_FIRST_LAST.format(k='host', t='sockets')}, r AS (SELECT 'listener' AS what, snapshot_no = lo AS first, snapshot_no = hi AS last, host, kind, local_address, local_port, '' AS remote_address, 0 AS remote_port FROM s WHERE {_LISTEN_SQL}
+    UNION ALL SELECT 'connection', snapshot_no = lo, snapshot_no = hi, host, kind, local_address, local_port, remote_address, remote_port FROM s WHERE state = 'ESTABLISHED'),
+    k AS (SELECT *, max(CASE WHEN first THEN 1 ELSE 0 END) OVER w AS was, max(CASE WHEN last THEN 1 ELSE 0 END) OVER w AS is_ FROM r WINDOW w AS (PARTITION BY what, host, kind, local_address, local_port, remote_address, remote_port))
+    SELECT CASE WHEN last THEN 'new_' ELSE 'closed_' END || what AS change, host, kind, local_address, local_port, remote_address, remote_port FROM k WHERE last AND was = 0 OR first AND is_ = 0"""
+)
+def net_diff_by_host(spark, data):
+    b, a = _first_last(table(spark, data, "sockets"), "host")
+    return net.diff_reports(b, a, ("host",))
+
+
 @query("SELECT host, snapshot_no, local_address, local_port FROM sockets WHERE ((state = 'LISTEN' AND kind NOT LIKE 'unix%') OR (kind IN ('udp', 'udp6') AND (remote_port = 0 OR remote_address IN ('0.0.0.0', '::', '*')) AND local_port <> 0)) AND local_address IN ('0.0.0.0', '::', '*') AND local_port IN (22, 23, 3306, 5432, 6379, 27017)")
 def net_exposed(spark, data):
     return net.exposed(table(spark, data, "sockets")).select("host", "snapshot_no", "local_address", "local_port")
