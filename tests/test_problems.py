@@ -267,3 +267,18 @@ def test_line_parser_survives_anything():
     for _ in range(2000):
         p.line("".join(rng.choice('2024-01T:{}[]<>"= \\\x1b\tINFOab') for _ in range(rng.randrange(40))), None)
     p.line("x " * 100_000, None)
+
+
+def test_pairs_are_read_whole():
+    p = LineParser({})
+    fields = " ".join(f"k{i}=v{i}" for i in range(14))
+    at = "ts=2024-01-01T00:00:00Z"
+    for line, level, source in [
+        (f'{at} {fields} level=error component=db msg="a b" x=1', "error", "db"),
+        (f'{at} msg="disk full level=debug" level=error logger=db', "error", "db"),
+        (f"level=warn {at} msg=hello world level=error", "warn", None),
+        (f"{at} msg=up {fields} level=info", "info", None),
+    ]:
+        role, layout, ts, *found = p.line(line, "f")[:5]
+        assert (role, layout, ts, found) == (1, "LINE_PAIRS", 1704067200000, [level, source]), line
+    assert p.line("a=b level=info", "f")[0] == 0

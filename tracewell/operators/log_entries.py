@@ -24,7 +24,7 @@ from tracewell.operators.earley import Grammar
 from tracewell.session import spread
 
 STRETCH = 16_384
-#: Tokens of a line that the grammar sees; no header has as many, what follows is message.
+#: Tokens of a line that the grammar sees; no header has as many, what follows is message. Lines of pairs are read whole.
 HEADER_TOKENS = 12
 
 # The names, short forms and initials of levels, and the numeric severities of syslog.
@@ -133,13 +133,14 @@ LINE_KERNEL -> UPT src=TAG BODY @-2
 LINE_KERNEL -> UPT BODY @-5
 LINE_GLOG -> ts=GLT NUM loc=LOC BODY
 LINE_GLOG -> ts=GLT NUM loc=LOC
-LINE_PAIRS -> ts=KVT PAIRS
+LINE_PAIRS -> PAIRS
+LINE_PAIRS -> PAIRS body=TEXT @-1
 PAIRS -> PAIR
 PAIRS -> PAIR PAIRS
+PAIR -> ts=KVT
 PAIR -> lvl=KVL
 PAIR -> src=KVS
 PAIR -> KVO @-1
-PAIR -> KVM REST @-1
 PAIR -> KVM @-1
 LINE_OBJECT -> OBJ
 LINE_OPEN -> OPEN
@@ -191,6 +192,10 @@ _MEMBER = re.compile(r'\s+"([^"\\]+)"\s*:\s*(?:"((?:[^"\\]|\\.)*)"|(-?\d+(?:\.\d
 _RUN = re.compile(r"\s*(\S+)")
 _ISO = re.compile(TOKENS[0][1])
 _PAIR = re.compile("|".join(f"(?P<{k}>{p})" for k, p in TOKENS if k.startswith("KV")))
+_NEXT_PAIR = re.compile(rf"\s*(?:{_PAIR.pattern}|(?P<KV_>[^\s=\"]+=(?:\"(?:[^\"\\]|\\.)*\"|\S*)(?=\s|$)))")
+_QUOTED = re.compile(r'"(?:[^"\\]|\\.)*"(?=\s|$)')
+_UNBROKEN = re.compile(r"\S*")
+_REST_OF_PAIRS = re.compile(r'(?:\s+[^\s="]+=(?:"(?:[^"\\]|\\.)*"|[^\s"]\S*|)(?=\s|$))+\s*')
 #: No header goes on after these, nor after a dash once a header has said as much, nor after a structured header's seven fields.
 _LAST = frozenset({"TAG", "TAGPID", "LOC", "PIDB", "SDATA"})
 _BIND = re.compile(r"[A-Z]\d{4}\Z|\[[^\]]*\Z|<")
@@ -319,6 +324,8 @@ class LineParser:
                 m = _ISO.match(text, start) if token[0].isdigit() else None
                 if m:
                     kind, end = "ISO", m.end()
+                elif "=" in token and not kinds and _NEXT_PAIR.match(text, start):
+                    return self.pairs(text)
                 elif "=" in token and (m := _PAIR.match(text, start)):
                     kind, end = m.lastgroup, m.end()
                 else:
@@ -345,6 +352,36 @@ class LineParser:
             kinds.append("TEXT"), spans.append((run.start(1), len(text)))
         return tuple(kinds), spans
 
+    def pairs(self, text: str) -> tuple[tuple[str, ...], list[tuple[int, int]]]:
+        """Kinds and places of a line of key=value pairs, however many; all but the first of a role are other pairs.
+
+        A run of other pairs is one, so that lines of many fields share shapes. A message without quotes goes to the
+        line's end unless nothing but pairs follows its first word. Text that is no pair is message, with all after it.
+        A line begins an entry by its time, or by a level beside a message; else it has no shape.
+        """
+        kinds: list[str] = []
+        spans: list[tuple[int, int]] = []
+        at = 0
+        while m := _NEXT_PAIR.match(text, at):
+            kind, start, end = m.lastgroup, m.start(m.lastgroup), m.end()
+            if kind == "KVM":
+                quoted = _QUOTED.match(text, end)
+                end = (quoted or _UNBROKEN.match(text, end)).end()
+                if not quoted and not _REST_OF_PAIRS.fullmatch(text, end):
+                    end = len(text)
+            if kind == "KV_" or kind in kinds:
+                kind = "KVO"
+            if kind == "KVO" and kinds and kinds[-1] == "KVO":
+                spans[-1] = (spans[-1][0], end)
+            else:
+                kinds.append(kind), spans.append((start, end))
+            at = end
+        if not ("KVT" in kinds or "KVL" in kinds and "KVM" in kinds):
+            return ("TEXT",), [(0, len(text))]
+        if run := _RUN.match(text, at):
+            kinds.append("TEXT"), spans.append((run.start(1), len(text)))
+        return tuple(kinds), spans
+
     def shape(self, kinds: tuple[str, ...]) -> tuple | None:
         """What the best parse of these kinds says: (layout, captured places, skipped places); parsed once."""
         if kinds not in self.shapes:
