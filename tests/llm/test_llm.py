@@ -11,7 +11,7 @@ from tracewell.llm import queries
 from tracewell.llm.eval_leaks import counted_places, eval_leaks, letters, reduced, words
 from tracewell.llm.event_runs import canonical_arguments, collapse_runs, time_us
 from tracewell.llm.fm_index import FmIndex, suffix_order
-from tracewell.llm.sentences import CONTEXTS, fit, sentence_units, silver
+from tracewell.llm.sentences import CONTEXTS, fit, learn_starters, sentence_units, silver, starters_of
 from tracewell.llm.source_mix import attainable, mix_sources, rake, with_tokens
 
 EVENT = "trace_id string, seq long, tid long, ts string, syscall string, arguments string, error string, duration_ns long"
@@ -205,6 +205,14 @@ def test_units_never_overlap_and_cover_all_letters():
         assert all(i in inside for i, c in enumerate(text) if not c.isspace())
 
 
+def test_starters_are_counted_over_all_documents(spark):
+    rows = [(i, f"It went well. driftd reads {'x' * (30_000 if i % 2 else 1)} on. rare{i} is not.") for i in range(40)] + [(99, "Stop it! driftd is up. Done.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert starters_of(docs) == learn_starters([t for _, t in rows]) == {"driftd"} and starters_of(docs.limit(0)) == frozenset()
+    got = sentence_units(docs, sample_documents=1).where("doc_id = 99").collect()
+    assert sorted((r.sent_start, r.sent_end) for r in got) == [(0, 8), (9, 22), (23, 28)]
+
+
 def test_sentence_query(spark):
     docs = spark.createDataFrame([(1, "A bee. C dee."), (2, None), (3, ""), (4, "x" * 300_000 + ". Y"), (None, "One.")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.sent_start, r.sent_end) for r in sentence_units(docs).collect()) == [(0, 0, 4), (1, 0, 6), (1, 7, 13), (4, 0, 300_001), (4, 300_002, 300_003)]

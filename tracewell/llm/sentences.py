@@ -7,8 +7,8 @@ and quotation marks fix tags beforehand. The model is fitted when the query runs
 documents: running text tagged by rule (:func:`silver`), and paragraph ends (two paragraphs joined make a boundary
 whose answer is known, whatever the rule says); for scripts without end marks it is fitted on text stripped of
 punctuation. Fitting stops by the error on documents held out. The rule alone answers only contexts that the fitted
-sequences never had. Words that open sentences in lower case, such as names of services, are learned from the same
-sample.
+sequences never had. Words that open sentences in lower case, such as names of services, are counted over all
+documents.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.session import spread
+from tracewell.session import cut_lineage, spread
 
 #: At most so many documents are fitted on; everything else reads every document whole.
 SAMPLE_DOCUMENTS = 2000
@@ -32,6 +32,8 @@ SAMPLE_LONGEST = 20_000
 ROUNDS = 4
 #: Every so-manieth document with cases is held out of fitting.
 HELD_OUT = 5
+#: A task hands on its counts of opening words when it has met more words than this.
+MOST_WORDS = 100_000
 
 # Abbreviations by what may follow them.
 TITLES = """dr mr mrs ms prof st hr fr frl sr sra srta d dª m mm mme mlle mgr ing gen col sgt lt capt rev hon pres gov sen rep
@@ -69,6 +71,7 @@ _BULLET = re.compile(r"[ \t]*[-*+•‣◦][ \t]+")
 _NUMBERED = re.compile(r"[ \t]*(?:\d{1,4}|[a-zA-Z])[.)][ \t]+")
 _MAILED = re.compile(r"[ \t]{0,3}>")
 _LETTER = re.compile(r"[^\W\d_]")
+_OPENING = re.compile(r"(?:\A|\n[ \t]*\n|(?:\s|\A)(\S*[^\W\d_]) ?[.?][ \t]+)([a-zа-яα-ω][\w-]*)(?= )")
 
 #: Mark, word before, what follows; then, where there is one, the scripts around.
 Context = tuple[str, ...]
@@ -374,22 +377,56 @@ def learn_starters(texts: Iterable[str], least: int = 3, share: float = 0.003) -
     """Words that open paragraphs or sentences in lower case in several documents, a share of them at least."""
     seen: Counter[str] = Counter()
     documents = 0
-    opening = re.compile(r"(?:\A|\n[ \t]*\n|(?:\s|\A)(\S*[^\W\d_]) ?[.?][ \t]+)([a-zа-яα-ω][\w-]*)(?= )")
     for text in texts:
         documents += 1
-        seen.update({m[2] for m in opening.finditer(text) if not m[1] or len(m[1]) > 2 and m[1].lower() not in _CLASS})
+        seen.update(opening_words(text))
     return frozenset(w for w, n in seen.items() if n >= max(least, share * documents))
 
 
-def fit(texts: list[str], rounds: int = ROUNDS) -> Segmenter:
+def opening_words(text: str) -> set[str]:
+    """Words that open paragraphs or sentences of a text in lower case."""
+    return {m[2] for m in _OPENING.finditer(text) if not m[1] or len(m[1]) > 2 and m[1].lower() not in _CLASS}
+
+
+def starters_of(whole: DataFrame, least: int = 3, share: float = 0.003) -> frozenset[str]:
+    """:func:`learn_starters` over all documents (text): one pass that counts words in each task first, then by word.
+
+    Every document counts, of any length. Only words in a share of all documents come to the driver, so their number is
+    bounded by what a document opens on average, not by the corpus.
+    """
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+        documents = 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                documents += 1
+                seen.update(opening_words(text))
+            if len(seen) > MOST_WORDS:
+                yield _counts(seen, documents)
+                seen, documents = Counter(), 0
+        yield _counts(seen, documents)
+
+    counts = spread(whole.select("text")).mapInArrow(over, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = cut_lineage(counts.where((F.col("n") >= least) | (F.col("word") == "")), eager=True)  # texts are read once for both answers
+    documents = sum(r[0] for r in counts.where("word = ''").select("n").collect())
+    return frozenset(r[0] for r in counts.where((F.col("word") != "") & (F.col("n") >= share * documents)).select("word").collect())
+
+
+def _counts(seen: Counter[str], documents: int) -> pa.RecordBatch:
+    """Words with their documents; the empty word has all documents."""
+    return pa.RecordBatch.from_arrays([pa.array(["", *seen], pa.string()), pa.array([documents, *seen.values()], pa.int64())], names=["word", "n"])
+
+
+def fit(texts: list[str], rounds: int = ROUNDS, starters: frozenset[str] | None = None) -> Segmenter:
     """A model fitted on texts: an averaged structured perceptron over their tag sequences.
 
     Paragraphs of one document are also joined two and two, so that a paragraph's end becomes a choice inside running
     text whose answer is known. For Thai the joined lines are stripped of punctuation first. The averages kept are those
     of the round with the least error on the documents held out; fitting ends once it has not fallen for ``rounds``
-    rounds, or without documents held out after as many.
+    rounds, or without documents held out after as many. Starters are learned from the texts unless given.
     """
-    starters = learn_starters(texts)
+    starters = learn_starters(texts) if starters is None else starters
     cases, held = training_cases(texts, starters)
     weights: dict[tuple, float] = defaultdict(float)
     summed: dict[tuple, float] = defaultdict(float)
@@ -453,15 +490,15 @@ def sentence_units(documents: DataFrame, sample_documents: int = SAMPLE_DOCUMENT
     """(doc_id, sent_start, sent_end): every sentence unit of every document, offsets in code points from 0.
 
     documents: doc_id, text; further columns are ignored. The model is fitted on at most ``sample_documents``
-    documents, those with the smallest hashes of their ids, if not longer than ``SAMPLE_LONGEST``; every document is then
-    read whole in one narrow pass.
+    documents, those with the smallest hashes of their ids, if not longer than ``SAMPLE_LONGEST``. Every document is read
+    whole twice in narrow passes: one counts the words that open sentences in lower case, one gives the units.
     Null, empty and blank texts have no units; repeated rows yield repeated units; null ids stay null.
     """
     whole = documents.where("text IS NOT NULL AND text <> ''").selectExpr("CAST(doc_id AS bigint) AS doc_id", "text")
     # the smallest hashes come from a top-k of each partition; nothing is shuffled for it
     ids = sorted({r[0] for r in documents.where("doc_id IS NOT NULL").selectExpr("CAST(doc_id AS bigint) AS doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_documents).collect()})
     sample = [r[0] for r in whole.where(F.col("doc_id").isin(ids) & (F.length("text") <= SAMPLE_LONGEST)).orderBy("doc_id", "text").limit(2 * sample_documents).select("text").collect()] if ids else []
-    model = fit(sample)
+    model = fit(sample, starters=starters_of(whole))
     weights, starters, seen = model.weights, model.starters, model.seen
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
