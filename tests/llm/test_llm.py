@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from tracewell.llm import queries
-from tracewell.llm.eval_leaks import counted_places, eval_leaks, letters, reduced, words
+from tracewell.llm.eval_leaks import _Phrases, counted_places, eval_leaks, letters, merged, reduced, words
 from tracewell.llm.event_runs import canonical_arguments, collapse_runs, time_us
 from tracewell.llm.fm_index import FmIndex, suffix_order
 from tracewell.llm.sentences import CONTEXTS, fit, learn_starters, sentence_units, silver, starters_of
@@ -110,6 +110,24 @@ def test_leaks_against_brute_force(spark, shard):
         eval_leaks(df, it, most_items=3)
 
 
+@pytest.mark.parametrize("by_letter", [False, True])
+def test_spans_come_from_located_offsets(by_letter):
+    rng = random.Random(6)
+    item = "".join(rng.choice("的一是不了ab1") for _ in range(40)) if by_letter else " ".join(f"w{i}" for i in range(20))
+    least = 24 if by_letter else 12
+    of = letters if by_letter else words
+    part = item[3:33] if by_letter else item[6:55]
+    phrases = _Phrases([(7, of(item)), (8, of(item))], least)
+    texts = ["none of it", f"Ｘ, ﬁ and more: {part}. {item}", f"some other words before {item.upper()} between them {part}, é {item}"]
+    hits = phrases.found([phrases.encode(of(t)) for t in texts], True)
+    for n, text in enumerate(texts):
+        units, places = counted_places(text, by_letter)
+        grams = {tuple(of(item)[k : k + least]) for k in range(len(of(item)) - least + 1)}
+        want = merged([(places[k][0], places[k + least - 1][1]) for k in range(len(units) - least + 1) if tuple(units[k : k + least]) in grams])
+        for i in (7, 8):
+            assert merged(phrases.spans(hits[2, (hits[0] == n) & (hits[1] == i)], units, places)) == want and bool(want) == (n > 0)
+
+
 def test_rake_meets_sources_and_caps():
     rng = np.random.default_rng(1)
     tokens, caps, source = rng.integers(1, 100, 40).astype(float), np.repeat([1.0, 4.0], 20), np.repeat([0, 1], 20)

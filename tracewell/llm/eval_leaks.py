@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
 
@@ -118,44 +119,53 @@ class _Phrases:
 
     def encode(self, units: list[str] | str) -> np.ndarray:
         """Codes of units; each run of unknown ones is one separator."""
+        coded = self._coded(units)
+        return coded[self._kept(coded)]
+
+    def _coded(self, units: list[str] | str) -> np.ndarray:
         get = self.codes.get
-        coded = np.fromiter((get(u, SEPARATOR) for u in units), np.int32, len(units))
-        return coded[(coded != SEPARATOR) | np.r_[True, coded[:-1] != SEPARATOR]] if len(coded) else coded
+        return np.fromiter((get(u, SEPARATOR) for u in units), np.int32, len(units))
+
+    def _kept(self, coded: np.ndarray) -> np.ndarray:
+        return (coded != SEPARATOR) | np.r_[True, coded[:-1] != SEPARATOR][: len(coded)]
 
-    def found(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(number of the text, item), once each, of the phrases that occur in the texts."""
+    def spans(self, offsets: np.ndarray, units: list[str], places: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Code points of phrases that begin at offsets of the encoded units, in which runs of separators have collapsed."""
+        first = np.flatnonzero(self._kept(self._coded(units)))[offsets]  # a phrase holds no separator, so its units stand together
+        return [(places[i][0], places[i + self.least - 1][1]) for i in first.tolist()]
+
+    def located(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Rows of the number of the text, the phrase, and the offset in the text, of all phrases that occur in the texts."""
         apart = np.array([SEPARATOR], np.int32)
         starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
         index = FmIndex(np.concatenate([x for t in texts for x in (t, apart)]), self.sigma)
         which, low, high = index.search(self.grid)
         if not len(which):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
+            return np.empty((3, 0), np.int64)
         sizes = high - low
         rows = np.repeat(low - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
-        text = np.searchsorted(starts, index.locate(rows), side="right") - 1
-        phrase = np.repeat(which, sizes)
-        pairs = np.unique(np.stack([text, phrase]), axis=1)
-        shared = self.from_[pairs[1] + 1] - self.from_[pairs[1]]
-        owner = self.owners[np.repeat(self.from_[pairs[1]] - np.r_[0, np.cumsum(shared)[:-1]], shared) + np.arange(shared.sum())]
-        return tuple(np.unique(np.stack([np.repeat(pairs[0], shared), self.item[owner]]), axis=1))
-
-
-def removal_spans(text: str, items: list[str], by_letter: bool, least: int) -> list[tuple[int, int]]:
-    """Merged spans of a text, in code points, that stand in phrases of the items."""
-    units, places = counted_places(text, by_letter)
-    phrases = set()
-    for item in items:
-        own = list(letters(item)) if by_letter else words(item)
-        phrases |= {tuple(own[i : i + least]) for i in range(len(own) - least + 1)}
-    spans: list[list[int]] = []
-    for i in range(len(units) - least + 1):
-        if tuple(units[i : i + least]) in phrases:
-            start, end = places[i][0], places[i + least - 1][1]
-            if spans and start <= spans[-1][1]:
-                spans[-1][1] = max(end, spans[-1][1])
-            else:
-                spans.append([start, end])
-    return [(a, b) for a, b in spans]
+        at = index.locate(rows)
+        text = np.searchsorted(starts, at, side="right") - 1
+        return np.stack([text, np.repeat(which, sizes), at - starts[text]])
+
+    def found(self, texts: list[np.ndarray], offsets: bool = False) -> np.ndarray:
+        """Rows of the number of the text, the item and, if asked for, the offset, once each, of the phrases that occur in the texts."""
+        hits = self.located(texts)
+        hits = hits if offsets else np.unique(hits[:2], axis=1)
+        shared = self.from_[hits[1] + 1] - self.from_[hits[1]]
+        owner = self.owners[np.repeat(self.from_[hits[1]] - np.r_[0, np.cumsum(shared)[:-1]], shared) + np.arange(shared.sum())] if hits.size else np.empty(0, np.int64)
+        return np.unique(np.stack([np.repeat(hits[0], shared), self.item[owner], *(np.repeat(h, shared) for h in hits[2:])]), axis=1)
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that meet as one."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
 
 
 def eval_leaks(documents: DataFrame, items: DataFrame, least_words: int = LEAST_WORDS, least_letters: int = LEAST_LETTERS, shard_symbols: int = SHARD_SYMBOLS, most_items: int = MOST_ITEMS, spans: bool = True) -> DataFrame:
@@ -172,7 +182,6 @@ def eval_leaks(documents: DataFrame, items: DataFrame, least_words: int = LEAST_
     is_letter = lambda lang: (lang or "").lower().replace("_", "-").split("-")[0].strip() in LETTER_LANGUAGES
     by_words = [(r[0], words(r[2])) for r in rows if not is_letter(r[1])]
     by_letters = [(r[0], letters(r[2])) for r in rows if is_letter(r[1])]
-    texts = {r[0]: (r[2], is_letter(r[1])) for r in rows} if spans else {}
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = []
@@ -186,13 +195,24 @@ def eval_leaks(documents: DataFrame, items: DataFrame, least_words: int = LEAST_
             kinds.append((_Phrases(by_letters, least_letters), letters, rare_only))
 
         def settle(shard: list[tuple[int, str]], coded: list[list[tuple[int, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
-            pairs: set[tuple[int, int]] = set()
-            for (phrases, _, _), texts_of in zip(kinds, coded, strict=True):
+            pairs: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+            for (phrases, units_of, _), texts_of in zip(kinds, coded, strict=True):
                 if texts_of and len(phrases.grid):
-                    number, item = phrases.found([t for _, t in texts_of])
-                    pairs |= {(texts_of[n][0], i) for n, i in zip(number.tolist(), item.tolist(), strict=True)}
+                    hits = phrases.found([t for _, t in texts_of], spans)
+                    if not hits.size:
+                        continue
+                    if not spans:
+                        pairs |= {(texts_of[n][0], i): [] for n, i in hits.T.tolist()}
+                        continue
+                    # ordered by text and item; each text that holds a phrase is walked once for the places of its units
+                    at, read = np.flatnonzero(np.any(np.diff(hits[:2], axis=1, prepend=-1) != 0, axis=0)), None
+                    for a, b in zip(at.tolist(), [*at[1:].tolist(), hits.shape[1]], strict=True):
+                        n = texts_of[hits[0, a]][0]
+                        if read is None or read[0] != n:
+                            read = (n, *counted_places(shard[n][1], units_of is letters))
+                        pairs[n, int(hits[1, a])] += phrases.spans(hits[2, a:b], *read[1:])
             found = sorted(pairs)
-            where = [[{"start": a, "end": b} for a, b in removal_spans(shard[n][1], [texts[i][0]], texts[i][1], least_letters if texts[i][1] else least_words)] if spans else [] for n, i in found]
+            where = [[{"start": a, "end": b} for a, b in merged(pairs[key])] for key in found]
             ids = [shard[n][0] for n, _ in found]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([i for _, i in found], pa.int64()), pa.array(where, _SPANS)], names=["doc_id", "item_id", "spans"])
 
