@@ -65,6 +65,17 @@ def test_context(spark, stretch):
     assert got == sorted([("a", i, i in (2, 8)) for i in (1, 2, 3, 4, 7, 8, 9, 10)], key=str)
 
 
+@pytest.mark.parametrize("stretch", [2, 3, 1000])
+def test_context_and_tail_over_gaps(spark, stretch):
+    numbers = [1, 2, 5, 20, 21, 40, 90, 91]
+    df = spark.createDataFrame([(f, i) for f in ("a", None) for i in [*numbers, 21, 90]], "file string, line_no long")
+    got = rows(logs.with_context(df, (F.col("file") == "a") & F.col("line_no").isin(5, 90), 3, 2, stretch).distinct())
+    assert got == sorted([("a", i, i in (5, 90)) for i in numbers], key=str)
+    got = rows(logs.with_context(df, (F.col("file") == "a") & (F.col("line_no") == 20), 1, 2, stretch))
+    assert got == sorted([("a", i, i == 20) for i in (5, 20, 21, 21, 40)], key=str)
+    assert rows(logs.tail(df, 3)) == sorted([(f, i) for f in ("a", None) for i in (40, 90, 90, 91)], key=str)
+
+
 def test_buckets(spark):
     assert [logs.pick_bucket(0, s * 1000) for s in (10, 60 * 61 - 2, 60 * 61, 86400 * 400)] == [60, 60, 300, 86400] and logs.pick_bucket(None, None) == 3600
     df = spark.createDataFrame([(-500, "error"), (0, "unknown"), (59_999, "warn"), (None, "error")], "ts_ms long, level string")

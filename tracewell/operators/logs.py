@@ -269,19 +269,25 @@ def rejected_by_unknown(df: DataFrame, keep: LogFilter) -> DataFrame:
 def with_context(lines: DataFrame, match: Column, before: int, after: int, stretch: int = 100_000) -> DataFrame:
     """Matching lines and up to ``before`` and ``after`` lines around each, once, within one file; adds ``is_match``.
 
-    lines: file, line_no and what ``match`` reads. Neighbours are by the order of line numbers. A file is worked on in
-    stretches of numbers, each with copies of the lines just outside it, so that a large file meets many tasks; the
-    numbers of a file must be gap-free for this, as line indexes are.
+    lines: file, line_no and what ``match`` reads; rows without line_no are left out. Neighbours are by the order of line
+    numbers, which may have gaps; repeated rows of a number are one line. A file is worked on in stretches, each with
+    copies of the lines just outside it, so that a large file meets many tasks: lines are first counted off by stretches
+    of numbers, of which only the counts meet by file, then cut by their places.
     """
     block = lambda n: F.floor(n / F.lit(stretch))
-    df = lines.withColumn("__m", F.coalesce(match, F.lit(False)))
-    # a line is also seen by the stretch that it can be context for, or whose lines can be context for it
-    blocks = F.array_distinct(F.array(block(F.col("line_no")), block(F.col("line_no") + F.lit(before)), block(F.greatest(F.col("line_no") - F.lit(after), F.lit(0)))))
+    df = lines.where("line_no IS NOT NULL").withColumn("__m", F.coalesce(match, F.lit(False))).withColumn("__c", block(F.col("line_no")))
+    earlier = Window.partitionBy("__f").orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
+    counts = df.groupBy(F.col("file").alias("__f"), F.col("__c").alias("__k")).agg(F.count_distinct("line_no").alias("__n"))
+    counts = counts.withColumn("__past", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n")
+    within = df.withColumn("__r", F.dense_rank().over(Window.partitionBy("file", "__c").orderBy("line_no")))
+    df = within.join(counts, F.col("file").eqNullSafe(F.col("__f")) & (F.col("__c") == F.col("__k"))).withColumn("__at", F.col("__past") + F.col("__r") - 1).drop("__f", "__k", "__c", "__r", "__past")
+    # a line is also seen by the stretches that it can be context for, or whose lines can be context for it
+    blocks = F.sequence(block(F.greatest(F.col("__at") - F.lit(after), F.lit(0))), block(F.col("__at") + F.lit(before)))
     spread = df.withColumn("__b", F.explode(blocks))
-    w = Window.partitionBy("file", "__b").orderBy("line_no").rowsBetween(-after, before)
+    w = Window.partitionBy("file", "__b").orderBy("__at").rangeBetween(-after, before)
     near = spread.withColumn("__near", F.max("__m").over(w))
-    own = near.where((F.col("__b") == block(F.col("line_no"))) & F.col("__near"))
-    return own.withColumn("is_match", F.col("__m")).drop("__m", "__b", "__near")
+    own = near.where((F.col("__b") == block(F.col("__at"))) & F.col("__near"))
+    return own.withColumn("is_match", F.col("__m")).drop("__m", "__at", "__b", "__near")
 
 
 def page(df: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:
@@ -290,7 +296,14 @@ def page(df: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:
 
 
 def tail(lines: DataFrame, n: int) -> DataFrame:
-    """The last n lines of each file, by line number."""
+    """The last n lines of each file, by line number, with all rows of each; numbers may have gaps. Rows without line_no are
+    left out. Each task hands on only its own last n lines of a file."""
+    w = Window.partitionBy("file").orderBy(F.desc("line_no"))
+    return lines.where("line_no IS NOT NULL").withColumn("__r", F.dense_rank().over(w)).where(F.col("__r") <= n).drop("__r")
+
+
+def tail_numbers(lines: DataFrame, n: int) -> DataFrame:
+    """The lines with the last n numbers of each file; fewer than n where numbers are skipped."""
     last = lines.groupBy("file").agg(F.max("line_no").alias("__last"))
     return lines.join(last, "file").where(F.col("line_no") > F.col("__last") - n).drop("__last")
 

@@ -116,9 +116,23 @@ def log_inspect(spark, data):
 
 @query("SELECT DISTINCT file, line_no FROM (SELECT file, line_no, max(line_no) OVER (PARTITION BY file) AS m FROM log_lines) WHERE line_no > m - 20")
 def log_tail(spark, data):
+    return logs.tail_numbers(table(spark, data, "log_lines"), 20).select("file", "line_no").distinct()
+
+
+@query("SELECT file, line_no FROM (SELECT DISTINCT file, line_no FROM log_lines WHERE line_no IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY file ORDER BY line_no DESC) <= 20")
+def log_last_lines(spark, data):
     return logs.tail(table(spark, data, "log_lines"), 20).select("file", "line_no").distinct()
 
 
+@query(
+    """WITH l AS (SELECT file, line_no, max(CASE WHEN contains(raw, 'ERROR') THEN 1 ELSE 0 END) = 1 AS is_match FROM log_lines WHERE line_no IS NOT NULL GROUP BY file, line_no)
+    SELECT file, line_no, is_match FROM (SELECT *, bool_or(is_match) OVER (PARTITION BY file ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS near FROM l) WHERE near"""
+)
+def log_context_lines(spark, data):
+    found = logs.with_context(table(spark, data, "log_lines").select("file", "line_no", "raw"), F.contains("raw", F.lit("ERROR")), before=1, after=2)
+    return found.groupBy("file", "line_no").agg(F.max("is_match").alias("is_match"))
+
+
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_fields(spark, data):
     return table(spark, data, "events").select("event_id", logs.field(logs.json_object(F.col("props")), "K").cast("bigint").alias("k"))
