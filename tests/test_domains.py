@@ -45,6 +45,19 @@ def test_levels_and_times(spark):
     assert [x[0] for x in bounds.select(logs.parse_bound(F.col("t"))).collect()] == [1791504000000, 1791514800000, None, None]
 
 
+def test_log_queries_over_delivered_lines(spark, tmp_path):
+    given = [("2024-03-01T00:00:00Z [ERROR] app: x\r", "error", 0), ("\x1b[31m2024-03-01T00:00:01Z [WARN] app: y\x1b[0m", "warn", 1), ('{"ts":1709251202000,"level":"info","msg":"m"}', "info", 2), ("<131>Mar  1 00:00:03 host app[1]: m", "error", 3), ("  at frame", "unknown", None)]
+    lines = [("f", i, raw) for i, (raw, _, _) in enumerate(given)]
+    spark.createDataFrame([*lines, lines[0]], "file string, line_no long, raw string").write.parquet(f"{tmp_path}/log_lines.parquet")
+    want = [(i, level, None if s is None else 1709251200000 + 1000 * s) for i, (_, level, s) in [*enumerate(given), (0, given[0])]]
+    run = lambda name, *columns: rows(domain_queries.QUERIES[name](spark, str(tmp_path)), *columns)
+    assert run("log_lines_min_level", "line_no", "level") == sorted([(i, v) for i, v, _ in want if v in ("warn", "error")], key=str)
+    assert run("log_lines_time_window", "line_no", "ts_ms") == sorted([(i, t) for i, _, t in want if t], key=str)
+    assert run("log_lines_level_counts") == sorted([(v, sum(x == v for _, x, _ in want)) for v in ("error", "warn", "info", "unknown")], key=str)
+    assert run("log_lines_span") == [(6, 1709251200000, 1709251203000, 1)] and run("log_lines_rejected_unknown") == [(1, 0)]
+    assert run("log_lines_histogram") == [(1709251200, 6 - 1, 4)]
+
+
 def test_log_filters(spark):
     df = spark.createDataFrame([("f", i, f"line {i} É", lv, ts, "s") for i, (lv, ts) in enumerate([("error", 5), ("debug", 5), (None, 5), ("warn", None), ("info", 50)])], "file string, line_no int, raw string, level string, ts_ms long, source string")
     keep = lambda **k: [r.line_no for r in df.where(logs.LogFilter(**k).condition()).orderBy("line_no").collect()]

@@ -174,7 +174,7 @@ def text_time(raw: Column, year: Column) -> Column:
 def parse_records(lines: DataFrame, year: int, raw: str = "raw") -> DataFrame:
     """Adds ts_ms, level, source, message and fields to lines, replacing columns of these names.
 
-    lines: the named text column; others pass through. A null text is an empty line. Unknown stays null.
+    lines: the named text column; others pass through. A null text is an empty line; colours don't count. Unknown stays null.
     """
     known = ["level", "severity", "priority", "msg", "message", "source", "logger", "component", "service", "syslog_identifier", "_comm", "ts", "time", "timestamp", "__realtime_timestamp"]
 
@@ -182,7 +182,7 @@ def parse_records(lines: DataFrame, year: int, raw: str = "raw") -> DataFrame:
         return F.coalesce(level_named(v), F.when(v.rlike(r"\A[0-7]\z"), severity_level(v.try_cast("int"))))
 
     kept = [c for c in lines.columns if c not in ("ts_ms", "level", "source", "message", "fields")]
-    text = F.coalesce(F.col(raw), F.lit(""))
+    text = F.regexp_replace(F.coalesce(F.col(raw), F.lit("")), r"\x1b\[[0-9;]*[A-Za-z]", "")
     objects = F.startswith(F.ltrim(F.col("__t")), F.lit("{"))
     # first the few matches that a line costs, once; then what they say, once
     df = once(spread(lines.select(*[F.col(f"`{c}`") for c in kept])), __t=text)

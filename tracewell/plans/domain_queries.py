@@ -84,6 +84,43 @@ def log_rejected_unknown(spark, data):
     return logs.rejected_by_unknown(_records(spark, data), logs.LogFilter(min_level="warn"))
 
 
+# the same operators over the lines as they were delivered; no SQL reads these
+
+
+def _given(spark: SparkSession, data: str) -> DataFrame:
+    return logs.parse_records(table(spark, data, "log_lines").select("file", "line_no", "raw"), YEAR)
+
+
+@query()
+def log_lines_level_counts(spark, data):
+    return logs.level_counts(_given(spark, data))
+
+
+@query()
+def log_lines_min_level(spark, data):
+    return _given(spark, data).where(logs.LogFilter(min_level="warn").condition()).select("file", "line_no", "level")
+
+
+@query()
+def log_lines_time_window(spark, data):
+    return _given(spark, data).where(logs.LogFilter(since_ms=1704672000000, until_ms=1735689599999).condition()).select("file", "line_no", "ts_ms")
+
+
+@query()
+def log_lines_histogram(spark, data):
+    return logs.histogram(_given(spark, data))
+
+
+@query()
+def log_lines_span(spark, data):
+    return logs.span(_given(spark, data))
+
+
+@query()
+def log_lines_rejected_unknown(spark, data):
+    return logs.rejected_by_unknown(_given(spark, data), logs.LogFilter(min_level="warn"))
+
+
 @query("SELECT doc_id FROM documents WHERE contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'inode')")
 def log_substring(spark, data):
     return table(spark, data, "documents").where(logs.contains_insensitive(F.col("text"), "iNode")).select("doc_id")
@@ -427,6 +464,11 @@ def graph_impact(spark, data):
     return build.impact(e, e.where("dst LIKE 'r%'").select(F.col("dst").alias("origin")))
 
 
+@query(f"WITH RECURSIVE e AS {_EDGES_SQL}, c(origin, node) AS (SELECT dst, src FROM e UNION SELECT c.origin, e.src FROM c JOIN e ON c.node = e.dst) SELECT origin, node FROM c")
+def graph_impact_all(spark, data):
+    return build.impact(_edges(spark, data))
+
+
 @query(f"WITH RECURSIVE e AS {_EDGES_SQL}, c(origin, node) AS (SELECT src, dst FROM e UNION SELECT c.origin, e.dst FROM c JOIN e ON c.node = e.src) SELECT min(a.node) AS component, a.origin AS node FROM c a JOIN c b ON a.origin = b.node AND a.node = b.origin GROUP BY a.origin")
 def graph_cycles(spark, data):
     return graph.mutual(_edges(spark, data))
