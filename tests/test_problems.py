@@ -19,7 +19,7 @@ from tracewell.operators.bitmaps import OrdinalBitmap
 from tracewell.operators.earley import Grammar
 from tracewell.operators.feed_parse import classify, unusable, usable_commands, usable_sockets
 from tracewell.operators.log_entries import LineParser, log_entries, parse_lines
-from tracewell.operators.snapshot_diff import diff_snapshots, listener_records, section_records, unit_records
+from tracewell.operators.snapshot_diff import diff_snapshots, key_ordinals, listener_records, section_records, unit_records
 
 S = "tcp,0.0.0.0,80,0.0.0.0,0,LISTEN,1,0,0,0,"
 FEED = [
@@ -142,7 +142,22 @@ def test_snapshot_records(spark):
     u = spark.createDataFrame([("p", 1, "f", "cc", None, ["b", "a", "a"], None, [], ["x"]), ("p", 2, "f", "cc", None, ["a", "b"], [], None, ["x"])], "project string, snapshot_no int, file string, compiler string, standard string, includes array<string>, defines array<string>, flags array<string>, forced_includes array<string>")
     assert diff_snapshots(unit_records(u)).collect() == []
     b = spark.createDataFrame([("h", 1, "./reports/a.json", "AB"), ("h", 2, "reports/a.json", "ab"), ("h", 2, "reports/b.json", "cd"), ("h", 2, "logs/x.log", "ef")], "host string, snapshot_no int, name string, sha256 string")
-    assert [tuple(r) for r in diff_snapshots(section_records(b)).collect()] == [("bundle_entries", "h", 2, "b", "added")]
+    assert [tuple(r) for r in diff_snapshots(section_records(b)).collect()] == [("bundle_entries", "h", 2, "reports/b.json", "added")]
+
+
+def test_kept_ordinals(spark):
+    columns = "tbl string, scope string, snapshot_no int, record_key string, value string"
+    first = spark.createDataFrame([("t", "a", 2, k, "x") for k in "bcd"], columns)
+    # a later delivery with an earlier snapshot and new keys renumbers nothing
+    late = spark.createDataFrame([("t", "a", 1, k, "x") for k in "abc"] + [("t", "a", 3, k, "y") for k in "ce"] + [("t", "n", 1, None, None), ("t", "n", 2, "k", "v")], columns)
+    kept = key_ordinals(first, rows_per_part=2)
+    both = key_ordinals(late, kept, rows_per_part=1)
+    was, now = {(r.scope, r.record_key): (r.parts, r.part, r.ordinal) for r in kept.collect()}, {(r.scope, r.record_key): (r.parts, r.part, r.ordinal) for r in both.collect()}
+    assert len(now) == both.count() == 6 and all(now[k] == v for k, v in was.items())
+    assert len({(s, *v[1:]) for (s, _), v in now.items()}) == 6
+    rows = first.unionByName(late)
+    got = [tuple(r) for r in diff_snapshots(rows, ordinals=both).collect()]
+    assert len(got) == len(set(got)) and set(got) == _brute([tuple(r) for r in rows.collect()]) == {tuple(r) for r in diff_snapshots(rows).collect()}
 
 
 def _ms(*a, tz="UTC", fold=0):

@@ -1,7 +1,8 @@
 """What changed between full snapshots: added, removed and changed records of each pair of neighbouring snapshots.
 
-Each record's key is mapped to an ordinal that it keeps in all snapshots of its scope (the order is that of first
-appearance, so a later delivery never renumbers). A snapshot is a compressed bitmap of ordinals: AND-NOT of
+Each record's key is mapped to an ordinal that it keeps in all snapshots of its scope. :func:`key_ordinals` gives the
+table of ordinals that is stored between deliveries, so a later or late one never renumbers; without a stored table
+keys are numbered by first appearance. A snapshot is a compressed bitmap of ordinals: AND-NOT of
 neighbours gives additions and removals. The compared values are vectors aligned by ordinal, and what differs
 among common ordinals has changed.
 
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.addresses import shortest_ipv6
@@ -25,38 +26,43 @@ RESULT = "tbl string, scope string, snapshot_no bigint, record_key string, chang
 ROWS_PER_PART = 200_000
 
 
-def _differences(snapshots: np.ndarray, keys: np.ndarray, values: np.ndarray, named: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _differences(snapshots: np.ndarray, ordinals: np.ndarray, values: np.ndarray, named: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For one part of a scope: (snapshot_no, place of the key's name, change) of each difference.
 
-    Rows come ordered by snapshot and key; keys and values are codes, named says which rows are records (the others
-    only say that their snapshot exists).
+    Rows come ordered by snapshot, key and value; values are codes, named says which rows are records (the others only
+    say that their snapshot exists). Of several values for one key in one snapshot the last holds.
     """
     numbers = np.unique(snapshots)
     records = np.flatnonzero(named)
     if len(numbers) < 2 or not len(records):
         return []
-    _, first, ordinal = np.unique(keys[records], return_index=True, return_inverse=True)
-    persistent = np.empty(len(first), np.int64)
-    persistent[np.argsort(first, kind="stable")] = np.arange(len(first))
-    ordinal = persistent[ordinal]
-    name = np.empty(len(first), np.int64)
-    name[ordinal[::-1]] = records[::-1]
+    # vectors are aligned by ordinal: slot i of each belongs to the i-th ordinal that this part has
+    aligned, name, slot = np.unique(ordinals[records], return_index=True, return_inverse=True)
+    name = records[name]
     bounds = np.searchsorted(snapshots[records], numbers, side="left").tolist() + [len(records)]
     out = []
     before, vector_before = None, None
     for i, number in enumerate(numbers):
         mine = slice(bounds[i], bounds[i + 1])
-        now, vector = OrdinalBitmap.of(ordinal[mine]), np.zeros(len(first), np.int64)
-        vector[ordinal[mine]] = values[records[mine]]
+        now, vector = OrdinalBitmap.of(aligned[slot[mine]]), np.zeros(len(aligned), np.int64)
+        vector[slot[mine]] = values[records[mine]]
         if before is not None:
-            common = now.and_(before).ordinals()
-            for change, which in (("added", now.and_not(before).ordinals()), ("removed", before.and_not(now).ordinals()), ("changed", common[vector[common] != vector_before[common]])):
+            common = np.searchsorted(aligned, now.and_(before).ordinals())
+            for change, which in (("added", np.searchsorted(aligned, now.and_not(before).ordinals())), ("removed", np.searchsorted(aligned, before.and_not(now).ordinals())), ("changed", common[vector[common] != vector_before[common]])):
                 if len(which):
                     out.append((np.full(len(which), number), name[which], np.full(len(which), change, dtype=object)))
         before, vector_before = now, vector
     return out
 
 
+def _by_appearance(keys: np.ndarray) -> np.ndarray:
+    """Ordinals of the keys of one part in the order of first appearance."""
+    _, first, code = np.unique(keys, return_index=True, return_inverse=True)
+    ordinal = np.empty(len(first), np.int64)
+    ordinal[np.argsort(first, kind="stable")] = np.arange(len(first))
+    return ordinal[code]
+
+
 def _codes(column: pa.ChunkedArray) -> np.ndarray:
     """Equal values get equal codes; null gets -1."""
     indices = column.combine_chunks().dictionary_encode().indices
@@ -74,9 +80,12 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = [0, *(np.flatnonzero((part[:, 1:] != part[:, :-1]).any(axis=0)) + 1).tolist(), table.num_rows]
         snapshots, named = table["snapshot_no"].to_numpy(), table["record_key"].is_valid().to_numpy()
         keys, values = _codes(table["record_key"]), _codes(table["value"])
+        kept = table["ordinal"].combine_chunks().fill_null(-1).to_numpy(zero_copy_only=False)
         numbers, rows, changes = [], [], []
         for a, b in zip(edges, edges[1:], strict=False):
-            for number, row, change in _differences(snapshots[a:b], keys[a:b], values[a:b], named[a:b]):
+            # all records of a part have a kept ordinal or none has
+            ordinals = kept[a:b] if (kept[a:b] >= 0).any() else _by_appearance(keys[a:b])
+            for number, row, change in _differences(snapshots[a:b], ordinals, values[a:b], named[a:b]):
                 numbers.append(number), rows.append(row + a), changes.append(change)
         if rows:
             found = table.take(pa.array(np.concatenate(rows)))
@@ -104,26 +113,69 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from settle(pa.Table.from_batches(held))
 
 
-def diff_snapshots(rows: DataFrame, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+_SCOPE = ["tbl", "scope"]
+
+
+def _known(rows: DataFrame) -> DataFrame:
+    return rows.where("tbl IS NOT NULL AND scope IS NOT NULL AND snapshot_no IS NOT NULL").withColumn("snapshot_no", F.col("snapshot_no").cast("bigint"))
+
+
+def _part(parts: Column) -> Column:
+    return F.pmod(F.xxhash64("record_key"), F.coalesce(parts, F.lit(1))).cast("int")
+
+
+def key_ordinals(rows: DataFrame, kept: DataFrame | None = None, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """(tbl, scope, parts, part, record_key, ordinal): a persistent ordinal for every key, to be stored with the delivery.
+
+    rows as in :func:`diff_snapshots`. kept is the table of earlier deliveries: its keys keep their ordinals and its
+    scopes their number of parts, whatever is delivered later or late; new keys get the numbers after the greatest of
+    their part, by first snapshot and key. Ordinals count from 0 in each part of a scope.
+    """
+    known = _known(rows)
+    keys = known.where("record_key IS NOT NULL").groupBy("tbl", "scope", "record_key").agg(F.min("snapshot_no").alias("seen"))
+    sized = known.groupBy(*_SCOPE).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_per_part)).cast("int").alias("parts"))
+    if kept is None:
+        fresh, top = keys.join(sized, _SCOPE), None
+    else:
+        stored = kept.groupBy(*_SCOPE).agg(F.max("parts").alias("stored"))
+        fresh = keys.join(kept.select("tbl", "scope", "record_key"), ["tbl", "scope", "record_key"], "left_anti").join(sized.join(stored, _SCOPE, "left").select(*_SCOPE, F.coalesce("stored", "parts").alias("parts")), _SCOPE)
+        top = kept.groupBy(*_SCOPE, "part").agg((F.max("ordinal") + 1).alias("top"))
+    placed = fresh.withColumn("part", _part(F.col("parts")))
+    numbered = placed.withColumn("n", F.row_number().over(Window.partitionBy(*_SCOPE, "part").orderBy("seen", "record_key")).cast("bigint") - 1)
+    if top is None:
+        return numbered.select(*_SCOPE, "parts", "part", "record_key", F.col("n").alias("ordinal"))
+    new = numbered.join(top, [*_SCOPE, "part"], "left").select(*_SCOPE, "parts", "part", "record_key", (F.col("n") + F.coalesce("top", F.lit(0))).alias("ordinal"))
+    return kept.select(new.columns).unionByName(new)
+
+
+def diff_snapshots(rows: DataFrame, rows_per_part: int = ROWS_PER_PART, ordinals: DataFrame | None = None) -> DataFrame:
     """Differences between each snapshot and the next existing one of the same scope.
 
     rows: tbl, scope, snapshot_no, record_key, value; a null record_key says that the snapshot exists and adds no
     record. Further columns are ignored. Repeated rows count once; of several values for one key in one snapshot the
     greatest holds, null being the least. Rows with a null tbl, scope or snapshot_no belong to no snapshot and are left
     out. The first snapshot of a scope yields nothing; an empty table gives an empty result.
+
+    ordinals: the stored table of :func:`key_ordinals` with all keys of rows; without it keys are numbered here, by
+    first appearance.
     """
-    known = rows.where("tbl IS NOT NULL AND scope IS NOT NULL AND snapshot_no IS NOT NULL")
-    # each row also says that its snapshot exists, in a row without a key; partial sums before the shuffle make one of these
-    nothing = F.struct(F.lit(None).cast("string").alias("record_key"), F.lit(None).cast("string").alias("value"))
-    told = known.select("tbl", "scope", F.col("snapshot_no").cast("bigint").alias("snapshot_no"), F.inline(F.array(F.struct("record_key", "value"), nothing)))
-    records = told.groupBy("tbl", "scope", "snapshot_no", "record_key").agg(F.max("value").alias("value"))
-    # Few scopes are large; the list of those is joined by whatever way its size suggests to the optimizer.
-    large = known.groupBy("tbl", "scope").agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_per_part)).cast("int").alias("parts")).where("parts > 1")
-    sized = records.join(large, ["tbl", "scope"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    part = F.when(F.col("record_key").isNull(), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("record_key"), F.col("parts")).cast("int")))
-    spread = sized.select("tbl", "scope", F.explode(part).alias("part"), "snapshot_no", "record_key", "value")
-    placed = spread.repartition("tbl", "scope", "part").sortWithinPartitions("tbl", "scope", "part", "snapshot_no", "record_key")
-    return placed.mapInArrow(_parts, RESULT)
+    known = _known(rows)
+    # which snapshots exist, and how large scopes are: a scan of their numbers alone, summed up before its small shuffle
+    exist = known.groupBy("tbl", "scope", "snapshot_no").agg(F.count(F.lit(1)).alias("n"))
+    records = known.where("record_key IS NOT NULL").select("tbl", "scope", "snapshot_no", "record_key", "value")
+    if ordinals is None:
+        scopes = exist.groupBy(*_SCOPE).agg(F.collect_list("snapshot_no").alias("numbers"), F.ceil(F.sum("n") / F.lit(rows_per_part)).cast("int").alias("parts"))
+        # few scopes are large; the list of those is joined by whatever way its size suggests to the optimizer
+        placed = records.join(scopes.where("parts > 1").select(*_SCOPE, "parts"), _SCOPE, "left").withColumn("part", _part(F.col("parts"))).withColumn("ordinal", F.lit(None).cast("bigint"))
+    else:
+        stored = ordinals.groupBy(*_SCOPE).agg(F.max("parts").alias("parts"))
+        scopes = exist.groupBy(*_SCOPE).agg(F.collect_list("snapshot_no").alias("numbers")).join(stored, _SCOPE)
+        placed = records.join(ordinals.select(*_SCOPE, "record_key", "part", "ordinal"), ["tbl", "scope", "record_key"])
+    nothing = F.lit(None).cast("string")
+    columns = ["tbl", "scope", "part", "snapshot_no", "record_key", "value", "ordinal"]
+    known_to = scopes.select(*_SCOPE, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "numbers").select(*_SCOPE, "part", F.explode("numbers").alias("snapshot_no"), nothing.alias("record_key"), nothing.alias("value"), F.lit(None).cast("bigint").alias("ordinal"))
+    dealt = placed.select(columns).unionByName(known_to).repartition("tbl", "scope", "part").sortWithinPartitions(*columns[:-1])
+    return dealt.mapInArrow(_parts, RESULT)
 
 
 def listener_records(sockets: DataFrame) -> DataFrame:
@@ -139,10 +191,12 @@ def unit_records(units: DataFrame) -> DataFrame:
     """Build units by file; compiler, standard, the sets of includes, defines and flags and the list of forced includes are compared."""
     as_set = lambda c: F.array_sort(F.array_distinct(F.coalesce(F.col(c), F.array().cast("array<string>"))))
     value = F.to_json(F.struct(F.col("compiler").alias("c"), F.col("standard").alias("s"), as_set("includes").alias("i"), as_set("defines").alias("d"), as_set("flags").alias("f"), F.coalesce("forced_includes", F.array().cast("array<string>")).alias("o")))
-    return units.select(F.lit("compile_units").alias("tbl"), F.col("project").alias("scope"), "snapshot_no", F.col("file").alias("record_key"), value.alias("value"))
+    # a digest of what is compared: it is what gets shuffled
+    return units.select(F.lit("compile_units").alias("tbl"), F.col("project").alias("scope"), "snapshot_no", F.col("file").alias("record_key"), F.md5(value).alias("value"))
 
 
 def section_records(entries: DataFrame) -> DataFrame:
-    """Report sections of bundles, ``reports/<name>.json``; other entries only say that the bundle exists."""
-    name = F.regexp_extract(F.regexp_replace(F.trim("name"), r"\A(?:\./)+", ""), r"\Areports/([^/]+)\.json\z", 1)
-    return entries.select(F.lit("bundle_entries").alias("tbl"), F.col("host").alias("scope"), "snapshot_no", F.nullif(name, F.lit("")).alias("record_key"), F.lower(F.trim("sha256")).alias("value"))
+    """Report sections of bundles: the entries ``reports/<name>.json`` by their name, a leading ``./`` aside; other
+    entries only say that the bundle exists."""
+    name = F.regexp_replace(F.trim("name"), r"\A(?:\./)+", "")
+    return entries.select(F.lit("bundle_entries").alias("tbl"), F.col("host").alias("scope"), "snapshot_no", F.when(name.rlike(r"\Areports/[^/]+\.json\z"), name).alias("record_key"), F.lower(F.trim("sha256")).alias("value"))

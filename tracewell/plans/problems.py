@@ -60,7 +60,17 @@ def _diff_sql(tbl: str, scope: str, records: str) -> str:
 
 
 _SET = "list_sort(list_distinct(coalesce({0}, []::VARCHAR[])))"
+_UNITS = f"SELECT project AS scope, snapshot_no, file AS k, max(coalesce(compiler, '') || '|' || coalesce(standard, '-') || '|' || CAST({_SET.format('includes')} AS VARCHAR) || CAST({_SET.format('defines')} AS VARCHAR) || CAST({_SET.format('flags')} AS VARCHAR) || CAST(coalesce(forced_includes, []::VARCHAR[]) AS VARCHAR)) AS v FROM compile_units GROUP BY 1, 2, 3"
+_SECTIONS = r"SELECT host AS scope, snapshot_no, regexp_replace(trim(name), '^(\./)+', '') AS k, max(lower(trim(sha256))) AS v FROM bundle_entries WHERE regexp_matches(trim(name), '^(\./)*reports/[^/]+\.json$') GROUP BY 1, 2, 3"
+# groups of an address without a dotted tail: both sides of '::', filled up with zeros, leading zeros off; the longest run of zeros folds
+_IPV6 = r"""(SELECT host, snapshot_no, kind, local_port, CASE WHEN kind = 'tcp' THEN a WHEN z = '' THEN array_to_string(g, ':') ELSE array_to_string(g[:(strpos(f, z) - 1)], ':') || '::' || array_to_string(g[(strpos(f, z) + length(z)):], ':') END AS address
+    FROM (SELECT *, coalesce(CASE WHEN f LIKE '%00000000%' THEN '00000000' WHEN f LIKE '%0000000%' THEN '0000000' WHEN f LIKE '%000000%' THEN '000000' WHEN f LIKE '%00000%' THEN '00000' WHEN f LIKE '%0000%' THEN '0000' WHEN f LIKE '%000%' THEN '000' WHEN f LIKE '%00%' THEN '00' END, '') AS z
+    FROM (SELECT *, array_to_string(list_transform(g, lambda x: CASE WHEN x = '0' THEN '0' ELSE '1' END), '') AS f
+    FROM (SELECT *, list_transform(list_filter(string_split(l, ':'), lambda x: x <> '') || list_transform(range(CASE WHEN contains(a, '::') THEN 8 - len(list_filter(string_split(l, ':'), lambda x: x <> '')) - len(list_filter(string_split(r, ':'), lambda x: x <> '')) ELSE 0 END), lambda x: '0') || list_filter(string_split(r, ':'), lambda x: x <> ''), lambda x: coalesce(nullif(ltrim(x, '0'), ''), '0')) AS g
+    FROM (SELECT host, snapshot_no, lower(trim(kind)) AS kind, local_port, lower(trim(local_address)) AS a, split_part(lower(trim(local_address)), '::', 1) AS l, split_part(lower(trim(local_address)), '::', 2) AS r FROM sockets WHERE lower(trim(kind)) IN ('tcp', 'tcp6') AND upper(trim(state)) = 'LISTEN')))))"""
+_LISTENERS = f"SELECT DISTINCT host AS scope, snapshot_no, kind || '|' || address || '|' || local_port AS k, '' AS v FROM {_IPV6}"
 ORACLES = {
-    "p2_units": _diff_sql("compile_units", "project", f"SELECT project AS scope, snapshot_no, file AS k, max(coalesce(compiler, '') || '|' || coalesce(standard, '-') || '|' || CAST({_SET.format('includes')} AS VARCHAR) || CAST({_SET.format('defines')} AS VARCHAR) || CAST({_SET.format('flags')} AS VARCHAR) || CAST(coalesce(forced_includes, []::VARCHAR[]) AS VARCHAR)) AS v FROM compile_units GROUP BY 1, 2, 3"),
-    "p2_sections": _diff_sql("bundle_entries", "host", r"SELECT host AS scope, snapshot_no, regexp_extract(regexp_replace(trim(name), '^(\./)+', ''), '^reports/([^/]+)\.json$', 1) AS k, max(lower(trim(sha256))) AS v FROM bundle_entries GROUP BY 1, 2, 3 HAVING k <> ''"),
+    "p2_found": " UNION ALL ".join(f"(SELECT * FROM ({_diff_sql(*x)}))" for x in (("sockets", "host", _LISTENERS), ("compile_units", "project", _UNITS), ("bundle_entries", "host", _SECTIONS))),
+    "p2_units": _diff_sql("compile_units", "project", _UNITS),
+    "p2_sections": _diff_sql("bundle_entries", "host", _SECTIONS),
 }
