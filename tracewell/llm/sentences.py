@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.session import cut_lineage, spread
+from tracewell.session import cut_lineage
 
 #: At most so many documents are fitted on; everything else reads every document whole.
 SAMPLE_DOCUMENTS = 2000
@@ -407,7 +407,7 @@ def starters_of(whole: DataFrame, least: int = 3, share: float = 0.003) -> froze
                 seen, documents = Counter(), 0
         yield _counts(seen, documents)
 
-    counts = spread(whole.select("text")).mapInArrow(over, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = whole.select("text").mapInArrow(over, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     counts = cut_lineage(counts.where((F.col("n") >= least) | (F.col("word") == "")), eager=True)  # texts are read once for both answers
     documents = sum(r[0] for r in counts.where("word = ''").select("n").collect())
     return frozenset(r[0] for r in counts.where((F.col("word") != "") & (F.col("n") >= share * documents)).select("word").collect())
@@ -512,4 +512,4 @@ def sentence_units(documents: DataFrame, sample_documents: int = SAMPLE_DOCUMENT
                 ends += [b for _, b in units]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["doc_id", "sent_start", "sent_end"])
 
-    return spread(whole).mapInArrow(over, "doc_id bigint, sent_start int, sent_end int")
+    return whole.mapInArrow(over, "doc_id bigint, sent_start int, sent_end int")
