@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.addresses import let
-from tracewell.session import spread
 
 # Month and weekday names as programs write them.
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec"
@@ -127,5 +126,4 @@ def normalise(rows: DataFrame, text: str, sources: DataFrame, key: str = "file",
     offsets = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
     kept = [F.col(f"`{c}`") for c in rows.columns if c != out]
     instant = epoch_millis(F.col(text), F.col("__d.z"), F.col("__d.y"), offsets)
-    rows = spread(rows)
     return rows.join(defaults, rows[key] == defaults["__key"], "left").select(*kept, instant.alias(out))

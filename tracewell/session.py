@@ -32,20 +32,13 @@ def table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
 def cut_lineage(df: DataFrame, eager: bool = False) -> DataFrame:
     """Cuts the lineage by a reliable checkpoint, which survives the loss of executors.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; where that is unset (tests on one
-    machine) a temporary folder is taken.
+    The folder is the one the session names in ``spark.checkpoint.dir``. Where that is unset, a session on one machine
+    takes a temporary folder; on a cluster it is an error, since a folder of one machine is lost with it.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracewell-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tracewell-"))
     return df.checkpoint(eager=eager)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where its scan has far fewer partitions than that, as with one small file; else df as it is.
-
-    Rows are dealt out evenly, so this costs a shuffle only where most cores would stand idle."""
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
