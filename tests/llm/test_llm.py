@@ -1,17 +1,19 @@
 """Operators on training text against brute force, literal cases and odd input."""
 
 import itertools
+import os
 import random
 import re
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from tracewell.llm import queries
 from tracewell.llm.eval_leaks import _Phrases, counted_places, eval_leaks, letters, merged, reduced, words
 from tracewell.llm.event_runs import canonical_arguments, collapse_runs, time_us
 from tracewell.llm.fm_index import FmIndex, suffix_order
-from tracewell.llm.sentences import CONTEXTS, fit, learn_starters, sentence_units, silver, starters_of
+from tracewell.llm.sentences import EXPECTED, Segmenter, _Field, evidence, fit, learn_starters, sentence_units
 from tracewell.llm.source_mix import attainable, mix_sources, rake, with_tokens
 
 EVENT = "trace_id string, seq long, tid long, ts string, syscall string, arguments string, error string, duration_ns long"
@@ -189,26 +191,84 @@ UNITS = [
 ]
 
 
-@pytest.mark.parametrize(("text", "units"), UNITS)
-def test_units(text, units):
-    model = fit([])
-    assert [text[a:b] for a, b in model.units(text)] == units
+DOCUMENTS = "/root/testdata/sf0.01/documents.parquet"
 
 
-def test_model_knows_every_context():
-    model = fit([])
-    wrong = [c for c in CONTEXTS if model.decode([c])[0] != silver(c)]
-    assert len(wrong) <= 0.03 * len(CONTEXTS)
+@pytest.fixture(scope="module")
+def corpus():
+    if not os.path.exists(DOCUMENTS):
+        pytest.skip("no test data here")
+    rows = [r for r in pq.read_table(DOCUMENTS, columns=["text", "lang"]).to_pylist() if r["text"]]
+    random.Random(4).shuffle(rows)
+    return rows[:800], rows[800:]
+
+
+@pytest.fixture(scope="module")
+def fitted(corpus):
+    return fit([r["text"] for r in corpus[0]])
+
+
+def test_units_of_sentences_never_seen(fitted):
+    """Hand-divided texts in nine languages: no list tells the short forms in them, the 800 documents fitted on do (0.93 of
+    the units found are right and 0.89 of the right ones found; what is lost follows short names never seen)."""
+    found = right = wanted = 0
+    for text, units in UNITS:
+        got = [text[a:b] for a, b in fitted.units(text)]
+        found, right, wanted = found + len(got), right + len(set(got) & set(units)), wanted + len(units)
+    assert right >= 0.9 * found and right >= 0.85 * wanted
 
 
-def test_paragraph_ends_reach_the_units_against_the_rule():
+def test_held_out_paragraph_ends_by_language(fitted, corpus):
+    """Ends of paragraphs of documents held out, joined with the next ones: boundaries whose answer is known."""
+    ends: dict[str, list[bool]] = {}
+    for r in corpus[1]:
+        for contexts, ended, _, near in evidence([r["text"]], fitted.starters):
+            ends.setdefault((r["lang"] or "")[:2].lower(), []).extend(tag for tag, end in zip(fitted.decode(contexts, near), ended, strict=True) if end)
+    counted = {lang: (sum(x), len(x)) for lang, x in ends.items() if len(x) >= 30}
+    assert len(counted) >= 4 and all(a >= 0.9 * n for a, n in counted.values()), counted
+    assert sum(a for a, _ in counted.values()) >= 0.95 * sum(n for _, n in counted.values()), counted
+
+
+def test_fitted_weights_decide(fitted):
+    text = "See Fig. 3 and Sec. 2.5, e.g. here. Dr. Kra asked. Nobody cared, etc. and so on."
+    cut = lambda model: [text[a:b] for a, b in model.units(text)]
+    assert cut(fitted) == ["See Fig. 3 and Sec. 2.5, e.g. here.", "Dr. Kra asked.", "Nobody cared, etc. and so on."]
+    assert len(cut(Segmenter(dict(EXPECTED)))) > 3 and len(cut(Segmenter({}))) == 1
+
+
+def test_short_forms_are_learned_from_where_paragraphs_end():
     rng = random.Random(3)
     name = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
-    assert not silver(("call", "word", "lower"))
-    model = fit([f"It broke {name()}!\n\n{name()} was told of {name()}." for _ in range(60)])
-    text = "Stop it now! ghibca is up."
-    assert [text[a:b] for a, b in model.units(text)] == ["Stop it now!", "ghibca is up."]
-    assert [text[a:b] for a, b in fit([]).units(text)] == [text]  # never fitted on: the rule
+    sentence = lambda: f"We met Qzx. {name().title()} by {name()}."
+    texts = ["\n\n".join(" ".join(sentence() for _ in range(rng.randrange(1, 6))) for _ in range(4)) for _ in range(120)]
+    text = "We met Qzx. Abcdefg by hijabcd. We met Qzx. Bcdefgh by ijabcde."
+    assert [text[a:b] for a, b in fit(texts).units(text)] == ["We met Qzx. Abcdefg by hijabcd.", "We met Qzx. Bcdefgh by ijabcde."]
+    assert len(fit([]).units(text)) == 4  # without evidence every mark divides
+    # names in lower case that open paragraphs open sentences too
+    texts = [f"It broke {name()}!\n\nkestreld is {name()}. It has {name()}!\n\nkestreld was {name()}.\n\nIt did {name()}." for _ in range(60)]
+    text = "Stop it now! kestreld is up. We see."
+    assert [text[a:b] for a, b in fit(texts).units(text)] == ["Stop it now!", "kestreld is up.", "We see."]
+
+
+def test_sums_over_all_taggings():
+    rng = np.random.default_rng(0)
+    contexts = [(m, "upper", "a", "b", "c", "", "", "", "") for m in ("stop", "call")]
+    sequences = [([contexts[i] for i in (0, 1, 0, 0)], [False] * 4, [0, 1, 2, 3], [False, True, False, True]), ([contexts[1], contexts[0]], [False] * 2, [0, 1], [False, True])]
+    field = _Field(sequences)
+    scores, tags = rng.normal(size=len(field.code)), rng.normal(size=(2, 2, 2))
+    boundary, pairs = field.expect(scores, tags)
+    at, want, want_pairs = 0, [], np.zeros((2, 2, 2))
+    for own, _, _, near in sequences:
+        whole, single, double = 0.0, np.zeros(len(own)), np.zeros((2, 2, 2))
+        for y in itertools.product((0, 1), repeat=len(own)):
+            w = np.exp(np.dot(y, scores[at : at + len(own)]) + sum(tags[int(near[j]), y[j - 1], y[j]] for j in range(1, len(own))))
+            whole, single = whole + w, single + w * np.array(y)
+            for j in range(1, len(own)):
+                double[int(near[j]), y[j - 1], y[j]] += w
+        at += len(own)
+        want += (single / whole).tolist()
+        want_pairs += double / whole
+    assert np.allclose(boundary, want) and np.allclose(pairs, want_pairs)
 
 
 def test_units_never_overlap_and_cover_all_letters():
@@ -224,9 +284,10 @@ def test_units_never_overlap_and_cover_all_letters():
 
 
 def test_starters_are_counted_over_all_documents(spark):
-    rows = [(i, f"It went well. driftd reads {'x' * (30_000 if i % 2 else 1)} on. rare{i} is not.") for i in range(40)] + [(99, "Stop it! driftd is up. Done.")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    assert starters_of(docs) == learn_starters([t for _, t in rows]) == {"driftd"} and starters_of(docs.limit(0)) == frozenset()
+    rows = [(i, f"It went perfectly. driftd reads {'x' * (30_000 if i % 2 else 1)} perfectly. rare{i} is not.") for i in range(40)] + [(99, "Stop it! driftd is up. Done.")]
+    copies = [(i, "One text, many copies perfectly. never opens elsewhere.") for i in range(100, 140)]  # copies are one text
+    docs = spark.createDataFrame(rows + copies, "doc_id long, text string").repartition(4)
+    assert learn_starters([t for _, t in rows + copies]) == {"driftd"}
     got = sentence_units(docs, sample_documents=1).where("doc_id = 99").collect()
     assert sorted((r.sent_start, r.sent_end) for r in got) == [(0, 8), (9, 22), (23, 28)]
 

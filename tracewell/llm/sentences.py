@@ -1,61 +1,61 @@
 """Sentence units of texts in many languages and scripts.
 
-Characters are tagged as boundary or inside by a linear-chain model and decoded with Viterbi's algorithm. Only
-characters that can end a sentence (end marks with what closes after them, blanks between letters of a script without
-end marks) have a choice; all others are inside. Block structure (blank lines, headings, list items, fenced blocks)
-and quotation marks fix tags beforehand. The model is fitted when the query runs, on sequences of a bounded sample of
-documents: running text tagged by rule (:func:`silver`), and paragraph ends (two paragraphs joined make a boundary
-whose answer is known, whatever the rule says); for scripts without end marks it is fitted on text stripped of
-punctuation. Fitting stops by the error on documents held out. The rule alone answers only contexts that the fitted
-sequences never had. Words that open sentences in lower case, such as names of services, are counted over all
-documents.
+Characters are tagged as boundary or inside by a linear-chain conditional random field and decoded with Viterbi's
+algorithm. Only characters that can end a sentence (end marks with what closes after them, blanks between letters of a
+script without end marks) have a choice; all others are inside. Block structure (blank lines, headings, list items,
+fenced blocks) and quotation marks fix tags beforehand.
+
+No rule and no list of abbreviations says which marks are boundaries; the texts do. Neighbouring paragraphs are joined,
+for scripts without end marks after punctuation is stripped, and a paragraph's end becomes one candidate among the
+others. Where paragraphs end, a sentence ends; elsewhere tags are unknown. A sure boundary is a paragraph's end at a
+rate read from the texts, so a context that is common and never stands there (a title before a name, a number sign
+before a number) is no boundary. The field is fitted to that evidence with the tags as hidden variables, when the query
+runs, on a bounded sample. Words that open sentences in lower case, such as names of services, are counted over all
+documents, each distinct text once.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.session import cut_lineage
 
-#: At most so many documents are fitted on; everything else reads every document whole.
-SAMPLE_DOCUMENTS = 2000
-#: A document of the sample is fitted on only if it is no longer, so the driver holds a bounded amount of text.
+#: At most so many documents are fitted on, none longer than so many characters; everything else reads every document whole.
+SAMPLE_DOCUMENTS = 6000
 SAMPLE_LONGEST = 20_000
-ROUNDS = 4
-#: Every so-manieth document with cases is held out of fitting.
-HELD_OUT = 5
-#: A task hands on its counts of opening words when it has met more words than this.
-MOST_WORDS = 100_000
-
-# Abbreviations by what may follow them.
-TITLES = """dr mr mrs ms prof st hr fr frl sr sra srta d dª m mm mme mlle mgr ing gen col sgt lt capt rev hon pres gov sen rep
-г гр г-н г-жа акад проф डॉ श्री प्रो د أ κ κα δρ""".split()
-NEVER_LAST = """e.g i.e viz cf c.-à-d vs bzw z.b u.a d.h evtl ggf ca z.t u.u inkl exkl sog vgl zzgl insb bes mio mrd tsd co ltd al rev
-ej ex env p.ej p.ex т.е напр тыс млн млрд см ср π.χ δηλ βλ approx aprox circa resp ο.π dept univ max incl excl""".split()
-BEFORE_NUMBER = """no nos nr fig figs sec secs vol vols p pp ch chap art eq ed abb abschn kap bd s tab anm zl núm pág págs cap l n° t
-стр рис гл табл № ок п пп ст σελ εικ κεφ αρ""".split()
-MAY_BE_LAST = "etc a.m p.m usw uws min sec std hrs inc corp jr bros κ.λπ κλπ т.д т.п т.ч др пр".split()
-LAST_BEFORE_NUMBER = {"etc", "a.m", "p.m", "usw", "κ.λπ", "κλπ", "т.д", "т.п", "др", "пр"}
-# Words before a German ordinal, and months after one.
-BEFORE_ORDINAL = "am im den dem der des die das vom zum zur bis beim ab seit und oder ein eine einen einem einer jeder jede jeden".split()
-GERMAN_MONTHS = "januar jänner februar märz april mai juni juli august september oktober november dezember".split()
+#: A candidate this close to the one before it has transitions of its own.
+NEAR = 12
+#: Sequences are cut into stretches of so many candidates for fitting.
+STRETCH = 64
+#: Rates of paragraph ends are told apart for so many first candidates of a paragraph.
+PLACES = 6
+#: Features of single words count from so many cases on, with a stronger prior than the others.
+LEAST_CASES = 10
+PRIOR, WORD_PRIOR, CHAIN_PRIOR = 0.5, 1.5, 3000.0
+#: Where the prior expects weights that are not 0: without evidence a mark divides before what may open a sentence.
+EXPECTED = {("opens", "opens"): 1.0, ("opens", "lower"): -1.0, ("opens", "point"): -1.0, ("opens", "other"): -1.0}
+#: A word opens sentences in lower case if it does so in at least so many texts and in this share of all.
+LEAST_OPENED, SHARE_OPENED = 3, 0.003
+
 # Quotation marks in pairs.
 QUOTES = {"“": "”", "„": "“", "«": "»", "‹": "›", "「": "」", "『": "』", "《": "》", "‘": "’", "‚": "‘", '"': '"'}
 
-_CLASS = {w: c for c, words in (("never", NEVER_LAST), ("number", BEFORE_NUMBER), ("title", TITLES), ("last", MAY_BE_LAST)) for w in words}
 #: End marks; not those that lower-case letters or digits follow at once, as in names of files and addresses.
 _MARKS = r"[.!?…]*+[。！？｡।॥؟۔][.!?…。！？｡।॥؟۔]*+|[.!?…]++(?![a-z0-9_/])|[;\u037e](?=\s)"
 _END = re.compile(_MARKS)
-_END_OR_BLANK = re.compile(_MARKS + r"|(?<=[ก-ฺเ-๎]) +(?=\S)|(?<=\S) +(?=[ก-ฺเ-๎])")
-_THAI = re.compile(r"[ก-ฺเ-๎]")
+#: Letters of scripts that divide sentences by blanks: Thai and Lao.
+_BARE = "[ก-ฺเ-๎ກ-ຽເ-ໝ]"
+_END_OR_BLANK = re.compile(_MARKS + rf"|(?<={_BARE}) +(?={_BARE})")
+_UNMARKED = re.compile(_BARE)
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힣豈-﫿ｦ-ﾟ]")
 _EMOJI = re.compile(r"[ \t]*((?:[\U0001F000-\U0001FAFF☀-➿⬀-⯿←-⇿](?:[️‍\U0001F3FB-\U0001F3FF])*)+)")
 _GAP = re.compile(r"(?:\s|(?<=\n)>+)*")
@@ -71,9 +71,13 @@ _BULLET = re.compile(r"[ \t]*[-*+•‣◦][ \t]+")
 _NUMBERED = re.compile(r"[ \t]*(?:\d{1,4}|[a-zA-Z])[.)][ \t]+")
 _MAILED = re.compile(r"[ \t]{0,3}>")
 _LETTER = re.compile(r"[^\W\d_]")
-_OPENING = re.compile(r"(?:\A|\n[ \t]*\n|(?:\s|\A)(\S*[^\W\d_]) ?[.?][ \t]+)([a-zа-яα-ω][\w-]*)(?= )")
+_OPENING = re.compile(r"(?:\A|\n[ \t]*\n|(?<=[^\W\d_]{7})\.[ \t]+|[?][ \t]+)([a-zа-яα-ω][\w-]*)(?= )")
+#: What a unit's end may look like before a bracket opens the next one.
+_ENDERS = frozenset(".!?…。！？｡।॥؟۔:" + _CLOSERS + "".join(QUOTES.values()))
+#: Kinds of what follows a mark that may open a sentence, seen together as well as apart.
+_OPENS = frozenset(("upper", "starter", "digit", "letter", "open"))
 
-#: Mark, word before, what follows; then, where there is one, the scripts around.
+#: Mark, what follows, scripts before, at and after the gap; then shape and word before a full stop, and words beside a number.
 Context = tuple[str, ...]
 
 
@@ -102,11 +106,15 @@ def _quote_pairs(text: str) -> list[tuple[int, int]]:
 
 
 class Segmenter:
-    """Finds candidates and their contexts, and decodes them under a model's weights."""
+    """Finds candidates and their contexts, and decodes them under a model's weights.
+
+    weights: by feature (see :func:`features`), and by ("tags", near, before, now) for neighbouring tags.
+    """
 
-    def __init__(self, weights: dict | None = None, starters: frozenset[str] = frozenset(), seen: frozenset[Context] = frozenset()) -> None:
-        self.weights, self.starters, self.seen = {} if weights is None else weights, starters, seen
+    def __init__(self, weights: dict | None = None, starters: frozenset[str] = frozenset()) -> None:
+        self.weights, self.starters = {} if weights is None else weights, starters
         self.scores: dict[Context, float] = {}
+        self.tags = [[[self.weights.get(("tags", near, a, b), 0.0) for b in (0, 1)] for a in (0, 1)] for near in (0, 1)]
 
     def _after(self, text: str, at: int, end: int) -> tuple[str, int]:
         """The kind of what follows a gap, and where it stands."""
@@ -128,55 +136,39 @@ class Segmenter:
             return "letter", start
         return ("open" if i > start else "point"), start
 
-    def _around(self, text: str, at: int, place: int, end: int) -> str:
-        """The scripts of the character before a mark, and of the first and last character of the word that follows."""
-        follows = _NAME_WORD.search(text, place, min(end, place + 40))
-        return f"{_script(text[at - 1 : at])}>{_script(follows[0][0])}>{_script(follows[0][-1])}" if follows else f"{_script(text[at - 1 : at])}>>"
-
-    def _word(self, text: str, start: int, mark: int, nxt: str, place: int, end: int) -> str:
-        """The kind of the word before a full stop."""
+    def _word(self, text: str, start: int, mark: int, place: int, end: int) -> tuple[str, str, str, str]:
+        """The shape of the word before a full stop, the word itself, and for a number the words before and after it."""
         begin = mark
         while begin > start and text[begin - 1] not in _APART:
             begin -= 1
         token = text[begin:mark].rstrip(")]}）")
         if not token:
-            return "word"
-        low = token.lower()
+            return "none", "", "", ""
         earlier = (text[max(start, begin - 40) : begin].split() or [""])[-1]
-        counted = earlier[:1].isdigit() or earlier[:1] == "~"
         if token.isdigit():
-            if len(token) <= 2 and nxt == "upper":
-                follows = _NAME_WORD.search(text, place, end)
-                if earlier.lower() in BEFORE_ORDINAL or follows and follows[0].lower() in GERMAN_MONTHS:
-                    return "ordinal"
-            return "word"
-        if len(token) == 1 and token.isalpha():
-            if counted:
-                return "word"  # a unit
-            if low in ("д", "п", "ч") and earlier.lower().rstrip(".") in ("т", "и т"):
-                return "last" if low != "ч" else "never"
-            if low in ("s", "t") and not (nxt == "digit"):
-                return "word" if token.islower() and nxt != "upper" else "initial" if token.isupper() else "word"
-            return "number" if low in ("p", "l", "n", "п") and nxt == "digit" else "title" if token == "M" or low in ("د", "أ", "κ", "г") else "initial"
-        kind = _CLASS.get(low, "word")
-        if kind == "never" and low == "rev" and nxt != "digit":
-            return "title"
-        if kind == "last" and nxt == "digit" and low not in LAST_BEFORE_NUMBER:
-            return "number"
-        if kind == "title" and low in ("ms", "d", "col", "sen", "lt") and counted:
-            return "word"
-        if kind == "number" and nxt not in ("digit", "lower", "starter") and low in ("no", "sec", "ed", "art", "cap", "tab"):
-            return "word"
-        return kind
+            follows = _NAME_WORD.search(text, place, min(end, place + 40))
+            return "number" if len(token) > 2 else "small number", "", earlier.lower(), follows[0].lower() if follows else ""
+        counted = " counted" if earlier[:1].isdigit() or earlier[:1] == "~" else ""
+        if len(token) == 1:
+            return f"{'upper' if token.isupper() else 'lower' if token.islower() else 'letter'} one{counted}", token, "", ""
+        if "." in token:
+            shape = "dotted"
+        elif not all(c.isalpha() or unicodedata.category(c)[0] == "M" for c in token):
+            shape = "mixed"
+        else:
+            shape = f"{'upper' if token.isupper() else 'title' if token[0].isupper() else 'lower'} {min(5, len(token))}"
+        return shape + counted, token.lower(), "", ""
 
     def candidates(self, text: str, start: int, end: int) -> list[tuple[int, Context]]:
         """(where a unit would end, context) of each character that may be a boundary in a block of running text."""
+        while end > start and text[end - 1].isspace():
+            end -= 1
         block = text[start:end]
         quotes = [(a + start, b + start) for a, b in _quote_pairs(block)] if _QUOTE_MARK.search(block) else []
         closes = {b - 1 for _, b in quotes}
         out: list[tuple[int, Context]] = []
         last, q = start, 0
-        for m in (_END_OR_BLANK if _THAI.search(block) else _END).finditer(text, start, end):
+        for m in (_END_OR_BLANK if _UNMARKED.search(block) else _END).finditer(text, start, end):
             at, stop = m.span()
             if at < last:
                 continue
@@ -186,8 +178,7 @@ class Segmenter:
             inside = q < len(quotes) and quotes[q][0] < at
             if mark[0] == " ":
                 if not inside:
-                    thai = bool(_THAI.match(text, at - 1)) and bool(_THAI.match(text, stop))
-                    out.append((at, ("blank", "thai", "thai") if thai else ("blank", "thai", "other")))
+                    out.append((at, ("blank", "letter", _script(text[at - 1]), "", "", "", "", "", "")))
                 continue
             reach = stop
             while reach < end and (text[reach] in _CLOSERS or reach in closes):
@@ -201,14 +192,12 @@ class Segmenter:
             if reach >= end:
                 break
             gap = text[reach].isspace()
-            if mark in ";;":
+            if mark in ";\u037e":
                 letters = _LETTER.findall(text[max(start, at - 40) : at])
-                if gap and letters and "Ͱ" <= letters[-1] <= "Ͽ":
-                    nxt, place = self._after(text, reach, end)
-                    out.append((reach, ("greek", "word", nxt, self._around(text, at, place, end))))
-                    last = reach
-                continue
-            if "。" in mark or "！" in mark or "？" in mark or "｡" in mark:
+                if not gap or not letters or not "Ͱ" <= letters[-1] <= "Ͽ":
+                    continue
+                kind = "greek"
+            elif "。" in mark or "！" in mark or "？" in mark or "｡" in mark:
                 kind = "wide"
             elif mark[0] in "।॥؟۔":
                 kind = "own"
@@ -230,40 +219,44 @@ class Segmenter:
                     continue
             if kind == "pause" and (mark.startswith("……") or _CJK.match(text, at - 1)) and nxt == "letter":
                 kind = "widepause"
-            word = self._word(text, last, at, nxt, place, end) if kind == "stop" else "word"
+            word = self._word(text, start, at, place, end) if kind == "stop" else ("", "", "", "")
             if quoted:
                 kind = "quoted"
             elif reach > stop and text[stop] in _CLOSERS and kind == "stop":
-                opened = text.rfind("(", last, at) if text[stop] == ")" else -1
-                kind = "aside" if opened >= 0 and not text[last:opened].strip(" \t\r\n>") else "stop"
-            out.append((reach, (kind, word, nxt, self._around(text, at, place, end))))
-            # what the next unit begins with is not known before decoding; a likely boundary is enough for its first bracket
-            if silver((kind, word, nxt)):
-                last = reach
+                opened = text.rfind("(", start, at) if text[stop] == ")" else -1
+                ahead = opened
+                while ahead > start and text[ahead - 1] in " \t\r\n>":
+                    ahead -= 1
+                kind = "aside" if opened >= 0 and (ahead == start or text[ahead - 1] in _ENDERS) else "stop"
+            follows = _NAME_WORD.search(text, place, min(end, place + 40))
+            first, final = (_script(follows[0][0]), _script(follows[0][-1])) if follows else ("", "")
+            out.append((reach, (kind, nxt, _script(text[at - 1 : at]), first, final, *word)))
+            last = reach
         return out
 
     def score(self, context: Context) -> float:
-        """How much a boundary is preferred in a context; one never fitted on keeps the rule's tag, whatever stands beside it."""
-        if context not in self.scores:
-            known = context[:3] in self.seen
-            self.scores[context] = sum(self.weights.get(f, 0.0) for f in features(context)) if known else 1e9 if silver(context) else -1e9
-        return self.scores[context]
-
-    def decode(self, contexts: list[Context]) -> list[bool]:
-        """The best sequence of tags, by Viterbi's algorithm."""
-        get = self.weights.get
-        to = [[get(("tags", a, b), 0.0) for b in (0, 1)] for a in (0, 1)]
+        """How much a boundary is preferred in a context."""
+        known = self.scores.get(context)
+        if known is None:
+            if len(self.scores) > 100_000:
+                self.scores.clear()
+            get = self.weights.get
+            known = self.scores[context] = sum(get(f, 0.0) for f in features(context))
+        return known
+
+    def decode(self, contexts: list[Context], near: list[bool]) -> list[bool]:
+        """The best sequence of tags, by Viterbi's algorithm; near says which candidates stand close to the one before."""
         inside, boundary = 0.0, float("-inf")
         back: list[tuple[int, int]] = []
-        first = True
-        for c in contexts:
+        for c, close in zip(contexts, near, strict=True):
             s = self.score(c)
-            if first:
-                inside, boundary, first = 0.0, s, False
+            if not back:
+                boundary = s
                 back.append((0, 0))
                 continue
-            a0, a1 = inside + to[0][0], boundary + to[1][0]
-            b0, b1 = inside + to[0][1], boundary + to[1][1]
+            (t00, t01), (t10, t11) = self.tags[close]
+            a0, a1 = inside + t00, boundary + t10
+            b0, b1 = inside + t01, boundary + t11
             back.append((int(a1 > a0), int(b1 > b0)))
             inside, boundary = max(a0, a1), max(b0, b1) + s
         tags = [False] * len(contexts)
@@ -329,7 +322,7 @@ class Segmenter:
             if body < end:
                 found = self.candidates(text, body, end)
                 if found:
-                    ends = [e for (e, _), tag in zip(found, self.decode([c for _, c in found]), strict=True) if tag] + ends
+                    ends = [e for (e, _), tag in zip(found, self.decode([c for _, c in found], closeness([e for e, _ in found])), strict=True) if tag] + ends
             a = start
             for e in ends:
                 piece = text[a:e]
@@ -341,168 +334,224 @@ class Segmenter:
         return out
 
 
-def features(context: Context) -> list[tuple]:
-    """What the model sees of a context: the whole of it, with and without the scripts around, and its parts."""
-    mark, word, nxt, *around = context
-    return [("all", mark, word, nxt), ("mark", mark), ("mark word", mark, word), ("mark next", mark, nxt), *[("around", mark, word, nxt, x) for x in around]]
-
-
-def silver(context: Context) -> bool:
-    """The tag of a context by what can be said without the model."""
-    mark, word, nxt = context[:3]
-    if mark == "blank":
-        return nxt == "thai"
-    if nxt == "point" or nxt == "other":
-        return False
-    if mark in ("question", "own", "wide", "greek"):
-        return True
-    if mark == "widepause":
-        return False
-    if mark in ("call", "pause"):
-        return nxt != "lower"
-    if mark == "quoted":
-        return nxt in ("upper", "open", "digit")
-    if mark == "aside":
-        return nxt != "lower" and word in ("word", "last")
-    if word == "last":
-        return nxt != "lower"
-    return word == "word"
-
-
-#: Every context that can come up, without the scripts around.
-CONTEXTS = [(m, w, n) for m in ("stop", "aside", "call", "question", "pause", "widepause", "wide", "own", "greek", "quoted") for w in (("word", "title", "never", "number", "last", "initial", "ordinal") if m in ("stop", "aside", "quoted") else ("word",)) for n in ("upper", "lower", "starter", "digit", "letter", "open", "point", "other")] + [("blank", "thai", "thai"), ("blank", "thai", "other")]
-
-
-def learn_starters(texts: Iterable[str], least: int = 3, share: float = 0.003) -> frozenset[str]:
-    """Words that open paragraphs or sentences in lower case in several documents, a share of them at least."""
-    seen: Counter[str] = Counter()
-    documents = 0
-    for text in texts:
-        documents += 1
-        seen.update(opening_words(text))
-    return frozenset(w for w, n in seen.items() if n >= max(least, share * documents))
-
-
-def opening_words(text: str) -> set[str]:
-    """Words that open paragraphs or sentences of a text in lower case."""
-    return {m[2] for m in _OPENING.finditer(text) if not m[1] or len(m[1]) > 2 and m[1].lower() not in _CLASS}
-
+def closeness(places: list[int]) -> list[bool]:
+    """Which of ascending places stand close to the one before."""
+    return [False, *(b - a <= NEAR for a, b in zip(places, places[1:], strict=False))][: len(places)]
 
-def starters_of(whole: DataFrame, least: int = 3, share: float = 0.003) -> frozenset[str]:
-    """:func:`learn_starters` over all documents (text): one pass that counts words in each task first, then by word.
-
-    Every document counts, of any length. Only words in a share of all documents come to the driver, so their number is
-    bounded by what a document opens on average, not by the corpus.
-    """
 
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
-        documents = 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                documents += 1
-                seen.update(opening_words(text))
-            if len(seen) > MOST_WORDS:
-                yield _counts(seen, documents)
-                seen, documents = Counter(), 0
-        yield _counts(seen, documents)
+def features(context: Context) -> list[tuple]:
+    """What the model sees of a context: its parts alone and together, and single words."""
+    mark, nxt, before, first, final, shape, word, earlier, later = context
+    opens = "opens" if nxt in _OPENS else nxt
+    out: list[tuple] = [("any",), ("mark", mark), ("next", nxt), ("opens", opens), ("mark next", mark, nxt), ("mark opens", mark, opens), ("before", mark, before), ("before next", mark, before, nxt), ("scripts", mark, before, first), ("ends", mark, final)]
+    if shape:
+        out += [("shape", mark, shape), ("shape next", mark, shape, nxt), ("shape opens", mark, shape, opens)]
+    if word:
+        out += [("word", word), ("word next", word, nxt)]
+    if earlier:
+        out.append(("word earlier", shape, earlier, nxt))
+    if later:
+        out.append(("word later", shape, later))
+    return out
 
-    counts = whole.select("text").mapInArrow(over, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = cut_lineage(counts.where((F.col("n") >= least) | (F.col("word") == "")), eager=True)  # texts are read once for both answers
-    documents = sum(r[0] for r in counts.where("word = ''").select("n").collect())
-    return frozenset(r[0] for r in counts.where((F.col("word") != "") & (F.col("n") >= share * documents)).select("word").collect())
 
+def opening_words(text: str) -> set[str]:
+    """Words that open paragraphs in lower case, or follow a question or a full stop after a word too long for a short form."""
+    return set(_OPENING.findall(text))
 
-def _counts(seen: Counter[str], documents: int) -> pa.RecordBatch:
-    """Words with their documents; the empty word has all documents."""
-    return pa.RecordBatch.from_arrays([pa.array(["", *seen], pa.string()), pa.array([documents, *seen.values()], pa.int64())], names=["word", "n"])
 
+def learn_starters(texts: Iterable[str]) -> frozenset[str]:
+    """Words that open sentences in lower case in several of the texts, and in a share of them."""
+    seen: Counter[str] = Counter()
+    distinct = set(texts)
+    for text in distinct:
+        seen.update(opening_words(text))
+    return frozenset(w for w, n in seen.items() if n >= max(LEAST_OPENED, SHARE_OPENED * len(distinct)))
 
-def fit(texts: list[str], rounds: int = ROUNDS, starters: frozenset[str] | None = None) -> Segmenter:
-    """A model fitted on texts: an averaged structured perceptron over their tag sequences.
 
-    Paragraphs of one document are also joined two and two, so that a paragraph's end becomes a choice inside running
-    text whose answer is known. For Thai the joined lines are stripped of punctuation first. The averages kept are those
-    of the round with the least error on the documents held out; fitting ends once it has not fallen for ``rounds``
-    rounds, or without documents held out after as many. Starters are learned from the texts unless given.
-    """
-    starters = learn_starters(texts) if starters is None else starters
-    cases, held = training_cases(texts, starters)
-    weights: dict[tuple, float] = defaultdict(float)
-    summed: dict[tuple, float] = defaultdict(float)
-    step = 1
-    model = Segmenter(weights, starters, frozenset(c[:3] for contexts, _ in cases for c in contexts))
-    best, least, since = Segmenter({}, starters), float("inf"), 0
-    while cases and since < rounds:
-        for contexts, answer in cases:
-            guess = model.decode(contexts)
-            if guess != answer:
-                model.scores.clear()
-                for tags, sign in ((answer, 1.0), (guess, -1.0)):
-                    for i, (c, tag) in enumerate(zip(contexts, tags, strict=True)):
-                        used = features(c) if tag else []
-                        if i:
-                            used = [*used, ("tags", int(tags[i - 1]), int(tag))]
-                        for f in used:
-                            weights[f] += sign
-                            summed[f] += sign * step
-            step += 1
-        since += 1
-        now = Segmenter({f: w - summed[f] / step for f, w in weights.items()}, starters, model.seen)
-        wrong = errors(now, held)
-        if wrong < least or not held:
-            best, least, since = now, wrong, since if not held else 0
-    return best
-
-
-def training_cases(texts: Iterable[str], starters: frozenset[str]) -> tuple[list, list]:
-    """(fitted on, held out): sequences of contexts with their tags, a document's all on one side."""
+def evidence(texts: Iterable[str], starters: frozenset[str]) -> list[tuple[list[Context], list[bool], list[int], list[bool]]]:
+    """One sequence a text: contexts, which of them end a paragraph that another follows, their number in the paragraph,
+    and which stand close to the one before. Between letters of scripts without end marks, punctuation is stripped."""
     reader = Segmenter({}, starters)
-    sides: tuple[list[tuple[list[Context], list[bool]]], list] = ([], [])
-    taken = 0
+    out = []
     for text in texts:
-        cases = sides[taken % HELD_OUT == HELD_OUT - 1]
-        before = len(cases)
-        bodies = [(b, e) for _, b, e in reader.blocks(text) if b < e]
-        for b, e in bodies:
-            found = [c for _, c in reader.candidates(text, b, e)]
-            if found:
-                cases.append((found, [silver(c) for c in found]))
-        for (b, e), (b2, e2) in zip(bodies, bodies[1:], strict=False):
-            one, two = text[b:e].strip(), text[b2:e2].strip()
-            if one and two and _THAI.search(one[-1]) and _THAI.search(two[0]):
-                one, two = (re.sub(r"[^\w\s฀-๿]", "", x).strip() for x in (one, two))
-            elif not one or not two or not re.search(r"[.!?…。！？।؟][”»’\"'」』]?\Z", one):
-                continue
-            found = reader.candidates(one + " " + two, 0, len(one) + 1 + len(two))
-            if found:
-                cases.append(([c for _, c in found], [True if p == len(one) and c[2] not in ("point", "other") and c[1] == "word" else silver(c) for p, c in found]))
-        taken += len(cases) > before
-    return sides
-
-
-def errors(model: Segmenter, cases: list[tuple[list[Context], list[bool]]]) -> int:
-    """Tags of the cases that the model gives otherwise."""
-    return sum(x != y for contexts, answer in cases for x, y in zip(model.decode(contexts), answer, strict=True))
+        contexts, ended, number, near = [], [], [], []
+        bodies = [text[b:e].strip() for _, b, e in reader.blocks(text) if b < e]
+        for one, two in zip(bodies, [*bodies[1:], ""], strict=True):
+            if one and two and _UNMARKED.match(one[-1]) and _UNMARKED.match(two[0]):
+                one, two = (re.sub(r"[^\w\s\u0e00-\u0eff]", "", x).strip() for x in (one, two))
+            found = reader.candidates(one + " " + two[:80] if two else one, 0, len(one) + min(81, len(two) + 1) if two else len(one))
+            found = [(p, c) for p, c in found if p <= len(one)]
+            contexts += [c for _, c in found]
+            ended += [p == len(one) for p, _ in found]
+            number += range(len(found))
+            near += closeness([p for p, _ in found])
+        if contexts:
+            out.append((contexts, ended, number, near))
+    return out
+
+
+class _Field:
+    """Sequences as arrays, longest first, and sums over all taggings of them."""
+
+    def __init__(self, sequences: list[tuple[list[Context], list[bool], list[int], list[bool]]]) -> None:
+        pieces = [tuple(x[i : i + STRETCH] for x in q) for q in sequences for i in range(0, len(q[0]), STRETCH)]
+        pieces.sort(key=lambda p: -len(p[0]))
+        codes: dict[Context, int] = {}
+        flat = [codes.setdefault(c, len(codes)) for p in pieces for c in p[0]]
+        self.contexts = list(codes)
+        lengths = np.array([len(p[0]) for p in pieces])
+        rows, columns = np.concatenate([np.arange(n) for n in lengths]), np.repeat(np.arange(len(pieces)), lengths)
+        self.at = (rows, columns)
+        shape = (int(lengths[0]), len(pieces))
+        self.code = np.array(flat)
+        self.ended = np.concatenate([np.array(p[1], bool) for p in pieces])
+        self.place = np.minimum(np.concatenate([np.array(p[2]) for p in pieces]), PLACES - 1)
+        self.near = np.zeros(shape, np.int64)
+        self.near[self.at] = np.concatenate([np.array(p[3], int) for p in pieces])
+        self.live = [int((lengths > t).sum()) for t in range(shape[0])]
+
+    def expect(self, scores: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The probability of a boundary at each candidate and the expected counts of neighbouring tags, by forward and
+        backward sums; scores by candidate, tags by (near, before, now)."""
+        odds = np.ones(self.near.shape)
+        odds[self.at] = np.exp(np.clip(scores, -30, 30))
+        step = np.exp(tags)[self.near]
+        in_, out = np.ones(odds.shape), np.zeros(odds.shape)
+        in_[0], out[0] = 1 / (1 + odds[0]), odds[0] / (1 + odds[0])
+        for t in range(1, len(odds)):
+            k = self.live[t]
+            a, b, s = in_[t - 1, :k], out[t - 1, :k], step[t, :k]
+            x, y = a * s[:, 0, 0] + b * s[:, 1, 0], (a * s[:, 0, 1] + b * s[:, 1, 1]) * odds[t, :k]
+            in_[t, :k], out[t, :k] = x / (x + y), y / (x + y)
+        boundary, pairs = np.zeros(odds.shape), np.zeros(tags.shape)
+        r0, r1 = np.ones(odds.shape[1]), np.ones(odds.shape[1])
+        for t in range(len(odds) - 1, -1, -1):
+            k, q = self.live[t], self.live[t + 1] if t + 1 < len(odds) else 0
+            if q:
+                s, m0, m1 = step[t + 1, :q], r0[:q], r1[:q] * odds[t + 1, :q]
+                a, b = in_[t, :q], out[t, :q]
+                z0, z1 = s[:, 0, 0] * m0 + s[:, 0, 1] * m1, s[:, 1, 0] * m0 + s[:, 1, 1] * m1
+                all_ = a * z0 + b * z1
+                for near in (0, 1):
+                    w = (self.near[t + 1, :q] == near) / all_
+                    pairs[near] += [[(w * a * s[:, 0, 0] * m0).sum(), (w * a * s[:, 0, 1] * m1).sum()], [(w * b * s[:, 1, 0] * m0).sum(), (w * b * s[:, 1, 1] * m1).sum()]]
+                r0[:q], r1[:q] = z0 / (z0 + z1), z1 / (z0 + z1)
+            r0[q:k], r1[q:k] = 1, 1
+            x, y = in_[t, :k] * r0[:k], out[t, :k] * r1[:k]
+            boundary[t, :k] = y / (x + y)
+        return boundary[self.at], pairs
+
+
+class _Climb:
+    """Steps of Adam's method for one array of parameters."""
+
+    def __init__(self, start: np.ndarray) -> None:
+        self.now, self.mean, self.square, self.n = start, np.zeros_like(start), np.zeros_like(start), 0
+
+    def step(self, gradient: np.ndarray, rate: float) -> None:
+        self.n += 1
+        self.mean = 0.9 * self.mean + 0.1 * gradient
+        self.square = 0.99 * self.square + 0.01 * gradient**2
+        self.now = self.now + rate * self.mean / (1 - 0.9**self.n) / (np.sqrt(self.square / (1 - 0.99**self.n)) + 1e-8)
+
+
+def fit(texts: Iterable[str], starters: frozenset[str] | None = None, first_steps: int = 600, steps: int = 80) -> Segmenter:
+    """A model fitted on texts; starters are learned from them unless given. Without any paragraph's end there is nothing
+    to learn from, and the prior decides.
+
+    First the rate of paragraph ends is fitted for each context alone, which is convex; half the rate of a sure boundary
+    is where tags change. From there the linear chain is fitted by gradients of the evidence, the sums over all taggings
+    that agree with it against the sums over all.
+    """
+    texts = list(dict.fromkeys(texts))
+    starters = learn_starters(texts) if starters is None else starters
+    sequences = evidence(texts, starters)
+    if not any(any(q[1]) for q in sequences):
+        return Segmenter(dict(EXPECTED), starters)
+    field = _Field(sequences)
+    cases = np.bincount(field.code, minlength=len(field.contexts))
+    named: Counter[tuple] = Counter()
+    for c, n in zip(field.contexts, cases.tolist(), strict=True):
+        for f in features(c):
+            named[f] += n
+    codes = {f: i for i, f in enumerate(f for f, n in named.items() if n >= LEAST_CASES or not f[0].startswith("word"))}
+    rows, columns = np.array([(i, codes[f]) for i, c in enumerate(field.contexts) for f in features(c) if f in codes]).T
+    prior = np.array([WORD_PRIOR if f[0].startswith("word") else PRIOR for f in codes])
+    rates = _rates(field)
+    per_place = np.bincount(field.code * PLACES + field.place, minlength=len(cases) * PLACES).reshape(-1, PLACES)
+    ended = np.bincount(field.code[field.ended], minlength=len(cases))
+    score = lambda w: np.bincount(rows, w[columns], len(cases))
+    expected = np.array([EXPECTED.get(f, 0.0) for f in codes])
+    slope = lambda by_context, w: np.bincount(columns, by_context[rows], len(codes)) - prior * (w - expected)
+    weights = _Climb(expected)
+    odds = np.log(rates / (1 - rates))
+    for i in range(first_steps):
+        rate = 1 / (1 + np.exp(-np.clip(score(weights.now)[:, None] + odds, -30, 30)))
+        weights.step(slope(ended - (per_place * rate).sum(axis=1), weights.now), 0.2 * (1 - i / first_steps))
+    start = weights.now.copy()
+    start[codes[("any",)]] += np.log(2)  # until here 0 is the rate of a sure boundary
+    weights, tags = _Climb(start), _Climb(np.zeros((2, 2, 2)))
+    agree = np.where(field.ended, 30.0, np.log(1 - rates[field.place]))
+    for _ in range(steps):
+        scores = score(weights.now)[field.code]
+        (any_, any_pairs), (known, known_pairs) = field.expect(scores, tags.now), field.expect(scores + agree, tags.now)
+        gradient = slope(np.bincount(field.code, known - any_, len(cases)), weights.now)
+        tags.step(known_pairs - any_pairs - CHAIN_PRIOR * tags.now, 0.05)
+        weights.step(gradient, 0.05)
+    chain = {("tags", n, a, b): float(tags.now[n, a, b]) for n in (0, 1) for a in (0, 1) for b in (0, 1)}
+    return Segmenter(EXPECTED | {f: float(weights.now[i]) for f, i in codes.items()} | chain, starters)
+
+
+def _rates(field: _Field) -> np.ndarray:
+    """How often a sure boundary ends a paragraph, by its number there.
+
+    Over all, it is the rate of the contexts that paragraph ends have, each weighed by its ends (those never seen at an
+    end do not count); then the rate at each number among contexts with at least half of that.
+    """
+    kinds: dict[tuple, int] = {}
+    kind = np.array([kinds.setdefault(c[:2], len(kinds)) for c in field.contexts])[field.code]
+    n, ends = np.bincount(kind), np.bincount(kind[field.ended], minlength=len(kinds))
+    sure = (ends / n >= (ends**2 / n).sum() / ends.sum() / 2)[kind]
+    counts = np.bincount(field.place[sure], minlength=PLACES)
+    whole = field.ended[sure].sum() / sure.sum()
+    return np.clip((np.bincount(field.place[sure & field.ended], minlength=PLACES) + 5 * whole) / (counts + 5), 1e-3, 0.999)
 
 
-def sentence_units(documents: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> DataFrame:
+def sentence_units(documents: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS, sample_longest: int = SAMPLE_LONGEST) -> DataFrame:
     """(doc_id, sent_start, sent_end): every sentence unit of every document, offsets in code points from 0.
 
-    documents: doc_id, text; further columns are ignored. The model is fitted on at most ``sample_documents``
-    documents, those with the smallest hashes of their ids, if not longer than ``SAMPLE_LONGEST``. Every document is read
-    whole twice in narrow passes: one counts the words that open sentences in lower case, one gives the units.
+    documents: doc_id, text; further columns are ignored. The model is fitted on at most ``sample_documents`` distinct
+    texts, those with the smallest hashes, if not longer than ``sample_longest`` code points. Every document is read
+    whole twice in narrow passes: one lists the words that open its sentences in lower case, one gives its units.
     Null, empty and blank texts have no units; repeated rows yield repeated units; null ids stay null.
     """
     whole = documents.where("text IS NOT NULL AND text <> ''").selectExpr("CAST(doc_id AS bigint) AS doc_id", "text")
-    # the smallest hashes come from a top-k of each partition; nothing is shuffled for it
-    ids = sorted({r[0] for r in documents.where("doc_id IS NOT NULL").selectExpr("CAST(doc_id AS bigint) AS doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_documents).collect()})
-    sample = [r[0] for r in whole.where(F.col("doc_id").isin(ids) & (F.length("text") <= SAMPLE_LONGEST)).orderBy("doc_id", "text").limit(2 * sample_documents).select("text").collect()] if ids else []
-    model = fit(sample, starters=starters_of(whole))
-    weights, starters, seen = model.weights, model.starters, model.seen
+
+    def openings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, own = [""] * batch.num_rows, list(range(batch.num_rows))
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                found = opening_words(text)
+                words += found
+                own += [i] * len(found)
+            own = pa.array(own, pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), batch.column(1).take(own), batch.column(0).take(own)], names=["word", "hash", "doc_id"])
+
+    # each distinct text once, under the empty word and under each word that opens its sentences; texts are read once for all answers
+    told = whole.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(openings, "word string, hash bigint, doc_id bigint")
+    told = cut_lineage(told.groupBy("word", "hash").agg(F.min("doc_id").alias("doc_id")), eager=True)
+    distinct = told.where("word = ''")
+    least = max(LEAST_OPENED, SHARE_OPENED * distinct.count())
+    # a share of all texts, so their number is bounded by what a text opens on average
+    starters = frozenset(r[0] for r in told.where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("word").collect())
+    ids = [r[0] for r in distinct.where("doc_id IS NOT NULL").orderBy("hash").limit(sample_documents).select("doc_id").collect()]
+    sample = [r[0] for r in whole.where(F.col("doc_id").isin(ids) & (F.length("text") <= sample_longest)).select("text").distinct().orderBy(F.xxhash64("text"), "text").limit(sample_documents).collect()] if ids else []
+    model = fit(sample, starters)
+    weights = model.weights
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter = Segmenter(weights, starters, seen)
+        segmenter = Segmenter(weights, starters)
         for batch in batches:
             ids, starts, ends = [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
