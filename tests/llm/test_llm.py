@@ -14,7 +14,7 @@ from tracewell.llm.eval_leaks import _Phrases, counted_places, eval_leaks, lette
 from tracewell.llm.event_runs import canonical_arguments, collapse_runs, time_us
 from tracewell.llm.fm_index import FmIndex, suffix_order
 from tracewell.llm.sentences import EXPECTED, Segmenter, _Field, evidence, fit, learn_starters, sentence_units
-from tracewell.llm.source_mix import attainable, mix_sources, rake, with_tokens
+from tracewell.llm.source_mix import attainable, fit_topics, mix_sources, rake, with_tokens
 
 EVENT = "trace_id string, seq long, tid long, ts string, syscall string, arguments string, error string, duration_ns long"
 
@@ -151,15 +151,31 @@ def test_mix(spark):
     docs = [(i, " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(rng.randrange(1, 60))), rng.choice(["big", "big", "BIG ", "small" if i % 9 == 0 else "big", None]), rng.choice(["en", "de-AT", None]), f"p{i % 7}") for i in range(900)] + [(1000, None, "big", "en", None), (1001, "", "small", "en", None), (None, "x", "big", "en", None)]
     targets = [("r", "big", 3.0, 1), ("r", "small", 1.0, 3), ("r", "missing", 1.0, 2), ("r", "big", 3.0, 1), ("q", "small", 1.0, 0), ("q", "big", None, 2)]
     d = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string, project string")
-    selection, report = mix_sources(d, spark.createDataFrame(targets, "recipe string, source string, target_weight double, max_repeats int"))
+    selection, report, marginals = mix_sources(d, spark.createDataFrame(targets, "recipe string, source string, target_weight double, max_repeats int"))
     rows = {(r.recipe, r.source): r for r in report.collect()}
     assert abs(rows["r", "big"].reached_share - 0.75) < 0.02 and abs(rows["r", "small"].reached_share - 0.25) < 0.02
+    assert {(m.dimension, m.recipe) for m in marginals.collect()} == {("lang", "r"), ("topic", "r")}
+    assert all(abs(sum(m.reached_share for m in marginals.collect() if m.dimension == d) - 1) < 1e-9 for d in ("lang", "topic"))
     assert rows["r", "missing"].tokens == 0 and rows["q", "big"].tokens == 0 and rows["r", "small"].most_copies <= 3 and rows["r", "big"].most_copies == 1
     first = sorted(map(tuple, selection.collect()), key=str)
     assert first and len(first) == len({(r[0], r[1]) for r in first})
     assert with_tokens(d.where("doc_id >= 1000")).select("n_tokens").distinct().collect() == [(0,)]
 
 
+def test_topics_come_from_the_texts_in_every_language():
+    rng = random.Random(2)
+    fields = {"net": range(100, 140), "disk": range(200, 240)}
+    tokens, languages, field = [], [], []
+    for i in range(200):
+        lang, name = ("en", "de")[i % 2], ("net", "disk")[i // 2 % 2]
+        tokens.append([rng.choice(fields[name]) for _ in range(40)] + [rng.randrange(1000, 1020) if lang == "en" else rng.randrange(3000, 3020) for _ in range(60)])
+        languages.append(lang), field.append(name)
+    topics = fit_topics(tokens, languages, topics=2)
+    own = topics.of(tokens, languages)
+    assert len(set(own)) == 2 and len(set(zip(own, field, strict=True))) == 2
+    assert fit_topics([], []).of([[1]], ["en"]) == [0] and topics.of([], []) == []
+
+
 def test_mix_queries_are_not_held_to_the_shortest_source(spark, tmp_path):
     rng = random.Random(8)
     text = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(n))
@@ -169,6 +185,9 @@ def test_mix_queries_are_not_held_to_the_shortest_source(spark, tmp_path):
     whole = with_tokens(spark.read.parquet(f"{tmp_path}/documents.parquet")).groupBy("source").sum("n_tokens").rdd.collectAsMap()
     rows = {r.source: r for r in queries.p7_mix_shares(spark, str(tmp_path)).collect()}
     assert abs(sum(r.tokens for r in rows.values()) / sum(whole.values()) - 1) < 0.02
+    assert rows["tiny"].capped and not rows["a"].capped and all(r.pool_tokens == whole[s] for s, r in rows.items())
+    # each source misses its goal by half of a short document (30 tokens) or less, and what no copy uses is told
+    assert abs(rows["a"].tokens - 2 * rows["b"].tokens) < 45 and rows["tiny"].left_out_tokens == 0
     assert rows["tiny"].tokens == 3 * whole["tiny"] and rows["tiny"].reached_share < 0.01 and abs(rows["a"].tokens / rows["b"].tokens - 2) < 0.1
     chosen = queries.p7_mix_selection(spark, str(tmp_path)).groupBy("source").sum("copies").rdd.collectAsMap()
     assert chosen["tiny"] == 3 and chosen["a"] > chosen["b"] > 100

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tracewell.llm.eval_leaks import eval_leaks
 from tracewell.llm.event_runs import collapse_runs
 from tracewell.llm.sentences import sentence_units
-from tracewell.llm.source_mix import mix_sources
+from tracewell.llm.source_mix import Mix, mix_sources
 
 
 def _table(spark: SparkSession, data: str, name: str) -> DataFrame:
@@ -26,19 +26,27 @@ def p6_removal_spans(spark: SparkSession, data: str) -> DataFrame:
     return eval_leaks(_table(spark, data, "documents"), _table(spark, data, "eval_items"))
 
 
+def _mix(spark: SparkSession, data: str) -> Mix:
+    return mix_sources(_table(spark, data, "documents"), _table(spark, data, "mix_targets"), of_pool=1.0)
+
+
 def p7_mix_selection(spark: SparkSession, data: str) -> DataFrame:
-    return mix_sources(_table(spark, data, "documents"), _table(spark, data, "mix_targets"), of_pool=1.0)[0]
+    return _mix(spark, data).selection
 
 
 def p7_mix_shares(spark: SparkSession, data: str) -> DataFrame:
-    return mix_sources(_table(spark, data, "documents"), _table(spark, data, "mix_targets"), of_pool=1.0)[1]
+    return _mix(spark, data).report
+
+
+def p7_mix_marginals(spark: SparkSession, data: str) -> DataFrame:
+    return _mix(spark, data).marginals
 
 
 def p8_found(spark: SparkSession, data: str) -> DataFrame:
     return sentence_units(_table(spark, data, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p6_found, p6_removal_spans, p7_mix_selection, p7_mix_shares, p8_found)}
+QUERIES = {f.__name__: f for f in (p5_found, p6_found, p6_removal_spans, p7_mix_selection, p7_mix_shares, p7_mix_marginals, p8_found)}
 ORACLES: dict[str, str] = {
     "p5_found": r"""WITH c AS (SELECT trace_id, tid, seq, min(syscall) AS syscall, min(error) AS error, min(arguments) AS arguments, min(ts) AS ts FROM trace_events GROUP BY trace_id, tid, seq),
     k AS (SELECT *, regexp_replace(array_to_string(list_transform(regexp_extract_all(arguments, '"(?:[^"\\]|\\.)*"(?:\.\.\.)?|[^"]+|"'), lambda t: CASE WHEN length(t) > 1 AND t LIKE '"%' AND t NOT LIKE '"/%' THEN '""' ELSE t END), ''), '0x[0-9a-fA-F]+|[0-9]+', '0', 'g') AS canon,

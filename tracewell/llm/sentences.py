@@ -76,6 +76,8 @@ _OPENING = re.compile(r"(?:\A|\n[ \t]*\n|(?<=[^\W\d_]{7})\.[ \t]+|[?][ \t]+)([a-
 _ENDERS = frozenset(".!?…。！？｡।॥؟۔:" + _CLOSERS + "".join(QUOTES.values()))
 #: Kinds of what follows a mark that may open a sentence, seen together as well as apart.
 _OPENS = frozenset(("upper", "starter", "digit", "letter", "open"))
+#: The same for the JVM.
+_OPENING_JVM = r"(?:\A|\n[ \t]*\n|(?<=\p{L}{7})\.[ \t]+|[?][ \t]+)([a-zа-яα-ω][\p{L}\p{N}_-]*)(?= )"
 
 #: Mark, what follows, scripts before, at and after the gap; then shape and word before a full stop, and words beside a number.
 Context = tuple[str, ...]
@@ -523,23 +525,14 @@ def sentence_units(documents: DataFrame, sample_documents: int = SAMPLE_DOCUMENT
 
     documents: doc_id, text; further columns are ignored. The model is fitted on at most ``sample_documents`` distinct
     texts, those with the smallest hashes, if not longer than ``sample_longest`` code points. Every document is read
-    whole twice in narrow passes: one lists the words that open its sentences in lower case, one gives its units.
+    whole twice in narrow passes: one in the JVM lists the words that open its sentences in lower case, one gives its units.
     Null, empty and blank texts have no units; repeated rows yield repeated units; null ids stay null.
     """
     whole = documents.where("text IS NOT NULL AND text <> ''").selectExpr("CAST(doc_id AS bigint) AS doc_id", "text")
 
-    def openings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words, own = [""] * batch.num_rows, list(range(batch.num_rows))
-            for i, text in enumerate(batch.column(2).to_pylist()):
-                found = opening_words(text)
-                words += found
-                own += [i] * len(found)
-            own = pa.array(own, pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), batch.column(1).take(own), batch.column(0).take(own)], names=["word", "hash", "doc_id"])
-
     # each distinct text once, under the empty word and under each word that opens its sentences; texts are read once for all answers
-    told = whole.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(openings, "word string, hash bigint, doc_id bigint")
+    words = F.array_union(F.array(F.lit("")), F.regexp_extract_all("text", F.lit(_OPENING_JVM), F.lit(1)))
+    told = whole.select("doc_id", F.xxhash64("text").alias("hash"), F.explode(words).alias("word"))
     told = cut_lineage(told.groupBy("word", "hash").agg(F.min("doc_id").alias("doc_id")), eager=True)
     distinct = told.where("word = ''")
     least = max(LEAST_OPENED, SHARE_OPENED * distinct.count())
