@@ -10,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from tracewell.llm import queries
-from tracewell.llm.eval_leaks import _Phrases, counted_places, eval_leaks, letters, merged, reduced, words
+from tracewell.llm.eval_leaks import _Phrases, counted_places, eval_leaks, letters, merged, reduced, removal_spans, words
 from tracewell.llm.event_runs import canonical_arguments, collapse_runs, time_us
 from tracewell.llm.fm_index import FmIndex, suffix_order
 from tracewell.llm.sentences import EXPECTED, Segmenter, _Field, evidence, fit, learn_starters, sentence_units
@@ -112,6 +112,18 @@ def test_leaks_against_brute_force(spark, shard):
         eval_leaks(df, it, most_items=3)
 
 
+def test_compatible_han_and_merged_spans(spark):
+    rng = random.Random(12)
+    forms = "".join(chr(0xF900 + rng.randrange(9)) for _ in range(30))  # compatible forms of plain ideographs
+    assert not set(letters(forms)) & set(forms)
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, forms), (2, f"Before. {text} After."), (2, f"Before. {text} After."), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "zh", letters(forms)), (8, "en", " ".join(f"w{i}" for i in range(20))), (9, "en", " ".join(f"w{i}" for i in range(15, 40)))], "item_id long, lang string, text string")
+    assert sorted((r.doc_id, r.item_id) for r in eval_leaks(docs, items, spans=False).collect()) == [(1, 7), (2, 8), (2, 9)]
+    assert sorted(map(tuple, removal_spans(docs, items).collect())) == [(1, 0, 30), (2, 8, 8 + len(text))]
+    assert removal_spans(docs.limit(0), items).collect() == [] and removal_spans(docs, items.limit(0)).collect() == []
+
+
 @pytest.mark.parametrize("by_letter", [False, True])
 def test_spans_come_from_located_offsets(by_letter):
     rng = random.Random(6)

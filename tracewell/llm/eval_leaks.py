@@ -5,12 +5,14 @@ documents become one text over the alphabet of the items: a word that no item ha
 separator, which no phrase contains. Every phrase of ``least`` consecutive words of an item is searched backwards
 through ranks in a wavelet matrix, occurrences are located by sampled suffix positions, and overlapping ones merge
 into removal spans. Items of languages without word spaces are searched letter by letter in an index of their own.
-A shard is at most ``shard_symbols`` long, so memory does not grow with the corpus; items are a fixed set held by
-every task, and more than ``most_items`` are refused. One narrow pass: no shuffle but for repeated results.
+A shard is at most ``shard_symbols`` long, so memory does not grow with the corpus; items are a fixed set whose phrases
+are built once a worker (about 5 kB an item of a hundred words), and more than ``most_items`` are refused. One narrow
+pass: no shuffle but for repeated results.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import sys
 import unicodedata
@@ -21,13 +23,16 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tracewell.llm.fm_index import FmIndex
 
 LEAST_WORDS, LEAST_LETTERS = 12, 24
 LETTER_LANGUAGES = ("zh",)
 SHARD_SYMBOLS = 2_000_000
-MOST_ITEMS = 100_000
+#: With their spans, texts are held until their shard is searched, at most so many characters.
+SHARD_CHARACTERS = 64_000_000
+MOST_ITEMS = 50_000
 SEPARATOR = 1
 
 _WORD = re.compile(r"[^\W_]+")
@@ -76,7 +81,7 @@ def words(text: str) -> list[str]:
 
 def letters(text: str) -> str:
     """The letters and digits of a text, reduced, and nothing between them."""
-    return "".join(_WORD.findall(reduced(text)))
+    return "".join(words(text))
 
 
 def counted_places(text: str, by_letter: bool) -> tuple[list[str], list[tuple[int, int]]]:
@@ -108,8 +113,8 @@ class _Phrases:
         self.codes = {u: i + 2 for i, u in enumerate(known)}
         self.sigma, self.least = len(known) + 2, least
         rows = [(n, i) for n, (_, units) in enumerate(items) for i in range(len(units) - least + 1)]
-        coded = [np.array([self.codes[u] for u in units], np.int64) for _, units in items]
-        grid = np.array([coded[n][i : i + least] for n, i in rows], np.int64).reshape(-1, least)
+        coded = [np.array([self.codes[u] for u in units], np.int32) for _, units in items]
+        grid = np.array([coded[n][i : i + least] for n, i in rows], np.int32).reshape(-1, least)
         # a phrase that several items share is searched once
         self.grid, self.same = np.unique(grid, axis=0, return_inverse=True) if len(grid) else (grid, np.empty(0, int))
         self.item = np.array([items[n][0] for n, _ in rows], np.int64)
@@ -167,35 +172,50 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def eval_leaks(documents: DataFrame, items: DataFrame, least_words: int = LEAST_WORDS, least_letters: int = LEAST_LETTERS, shard_symbols: int = SHARD_SYMBOLS, most_items: int = MOST_ITEMS, spans: bool = True) -> DataFrame:
+#: Phrases of the items that this worker built last, so that its next task need not.
+_BUILT: dict[str, list[tuple["_Phrases", bool, re.Pattern[str] | None]]] = {}
+
+
+def _kinds(by_words: list[tuple[int, list[str]]], by_letters: list[tuple[int, str]], least_words: int, least_letters: int, name: str) -> list[tuple["_Phrases", bool, re.Pattern[str] | None]]:
+    """(phrases, whether they are letters, a pattern without which no text holds one) of both kinds of items."""
+    if name not in _BUILT:
+        kinds: list[tuple[_Phrases, bool, re.Pattern[str] | None]] = []
+        if by_words:
+            kinds.append((_Phrases(by_words, least_words), False, None))
+        if by_letters:
+            # a phrase has no longer stretch without one of these characters; reduced text without them cannot hold one
+            rare = {c for _, t in by_letters for c in t if ord(c) > 0x2E7F}
+            gap = max((len(m) for _, t in by_letters for m in re.split("[" + re.escape("".join(rare)) + "]", t)), default=0) if rare else 0
+            kinds.append((_Phrases(by_letters, least_letters), True, re.compile("[" + re.escape("".join(sorted(rare))) + "]") if rare and gap < least_letters else None))
+        _BUILT.clear()
+        _BUILT[name] = kinds
+    return _BUILT[name]
+
+
+def eval_leaks(documents: DataFrame, items: DataFrame, least_words: int = LEAST_WORDS, least_letters: int = LEAST_LETTERS, shard_symbols: int = SHARD_SYMBOLS, most_items: int = MOST_ITEMS, spans: bool = True, by_document: bool = False) -> DataFrame:
     """(doc_id, item_id, spans): documents in which at least ``least_words`` consecutive words of an item stand
     consecutively, or ``least_letters`` letters and digits for items of a language in ``LETTER_LANGUAGES``.
 
     documents: doc_id, text; items: item_id, lang, text; further columns are ignored. spans (merged, in code points
-    of the text) is empty unless asked for. Null and empty texts hold nothing; an item shorter than a phrase can leak
-    no phrase. Texts that occur under several ids are reported under each; repeated rows once. Null ids are left out.
+    of the text) is empty unless asked for. With ``by_document`` there is one row a document: item_id is null and the spans
+    of all its items are merged. Null and empty texts hold nothing; an item shorter than a phrase can leak no phrase.
+    Texts that occur under several ids are reported under each; repeated rows once. Null ids are left out.
     """
     rows = items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "lang", "text").limit(most_items + 1).collect()
     if len(rows) > most_items:
         raise ValueError(f"more than {most_items} items")
     is_letter = lambda lang: (lang or "").lower().replace("_", "-").split("-")[0].strip() in LETTER_LANGUAGES
-    by_words = [(r[0], words(r[2])) for r in rows if not is_letter(r[1])]
-    by_letters = [(r[0], letters(r[2])) for r in rows if is_letter(r[1])]
+    by_words = sorted((r[0], words(r[2])) for r in rows if not is_letter(r[1]))
+    by_letters = sorted((r[0], letters(r[2])) for r in rows if is_letter(r[1]))
+    name = hashlib.sha256(repr((by_words, by_letters, least_words, least_letters)).encode()).hexdigest()
+    spans = spans or by_document
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = []
-        if by_words:
-            kinds.append((_Phrases(by_words, least_words), words, None))
-        if by_letters:
-            # a phrase has no longer stretch without one of these characters; text without them cannot hold one
-            rare = {c for _, t in by_letters for c in t if ord(c) > 0x2E7F}
-            gap = max((len(m) for _, t in by_letters for m in re.split("[" + re.escape("".join(rare)) + "]", t)), default=0) if rare else 0
-            rare_only = re.compile("[" + re.escape("".join(sorted(rare))) + "]") if rare and gap < least_letters else None
-            kinds.append((_Phrases(by_letters, least_letters), letters, rare_only))
+        kinds = _kinds(by_words, by_letters, least_words, least_letters, name)
 
         def settle(shard: list[tuple[int, str]], coded: list[list[tuple[int, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
-            pairs: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-            for (phrases, units_of, _), texts_of in zip(kinds, coded, strict=True):
+            pairs: dict[tuple[int, int | None], list[tuple[int, int]]] = defaultdict(list)
+            for (phrases, by_letter, _), texts_of in zip(kinds, coded, strict=True):
                 if texts_of and len(phrases.grid):
                     hits = phrases.found([t for _, t in texts_of], spans)
                     if not hits.size:
@@ -208,34 +228,45 @@ def eval_leaks(documents: DataFrame, items: DataFrame, least_words: int = LEAST_
                     for a, b in zip(at.tolist(), [*at[1:].tolist(), hits.shape[1]], strict=True):
                         n = texts_of[hits[0, a]][0]
                         if read is None or read[0] != n:
-                            read = (n, *counted_places(shard[n][1], units_of is letters))
-                        pairs[n, int(hits[1, a])] += phrases.spans(hits[2, a:b], *read[1:])
-            found = sorted(pairs)
+                            read = (n, *counted_places(shard[n][1], by_letter))
+                        pairs[n, None if by_document else int(hits[1, a])] += phrases.spans(hits[2, a:b], *read[1:])
+            found = list(pairs)
             where = [[{"start": a, "end": b} for a, b in merged(pairs[key])] for key in found]
             ids = [shard[n][0] for n, _ in found]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([i for _, i in found], pa.int64()), pa.array(where, _SPANS)], names=["doc_id", "item_id", "spans"])
 
         shard: list[tuple[int, str]] = []
         coded: list[list[tuple[int, np.ndarray]]] = [[] for _ in kinds]
-        size = 0
+        size = held = 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for (phrases, units, rare), own in zip(kinds, coded, strict=True):
-                    if rare is None or rare.search(text):
-                        code = phrases.encode(units(text))
+                found = words(text)
+                for (phrases, by_letter, rare), own in zip(kinds, coded, strict=True):
+                    units = "".join(found) if by_letter else found
+                    if rare is None or rare.search(units):
+                        code = phrases.encode(units)
                         if len(code) >= phrases.least:
                             own.append((len(shard), code))
                             size += len(code)
                 shard.append((doc_id, text if spans else ""))
-                if size >= shard_symbols:
+                held += len(text) if spans else 1
+                if size >= shard_symbols or held >= SHARD_CHARACTERS:
                     yield from settle(shard, coded)
-                    shard, coded, size = [], [[] for _ in kinds], 0
+                    shard, coded, size, held = [], [[] for _ in kinds], 0, 0
         if shard:
             yield from settle(shard, coded)
 
     whole = documents.where("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''").selectExpr("CAST(doc_id AS bigint) AS doc_id", "text")
     found = whole.mapInArrow(over, "doc_id bigint, item_id bigint, spans array<struct<start:int,end:int>>")
-    return found.dropDuplicates(["doc_id", "item_id"])
+    return found.dropDuplicates() if by_document else found.dropDuplicates(["doc_id", "item_id"])
+
+
+def removal_spans(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, span_start, span_end): what to cut out of each document, in code points, from the located positions of
+    phrases; spans of all items that overlap or meet are one. Else as :func:`eval_leaks`; different texts under one id
+    keep the spans of each."""
+    found = eval_leaks(documents, items, by_document=True)
+    return found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end")).distinct()
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm.eval_leaks import eval_leaks
+from tracewell.llm.eval_leaks import eval_leaks, removal_spans
 from tracewell.llm.event_runs import collapse_runs
 from tracewell.llm.sentences import sentence_units
 from tracewell.llm.source_mix import Mix, mix_sources
@@ -23,7 +23,7 @@ def p6_found(spark: SparkSession, data: str) -> DataFrame:
 
 
 def p6_removal_spans(spark: SparkSession, data: str) -> DataFrame:
-    return eval_leaks(_table(spark, data, "documents"), _table(spark, data, "eval_items"))
+    return removal_spans(_table(spark, data, "documents"), _table(spark, data, "eval_items"))
 
 
 def _mix(spark: SparkSession, data: str) -> Mix:
