@@ -297,3 +297,12 @@ def test_pairs_are_read_whole():
         role, layout, ts, *found = p.line(line, "f")[:5]
         assert (role, layout, ts, found) == (1, "LINE_PAIRS", 1704067200000, [level, source]), line
     assert p.line("a=b level=info", "f")[0] == 0
+
+
+def test_grammar_describes_objects_and_continuations():
+    read = LineParser({})
+    assert [read.shape(k)[0] for k in [("INDENT", "TEXT"), ("NAME", "TEXT"), ("BRACE", "FLDO", "FLDT", "ECARB"), ("INDENT", "FLDL"), ("BRACE",), ("ECARB",)]] == ["LINE_CONTINUED", "LINE_CONTINUED", "LINE_OBJECT", "LINE_MEMBER", "LINE_OPEN", "LINE_CLOSE"]
+    many = ", ".join(f'"k{i}": [{i}, {{"a": "b"}}]' for i in range(40))
+    role, layout, ts, level, source, _, _ = read.line('{"severity": "odd", ' + many + ', "msg": "level: fatal", "logger": "q", "source": null, "level": "warn", "time": "2022-01-02T00:00:00Z"}', "f")
+    assert (role, layout, ts, level, source) == (1, "LINE_OBJECT", _ms(2022, 1, 2), "warn", None)
+    assert read.line('{"a": 1', "f")[0] == read.line("}, 5", "f")[0] == read.line("   ", "f")[0] == 0

@@ -1,9 +1,9 @@
 """Log lines of many programs, parsed into entries with time, level, component and message.
 
 A lexer names the kinds of a line's leading tokens, and a weighted context-free grammar over these kinds describes
-headers, fields and continuations. An Earley parser keeps the highest-scoring parse; lines of one shape share it, so
-each task parses a shape once. Tokens that only a skipping rule can account for, and lines that begin no entry, are
-exposed as unparsed spans.
+headers, fields, objects in one line or several, and continuations, the least likely reading of any line. An Earley parser
+keeps the highest-scoring parse; lines of one shape share it, so each task parses a shape once. Tokens that only a
+skipping rule can account for, and lines that go on with an entry, are exposed as unparsed spans.
 
 Entries are put together per file and stretch of line numbers, so a hot file never meets one task; only the last
 entry of a stretch and the lines before the first one of the next are joined across the border.
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from tracewell.operators.earley import Grammar
 
 STRETCH = 16_384
-#: Tokens of a line that the grammar sees; no header has as many, what follows is message. Lines of pairs are read whole.
+#: Tokens of a line that the grammar sees: no rule has a header of more than eight, what follows is message. Lines of
+#: pairs and objects are read whole.
 HEADER_TOKENS = 12
 
 # The names, short forms and initials of levels, and the numeric severities of syslog.
@@ -96,6 +97,10 @@ LINE -> LINE_OPEN
 LINE -> LINE_MEMBER
 LINE -> LINE_CLOSE
 LINE -> LINE_PLAIN @-20
+LINE -> LINE_CONTINUED @-50
+LINE_CONTINUED -> INDENT
+LINE_CONTINUED -> INDENT body=TEXT
+LINE_CONTINUED -> REST
 LINE_DASHED -> ts=ISO DASH WHO DASH LEVEL DASH BODY
 LINE_DASHED -> ts=ISO DASH WHO DASH LEVEL DASH
 LINE_THREAD -> ts=ISO LEVEL BR WHO DASH BODY
@@ -108,11 +113,11 @@ LINE_BRACKET -> ts=ISO lvl=LVLB BODY @-4
 LINE_SPAN -> ts=ISO LEVEL src=TAG BODY
 LINE_SPAN -> ts=ISO LEVEL src=TAG
 LINE_SPAN -> ts=ISO lvl=LVLU BODY @-5
-LINE_MODULE -> ts=APT modlvl=MODLVL BODY
-LINE_MODULE -> ts=APT modlvl=MODLVL PIDB BODY
+LINE_MODULE -> ts=APT modlvl=MODLVL BODY @-1
+LINE_MODULE -> ts=APT modlvl=MODLVL PIDB BODY @-0.5
 LINE_MODULE -> ts=APT modlvl=MODLVL PIDB PIDB BODY
 LINE_MODULE -> ts=APT modlvl=MODLVL PIDB
-LINE_MODULE -> ts=APT lvl=LVLB BODY
+LINE_MODULE -> ts=APT lvl=LVLB BODY @-1
 LINE_MODULE -> ts=APT lvl=LVLB PIDB BODY
 LINE_SYSLOG -> SYSHEAD
 LINE_SYSLOG -> SYSHEAD BODY
@@ -141,10 +146,17 @@ PAIR -> lvl=KVL
 PAIR -> src=KVS
 PAIR -> KVO @-1
 PAIR -> KVM @-1
-LINE_OBJECT -> OBJ
-LINE_OPEN -> OPEN
-LINE_MEMBER -> MEMBER
-LINE_CLOSE -> CLOSE
+LINE_OBJECT -> BRACE FIELDS ECARB
+LINE_OBJECT -> BRACE ECARB
+LINE_OPEN -> BRACE
+LINE_MEMBER -> INDENT FIELD
+LINE_CLOSE -> ECARB
+FIELDS -> FIELD
+FIELDS -> FIELD FIELDS
+FIELD -> ts=FLDT
+FIELD -> lvl=FLDL
+FIELD -> src=FLDS
+FIELD -> FLDO @-1
 LINE_PLAIN -> ts=ISO BODY
 LINE_PLAIN -> ts=SYS BODY @-2
 LEVEL -> lvl=LVL
@@ -207,6 +219,8 @@ _ROLES = {name: (role, i) for role, names in (("ts", TIME_KEYS), ("level", LEVEL
 _BARE_NUMBER = re.compile(r"-?\d+(?:\.\d+)?")
 
 HEAD, MORE, OPEN, MEMBER, CLOSE = 1, 0, 2, 3, 4
+_LINE_ROLES = {"LINE_OPEN": OPEN, "LINE_MEMBER": MEMBER, "LINE_CLOSE": CLOSE}
+_FIELD_KINDS = {"ts": "FLDT", "level": "FLDL", "source": "FLDS"}
 
 
 def _level(word: object) -> str:
@@ -288,17 +302,44 @@ class LineParser:
             return number if abs(number) >= 10**11 else int(float(text) * 1000)
         return self.iso(text) if isinstance(value, str) else None
 
-    def fields(self, pairs: list[tuple[str, object]]) -> tuple[int | None, str | None, str | None]:
-        """(time, level, source) of an object's fields, keys in any case; null where none is given."""
-        best: dict[str, tuple[int, str, object]] = {}
-        for key, value in pairs:
+    def object(self, pairs: list[tuple[str, object]]) -> list[str]:
+        """The kinds of an object's fields, keys in any case: of those that tell the same, by the order of their names the
+        first one (of levels the first known) is it, all others are other fields."""
+        best: dict[str, tuple[int, int]] = {}
+        for i, (key, value) in enumerate(pairs):
             role = _ROLES.get(key) or _ROLES.get(key.lower())
-            if role and (role[0] not in best or role[1] < best[role[0]][0]):
-                if role[0] != "level" or _level(value) != "unknown":
-                    best[role[0]] = (role[1], key, value)
-        ts = self.value_time(*best["ts"][1:]) if "ts" in best else None
-        source = best["source"][2] if "source" in best else None
-        return ts, _level(best["level"][2]) if "level" in best else None, source if isinstance(source, str) else None
+            if role and (role[0] not in best or role[1] < best[role[0]][0]) and (role[0] != "level" or _level(value) != "unknown"):
+                best[role[0]] = (role[1], i)
+        kinds = ["FLDO"] * len(pairs)
+        for role, (_, i) in best.items():
+            kinds[i] = _FIELD_KINDS[role]
+        return kinds
+
+    def tokens(self, text: str) -> tuple[tuple[str, ...], list[tuple[int, int]], list[tuple[str, object]]]:
+        """Kinds and places of a line's tokens, and the pairs of an object's fields; those of its other fields that follow
+        each other are one token."""
+        if text[0].isspace():
+            indent = len(text) - len(text.lstrip())
+            if text[indent : indent + 1] == '"' and (m := _MEMBER.fullmatch(text)):
+                pairs = [(m[1], m[2] if m[2] is not None else m[3])]
+                return ("INDENT", *self.object(pairs)), [(0, indent), (indent, len(text))], [("", None), *pairs]
+            return (("INDENT",), [(0, len(text))], []) if indent == len(text) else (("INDENT", "TEXT"), [(0, indent), (indent, len(text))], [])
+        if text[0] not in "{}":
+            return *self.lex(text), []
+        bare = text.rstrip()
+        if bare in "{}":
+            return ("BRACE" if bare == "{" else "ECARB",), [(0, 1)], []
+        try:
+            pairs = json.loads(text, object_pairs_hook=list) if text[0] == "{" else None
+        except ValueError:
+            pairs = None
+        if not isinstance(pairs, list) or not all(isinstance(p, tuple) for p in pairs):
+            return ("TEXT",), [(0, len(text))], []
+        kinds, kept = ["BRACE"], [("", None)]
+        for kind, pair in zip(self.object(pairs), pairs, strict=True):
+            if kind != "FLDO" or kinds[-1] != "FLDO":
+                kinds.append(kind), kept.append(pair)
+        return (*kinds, "ECARB"), [(0, len(text))] * (len(kinds) + 1), kept
 
     def lex(self, text: str) -> tuple[tuple[str, ...], list[tuple[int, int]]]:
         """Kinds and places of a line's leading tokens; plain running words and what follows are one TEXT.
@@ -381,8 +422,9 @@ class LineParser:
             kinds.append("TEXT"), spans.append((run.start(1), len(text)))
         return tuple(kinds), spans
 
-    def shape(self, kinds: tuple[str, ...]) -> tuple | None:
-        """What the best parse of these kinds says: (layout, captured places, skipped places); parsed once."""
+    def shape(self, kinds: tuple[str, ...]) -> tuple:
+        """What the best parse of these kinds says: (layout, captured places, skipped places); parsed once. Every line has
+        one, as a continuation if nothing else."""
         if kinds not in self.shapes:
             if len(self.shapes) >= self.most:
                 self.shapes.clear()
@@ -395,32 +437,24 @@ class LineParser:
         text = raw[:-1] if raw.endswith("\r") else raw
         if "\x1b" in text:
             text = _ANSI.sub("", text)
-        if not text or text[0].isspace():
-            if text.lstrip()[:1] == '"' and (m := _MEMBER.fullmatch(text)) and self.shape(("MEMBER",)):
-                ts, level, source = self.fields([(m[1], m[2] if m[2] is not None else m[3])])
-                return MEMBER, "LINE_MEMBER", ts, level, source, None, []
-            return MORE, None, None, None, None, None, [(0, len(text))] if text else []
-        if text[0] in "{}":
-            bare = text.rstrip()
-            if bare in "{}":
-                layout = self.shape(("OPEN",) if bare == "{" else ("CLOSE",))[0]
-                return OPEN if bare == "{" else CLOSE, layout, None, None, None, None, []
-            if text[0] == "{":
-                try:
-                    pairs = json.loads(text, object_pairs_hook=list)
-                except ValueError:
-                    pairs = None
-                if isinstance(pairs, list) and all(isinstance(p, tuple) for p in pairs) and self.shape(("OBJ",)):
-                    return HEAD, "LINE_OBJECT", *self.fields(pairs), None, []
-            return MORE, None, None, None, None, None, [(0, len(text))]
-        kinds, spans = self.lex(text)
-        found = self.shape(kinds)
-        if found is None:
+        if not text:
+            return MORE, None, None, None, None, None, []
+        kinds, spans, pairs = self.tokens(text)
+        layout, captured, skipped = self.shape(kinds)
+        if layout == "LINE_CONTINUED":
             return MORE, None, None, None, None, None, [(0, len(text))]
-        layout, captured, skipped = found
         ts = level = source = None
         body = len(text)
         for name, i in captured:
+            if pairs:
+                key, value = pairs[i]
+                if name == "ts":
+                    ts = self.value_time(key, value)
+                elif name == "lvl":
+                    level = _level(value)
+                else:
+                    source = value if isinstance(value, str) else None
+                continue
             a, b = spans[i]
             token = text[a:b]
             if name == "ts":
@@ -440,7 +474,8 @@ class LineParser:
                 source = token.rpartition(":")[0]
             elif name == "src":
                 source = token.split("=", 1)[1].strip('"') if kinds[i] == "KVS" else token[:-1] if kinds[i] == "TAG" else token[: token.rindex("[")] if kinds[i] == "TAGPID" else token
-        return HEAD, layout, ts, None if level == "unknown" else level, source, body, [spans[i] for i in skipped]
+        role = _LINE_ROLES.get(layout, HEAD)
+        return role, layout, ts, None if level == "unknown" else level, source, None if role != HEAD or pairs else body, [spans[i] for i in skipped]
 
 
 _PARSED = "file string, line_no bigint, role int, layout string, ts_ms bigint, level string, source string, body int, unparsed array<struct<start:int,end:int>>"
