@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.addresses import is_ipv4, is_ipv6, shortest_ipv6
 from tracewell.functions.shell import splits_into_words
-from tracewell.functions.timestamps import normalise
+from tracewell.functions.timestamps import LocalPolicy, normalise
 from tracewell.operators.bitmaps import OrdinalBitmap
 from tracewell.operators.earley import Grammar
 from tracewell.operators.feed_parse import classify, unusable, usable_commands, usable_sockets
@@ -209,6 +209,18 @@ def test_timestamps(spark):
     assert normalise(spark.createDataFrame([("x", "2024-01-01 10:00:00"), ("x", "2024-01-01T10:00:00Z")], "file string, stamp string"), "stamp", src).select("ts_ms").collect() == [(None,), (_ms(2024, 1, 1, 10),)]
 
 
+def test_local_policies_and_zones_of_no_source(spark):
+    src = spark.createDataFrame([("b", "Europe/Berlin", 2023)], "file string, tz_name string, log_year int")
+    rows = spark.createDataFrame([(i, t, "b") for i, t in enumerate(["2024-10-27 02:30:00", "2024-03-31 02:30:00", "2024-10-27 03:30:00", "2024-06-01 02:30:00", "2024-01-01 10:00:00[Asia/Tokyo]", "2024-01-01 10:00:00[No/Where]"])], "i int, stamp string, file string")
+    read = lambda **policy: [r.ts_ms for r in normalise(rows, "stamp", src, policy=LocalPolicy(**policy)).orderBy("i").collect()]
+    rest = [_ms(2024, 10, 27, 2, 30), _ms(2024, 6, 1, 0, 30), _ms(2024, 1, 1, 1), None]
+    assert read() == [_ms(2024, 10, 27, 0, 30), _ms(2024, 3, 31, 1, 30), *rest]
+    assert read(twice="later") == [_ms(2024, 10, 27, 1, 30), _ms(2024, 3, 31, 1, 30), *rest]
+    assert read(twice="none", never="none") == [None, None, *rest]
+    with pytest.raises(ValueError):
+        LocalPolicy(twice="both")
+
+
 LINES = [
     "lost before any entry",
     '<131>Oct  9 12:00:00 host app::x[1]: error',

@@ -2,16 +2,18 @@
 
 An ordered cascade of anchored patterns: the first that fits the whole text decides, and its parts are checked
 strictly (an impossible date or time names no instant). What the text leaves open comes from the source's
-defaults: its time zone and its year. Local times follow one policy: one that occurs twice is the earlier instant,
-one that never occurs moves forward by the gap. Everything is column expressions and runs inside the JVM.
+defaults: its time zone and its year; a zone may have any name of the time-zone database. Local times that occur twice
+or never follow a named policy (:class:`LocalPolicy`). Everything is column expressions and runs inside the JVM.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import UTC, datetime, timedelta
-from zoneinfo import ZoneInfo
+from functools import cache
+from zoneinfo import ZoneInfo, available_timezones
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions.addresses import let
@@ -44,6 +46,14 @@ _AROUND = r"[\s \"'`\[\](){}<>“”‘’«»]+"
 MOST_ZONES = 2000
 
 
+@cache
+def zone_names() -> list[str]:
+    """Every name of the time-zone database that both sides know, the driver's and the JVM's."""
+    jvm = getattr(SparkSession.active(), "_jvm", None)
+    known = available_timezones() - {"Factory", "localtime"}
+    return sorted(known & set(jvm.java.time.ZoneId.getAvailableZoneIds()) if jvm else known)
+
+
 def zone_abbreviations(names: list[str], first: int = 2000, last: int = 2037) -> dict[str, int]:
     """``zone|abbreviation`` -> seconds east of UTC, in the meaning nearest to the years of the data."""
     found: dict[str, int] = {}
@@ -52,7 +62,6 @@ def zone_abbreviations(names: list[str], first: int = 2000, last: int = 2037) ->
             zone = ZoneInfo(name)
         except (ValueError, OSError, KeyError):
             continue
-        found.setdefault(f"{name}|", 0)  # the zone is known
         for year in [*range(2022, 2027), *range(2021, first - 1, -1), *range(2027, last + 1)]:
             for step in range(0, 365, 7):
                 at = (datetime(year, 1, 1, tzinfo=UTC) + timedelta(days=step)).astimezone(zone)
@@ -62,6 +71,30 @@ def zone_abbreviations(names: list[str], first: int = 2000, last: int = 2037) ->
     return found
 
 
+@dataclass(frozen=True)
+class LocalPolicy:
+    """What a local time means that clocks show twice (``earlier``, ``later`` or ``none``) or never (``forward`` by the gap
+    or ``none``)."""
+
+    twice: str = "earlier"
+    never: str = "forward"
+
+    def __post_init__(self) -> None:
+        if self.twice not in ("earlier", "later", "none") or self.never not in ("forward", "none"):
+            raise ValueError(f"no such policy: {self}")
+
+    def apply(self, instant: Column, wall: Column, zone: Column) -> Column:
+        """instant: the earlier one, or the one moved forward; wall: the local time read as UTC; all in milliseconds."""
+        if self == LocalPolicy():
+            return instant
+        shown = lambda at: F.when(at.isNotNull(), F.unix_millis(F.from_utc_timestamp(F.timestamp_millis(at), zone)))
+        # clocks that show a time twice go back within three hours of the first
+        again = lambda e: e + (shown(e) - e) - (shown(e + 3 * 3_600_000) - e - 3 * 3_600_000)
+        is_twice = lambda e: (again(e) > e) & (shown(again(e)) == wall)
+        out = {"earlier": lambda e: e, "later": lambda e: F.when(is_twice(e), again(e)).otherwise(e), "none": lambda e: F.when(~is_twice(e), e)}[self.twice]
+        return let(instant, (lambda e: F.when(shown(e) == wall, out(e))) if self.never == "none" else out)
+
+
 def _epoch(text: Column) -> Column:
     number = F.replace(text, F.lit(","), F.lit(".")).try_cast("decimal(38,9)")
     fits = lambda scale: (number >= F.lit(EPOCH_FROM * scale)) & (number < F.lit(EPOCH_TO * scale))
@@ -69,7 +102,7 @@ def _epoch(text: Column) -> Column:
     return F.when(fits(1), cut(number * 1000)).when(fits(10**3), cut(number)).when(fits(10**6), cut(number / 1000)).when(fits(10**9), cut(number / 1000000))
 
 
-def _instant(parts: Column, zone: Column, year: Column, offsets: Column) -> Column:
+def _instant(parts: Column, zone: Column, year: Column, offsets: Column, policy: LocalPolicy) -> Column:
     at = lambda i: F.nullif(F.try_element_at(parts, F.lit(i)), F.lit(""))
     num = lambda i, default: F.coalesce(at(i).try_cast("int"), F.lit(default))
     named = F.array_position(F.array(*[F.lit(m) for m in MONTHS.split()]), F.lower(F.substring(at(2), 1, 3)))
@@ -86,15 +119,15 @@ def _instant(parts: Column, zone: Column, year: Column, offsets: Column) -> Colu
     sound = (num(4, 0) <= 23) & (num(5, 0) <= 59) & (num(6, 0) <= 59)
     wall = lambda where: F.unix_millis(F.try_make_timestamp(y, month, num(3, 0), num(4, 0), num(5, 0), num(6, 0).cast("decimal(16,6)"), where)) + millis
     local = F.coalesce(at(9), own)
-    known = F.array_contains(F.map_keys(offsets), F.concat(local, F.lit("|")))
-    return F.when(sound, F.when(written != "", wall(F.lit("UTC")) - offset.cast("bigint") * 1000).when(known, wall(local)))
+    known = local.isin(zone_names())  # more than ten literals become one hash set
+    return F.when(sound, F.when(written != "", wall(F.lit("UTC")) - offset.cast("bigint") * 1000).when(known, policy.apply(wall(local), wall(F.lit("UTC")), local)))
 
 
-def epoch_millis(text: Column, zone: Column, year: Column, offsets: Column) -> Column:
+def epoch_millis(text: Column, zone: Column, year: Column, offsets: Column, policy: LocalPolicy = LocalPolicy()) -> Column:
     """The instant a text names, as epoch milliseconds UTC; null where it names none.
 
     zone: the source's zone name, null for UTC; year: stands in for a missing one; offsets: a map column of
-    :func:`zone_abbreviations`, which also says which zones exist. Quotes, brackets and blanks around the text do not
+    :func:`zone_abbreviations`. Quotes, brackets and blanks around the text do not
     count. Finer digits than milliseconds are cut off.
     """
 
@@ -104,13 +137,13 @@ def epoch_millis(text: Column, zone: Column, year: Column, offsets: Column) -> C
             anchored = rf"\A{pattern}\z"
             form = F.regexp_replace(t, anchored, template)
             canon = F.when(t.rlike(anchored), form) if canon is None else canon.when(t.rlike(anchored), form)
-        parsed = let(F.split(canon, r"\|", -1), lambda p: _instant(p, zone, year, offsets))
+        parsed = let(F.split(canon, r"\|", -1), lambda p: _instant(p, zone, year, offsets, policy))
         return F.when(t.rlike(r"\A\d+(?:[.,]\d+)?\z"), _epoch(t)).otherwise(parsed)
 
     return let(F.regexp_replace(text, rf"\A{_AROUND}|{_AROUND}\z", ""), cascade)
 
 
-def normalise(rows: DataFrame, text: str, sources: DataFrame, key: str = "file", out: str = "ts_ms") -> DataFrame:
+def normalise(rows: DataFrame, text: str, sources: DataFrame, key: str = "file", out: str = "ts_ms", policy: LocalPolicy = LocalPolicy()) -> DataFrame:
     """Adds ``out``: the instant that column ``text`` names, with zone and year from ``sources`` by ``key``.
 
     sources: key, tz_name, log_year, one row per key (of several the smallest holds). A key that sources lacks means
@@ -125,5 +158,5 @@ def normalise(rows: DataFrame, text: str, sources: DataFrame, key: str = "file",
     table = zone_abbreviations(sorted({"UTC", *names}))
     offsets = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
     kept = [F.col(f"`{c}`") for c in rows.columns if c != out]
-    instant = epoch_millis(F.col(text), F.col("__d.z"), F.col("__d.y"), offsets)
+    instant = epoch_millis(F.col(text), F.col("__d.z"), F.col("__d.y"), offsets, policy)
     return rows.join(defaults, rows[key] == defaults["__key"], "left").select(*kept, instant.alias(out))
