@@ -1,5 +1,7 @@
 """Domain operators on literal input."""
 
+import random
+import hashlib
 import gzip
 import io
 import json
@@ -122,7 +124,6 @@ def test_trace(spark):
         trace.require_trace(df.where("seq = 11"))
     d = spark.createDataFrame([("a", v) for v in (30, 10, 20)] + [("b", None)], "k string, v long")
     assert rows(trace.lower_percentiles(d, ["k"], "v", [50, 95, 99])) == [("a", 20, 20, 20)]
-    assert rows(d.groupBy("k").agg(trace.lower_percentile(F.col("v"), 95))) == [("a", 20), ("b", None)]
 
 
 XML = b"""<?xml version="1.0"?><testsuites><testsuite name="s"><properties><property name="k" value="1"/><property name="k" value="2"/></properties>
@@ -156,7 +157,8 @@ def test_disk(spark, tmp_path):
     total = {r.path: r.total_size for r in disk.rollup(sized).collect()}
     assert total[""] == 24000 and total["a"] == 16000 and total["b"] == 8000
     texts = spark.createDataFrame([(n, bytearray((tmp_path / n).read_bytes())) for n in ("a/x", "a/y", "b/z")], "path string, content binary")
-    assert rows(disk.duplicates(texts), "files", "copies", "reclaimable") == [(["a/x", "a/y"], 2, 8000)]
+    assert rows(disk.duplicates(texts), "first_file", "copies", "reclaimable") == [("a/x", 2, 8000)]
+    assert rows(disk.duplicate_files(texts), "file") == [("a/x",), ("a/y",)]
     assert rows(disk.duplicates(spark.createDataFrame([("a", bytearray(b"1"), 1), ("b", bytearray(b"1"), 1)], "path string, content binary, inode int"), inode=("inode",))) == []
     one, two = (spark.createDataFrame(x, "rel_path string, size long") for x in ([("a", 1), ("b", 2), ("c", 3)], [("a", 1), ("b", 3), ("d", 1)]))
     assert rows(disk.diff_snapshots(one, two), "rel_path", "change") == [("b", "grown"), ("c", "removed"), ("d", "added")]
@@ -431,3 +433,42 @@ def test_sessions_and_bounds(spark):
     assert redact_bytes(b"token=abc \xff").endswith("\ufffd".encode())
     with pytest.raises(UnicodeDecodeError):
         redact_bytes(b"\xff", strict=True)
+
+
+def test_percentiles_against_sorting(spark):
+    rng = random.Random(5)
+    data = [(rng.choice(["hot", "hot", "hot", "b", None]), rng.choice([rng.randrange(-10, 10), rng.randrange(10**12), 7, None, -(10**9)])) for _ in range(3000)]
+    want = {}
+    for k in {k for k, _ in data}:
+        v = sorted(x for kk, x in data if kk == k and x is not None)
+        want[k] = tuple(v[(len(v) - 1) * p // 100] for p in (0, 50, 95, 99, 100))
+    d = spark.createDataFrame(data, "k string, v long")
+    got = {r[0]: tuple(r)[1:] for r in trace.lower_percentiles(d, ["k"], "v", [0, 50, 95, 99, 100]).collect()}
+    assert got == want and trace.lower_percentiles(d.limit(0), ["k"], "v", [50]).collect() == []
+    stats = {r.syscall: (r.calls, r.p50_duration_ns) for r in trace.syscall_stats(d.select(F.col("k").alias("syscall"), F.col("v").alias("duration_ns"), F.lit(None).cast("string").alias("error"))).collect()}
+    assert stats == {k: (sum(kk == k for kk, _ in data), w[1]) for k, w in want.items()}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_against_the_driver(spark, seed):
+    rng = random.Random(seed)
+    pairs = [(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(50)] + [("x", "x"), ("y", None), ("p", "q"), ("q", "r")]
+    got = {}
+    for r in graph.mutual(spark.createDataFrame(pairs + pairs[:5], "src string, dst string")).collect():
+        got.setdefault(r.component, []).append(r.node)
+    assert sorted(sorted(v) for v in got.values()) == graph.components([p for p in pairs if p[1]]) and all(k == min(v) for k, v in got.items())
+    assert graph.mutual(spark.createDataFrame([("a", "b")], "src string, dst string")).collect() == []
+
+
+def test_union_of_runs(spark):
+    files = spark.createDataFrame([("r1", "b.xml", XML), ("r2", "a.xml", b'<testsuite name="t"><properties><property name="k" value="0"/><property name="z" value="9"/></properties><testcase name="n" time="1"/></testsuite>'), ("r3", "c.xml", b"<testsuite><testcase name='cut'")], "run_id string, path string, content binary")
+    cases = junit.parse_reports(files)
+    one = junit.merge_runs(cases, "p").first()
+    ordered = sorted((c for c in cases.collect() if c.identity), key=lambda c: (c.path, c.seq))
+    digest = hashlib.sha256(b"p" + b"".join(c.identity.encode() + bytes([["passed", "failed", "error", "skipped"].index(c.status)]) for c in ordered)).hexdigest()
+    assert (one.total, one.complete, one.properties, one.digest_id) == (len(ordered), False, {"k": "2", "z": "9"}, f"p-{digest[:12]}")
+    by = junit.summary(cases)
+    d = junit.summary_delta(by.where("run_id = 'r1'").withColumn("run_id", F.lit("x")), by.where("run_id = 'r2'").withColumn("run_id", F.lit("x"))).first()
+    a, b = by.where("run_id = 'r1'").first(), by.where("run_id = 'r2'").first()
+    assert (d.failed_delta, d.passed_delta) == (b.failed + b.errors - a.failed - a.errors, b.passed - a.passed) and d.duration_delta_sec == b.duration_sec - a.duration_sec
+    assert junit.run_digest(cases.limit(0), "p").collect() == []

@@ -35,23 +35,29 @@ def largest(nodes: DataFrame, n: int = 10, size: str = "total_size", name: str =
     return nodes.orderBy(F.desc(size), F.asc(name)).limit(n)
 
 
-def duplicates(files: DataFrame, key: str = "path", content: str = "content", size: str | None = None, inode: tuple[str, ...] = (), head: int = 4096) -> DataFrame:
-    """(size, sha256, files, copies, reclaimable): groups of equal contents under different names and inodes.
-
-    Equal sizes are found first, then equal digests of the first ``head`` characters or bytes, then of the whole, so
-    only what may be equal is digested. Names of one inode are one copy. Groups are keyed by a digest, and names
-    gathered are those of equal files only.
-    """
+def _digests(files: DataFrame, key: str, content: str, size: str | None, inode: tuple[str, ...]) -> DataFrame:
     length = F.col(size) if size else F.length(content)
-    sized = files.where(F.col(content).isNotNull()).withColumn("__size", length)
     who = F.concat_ws(":", *[F.col(c).cast("string") for c in inode]) if inode else F.col(key).cast("string")
-    several = lambda df, keys: df.join(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n"), list(keys), "left_semi")
-    by_head = several(sized, ["__size"]).withColumn("__head", F.sha2(F.substring(content, 1, head).cast("binary"), 256))
-    whole = several(by_head, ["__size", "__head"]).withColumn("sha256", F.when(F.col("__size") <= head, F.col("__head")).otherwise(F.sha2(F.col(content).cast("binary"), 256)))
-    groups = whole.groupBy(F.col("__size").alias("size"), "sha256").agg(F.array_sort(F.collect_list(F.col(key))).alias("files"), F.countDistinct(who).alias("copies"))
+    return files.where(F.col(content).isNotNull()).select(F.col(key).alias("file"), length.alias("size"), who.alias("__who"), F.sha2(F.col(content).cast("binary"), 256).alias("sha256"))
+
+
+def duplicates(files: DataFrame, key: str = "path", content: str = "content", size: str | None = None, inode: tuple[str, ...] = ()) -> DataFrame:
+    """(size, sha256, first_file, copies, reclaimable): groups of equal contents under different names and inodes.
+
+    Contents are digested where they are read, so only digests and names are shuffled, and a group of any number of files
+    is one row of partial sums. Names of one inode are one copy. :func:`duplicate_files` tells the members.
+    """
+    one = _digests(files, key, content, size, inode).groupBy("size", "sha256", "__who").agg(F.min("file").alias("file"))
+    groups = one.groupBy("size", "sha256").agg(F.min("file").alias("first_file"), F.count(F.lit(1)).alias("copies"))
     return groups.where("copies > 1").withColumn("reclaimable", (F.col("copies") - 1) * F.col("size"))
 
 
+def duplicate_files(files: DataFrame, key: str = "path", content: str = "content", size: str | None = None, inode: tuple[str, ...] = ()) -> DataFrame:
+    """(size, sha256, file): every file of a group of :func:`duplicates`, one row each."""
+    groups = duplicates(files, key, content, size, inode).select("size", "sha256")
+    return _digests(files, key, content, size, inode).join(groups, ["size", "sha256"], "left_semi").select("size", "sha256", "file").distinct()
+
+
 def diff_snapshots(before: DataFrame, after: DataFrame) -> DataFrame:
     """(rel_path, before_size, after_size, change): files added, removed, grown or shrunk."""
     j = before.select("rel_path", F.col("size").alias("before_size")).join(after.select("rel_path", F.col("size").alias("after_size")), "rel_path", "full_outer")

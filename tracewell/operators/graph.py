@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,11 +36,61 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None, most_rounds: int =
     raise LimitExceeded(f"paths are longer than {most_rounds} steps")
 
 
-def mutual(edges: DataFrame) -> DataFrame:
-    """(component, node): nodes on a cycle; a component is named after its smallest node."""
-    reach = closure(edges)
-    both = reach.alias("a").join(reach.alias("b"), (F.col("a.origin") == F.col("b.node")) & (F.col("a.node") == F.col("b.origin"))).select(F.col("a.origin").alias("node"), F.col("a.node").alias("other"))
-    return both.groupBy("node").agg(F.min("other").alias("component")).select("component", "node")
+def _settled(rows: DataFrame, most_rounds: int, step: Callable[[DataFrame], DataFrame], size: Callable[[DataFrame], object]) -> DataFrame:
+    """step applied, with the lineage cut, until size stays the same."""
+    was = size(rows)
+    for _ in range(most_rounds):
+        rows = cut_lineage(step(rows), eager=True)
+        now = size(rows)
+        if now == was:
+            return rows
+        was = now
+    raise LimitExceeded(f"not settled after {most_rounds} rounds")
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges whose source is some edge's target and whose target is some edge's source."""
+    into, from_ = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
+    return edges.join(into, "src", "left_semi").join(from_, "dst", "left_semi").select("src", "dst")
+
+
+def mutual(edges: DataFrame, most_rounds: int = 256) -> DataFrame:
+    """(component, node): nodes on a cycle; a component is named after its smallest node.
+
+    Edges that no cycle can hold are trimmed; every node takes the greatest name that reaches it, and what reaches a
+    node of its own name back, within that name, is that node's component; components are taken out and the rest goes
+    on. A round is joins of edges and nodes, never of pairs of nodes. More rounds than ``most_rounds`` are an error.
+    """
+    rest = cut_lineage(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct(), eager=True)
+    out: DataFrame | None = None
+    for _ in range(most_rounds):
+        rest = _settled(rest, most_rounds, _trimmed, lambda e: e.count())
+        if rest.isEmpty():
+            break
+        nodes = rest.select(F.col("src").alias("node")).union(rest.select(F.col("dst").alias("node"))).distinct().withColumn("color", F.col("node"))
+
+        def painted(n: DataFrame, rest: DataFrame = rest) -> DataFrame:
+            brought = rest.join(n, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.max("color").alias("brought"))
+            return n.join(brought, "node", "left").select("node", F.greatest("color", F.coalesce("brought", "color")).alias("color"))
+
+        colors = _settled(cut_lineage(nodes, eager=True), most_rounds, painted, lambda n: n.agg(F.bit_xor(F.xxhash64("node", "color")), F.count(F.lit(1))).first())
+        a, b = (colors.select(F.col("node").alias(c), F.col("color").alias(f"color_{c}")) for c in ("src", "dst"))
+        inner = cut_lineage(rest.join(a, "src").join(b, "dst").where("color_src = color_dst").select("src", "dst"), eager=True)
+        heads = colors.where("node = color")
+
+        def back(n: DataFrame, inner: DataFrame = inner) -> DataFrame:
+            return n.union(inner.join(n, F.col("dst") == F.col("node")).select(F.col("src").alias("node"), "color")).distinct()
+
+        found = _settled(cut_lineage(heads, eager=True), most_rounds, back, lambda n: n.count())
+        loops = inner.where("src = dst").select(F.col("src").alias("node")).distinct().withColumn("loop", F.lit(True))
+        named = found.join(loops, "node", "left").groupBy("color").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("n"), F.count("loop").alias("loops")).where("n > 1 OR loops > 0")
+        part = found.join(named, "color").select("component", "node")
+        out = part if out is None else out.unionByName(part)
+        gone = found.select("node")
+        rest = cut_lineage(rest.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"), eager=True)
+    else:
+        raise LimitExceeded(f"components are not found in {most_rounds} rounds")
+    return out if out is not None else rest.select(F.col("src").alias("component"), F.col("src").alias("node"))
 
 
 def bounded_edges(edges: DataFrame, most: int = DRIVER_EDGES) -> list[tuple[str, str]]:

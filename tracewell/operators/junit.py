@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from xml.parsers import expat
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 # Statuses, mildest first.
 STATUSES = ["skipped", "passed", "failed", "error"]
+# What a status counts as in a run's digest.
+STATUS_BYTES = ["passed", "failed", "error", "skipped"]
 
 
 def severity(status: Column) -> Column:
@@ -125,12 +128,46 @@ def summary(cases: DataFrame, keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
 
 
 def run_digest(cases: DataFrame, project: str, keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
-    """A run's name from its content: the project and the first twelve hex digits of a digest over its cases in order.
+    """keys and digest_id: a run's name from its content, the project and the first twelve hex digits of the digest of the
+    project's name, then each case's identity and a byte for its status, in order of path and place.
 
-    Cases are digested one by one before they are put in order, so what is gathered of a case is 72 bytes."""
-    one = F.sha2(F.concat(F.col("identity"), F.lit("\x00"), F.col("status")), 256)
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("path", "seq", one.alias("h")))), lambda x: x["h"])
-    return cases.where("identity IS NOT NULL").groupBy(*keys).agg(F.concat(F.lit(project + "-"), F.substring(F.sha2(F.concat(F.lit(project), F.array_join(ordered, "")), 256), 1, 12)).alias("digest_id"))
+    The digest is one over the whole run, so a run is read in order by one task, case by case; none is gathered.
+    """
+    codes = F.create_map(*[F.lit(x) for i, s in enumerate(STATUS_BYTES) for x in (s, i)])
+    ordered = cases.where("identity IS NOT NULL").select(F.to_json(F.struct(*keys)).alias("run"), "path", "seq", "identity", F.coalesce(codes[F.col("status")], F.lit(0)).alias("code")).repartition("run").sortWithinPartitions("run", "path", "seq")
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, digest = None, hashlib.sha256()
+        told = lambda: pa.RecordBatch.from_arrays([pa.array([now]), pa.array([f"{project}-{digest.hexdigest()[:12]}"])], names=["run", "digest_id"])
+        for b in batches:
+            for run, name, code in zip(*(b.column(i).to_pylist() for i in (0, 3, 4)), strict=True):
+                if run != now:
+                    if now is not None:
+                        yield told()
+                    now, digest = run, hashlib.sha256(project.encode())
+                digest.update(name.encode() + bytes([code]))
+        if now is not None:
+            yield told()
+
+    kinds = ", ".join(f"`{k}` {cases.schema[k].dataType.simpleString()}" for k in keys)
+    return ordered.mapInArrow(over, "run string, digest_id string").select(*[F.from_json("run", kinds)[k].alias(k) for k in keys], "digest_id")
+
+
+def merge_runs(cases: DataFrame, project: str) -> DataFrame:
+    """One row: the union of all runs as a run of its own. Counts and seconds are summed up, it is complete if all are, of
+    properties of one name the last by path holds, and its id is the digest of all cases in order."""
+    whole = cases.withColumn("run_id", F.lit(project))
+    held = whole.select(F.explode("properties").alias("name", "value"), "path").groupBy("name").agg(F.max_by("value", "path").alias("value"))
+    properties = held.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("properties"))  # the distinct names of one report
+    return summary(whole).join(run_digest(whole, project), "run_id", "left").crossJoin(properties)  # one row each
+
+
+def summary_delta(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
+    """keys and what changed between two summaries: failed_delta (failed and errors), passed_delta and duration_delta_sec;
+    a run that one side lacks counts as empty."""
+    side = lambda df, p: df.select(*keys, (F.col("failed") + F.col("errors")).alias(f"{p}_bad"), F.col("passed").alias(f"{p}_passed"), F.col("duration_sec").alias(f"{p}_sec"))
+    j = side(before, "b").join(side(after, "a"), list(keys), "full_outer").fillna(0, ["b_bad", "a_bad", "b_passed", "a_passed", "b_sec", "a_sec"])
+    return j.select(*keys, (F.col("a_bad") - F.col("b_bad")).alias("failed_delta"), (F.col("a_passed") - F.col("b_passed")).alias("passed_delta"), (F.col("a_sec") - F.col("b_sec")).alias("duration_delta_sec"))
 
 
 def diff_runs(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ CALL, UNFINISHED, RESUMED, SIGNAL, EXIT, OTHER = "call", "unfinished", "resumed"
 READS, WRITES = ["read", "pread64", "recvfrom", "recvmsg"], ["write", "pwrite64", "sendto", "sendmsg"]
 OPENERS = ["open", "openat", "openat2", "creat", "socket", "accept", "accept4", "epoll_create", "epoll_create1", "eventfd", "eventfd2", "timerfd_create", "signalfd", "signalfd4", "inotify_init", "inotify_init1", "memfd_create", "pidfd_open"]
 FORKS = ["fork", "vfork", "clone", "clone3"]
+TABLE_CALLS = [*OPENERS, *FORKS, "pipe", "pipe2", "socketpair", "dup", "dup2", "dup3", "fcntl", "close", "close_range", "execve", "execveat"]
 LEAST_SHIFT_NS, LEAST_SHIFT_PERCENT = 1000, 50
 
 _HEAD = re.compile(r"\s*(?:\[pid\s+(\d+)\]\s+|(\d+)\s+)?(?:([\d:.]+)\s+)?(.*)", re.S)
@@ -137,22 +138,33 @@ def unfinished(stitched: DataFrame) -> DataFrame:
     return stitched.groupBy("trace_id").agg(F.count_if(F.col("kind").isin(UNFINISHED, RESUMED)).alias("unfinished_calls"))
 
 
-def lower_percentile(values: Column, p: int) -> Column:
-    """The value at place floor((n-1) p / 100) of a group's sorted values; exact, never interpolated."""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.get(ordered, F.floor((F.count(values) - 1) * p / 100).cast("int"))
+def _bin(value: Column) -> Column:
+    """A number for a whole number that grows with it: its length in bits and its first ten bits after the highest."""
+    size = F.length(F.bin(F.abs(value)))
+    head = F.call_function("shiftright", F.abs(value), F.greatest(size - 11, F.lit(0)))
+    return F.when(value < 0, -(size * 4096 + head)).otherwise(size * 4096 + head).cast("int")
 
 
 def lower_percentiles(df: DataFrame, keys: list[str], value: str, ps: list[int]) -> DataFrame:
-    """The same percentiles with no group in one task's memory: equal values are counted first, then ranked by sums.
+    """keys and p{p}_{value}: the value at place floor((n-1) p / 100) of each group's sorted whole numbers; exact, never
+    interpolated. Null values do not count.
 
-    A group's distinct values are ranked by one window over (keys), which spills; nothing is collected into an array.
+    No group is ever in one task: values are counted in at most 2**18 bins a group, before the shuffle; the bin of each
+    place is found from these counts, and only values of such bins, each bin apart, are ranked themselves.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(*keys)
-    ranked = counted.withColumn("__upto", F.sum("__n").over(w.orderBy(value))).withColumn("__all", F.sum("__n").over(w))
-    at = lambda p: F.floor((F.col("__all") - 1) * p / 100)
-    return ranked.groupBy(*keys).agg(*[F.min(F.when(F.col("__upto") > at(p), F.col(value))).alias(f"p{p}_{value}") for p in ps])
+    known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"), _bin(F.col(value)).alias("__bin"))
+    group = F.struct(*keys) if keys else F.struct(F.lit(0))
+    counted = known.withColumn("__g", group).groupBy("__g", "__bin").agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy("__g")
+    run = counted.withColumn("__upto", F.sum("__n").over(w.orderBy("__bin"))).withColumn("__all", F.sum("__n").over(w))
+    places = F.array(*[F.struct(F.lit(p).alias("p"), F.floor((F.col("__all") - 1) * p / 100).alias("at")) for p in ps])
+    wanted = run.select("__g", "__bin", (F.col("__upto") - F.col("__n")).alias("__below"), F.explode(F.filter(places, lambda x: (x["at"] < F.col("__upto")) & (x["at"] >= F.col("__upto") - F.col("__n")))).alias("__p"))
+    bins = wanted.select(F.col("__g").alias("__wg"), F.col("__bin").alias("__wb")).distinct()
+    here = F.col("__g").eqNullSafe(F.col("__wg")) & (F.col("__bin") == F.col("__wb"))
+    within = known.withColumn("__g", group).join(bins, here, "left_semi").groupBy("__g", "__bin", "__v").agg(F.count(F.lit(1)).alias("__n"))
+    ranked = within.withColumn("__upto", F.sum("__n").over(Window.partitionBy("__g", "__bin").orderBy("__v")))
+    found = ranked.join(wanted.select(F.col("__g").alias("__wg"), F.col("__bin").alias("__wb"), "__below", "__p"), here).where(F.col("__below") + F.col("__upto") > F.col("__p.at"))
+    return found.groupBy("__g").agg(*[F.min(F.when(F.col("__p.p") == p, F.col("__v"))).alias(f"p{p}_{value}") for p in ps]).select(*[F.col(f"__g.{k}").alias(k) for k in keys], *[f"p{p}_{value}" for p in ps])
 
 
 def syscall_stats(calls: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -162,7 +174,9 @@ def syscall_stats(calls: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
         F.count(F.lit(1)).alias("calls"), F.count("error").alias("errors"), F.count("duration_ns").alias("known_duration"),
         F.coalesce(F.sum("duration_ns"), F.lit(0)).alias("total_ns"), F.max("duration_ns").alias("max_ns"),
     )
-    return sums.join(lower_percentiles(calls, by, "duration_ns", [50, 95, 99]), by, "left")
+    at = lower_percentiles(calls, by, "duration_ns", [50, 95, 99]).withColumnsRenamed({k: f"__{k}" for k in by})
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by]
+    return sums.join(at, same, "left").drop(*[f"__{k}" for k in by])
 
 
 def error_counts(calls: DataFrame) -> DataFrame:
@@ -253,9 +267,11 @@ def descriptor_leaks(events: DataFrame) -> DataFrame:
     """(trace_id, tid, fd): descriptors above 2 that nobody closed when the last user of their table ended.
 
     Threads of a trace share tables, so a trace is the smallest unit; it is read in order and in batches, and only
-    the tables are kept, whose size is bounded by the open descriptors, not by the events.
+    the tables are kept, whose size is bounded by the open descriptors, not by the events. Calls that open, close or share
+    no descriptor, the bulk of a trace, are left out before the shuffle, and so are failed ones.
     """
-    rows = events.select("trace_id", "seq", "tid", "kind", "syscall", "arguments", "result", "error").repartition("trace_id").sortWithinPartitions("trace_id", "seq")
+    counts = (F.col("kind") == EXIT) | (F.col("kind") == CALL) & F.col("syscall").isin(TABLE_CALLS) & F.col("error").isNull()
+    rows = events.where(counts).select("trace_id", "seq", "tid", "kind", "syscall", "arguments", "result", "error").repartition("trace_id").sortWithinPartitions("trace_id", "seq")
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state, begun = None, Descriptors(), False

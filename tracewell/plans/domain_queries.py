@@ -289,7 +289,7 @@ def test_run_diff(spark, data):
 
 
 @query(
-    f"""SELECT CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 'a' ELSE 'b' END AS run_id, 'demo-' || substring(sha256('demo' || string_agg(sha256('s::' || user_id || ':' || CAST(floor(value) AS BIGINT) || chr(0) || {_STATUS_SQL}), '' ORDER BY event_id)), 1, 12) AS digest_id FROM events GROUP BY 1"""
+    f"""SELECT CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 'a' ELSE 'b' END AS run_id, 'demo-' || substring(sha256('demo' || string_agg('s::' || user_id || ':' || CAST(floor(value) AS BIGINT) || chr(CASE {_STATUS_SQL} WHEN 'passed' THEN 0 WHEN 'failed' THEN 1 WHEN 'error' THEN 2 ELSE 3 END), '' ORDER BY event_id)), 1, 12) AS digest_id FROM events GROUP BY 1"""
 )
 def test_run_digest(spark, data):
     return junit.run_digest(_cases(spark, data), "demo")
@@ -318,13 +318,19 @@ def disk_largest(spark, data):
     return disk.largest(disk.rollup(_geo(spark, data), size="size"), 10)
 
 
-@query(
-    """SELECT size, sha256, list_sort(list(doc_id)) AS files, count(*) AS copies, (count(*) - 1) * size AS reclaimable FROM (SELECT doc_id, CAST(length(text) AS INT) AS size, sha256(text) AS sha256 FROM documents) GROUP BY size, sha256 HAVING count(*) > 1"""
-)
+_COPIES_SQL = "SELECT doc_id, CAST(length(text) AS INT) AS size, sha256(text) AS sha256 FROM documents"
+
+
+@query(f"SELECT size, sha256, min(doc_id) AS first_file, count(*) AS copies, (count(*) - 1) * size AS reclaimable FROM ({_COPIES_SQL}) GROUP BY size, sha256 HAVING count(*) > 1")
 def disk_duplicates(spark, data):
     return disk.duplicates(table(spark, data, "documents"), key="doc_id", content="text")
 
 
+@query(f"SELECT size, sha256, doc_id AS file FROM (SELECT *, count(*) OVER (PARTITION BY size, sha256) AS n FROM ({_COPIES_SQL})) WHERE n > 1")
+def disk_duplicate_files(spark, data):
+    return disk.duplicate_files(table(spark, data, "documents"), key="doc_id", content="text")
+
+
 @query("SELECT p_partkey FROM part WHERE regexp_full_match(p_name, '.*r.ng') OR regexp_full_match(p_name, '[a-m].*')")
 def disk_glob(spark, data):
     return table(spark, data, "part").where(glob_match(F.col("p_name"), "*r?ng") | glob_match(F.col("p_name"), "[!n-z]*") & glob_match(F.col("p_name"), "[a-m]*")).select("p_partkey")
