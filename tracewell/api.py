@@ -80,7 +80,7 @@ def inspect(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
         return kind, trace.syscall_stats(_trace(spark, path).where("kind = 'call'"))
     if kind == "directory":
         return kind, disk.rollup(disk.own_sizes(files.read_tree(spark, path)))
-    return kind, logs.parse_records(files.read_logs(spark, [path]), datetime.now(UTC).year)
+    return kind, logs.parse_records(files.read_logs(spark, [path]), logs.default_year())
 
 
 def compare(spark: SparkSession, before: str, after: str) -> tuple[str, DataFrame]:
@@ -97,14 +97,29 @@ def compare(spark: SparkSession, before: str, after: str) -> tuple[str, DataFram
     if kind in ("junit", "junit_file"):
         return kind, junit.diff_runs(*(junit.unique_cases(x) for x in both(_cases)))
     if kind == "elf":
-        return kind, elf.diff_symbols(*(elf.symbol_table(elf.inspect(x)) for x in both(_binary)))
+        reports = [elf.inspect(x) for x in both(_binary)]
+        headers = elf.diff_headers(*reports).select("what", F.lit("header").alias("change"), "before_value", "after_value", "verdict")
+        symbols = elf.diff_symbols(*(elf.symbol_table(r) for r in reports))
+        none = F.lit(None).cast("string")
+        return kind, headers.unionByName(symbols.select(F.col("identity").alias("what"), "change", none.alias("before_value"), F.nullif(F.array_join("what", ","), F.lit("")).alias("after_value"), "verdict"))
     if kind == "bundle":
-        return kind, bundle.diff_names(*(bundle.scan(x) for x in both(_binary)))
+        scanned = [bundle.scan(x, contents=True) for x in both(_binary)]
+        names = bundle.diff_names(*scanned).select(F.lit("entry").alias("section"), F.col("name").alias("row_key"), "change")
+        return kind, names.unionByName(bundle.diff_sections(*(bundle.section_rows(x.withColumn("content", F.decode("content", "UTF-8"))) for x in scanned)))
     if kind == "compile_db":
         return kind, build.diff_units(*both(_commands))
     return kind, trace.diff_stats(*(trace.syscall_stats(x.where("kind = 'call'")) for x in both(_trace)))
 
 
+def compare_reports(spark: SparkSession, section: str, before: str, after: str) -> DataFrame:
+    """(section, row_key, change) of two report documents of one section of :data:`bundle.SECTIONS`, written on their own."""
+    if section not in bundle.SECTIONS:
+        raise Unsupported(f"no such section: {section}")
+    name = F.lit(f"reports/{bundle.SECTIONS[section]}.json").alias("name")
+    read = lambda path: bundle.section_rows(spark.read.text(path, wholetext=True).select(F.lit("").alias("bundle"), name, F.col("value").alias("content")))
+    return bundle.diff_sections(read(before), read(after))
+
+
 def host_snapshot(spark: SparkSession, path: str, log: str | None = None, proc: str = "/proc", unit_dirs: str = "/etc/systemd/system:/run/systemd/system:/usr/lib/systemd/system:/lib/systemd/system") -> dict:
     """Writes a bundle of a host's sockets, ordering cycles, capacities and the end of a log; what cannot be collected is
     a diagnostic. Each part is one host's report, so it is gathered on the driver."""

@@ -204,3 +204,41 @@ def collect(collectors: dict[str, object]) -> tuple[dict[str, bytes], list[str]]
     if not artifacts:
         raise UsageError("no source could be collected: " + "; ".join(diagnostics))
     return artifacts, diagnostics
+
+
+# The entries that hold a domain's report, by section.
+SECTIONS = {"disk": "disk_tree", "abi": "abi_report", "test": "test_run", "trace": "trace_snapshot", "sys": "sys_snapshot", "build": "build_graph", "env": "env_report", "net": "net_report", "doctor": "doctor"}
+#: What tells rows of a section's report from each other; the rest of a row is compared.
+SECTION_KEYS = {
+    "disk": ["rel_path"], "abi": ["path", "name"], "test": ["identity"], "trace": ["syscall"], "sys": ["unit", "section", "key"], "build": ["file"], "env": ["norm_name"],
+    "net": ["kind", "local_address", "local_port", "remote_address", "remote_port"], "doctor": ["category", "name"],
+}
+
+
+def section_rows(entries: DataFrame, keys: tuple[str, ...] = ("bundle",)) -> DataFrame:
+    """keys, section, row_key and row of the reports in bundles: documents that are lists of objects, or hold one under
+    ``rows``. entries: keys, name, content (text). A document that cannot be read gives one row with a null row_key."""
+    name = F.regexp_extract("name", r"\A(?:\./)*reports/([^/]+)\.json\z", 1)
+    section = F.create_map(*[F.lit(x) for s, n in SECTIONS.items() for x in (n, s)])[name]
+    told = entries.withColumn("section", section).where("section IS NOT NULL")
+    text = F.col("content").cast("string")
+    read = F.coalesce(F.from_json(text, "array<map<string,string>>"), F.from_json(F.get_json_object(text, "$.rows"), "array<map<string,string>>"))
+    by = F.create_map(*[x for s, k in SECTION_KEYS.items() for x in (F.lit(s), F.array(*[F.lit(c) for c in k]))])[F.col("section")]
+    rows = told.select(*keys, "section", by.alias("__by"), F.explode_outer(read).alias("__r"))
+    key = F.when(F.col("__r").isNotNull(), F.array_join(F.transform("__by", lambda k: F.coalesce(F.col("__r")[k], F.lit(""))), "|"))
+    row = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.map_filter("__r", lambda k, v: ~F.array_contains("__by", k))))))
+    return rows.select(*keys, "section", key.alias("row_key"), row.alias("row"))
+
+
+def diff_sections(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, section, row_key and change (added, removed, changed, or incomplete for a section that only one side has or that
+    could not be read, with a null row_key). before and after: rows of :func:`section_rows`, one bundle for each of keys."""
+    by = [*keys, "section"]
+    side = lambda df, p: df.where("row_key IS NOT NULL").groupBy(*by, "row_key").agg(F.max("row").alias(p), F.lit(True).alias(f"__{p}"))
+    state = lambda df, p: df.groupBy(*by).agg(F.bool_and(F.col("row_key").isNotNull()).alias(f"__{p}_read"))
+    states = state(before, "b").join(state(after, "a"), by, "full_outer")
+    whole = states.where("__b_read AND __a_read").select(*by)
+    j = side(before, "b").join(side(after, "a"), [*by, "row_key"], "full_outer").join(whole, by, "left_semi")
+    change = F.when(F.col("__b").isNull(), "added").when(F.col("__a").isNull(), "removed").when(~F.col("b").eqNullSafe(F.col("a")), "changed")
+    found = j.select(*by, "row_key", change.alias("change")).where("change IS NOT NULL")
+    return found.unionByName(states.where("NOT coalesce(__b_read, false) OR NOT coalesce(__a_read, false)").select(*by, F.lit(None).cast("string").alias("row_key"), F.lit("incomplete").alias("change")))

@@ -66,3 +66,40 @@ def diff_checks(before: DataFrame, after: DataFrame) -> DataFrame:
     rank = lambda c: F.greatest(grade_rank(F.col(c)), F.lit(2))
     change = F.when(F.col("before_status").isNull(), "added").when(F.col("after_status").isNull(), "removed").when(rank("after_status") > rank("before_status"), "regressed").when(rank("after_status") < rank("before_status"), "improved")
     return j.withColumn("change", change).where("change IS NOT NULL")
+
+
+def preload_checks(lines: DataFrame, hosts: DataFrame) -> DataFrame:
+    """(host, category, name, status, message): a warning for each host whose list of preloaded libraries names any.
+
+    lines: host, line of that list; hosts: host. Blank lines and those that begin with ``#`` name nothing."""
+    text = F.trim("line")
+    named = lines.where((text != "") & ~F.startswith(text, F.lit("#"))).groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.min(text).alias("first"))
+    status = F.when(F.col("n") > 0, "warn").otherwise("pass")
+    message = F.when(F.col("n") > 0, F.concat(F.col("n").cast("string"), F.lit(" preloaded, such as "), F.col("first"))).otherwise("")
+    return hosts.select("host").distinct().join(named, "host", "left").select("host", F.lit("security").alias("category"), F.lit("preload").alias("name"), status.alias("status"), message.alias("message"))
+
+
+def path_checks(paths: DataFrame, folders: DataFrame) -> DataFrame:
+    """(host, place, entry, problem): entries of search paths that are empty or the current folder, relative, or folders that
+    anyone may write to. paths: host, value; folders: host, path, mode (permission bits)."""
+    entries = paths.select("host", F.posexplode(F.split("value", ":", -1)).alias("place", "entry"))
+    modes = folders.groupBy("host", F.col("path").alias("entry")).agg(F.max(F.col("mode").bitwiseAND(2)).alias("__open"))
+    j = entries.join(modes, ["host", "entry"], "left")
+    problem = F.when(F.col("entry").isin("", "."), "current_folder").when(~F.startswith("entry", F.lit("/")), "relative").when(F.col("__open") > 0, "world_writable")
+    return j.select("host", "place", "entry", problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def service_checks(units: DataFrame, cycles: DataFrame, diagnostics: DataFrame) -> DataFrame:
+    """(host, category, name, status, message): cycles fail, diagnostics warn, a host without units is skipped.
+
+    units: host, unit (null for a host without any); cycles: host; diagnostics: host, diagnostic."""
+    per = units.groupBy("host").agg(F.count("unit").alias("units"))
+    counted = lambda df, n: df.groupBy("host").agg(F.count(F.lit(1)).alias(n))
+    j = per.join(counted(cycles, "cycles"), "host", "left").join(counted(diagnostics.where("diagnostic IS NOT NULL"), "diagnostics"), "host", "left").fillna(0)
+    number = lambda c, text: F.concat(F.col(c).cast("string"), F.lit(text))
+    row = lambda name, status, message: F.struct(F.lit("services").alias("category"), F.lit(name).alias("name"), status.alias("status"), message.alias("message"))
+    rows = F.array(
+        row("ordering_cycles", F.when(F.col("units") == 0, "skip").when(F.col("cycles") > 0, "fail").otherwise("pass"), number("cycles", " cycles")),
+        row("unit_files", F.when(F.col("units") == 0, "skip").when(F.col("diagnostics") > 0, "warn").otherwise("pass"), number("diagnostics", " diagnostics")),
+    )
+    return j.select("host", F.inline(rows))

@@ -166,7 +166,8 @@ def summary_delta(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = (
     """keys and what changed between two summaries: failed_delta (failed and errors), passed_delta and duration_delta_sec;
     a run that one side lacks counts as empty."""
     side = lambda df, p: df.select(*keys, (F.col("failed") + F.col("errors")).alias(f"{p}_bad"), F.col("passed").alias(f"{p}_passed"), F.col("duration_sec").alias(f"{p}_sec"))
-    j = side(before, "b").join(side(after, "a"), list(keys), "full_outer").fillna(0, ["b_bad", "a_bad", "b_passed", "a_passed", "b_sec", "a_sec"])
+    sides = [side(before, "b").withColumn("__", F.lit(0)), side(after, "a").withColumn("__", F.lit(0))]
+    j = sides[0].join(sides[1], [*keys, "__"], "full_outer").fillna(0, ["b_bad", "a_bad", "b_passed", "a_passed", "b_sec", "a_sec"])
     return j.select(*keys, (F.col("a_bad") - F.col("b_bad")).alias("failed_delta"), (F.col("a_passed") - F.col("b_passed")).alias("passed_delta"), (F.col("a_sec") - F.col("b_sec")).alias("duration_delta_sec"))
 
 

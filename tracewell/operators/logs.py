@@ -7,10 +7,12 @@ nullable (null is unknown); 0 and ``unknown`` appear only where a report asks fo
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import asdict, dataclass
 from dataclasses import fields as fields_of
+from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.errors import UsageError
@@ -118,7 +120,8 @@ _ISO = r"\A\d{4}-\d{2}-\d{2}(?:[T ](?:[01]\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:[.,]\d
 def _civil(text: Column) -> Column:
     """Milliseconds of an ISO date and time, UTC where it has no offset; null where it is none."""
     zoned = F.substring(text, 17, 50).rlike("[Zz+-]")
-    plain = F.translate(text, ",z", ".Z")
+    # a time of hours and minutes gets its seconds, which a cast needs
+    plain = F.regexp_replace(F.translate(text, ",z", ".Z"), r"\A(.{10}[T ]\d{2}:\d{2})(?!:)", "$1:00")
     full = F.when(zoned, plain).when(F.length(text) == 10, F.concat(plain, F.lit("T00:00:00Z"))).otherwise(F.concat(plain, F.lit("Z")))
     return F.when(text.rlike(_ISO), F.unix_millis(full.try_cast("timestamp")))
 
@@ -216,13 +219,16 @@ class LogFilter:
     def __post_init__(self) -> None:
         if self.min_level is not None and self.min_level not in LEVEL_ORDER:
             raise UsageError(f"no such level: {self.min_level}")
+        if self.since_ms is not None and self.until_ms is not None and self.since_ms > self.until_ms:
+            raise UsageError("the first time is after the last")
         if self.regex is not None:
-            import re
-
-            try:
-                re.compile(self.regex)
-            except re.error as e:
-                raise UsageError(f"invalid pattern: {e}") from e
+            # the pattern runs in the JVM, so it is the JVM that must know it
+            spark = SparkSession.getActiveSession()
+            if spark is not None and hasattr(spark, "_jvm"):
+                try:
+                    spark._jvm.java.util.regex.Pattern.compile(self.regex)
+                except Exception as e:  # noqa: BLE001 - a Java exception behind the gateway
+                    raise UsageError(f"invalid pattern: {self.regex}") from e
 
     def level_ok(self, level: Column) -> Column:
         if self.min_level is None:
@@ -289,6 +295,57 @@ def with_context(lines: DataFrame, match: Column, before: int, after: int, stret
     return own.withColumn("is_match", F.col("__m")).drop("__m", "__at", "__b", "__near")
 
 
+def default_year(now: datetime | None = None) -> int:
+    """The year of times written without one: the current one in UTC."""
+    return (now or datetime.now(UTC)).year
+
+
+def checked_year(year: int) -> int:
+    """A year that a filter may name; any other is a usage error."""
+    if not 1 <= year <= 9999:
+        raise UsageError(f"no such year: {year}")
+    return year
+
+
+def bound_ms(text: str) -> int:
+    """A bound of time as epoch milliseconds, as :func:`parse_bound` reads it; a usage error if it is none."""
+    bare = text.strip()
+    if not re.match(r"\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}|$)", bare):
+        raise UsageError(f"no such time: {text}")
+    try:
+        at = datetime.fromisoformat(bare.replace(",", "."))
+    except ValueError as e:
+        raise UsageError(f"no such time: {text}") from e
+    return round((at if at.tzinfo else at.replace(tzinfo=UTC)).timestamp() * 1000)
+
+
+def first_matches(lines: DataFrame, keep: LogFilter, limit: int, after: int = 0, order: str = "input") -> DataFrame:
+    """The first ``limit`` matching lines over all inputs, in the order of inputs and lines, each with the lines of its own
+    input that follow within ``after`` numbers, as far as they go on from the last match.
+
+    lines: ``order`` (the input's place), line_no and what the filter reads. is_match tells matches from context. The
+    limit is the feature; the lines within reach are found by the limit's last match, not by gathering any input."""
+    hits = lines.where(keep.condition()).select(order, "line_no").orderBy(order, "line_no").limit(limit)
+    near = hits.select(F.col(order).alias("__o"), F.explode(F.sequence(F.col("line_no"), F.col("line_no") + F.lit(after))).alias("__l"), F.col("line_no").alias("__m"))
+    wanted = near.groupBy("__o", "__l").agg(F.max(F.col("__l") == F.col("__m")).alias("is_match"))
+    return lines.join(wanted, (F.col(order) == F.col("__o")) & (F.col("line_no") == F.col("__l"))).drop("__o", "__l")
+
+
+def as_jsonl(records: DataFrame) -> DataFrame:
+    """(line): one JSON object a record, keys in the order of the columns, null fields included; written with ``write.text``."""
+    return records.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in records.columns]), {"ignoreNullFields": "false"}).alias("line"))
+
+
+def strict_text(raw: Column) -> Column:
+    """Bytes as text where they are UTF-8, null where they are not."""
+    return F.try_validate_utf8(raw.cast("string"))
+
+
+def lossy_text(raw: Column) -> Column:
+    """Bytes as text, what is no UTF-8 replaced."""
+    return F.make_valid_utf8(raw.cast("string"))
+
+
 def page(df: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:
     """One page of a total order; the paging itself is the feature."""
     return df.orderBy(*order).offset(offset).limit(limit)

@@ -114,3 +114,37 @@ def diff_reports(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = ()
 def exposed(sockets: DataFrame) -> DataFrame:
     """Listeners on sensitive ports that any address can reach."""
     return sockets.where(is_listener() & F.col("local_address").isin(WILDCARDS) & F.col("local_port").isin(SENSITIVE_PORTS))
+
+
+def without_unix(sockets: DataFrame) -> DataFrame:
+    """The sockets that are no unix ones; summaries are of what is left."""
+    return sockets.where(~F.coalesce(F.startswith("kind", F.lit("unix")), F.lit(False)))
+
+
+def waiting_delta(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys and time_wait_delta: how many more sockets wait after than before; a side without rows counts as none."""
+    count = lambda df, n: df.where("state = 'TIME_WAIT'").select(*keys, F.lit(n).alias("n"))
+    return count(before, -1).unionByName(count(after, 1)).groupBy(*keys).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("time_wait_delta"))
+
+
+#: Services that should not listen on every address.
+SENSITIVE_SERVICES = {22: "SSH", 23: "Telnet", 3306: "MySQL", 5432: "PostgreSQL", 6379: "Redis", 27017: "MongoDB"}
+
+
+def checks(sockets: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, category, name, status and message: one row each for the overview, sensitive listeners on every address and
+    sockets without an owner. sockets: as from :func:`with_owners`. Sockets whose owner could not be read are no fault."""
+    names = F.create_map(*[F.lit(x) for p, n in SENSITIVE_SERVICES.items() for x in (p, n)])
+    open_ = is_listener() & F.col("local_address").isin(*WILDCARDS, "") & F.col("local_port").isin(SENSITIVE_PORTS)
+    # at most as many names as there are sensitive ports
+    per = sockets.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(is_listener()).alias("listeners"), F.count_if(F.col("owner_state") == "orphan").alias("orphans"), F.count_if(F.col("owner_state") == "owner_unknown").alias("unread"),
+        F.array_sort(F.collect_set(F.when(open_, F.concat(names[F.col("local_port")], F.lit(":"), F.col("local_port").cast("string"))))).alias("exposed"),
+    )
+    row = lambda name, status, message: F.struct(F.lit("network").alias("category"), F.lit(name).alias("name"), status.alias("status"), message.alias("message"))
+    rows = F.array(
+        row("overview", F.lit("pass"), F.concat(F.col("total").cast("string"), F.lit(" sockets, "), F.col("listeners").cast("string"), F.lit(" listeners"))),
+        row("exposed_listeners", F.when(F.size("exposed") > 0, "warn").otherwise("pass"), F.array_join("exposed", ", ")),
+        row("orphans", F.when(F.col("orphans") > 0, "warn").otherwise("pass"), F.concat(F.col("orphans").cast("string"), F.lit(" without owner, "), F.col("unread").cast("string"), F.lit(" unread"))),
+    )
+    return per.select(*keys, F.inline(rows))

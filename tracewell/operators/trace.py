@@ -24,7 +24,7 @@ _HEAD = re.compile(r"\s*(?:\[pid\s+(\d+)\]\s+|(\d+)\s+)?(?:([\d:.]+)\s+)?(.*)",
 _NAME = re.compile(r"([A-Za-z0-9_]+)\(")
 _RESUMED = re.compile(r"<\.\.\.\s+([A-Za-z0-9_]+)\s+resumed>\s?,?\s?(.*)", re.S)
 _SECONDS = re.compile(r"\s*<(\d+(?:\.\d+)?)>\s*\Z")
-_RETURN = re.compile(r"(-?\d+|0x[0-9a-fA-F]+|\?)(?:<[^>]*>)?(?:\s+([A-Z][A-Z0-9_]+))?")
+_RETURN = re.compile(r"(0x[0-9a-fA-F]+|-?\d+|\?)(?:<[^>]*>)?(?:\s+([A-Z][A-Z0-9_]+))?")
 
 
 def closing_paren(text: str, start: int) -> int:
@@ -53,7 +53,8 @@ def parse_result(text: str) -> tuple[str, str | None, int | None]:
     """(result, error, duration in ns) of what follows ``=``."""
     duration = None
     if m := _SECONDS.search(text):
-        duration = int(float(m[1]) * 1e9)
+        seconds, _, rest = m[1].partition(".")
+        duration = int(seconds) * 1_000_000_000 + int(rest.ljust(9, "0")[:9])
         text = text[: m.start()]
     m = _RETURN.match(text.strip())
     if not m:

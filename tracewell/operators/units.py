@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tracewell.errors import LimitExceeded
+from tracewell.operators.graph import DRIVER_EDGES, components, cycle_path
 from tracewell.session import cut_lineage
 
 # Suffixes of unit files, keys that an empty value does not reset, keys whose values are references.
@@ -134,10 +135,13 @@ def is_template(unit: Column) -> Column:
     return unit.rlike(r"\A[^@]+@\.[a-z]+\z")
 
 
-def references(entries: DataFrame) -> DataFrame:
-    """(unit, key, target): each unit that another names, once."""
-    refs = entries.where((F.col("section") == "Unit") & F.col("key").isin(REFERENCE_KEYS)).select("unit", "key", F.explode(F.split(F.trim("value"), r"\s+")).alias("target"))
-    return refs.where("target <> ''").distinct()
+def references(entries: DataFrame, provenance: bool = False) -> DataFrame:
+    """(unit, key, target): each unit that another names, once; with provenance also path and line of the first place."""
+    named = entries.where((F.col("section") == "Unit") & F.col("key").isin(REFERENCE_KEYS))
+    refs = named.select("unit", "key", F.explode(F.split(F.trim("value"), r"\s+")).alias("target"), *(["path", "line"] if provenance else [])).where("target <> ''")
+    if not provenance:
+        return refs.distinct()
+    return refs.groupBy("unit", "key", "target").agg(F.min(F.struct("path", "line")).alias("__at")).select("unit", "key", "target", "__at.path", "__at.line")
 
 
 def missing_references(refs: DataFrame, units: DataFrame) -> DataFrame:
@@ -171,7 +175,8 @@ def expand_instances(entries: DataFrame) -> DataFrame:
 
 def ordering_edges(refs: DataFrame, aliases: DataFrame | None = None, inactive: DataFrame | None = None) -> DataFrame:
     """(src, dst, directive): src starts before dst. ``After`` is turned round; aliases are followed once; templates,
-    masked units and other ``inactive`` ones take no part."""
+    masked units and other ``inactive`` ones take no part. References with path and line give one row an edge, with the
+    first of its directives, paths and lines."""
     pairs = refs.where(F.col("key").isin("Before", "After"))
     if aliases is not None:
         a = aliases.groupBy("alias").agg(F.min("unit").alias("__to"))
@@ -183,7 +188,32 @@ def ordering_edges(refs: DataFrame, aliases: DataFrame | None = None, inactive:
             pairs = pairs.join(off, F.col(c) == F.col("__off"), "left_anti")
     pairs = pairs.where(~is_template(F.col("unit")) & ~is_template(F.col("target")))
     after = F.col("key") == "After"
-    return pairs.select(F.when(after, F.col("target")).otherwise(F.col("unit")).alias("src"), F.when(after, F.col("unit")).otherwise(F.col("target")).alias("dst"), F.col("key").alias("directive")).distinct()
+    told = ["path", "line"] if "line" in refs.columns else []
+    edges = pairs.select(F.when(after, F.col("target")).otherwise(F.col("unit")).alias("src"), F.when(after, F.col("unit")).otherwise(F.col("target")).alias("dst"), F.col("key").alias("directive"), *told)
+    return edges.groupBy("src", "dst").agg(F.min(F.struct("directive", *told)).alias("__at")).select("src", "dst", "__at.*") if told else edges.distinct()
+
+
+def cycle_paths(edges: DataFrame) -> list[list[dict]]:
+    """One path round each cycle of a bounded graph, as its edges with directive, path and line."""
+    rows = {(r["src"], r["dst"]): r.asDict() for r in edges.limit(DRIVER_EDGES + 1).collect()}
+    if len(rows) > DRIVER_EDGES:
+        raise LimitExceeded(f"more than {DRIVER_EDGES} edges")
+    pairs = sorted(rows)
+    around = [cycle_path(pairs, members) for members in components(pairs)]
+    return [[rows[a, b] for a, b in zip(p, p[1:], strict=False)] for p in around]
+
+
+def diff_meta(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(unit, field, before, after): what differs between units of both sides beside their assignments: masked, alias_of,
+    drop_ins (in order), and the effective wants and requires (as sets), each as text.
+
+    before and after: unit, masked, alias_of, drop_ins, wants, requires; one row a unit."""
+    empty = F.array().cast("array<string>")
+    as_set = lambda c: F.to_json(F.array_sort(F.array_distinct(F.coalesce(F.col(c), empty))))
+    fields = {"masked": F.coalesce(F.col("masked"), F.lit(False)).cast("string"), "alias_of": F.col("alias_of"), "drop_ins": F.to_json(F.coalesce(F.col("drop_ins"), empty)), "wants": as_set("wants"), "requires": as_set("requires")}
+    side = lambda df, p: df.select("unit", F.posexplode(F.array(*fields.values())).alias("place", p))
+    j = side(before, "before").join(side(after, "after"), ["unit", "place"]).where(~F.col("before").eqNullSafe(F.col("after")))
+    return j.select("unit", F.get(F.array(*[F.lit(f) for f in fields]), F.col("place")).alias("field"), "before", "after")
 
 
 def diff_units(before: DataFrame, after: DataFrame) -> DataFrame:
