@@ -182,12 +182,12 @@ def test_net(spark):
     assert rows(verdicts.net_diff(changes), "severity", "code") == [("info", "net.closed_listeners")]
 
 
-def test_net_diff_by_host(spark, tmp_path):
+def test_net_diff_goes_by_host(spark, tmp_path):
     at = lambda host, no, port, state="LISTEN": (host, no, "tcp", "0.0.0.0", port, "10.0.0.9" if state != "LISTEN" else "0.0.0.0", 0, state)
     # a opens what b always had, b closes what a keeps
     table = [at("a", 1, 80), at("a", 4, 80), at("a", 4, 22), at("b", 2, 22), at("b", 2, 80), at("b", 3, 22), at("a", 1, 443, "ESTABLISHED"), at("b", 3, 443, "ESTABLISHED")]
     spark.createDataFrame(table, "host string, snapshot_no int, kind string, local_address string, local_port int, remote_address string, remote_port int, state string").write.parquet(f"{tmp_path}/sockets.parquet")
-    got = rows(domain_queries.net_diff_by_host(spark, str(tmp_path)), "change", "host", "local_port")
+    got = rows(domain_queries.net_diff(spark, str(tmp_path)), "change", "host", "local_port")
     assert got == [("closed_connection", "a", 443), ("closed_listener", "b", 80), ("new_connection", "b", 443), ("new_listener", "a", 22)]
 
 
@@ -472,3 +472,64 @@ def test_union_of_runs(spark):
     a, b = by.where("run_id = 'r1'").first(), by.where("run_id = 'r2'").first()
     assert (d.failed_delta, d.passed_delta) == (b.failed + b.errors - a.failed - a.errors, b.passed - a.passed) and d.duration_delta_sec == b.duration_sec - a.duration_sec
     assert junit.run_digest(cases.limit(0), "p").collect() == []
+
+
+def test_descriptor_leaks_against_a_plain_walk(spark):
+    """Single traces replayed event by event with sets of numbers: an independent reading of the rules for plain calls."""
+    rng = random.Random(11)
+    rows, want = [], set()
+    for t in range(6):
+        shared = {1: {}, 2: {}}  # two processes of their own tables
+        for seq in range(200):
+            tid = rng.choice([1, 2])
+            held = shared[tid]
+            name = rng.choice(["openat", "openat", "close", "dup", "read", "write", "socket", "futex", "fcntl"])
+            fd = rng.randrange(3, 12)
+            failed = rng.random() < 0.1
+            args, result = f"{fd}, x", str(fd)
+            if name in ("openat", "socket", "dup") and not failed:
+                held[fd] = True
+            elif name == "close" and not failed:
+                result = "0"
+                held.pop(fd, None)
+            elif name == "fcntl":
+                args, result = f"{fd}, F_DUPFD, 0", str(fd + 20)
+                if not failed:
+                    held[fd + 20] = True
+            rows.append((f"t{t}", seq, tid, "call", name, args, "-1" if failed else result, "EBADF" if failed else None))
+        want |= {(f"t{t}", tid, fd) for tid, held in shared.items() for fd in held}
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "trace_id string, seq long, tid long, kind string, syscall string, arguments string, result string, error string")
+    assert {tuple(r) for r in trace.descriptor_leaks(df).collect()} == want and len(want) > 20
+
+
+def test_limits_bounds_and_years(spark):
+    lines = spark.createDataFrame([(i, n, "hit" if n % 5 == 0 else "no") for i in (1, 0) for n in range(1, 21)], "input int, line_no int, raw string").withColumns({c: F.lit(None).cast(t) for c, t in (("level", "string"), ("ts_ms", "long"), ("source", "string"))})
+    got = rows(logs.first_matches(lines, logs.LogFilter(query="HIT"), 5, after=1), "input", "line_no", "is_match")
+    assert sorted(got) == [(0, n + k, k == 0) for n in (5, 10, 15) for k in (0, 1)] + [(0, 20, True)] + [(1, 5, True), (1, 6, False)]
+    assert logs.bound_ms("2024-01-01") == logs.bound_ms("2024-01-01T01:00:00+01:00") == 1704067200000
+    for bad in (lambda: logs.bound_ms("soon"), lambda: logs.bound_ms("2024-13-01"), lambda: logs.checked_year(0), lambda: logs.LogFilter(since_ms=2, until_ms=1), lambda: logs.LogFilter(regex=r"(?P<x>a)")):
+        with pytest.raises(UsageError):
+            bad()
+    assert 2024 <= logs.default_year() and logs.LogFilter(regex=r"\p{L}++").regex
+    assert rows(logs.as_jsonl(spark.createDataFrame([(1, None)], "a int, b string")), "line") == [('{"a":1,"b":null}',)]
+    raw = spark.createDataFrame([(bytearray(b"ok"),), (bytearray(b"\xff!"),), (None,)], "raw binary")
+    assert [tuple(r) for r in raw.select(logs.strict_text(F.col("raw")), logs.lossy_text(F.col("raw"))).collect()] == [("ok", "ok"), (None, "\ufffd!"), (None, None)]
+
+
+def test_sections_of_bundles(spark):
+    def rows_of(**contents):
+        return bundle.section_rows(spark.createDataFrame([("b", f"./reports/{n}.json", c) for n, c in contents.items()] + [("b", "logs/x.log", "no")], "bundle string, name string, content string"))
+
+    before = rows_of(doctor='[{"category":"c","name":"n","status":"pass"},{"category":"c","name":"m","status":"pass"}]', env_report='{"rows":[{"norm_name":"a","version":"1"}]}', test_run="{broken", disk_tree="[]")
+    after = rows_of(doctor='[{"status":"warn","name":"n","category":"c"},{"category":"c","name":"k","status":"pass"}]', env_report='{"rows":[{"norm_name":"a","version":"1"}]}', test_run="[]", sys_snapshot="[]")
+    got = sorted(rows(bundle.diff_sections(before, after), "section", "row_key", "change"), key=str)
+    assert got == [("disk", None, "incomplete"), ("doctor", "c|k", "added"), ("doctor", "c|m", "removed"), ("doctor", "c|n", "changed"), ("sys", None, "incomplete"), ("test", None, "incomplete")]
+
+
+def test_cycles_with_provenance(spark):
+    text = "[Unit]\nAfter=b.service\nBefore=c.service\n"
+    files = spark.createDataFrame([("a.service", "/a", 0, text), ("b.service", "/b", 0, "[Unit]\n\nAfter=a.service\n")], "unit string, path string, precedence int, content string")
+    edges = units.ordering_edges(units.references(units.effective(units.parse_units(files)), provenance=True))
+    (path,) = units.cycle_paths(edges)
+    assert sorted((e["src"], e["dst"], e["directive"], e["path"], e["line"]) for e in path) == [("a.service", "b.service", "After", "/b", 3), ("b.service", "a.service", "After", "/a", 2)]

@@ -358,12 +358,6 @@ def tail(lines: DataFrame, n: int) -> DataFrame:
     return lines.where("line_no IS NOT NULL").withColumn("__r", F.dense_rank().over(w)).where(F.col("__r") <= n).drop("__r")
 
 
-def tail_numbers(lines: DataFrame, n: int) -> DataFrame:
-    """The lines with the last n numbers of each file; fewer than n where numbers are skipped."""
-    last = lines.groupBy("file").agg(F.max("line_no").alias("__last"))
-    return lines.join(last, "file").where(F.col("line_no") > F.col("__last") - n).drop("__last")
-
-
 def inspect(lines: DataFrame) -> DataFrame:
     """(file, total_lines, lossy_lines)."""
     return lines.groupBy("file").agg(F.count(F.lit(1)).alias("total_lines"), F.count_if(F.col("lossy")).alias("lossy_lines"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.glob import excluded, glob_match
@@ -151,11 +151,6 @@ def log_inspect(spark, data):
     return logs.inspect(table(spark, data, "log_lines"))
 
 
-@query("SELECT DISTINCT file, line_no FROM (SELECT file, line_no, max(line_no) OVER (PARTITION BY file) AS m FROM log_lines) WHERE line_no > m - 20")
-def log_tail(spark, data):
-    return logs.tail_numbers(table(spark, data, "log_lines"), 20).select("file", "line_no").distinct()
-
-
 @query("SELECT file, line_no FROM (SELECT DISTINCT file, line_no FROM log_lines WHERE line_no IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY file ORDER BY line_no DESC) <= 20")
 def log_last_lines(spark, data):
     return logs.tail(table(spark, data, "log_lines"), 20).select("file", "line_no").distinct()
@@ -342,22 +337,24 @@ def disk_exclude(spark, data):
     return b.where(~excluded(F.col("name"), F.regexp_extract("name", r"[^/]*\z", 0), ["logs/*", "d*", "manifest.json"]) | F.col("name").isNull()).select("name", "size")
 
 
-_FIRST_LAST = "(SELECT *, min(snapshot_no) OVER (PARTITION BY {k}) AS lo, max(snapshot_no) OVER (PARTITION BY {k}) AS hi FROM {t})"
+_NEIGHBOURS = "(SELECT * FROM {t} JOIN (SELECT {k}, snapshot_no, lag(snapshot_no) OVER w AS prev, lead(snapshot_no) OVER w AS next FROM (SELECT DISTINCT {k}, snapshot_no FROM {t}) WINDOW w AS (PARTITION BY {k} ORDER BY snapshot_no)) USING ({k}, snapshot_no))"
 
 
-def _first_last(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    ends = df.groupBy(key).agg(F.min("snapshot_no").alias("lo"), F.max("snapshot_no").alias("hi"))
-    j = df.join(ends, key)
-    return j.where("snapshot_no = lo"), j.where("snapshot_no = hi")
+def _neighbours(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows before and after, by the number (``pair``) of the later snapshot of each two that follow each other."""
+    w = Window.partitionBy(key).orderBy("snapshot_no")  # one row a snapshot
+    numbers = df.select(key, "snapshot_no").distinct().withColumn("prev", F.lag("snapshot_no").over(w)).withColumn("next", F.lead("snapshot_no").over(w))
+    j = df.join(numbers, [key, "snapshot_no"])
+    return j.where("next IS NOT NULL").withColumn("pair", F.col("next")), j.where("prev IS NOT NULL").withColumn("pair", F.col("snapshot_no"))
 
 
 @query(
-    f"""WITH s AS {_FIRST_LAST.format(k='host', t='bundle_entries')}, b AS (SELECT host || '/' || name AS rel_path, max(size) AS size FROM s WHERE snapshot_no = lo GROUP BY 1), a AS (SELECT host || '/' || name AS rel_path, max(size) AS size FROM s WHERE snapshot_no = hi GROUP BY 1)
+    f"""WITH s AS {_NEIGHBOURS.format(k='host', t='bundle_entries')}, b AS (SELECT host || '/' || next || '/' || name AS rel_path, max(size) AS size FROM s WHERE next IS NOT NULL GROUP BY 1), a AS (SELECT host || '/' || snapshot_no || '/' || name AS rel_path, max(size) AS size FROM s WHERE prev IS NOT NULL GROUP BY 1)
     SELECT * FROM (SELECT coalesce(b.rel_path, a.rel_path) AS rel_path, b.size AS before_size, a.size AS after_size, CASE WHEN b.size IS NULL THEN 'added' WHEN a.size IS NULL THEN 'removed' WHEN a.size > b.size THEN 'grown' WHEN a.size < b.size THEN 'shrunk' END AS change FROM b FULL JOIN a ON a.rel_path = b.rel_path) WHERE change IS NOT NULL"""
 )
 def disk_snapshot_diff(spark, data):
-    b, a = _first_last(table(spark, data, "bundle_entries"), "host")
-    sizes = lambda df: df.groupBy(F.concat_ws("/", "host", "name").alias("rel_path")).agg(F.max("size").alias("size"))
+    b, a = _neighbours(table(spark, data, "bundle_entries"), "host")
+    sizes = lambda df: df.groupBy(F.concat_ws("/", "host", "pair", "name").alias("rel_path")).agg(F.max("size").alias("size"))
     return disk.diff_snapshots(sizes(b), sizes(a))
 
 
@@ -375,40 +372,32 @@ def net_summary(spark, data):
 
 
 @query(
-    f"""WITH s AS {_FIRST_LAST.format(k='host', t='sockets')}, b AS (SELECT * FROM s WHERE snapshot_no = lo), a AS (SELECT * FROM s WHERE snapshot_no = hi)
-    SELECT 'new_listener' AS change, kind, local_address, local_port, '' AS remote_address, 0 AS remote_port FROM a WHERE {_LISTEN_SQL} AND NOT EXISTS (SELECT 1 FROM b WHERE {_LISTEN_SQL.replace('state', 'b.state').replace('kind', 'b.kind').replace('remote_port', 'b.remote_port').replace('remote_address', 'b.remote_address').replace('local_port', 'b.local_port')} AND b.kind = a.kind AND b.local_address = a.local_address AND b.local_port = a.local_port)
-    UNION ALL SELECT 'closed_listener', kind, local_address, local_port, '', 0 FROM b WHERE {_LISTEN_SQL} AND NOT EXISTS (SELECT 1 FROM a WHERE {_LISTEN_SQL.replace('state', 'a.state').replace('kind', 'a.kind').replace('remote_port', 'a.remote_port').replace('remote_address', 'a.remote_address').replace('local_port', 'a.local_port')} AND b.kind = a.kind AND b.local_address = a.local_address AND b.local_port = a.local_port)
-    UNION ALL SELECT 'new_connection', kind, local_address, local_port, remote_address, remote_port FROM a WHERE state = 'ESTABLISHED' AND NOT EXISTS (SELECT 1 FROM b WHERE b.state = 'ESTABLISHED' AND b.kind = a.kind AND b.local_address = a.local_address AND b.local_port = a.local_port AND b.remote_address = a.remote_address AND b.remote_port = a.remote_port)
-    UNION ALL SELECT 'closed_connection', kind, local_address, local_port, remote_address, remote_port FROM b WHERE state = 'ESTABLISHED' AND NOT EXISTS (SELECT 1 FROM a WHERE a.state = 'ESTABLISHED' AND b.kind = a.kind AND b.local_address = a.local_address AND b.local_port = a.local_port AND b.remote_address = a.remote_address AND b.remote_port = a.remote_port)"""
+    f"""WITH s AS {_NEIGHBOURS.format(k='host', t='sockets')}, r AS (SELECT 'listener' AS what, 0 AS side, next AS pair, host, kind, local_address, local_port, '' AS remote_address, 0 AS remote_port FROM s WHERE {_LISTEN_SQL} AND next IS NOT NULL
+    UNION ALL SELECT 'listener', 1, snapshot_no, host, kind, local_address, local_port, '', 0 FROM s WHERE {_LISTEN_SQL} AND prev IS NOT NULL
+    UNION ALL SELECT 'connection', 0, next, host, kind, local_address, local_port, remote_address, remote_port FROM s WHERE state = 'ESTABLISHED' AND next IS NOT NULL
+    UNION ALL SELECT 'connection', 1, snapshot_no, host, kind, local_address, local_port, remote_address, remote_port FROM s WHERE state = 'ESTABLISHED' AND prev IS NOT NULL),
+    k AS (SELECT *, min(side) OVER w AS first, max(side) OVER w AS last FROM r WINDOW w AS (PARTITION BY what, pair, host, kind, local_address, local_port, remote_address, remote_port))
+    SELECT CASE WHEN side = 1 THEN 'new_' ELSE 'closed_' END || what AS change, host, pair, kind, local_address, local_port, remote_address, remote_port FROM k WHERE first = last"""
 )
 def net_diff(spark, data):
-    b, a = _first_last(table(spark, data, "sockets"), "host")
-    return net.diff_reports(b, a)
-
-
-@query(
-    f"""WITH s AS {_FIRST_LAST.format(k='host', t='sockets')}, r AS (SELECT 'listener' AS what, snapshot_no = lo AS first, snapshot_no = hi AS last, host, kind, local_address, local_port, '' AS remote_address, 0 AS remote_port FROM s WHERE {_LISTEN_SQL}
-    UNION ALL SELECT 'connection', snapshot_no = lo, snapshot_no = hi, host, kind, local_address, local_port, remote_address, remote_port FROM s WHERE state = 'ESTABLISHED'),
-    k AS (SELECT *, max(CASE WHEN first THEN 1 ELSE 0 END) OVER w AS was, max(CASE WHEN last THEN 1 ELSE 0 END) OVER w AS is_ FROM r WINDOW w AS (PARTITION BY what, host, kind, local_address, local_port, remote_address, remote_port))
-    SELECT CASE WHEN last THEN 'new_' ELSE 'closed_' END || what AS change, host, kind, local_address, local_port, remote_address, remote_port FROM k WHERE last AND was = 0 OR first AND is_ = 0"""
-)
-def net_diff_by_host(spark, data):
-    b, a = _first_last(table(spark, data, "sockets"), "host")
-    return net.diff_reports(b, a, ("host",))
+    b, a = _neighbours(table(spark, data, "sockets"), "host")
+    return net.diff_reports(b, a, ("host", "pair"))
 
 
-@query("SELECT host, snapshot_no, local_address, local_port FROM sockets WHERE ((state = 'LISTEN' AND kind NOT LIKE 'unix%') OR (kind IN ('udp', 'udp6') AND (remote_port = 0 OR remote_address IN ('0.0.0.0', '::', '*')) AND local_port <> 0)) AND local_address IN ('0.0.0.0', '::', '*') AND local_port IN (22, 23, 3306, 5432, 6379, 27017)")
+@query(f"SELECT host, snapshot_no, local_address, local_port FROM sockets WHERE {_LISTEN_SQL} AND local_address IN ('0.0.0.0', '::', '*') AND local_port % 50 = 0")
 def net_exposed(spark, data):
-    return net.exposed(table(spark, data, "sockets")).select("host", "snapshot_no", "local_address", "local_port")
+    # ports that 50 divides stand for a sensitive one, the others are kept
+    moved = table(spark, data, "sockets").withColumn("kept", F.col("local_port")).withColumn("local_port", F.when(F.col("local_port") % 50 == 0, 6379).when(F.col("local_port").isin(net.SENSITIVE_PORTS), 1).otherwise(F.col("local_port")))
+    return net.exposed(moved).select("host", "snapshot_no", "local_address", F.col("kept").alias("local_port"))
 
 
 @query(
-    """SELECT o_orderkey, c_custkey AS pid, CASE WHEN c_custkey IS NULL AND o_custkey <> 0 THEN CASE WHEN o_custkey < 100 THEN 'owner_unknown' ELSE 'orphan' END END AS owner_state
-    FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey AND o_custkey <> 0"""
+    """SELECT o_orderkey, c_custkey AS pid, CASE WHEN c_custkey IS NULL AND o_orderkey <> 0 THEN CASE WHEN o_custkey % 3 = 0 THEN 'owner_unknown' ELSE 'orphan' END END AS owner_state
+    FROM orders LEFT JOIN customer ON o_orderkey = c_custkey AND o_orderkey <> 0"""
 )
 def net_owner_join(spark, data):
-    owners = table(spark, data, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("inode"), F.col("c_custkey").alias("pid"), F.lit(1).alias("fd"), F.col("c_name").alias("comm"))
-    sockets = table(spark, data, "orders").select("o_orderkey", F.col("o_custkey").alias("inode"), F.when(F.col("o_custkey") < 100, 7).otherwise(8).alias("uid"))
+    owners = table(spark, data, "customer").select(F.col("c_custkey").alias("inode"), F.col("c_custkey").alias("pid"), F.lit(1).alias("fd"), F.col("c_name").alias("comm"))
+    sockets = table(spark, data, "orders").select("o_orderkey", F.col("o_orderkey").alias("inode"), F.when(F.col("o_custkey") % 3 == 0, 7).otherwise(8).alias("uid"))
     return net.with_owners(sockets, owners, [7]).select("o_orderkey", "pid", "owner_state")
 
 
@@ -427,11 +416,10 @@ def diff_keyed(spark, data):
     return diff.diff(half(F.col("ts").cast("timestamp_ntz") < cut), half(F.col("ts").cast("timestamp_ntz") >= cut), ["user_id", "event_type"], ["n"])
 
 
-@query("(SELECT s_nationkey AS nation, 'removed' AS change FROM supplier EXCEPT SELECT c_nationkey, 'removed' FROM customer WHERE c_acctbal > 9900) UNION ALL (SELECT c_nationkey, 'added' FROM customer WHERE c_acctbal > 9900 EXCEPT SELECT s_nationkey, 'added' FROM supplier)")
+@query("WITH s AS (SELECT DISTINCT s_nationkey * 1000 + CAST(floor(s_acctbal / 100) AS INT) AS v FROM supplier), c AS (SELECT DISTINCT c_nationkey * 1000 + CAST(floor(c_acctbal / 100) AS INT) AS v FROM customer) SELECT v, 'removed' AS change FROM s WHERE v NOT IN (SELECT v FROM c) UNION ALL SELECT v, 'added' FROM c WHERE v NOT IN (SELECT v FROM s)")
 def diff_sets(spark, data):
-    s = table(spark, data, "supplier").select(F.col("s_nationkey").alias("nation"))
-    c = table(spark, data, "customer").where("c_acctbal > 9900").select(F.col("c_nationkey").alias("nation"))
-    return diff.set_diff(s, c)
+    value = lambda t, p: table(spark, data, t).select((F.col(f"{p}_nationkey") * 1000 + F.floor(F.col(f"{p}_acctbal") / 100).cast("int")).alias("v"))
+    return diff.set_diff(value("supplier", "s"), value("customer", "c"))
 
 
 @query("SELECT s_nationkey, CASE max(CASE WHEN s_acctbal < 0 THEN 3 WHEN s_acctbal < 5000 THEN 2 ELSE 1 END) WHEN 3 THEN 'incompatible' WHEN 2 THEN 'uncertain' ELSE 'compatible' END AS verdict FROM supplier GROUP BY s_nationkey")
@@ -464,12 +452,6 @@ def graph_closure(spark, data):
     return graph.closure(_edges(spark, data))
 
 
-@query(f"WITH RECURSIVE e AS {_EDGES_SQL}, c(origin, node) AS (SELECT dst, src FROM e UNION SELECT c.origin, e.src FROM c JOIN e ON c.node = e.dst) SELECT origin, node FROM c WHERE origin LIKE 'r%'")
-def graph_impact(spark, data):
-    e = _edges(spark, data)
-    return build.impact(e, e.where("dst LIKE 'r%'").select(F.col("dst").alias("origin")))
-
-
 @query(f"WITH RECURSIVE e AS {_EDGES_SQL}, c(origin, node) AS (SELECT dst, src FROM e UNION SELECT c.origin, e.src FROM c JOIN e ON c.node = e.dst) SELECT origin, node FROM c")
 def graph_impact_all(spark, data):
     return build.impact(_edges(spark, data))
@@ -480,12 +462,6 @@ def graph_cycles(spark, data):
     return graph.mutual(_edges(spark, data))
 
 
-@query()
-def graph_order(spark, data):
-    e = graph.bounded_edges(_edges(spark, data).where("src NOT LIKE 'r%'"))
-    return spark.createDataFrame(list(enumerate(graph.topological(e))), "place int, node string")
-
-
 # ---- units, builds, environments, bundles, health ----
 
 
@@ -512,11 +488,11 @@ _L = "coalesce({p}.{c}, []::VARCHAR[])"
 
 
 def _build_sql() -> str:
-    side = lambda n: f"(SELECT project || '/' || file AS file, min(compiler) AS compiler, min(standard) AS standard, any_value(includes) AS includes, any_value(defines) AS defines, any_value(flags) AS flags, any_value(forced_includes) AS forced_includes FROM s WHERE snapshot_no = {n} GROUP BY 1)"
+    side = lambda n, has: f"(SELECT project || '/' || {n} || '/' || file AS file, min(compiler) AS compiler, min(standard) AS standard, any_value(includes) AS includes, any_value(defines) AS defines, any_value(flags) AS flags, any_value(forced_includes) AS forced_includes FROM s WHERE {has} IS NOT NULL GROUP BY 1)"
     gone = lambda c, x, y: f"list_sort(list_distinct(list_filter({_L.format(p=x, c=c)}, lambda z: NOT list_contains({_L.format(p=y, c=c)}, z))))"
     extra = lambda x: f"(CASE WHEN b.file IS NOT NULL AND a.file IS NOT NULL AND b.standard IS DISTINCT FROM a.standard AND {x}.standard IS NOT NULL THEN ['-std=' || {x}.standard] ELSE []::VARCHAR[] END || CASE WHEN b.file IS NOT NULL AND a.file IS NOT NULL AND b.compiler IS DISTINCT FROM a.compiler AND {x}.compiler IS NOT NULL THEN ['compiler=' || {x}.compiler] ELSE []::VARCHAR[] END)"
     flags = lambda x, y: f"list_sort(list_distinct(list_filter({_L.format(p=x, c='flags')} || {extra(x)}, lambda z: NOT list_contains({_L.format(p=y, c='flags')} || {extra(y)}, z))))"
-    return f"""WITH s AS {_FIRST_LAST.format(k='project', t='compile_units')}, b AS {side('lo')}, a AS {side('hi')},
+    return f"""WITH s AS {_NEIGHBOURS.format(k='project', t='compile_units')}, b AS {side('next', 'next')}, a AS {side('snapshot_no', 'prev')},
     j AS (SELECT coalesce(b.file, a.file) AS file, CASE WHEN b.file IS NULL THEN 'added' WHEN a.file IS NULL THEN 'removed' ELSE 'modified' END AS change, {gone('includes', 'a', 'b')} AS added_includes, {gone('includes', 'b', 'a')} AS removed_includes, {gone('defines', 'a', 'b')} AS added_defines, {gone('defines', 'b', 'a')} AS removed_defines,
     {flags('a', 'b')} AS added_flags, {flags('b', 'a')} AS removed_flags, {_L.format(p='a', c='forced_includes')} <> {_L.format(p='b', c='forced_includes')} AS forced_includes_changed FROM b FULL JOIN a ON a.file = b.file)
     SELECT file, change, array_to_string(added_includes, ',') AS added_includes, array_to_string(removed_includes, ',') AS removed_includes, array_to_string(added_defines, ',') AS added_defines, array_to_string(removed_defines, ',') AS removed_defines, array_to_string(added_flags, ',') AS added_flags, array_to_string(removed_flags, ',') AS removed_flags, forced_includes_changed FROM j
@@ -525,7 +501,7 @@ def _build_sql() -> str:
 
 @query(_build_sql())
 def build_diff(spark, data):
-    b, a = (df.withColumn("file", F.concat_ws("/", "project", "file")) for df in _first_last(table(spark, data, "compile_units"), "project"))
+    b, a = (df.withColumn("file", F.concat_ws("/", "project", "pair", "file")) for df in _neighbours(table(spark, data, "compile_units"), "project"))
     out = build.diff_units(b, a)
     return out.select("file", "change", *[F.array_join(c, ",").alias(c) for c in out.columns if c.startswith(("added_", "removed_"))], "forced_includes_changed")
 
@@ -544,11 +520,11 @@ def env_version_match(spark, data):
 
 
 @query(
-    f"""WITH s AS {_FIRST_LAST.format(k='host', t='bundle_entries')}, b AS (SELECT host || '/' || name AS name, min(lower(sha256)) AS h FROM s WHERE snapshot_no = lo GROUP BY 1), a AS (SELECT host || '/' || name AS name, min(lower(sha256)) AS h FROM s WHERE snapshot_no = hi GROUP BY 1)
+    f"""WITH s AS {_NEIGHBOURS.format(k='host', t='bundle_entries')}, b AS (SELECT host || '/' || next || '/' || name AS name, min(lower(sha256)) AS h FROM s WHERE next IS NOT NULL GROUP BY 1), a AS (SELECT host || '/' || snapshot_no || '/' || name AS name, min(lower(sha256)) AS h FROM s WHERE prev IS NOT NULL GROUP BY 1)
     SELECT * FROM (SELECT coalesce(b.name, a.name) AS name, CASE WHEN b.h IS NULL THEN 'only_in_candidate' WHEN a.h IS NULL THEN 'only_in_baseline' WHEN a.h <> b.h THEN 'changed' END AS change FROM b FULL JOIN a ON a.name = b.name) WHERE change IS NOT NULL"""
 )
 def bundle_diff(spark, data):
-    b, a = (df.withColumn("name", F.concat_ws("/", "host", "name")) for df in _first_last(table(spark, data, "bundle_entries"), "host"))
+    b, a = (df.withColumn("name", F.concat_ws("/", "host", "pair", "name")) for df in _neighbours(table(spark, data, "bundle_entries"), "host"))
     return bundle.diff_names(b, a)
 
 
