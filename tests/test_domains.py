@@ -533,3 +533,42 @@ def test_cycles_with_provenance(spark):
     edges = units.ordering_edges(units.references(units.effective(units.parse_units(files)), provenance=True))
     (path,) = units.cycle_paths(edges)
     assert sorted((e["src"], e["dst"], e["directive"], e["path"], e["line"]) for e in path) == [("a.service", "b.service", "After", "/b", 3), ("b.service", "a.service", "After", "/a", 2)]
+
+
+def test_levels_that_a_text_can_have(spark):
+    texts = ["<11>Oct 9 12:00:00 h a: x", "2024-01-01T00:00:00Z error: x", '{"severity": 3}', '{"level": "CRIT"}', '{"priority":"2","msg":"x"}', '{"level":2}', "[WARNING] x", "all is well", '{"\\u006cevel":"err"}', "\x1b[31mER\x1b[0mROR: x", "PRIORITY=3 x", "(fatal) x", "info: x"]
+    parsed = logs.parse_records(spark.createDataFrame([(t,) for t in texts], "raw string"), 2024)
+    for least in logs.LEVEL_ORDER:
+        keep = logs.LogFilter(min_level=least)
+        plain = sorted(r.raw for r in parsed.where(keep.level_ok(F.col("level"))).collect())
+        assert plain == sorted(r.raw for r in parsed.where(keep.condition(from_text=True)).collect()), least
+
+
+def test_last_lives_against_a_walk(spark):
+    rng = random.Random(8)
+    data = [("t", s, rng.choice([1, 2, None]), rng.choice(["call", "call", "exit", "signal"])) for s in range(120)] + [("u", 1, 1, "exit"), ("v", 1, 1, "call"), ("w", 1, 1, "exit"), ("w", 2, 1, "exit")]
+    lives = {}
+    for t, _, tid, kind in sorted(data, key=lambda r: (r[0], r[1])):
+        at = lives.setdefault((t, tid), {"now": 0, "seen": 0, "calls": {}})
+        at["seen"] = at["now"]
+        at["calls"][at["now"]] = at["calls"].get(at["now"], 0) + (kind == "call")
+        at["now"] += kind == "exit"
+    got = {(r.trace_id, r.tid): (r.generation, r.calls) for r in trace.generations(spark.createDataFrame(data, "trace_id string, seq long, tid long, kind string")).collect()}
+    assert got == {k: (v["seen"], v["calls"][v["seen"]]) for k, v in lives.items()}
+
+
+def test_editable_packages_and_report_inputs(tmp_path):
+    site = tmp_path / "env/lib/python3/site-packages"
+    (site / "My_Pkg-1.0.dist-info").mkdir(parents=True)
+    (site / "My_Pkg-1.0.dist-info/direct_url.json").write_text('{"url": "file:///src/my", "dir_info": {"editable": true}}')
+    (site / "other-1.0.dist-info").mkdir()
+    (site / "other-1.0.dist-info/direct_url.json").write_text('{"url": "https://x/y", "dir_info": {"editable": true}}')
+    (tmp_path / "proj/src").mkdir(parents=True)
+    (tmp_path / "proj/pyproject.toml").write_text('[project]\nname = "Demo.App"\n')
+    (site / "a.pth").write_text(f"# no\nimport sys\n{tmp_path}/proj/src\n/gone\n")
+    assert files.editable_packages(str(tmp_path / "env")) == [("demo-app", str(tmp_path / "proj")), ("my-pkg", "/src/my")]
+    for n in ("b.xml", "a.xml", "c.txt"):
+        (tmp_path / n).write_text("<testsuite/>")
+    assert [os.path.basename(p) for p in files.expand_reports(str(tmp_path))] == ["a.xml", "b.xml"] and files.expand_reports(str(tmp_path / "b*")) == [str(tmp_path / "b.xml")]
+    with pytest.raises(UsageError):
+        files.expand_reports(str(tmp_path / "z*.xml"))

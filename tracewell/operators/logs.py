@@ -173,8 +173,12 @@ def text_time(raw: Column, year: Column) -> Column:
     return token_time(time_token(raw), year)
 
 
-def parse_records(lines: DataFrame, year: int, raw: str = "raw") -> DataFrame:
-    """Adds ts_ms, level, source, message and fields to lines, replacing columns of these names.
+RECORD_COLUMNS = ("ts_ms", "level", "source", "message", "fields")
+
+
+def parse_records(lines: DataFrame, year: int, raw: str = "raw", columns: tuple[str, ...] = RECORD_COLUMNS) -> DataFrame:
+    """Adds ts_ms, level, source, message and fields to lines, replacing columns of these names; or only those of them that
+    ``columns`` names, for what is not asked for is not worked out.
 
     lines: the named text column; others pass through. A null text is an empty line; colours don't count. Unknown stays null.
     """
@@ -183,24 +187,24 @@ def parse_records(lines: DataFrame, year: int, raw: str = "raw") -> DataFrame:
     def numeric(v: Column) -> Column:
         return F.coalesce(level_named(v), F.when(v.rlike(r"\A[0-7]\z"), severity_level(v.try_cast("int"))))
 
-    kept = [c for c in lines.columns if c not in ("ts_ms", "level", "source", "message", "fields")]
+    kept = [c for c in lines.columns if c not in RECORD_COLUMNS]
     text = F.regexp_replace(F.coalesce(F.col(raw), F.lit("")), r"\x1b\[[0-9;]*[A-Za-z]", "")
     objects = F.startswith(F.ltrim(F.col("__t")), F.lit("{"))
     # first the few matches that a line costs, once; then what they say, once
     df = once(lines.select(*[F.col(f"`{c}`") for c in kept]), __t=text)
-    df = once(df, __o=F.when(objects, json_object(F.col("__t"))), __w=stated_level(F.col("__t")), __k=time_token(F.col("__t")), __q=syslog_source(F.col("__t")))
+    matches = {"__w": ("level", stated_level), "__k": ("ts_ms", time_token), "__q": ("source", syslog_source)}
+    df = once(df, __o=F.when(objects, json_object(F.col("__t"))), **{m: f(F.col("__t")) for m, (c, f) in matches.items() if c in columns})
     o = F.col("__o")
     named = lambda *n: F.nullif(field(o, *n), F.lit(""))
     by = lambda of_object, of_text: F.when(o.isNotNull(), of_object).otherwise(of_text)
-    df = once(
-        df,
-        ts_ms=by(object_time(F.col("__t"), o), token_time(F.col("__k"), F.lit(year))),
-        level=by(F.coalesce(let(field(o, "severity"), numeric), let(field(o, "level"), numeric), let(field(o, "priority"), numeric)), level_of(F.col("__w"))),
-        source=by(F.coalesce(named("source", "logger", "component", "service"), named("SYSLOG_IDENTIFIER"), named("_COMM")), F.col("__q")),
-        message=by(F.coalesce(named("msg", "message"), F.col("__t")), F.col("__t")),
-        fields=F.when(o.isNotNull(), F.map_filter(o, lambda k, v: ~ascii_lower(k).isin(known))),
+    told = dict(
+        ts_ms=lambda: by(object_time(F.col("__t"), o), token_time(F.col("__k"), F.lit(year))),
+        level=lambda: by(F.coalesce(let(field(o, "severity"), numeric), let(field(o, "level"), numeric), let(field(o, "priority"), numeric)), level_of(F.col("__w"))),
+        source=lambda: by(F.coalesce(named("source", "logger", "component", "service"), named("SYSLOG_IDENTIFIER"), named("_COMM")), F.col("__q")),
+        message=lambda: by(F.coalesce(named("msg", "message"), F.col("__t")), F.col("__t")),
+        fields=lambda: F.when(o.isNotNull(), F.map_filter(o, lambda k, v: ~ascii_lower(k).isin(known))),
     )
-    return df.drop("__t", "__o", "__w", "__k", "__q")
+    return once(df, **{c: told[c]() for c in RECORD_COLUMNS if c in columns}).drop("__t", "__o", "__w", "__k", "__q")
 
 
 @dataclass(frozen=True)
@@ -238,6 +242,14 @@ class LogFilter:
             return ~known
         return F.coalesce(F.when(known, level_rank(level) >= LEVEL_ORDER.index(self.min_level)), F.lit(self.include_unknown))
 
+    def level_possible(self, raw: Column) -> Column:
+        """What every line with a level of ``min_level`` or above shows in its text: a name of such a level, or a form that
+        states one by number. It costs little and is checked at the scan, so only such lines are parsed."""
+        if self.include_unknown or self.min_level in (None, "unknown") or LEVEL_ORDER.index(self.min_level) < LEVEL_ORDER.index("warn"):
+            return F.lit(True)
+        names = [n for x in LEVEL_ORDER[LEVEL_ORDER.index(self.min_level) : -1] for n in _NAMES[x]]
+        return raw.rlike(rf"(?i)<\d|severity|priority|level\W{{1,5}}[0-7]|{'|'.join(names)}") | F.contains(raw, F.lit("\x1b")) | F.contains(raw, F.lit("\\u"))
+
     def time_ok(self, ts_ms: Column) -> Column:
         if self.since_ms is None and self.until_ms is None:
             return F.lit(True)
@@ -252,9 +264,11 @@ class LogFilter:
     def source_ok(self, source: Column) -> Column:
         return F.coalesce(source == self.source, F.lit(False)) if self.source is not None else F.lit(True)
 
-    def condition(self, raw: str = "raw", level: str = "level", ts_ms: str = "ts_ms", source: str = "source") -> Column:
-        """The whole predicate; text comes first, so Catalyst can evaluate it at the scan."""
-        return self.text_ok(F.col(raw)) & self.time_ok(F.col(ts_ms)) & self.level_ok(F.col(level)) & self.source_ok(F.col(source))
+    def condition(self, raw: str = "raw", level: str = "level", ts_ms: str = "ts_ms", source: str = "source", from_text: bool = False) -> Column:
+        """The whole predicate; text comes first, so Catalyst can evaluate it at the scan. ``from_text`` says that the levels
+        are those that :func:`parse_records` read from this text, so text that can have no such level is left out there."""
+        possible = self.level_possible(F.col(raw)) if from_text else F.lit(True)
+        return self.text_ok(F.col(raw)) & possible & self.time_ok(F.col(ts_ms)) & self.level_ok(F.col(level)) & self.source_ok(F.col(source))
 
 
 def contains_insensitive(text: Column, needle: str) -> Column:

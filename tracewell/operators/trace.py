@@ -186,11 +186,20 @@ def error_counts(calls: DataFrame) -> DataFrame:
 
 
 def generations(events: DataFrame) -> DataFrame:
-    """(trace_id, tid, generation, calls): calls of each thread id's last life; a new one begins after an exit."""
-    w = Window.partitionBy("trace_id", "tid").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    lives = events.withColumn("generation", F.coalesce(F.sum(F.when(F.col("kind") == EXIT, 1).otherwise(0)).over(w), F.lit(0)))
-    counted = lives.groupBy("trace_id", "tid", "generation").agg(F.count_if(F.col("kind") == CALL).alias("calls"))
-    return counted.groupBy("trace_id", "tid").agg(F.max(F.struct("generation", "calls")).alias("g")).select("trace_id", "tid", "g.*")
+    """(trace_id, tid, generation, calls): calls of each thread id's last life; a new one begins after an exit.
+
+    The last life begins after the last exit, or after the one before where an exit is the thread's last event; exits are
+    few, so only they are ranked, and calls are counted by partial sums."""
+    same = lambda p: F.col("trace_id").eqNullSafe(F.col(f"{p}_trace")) & F.col("tid").eqNullSafe(F.col(f"{p}_tid"))
+    w = Window.partitionBy("trace_id", "tid").orderBy(F.desc("seq"))
+    exits = events.where(F.col("kind") == EXIT).select("trace_id", "tid", "seq").withColumn("n", F.row_number().over(w)).groupBy(F.col("trace_id").alias("x_trace"), F.col("tid").alias("x_tid")).agg(F.count(F.lit(1)).alias("exits"), F.max(F.when(F.col("n") == 1, F.col("seq"))).alias("last"), F.max(F.when(F.col("n") == 2, F.col("seq"))).alias("earlier"))
+    call = F.col("kind") == CALL
+    counted = events.join(exits, same("x"), "left").groupBy("trace_id", "tid").agg(
+        F.max("seq").alias("end"), F.max("exits").alias("exits"), F.max("last").alias("last"),
+        F.count_if(call & (F.col("last").isNull() | (F.col("seq") > F.col("last")))).alias("after_last"), F.count_if(call & (F.col("earlier").isNull() | (F.col("seq") > F.col("earlier")))).alias("after_earlier"),
+    )
+    ended = F.col("end") == F.col("last")
+    return counted.select("trace_id", "tid", (F.coalesce("exits", F.lit(0)) - F.when(ended, 1).otherwise(0)).alias("generation"), F.when(ended, F.col("after_earlier")).otherwise(F.col("after_last")).alias("calls"))
 
 
 def io_bytes(calls: DataFrame) -> DataFrame:

@@ -40,29 +40,29 @@ def _lines(spark: SparkSession, data: str) -> DataFrame:
     return logs.once(e, raw=raw).select(F.lit("events").alias("file"), F.col("event_id").alias("line_no"), "raw")
 
 
-def _records(spark: SparkSession, data: str) -> DataFrame:
-    return logs.parse_records(_lines(spark, data), YEAR)
+def _records(spark: SparkSession, data: str, *columns: str) -> DataFrame:
+    return logs.parse_records(_lines(spark, data), YEAR, columns=columns)
 
 
 @query(f"SELECT coalesce({_LEVEL_SQL}, 'unknown') AS level, count(*) AS lines FROM events GROUP BY 1")
 def log_level_counts(spark, data):
-    return logs.level_counts(_records(spark, data))
+    return logs.level_counts(_records(spark, data, "level"))
 
 
 @query(f"SELECT event_id AS line_no, {_LEVEL_SQL} AS level FROM events WHERE event_type IN ('error', 'purchase')")
 def log_min_level(spark, data):
     keep = logs.LogFilter(min_level="warn")
-    return _records(spark, data).where(keep.condition()).select("line_no", "level")
+    return _records(spark, data, "level").where(keep.condition(from_text=True)).select("line_no", "level")
 
 
 @query("SELECT event_id AS line_no FROM events WHERE event_type IN ('error', 'purchase', 'view')")
 def log_min_level_or_unknown(spark, data):
-    return _records(spark, data).where(logs.LogFilter(min_level="warn", include_unknown=True).condition()).select("line_no")
+    return _records(spark, data, "level").where(logs.LogFilter(min_level="warn", include_unknown=True).condition()).select("line_no")
 
 
 @query("SELECT event_id AS line_no, (epoch_us(ts) // 1000) AS ts_ms FROM events WHERE (epoch_us(ts) // 1000) BETWEEN 1704672000000 AND 1705708799999")
 def log_time_window(spark, data):
-    return _records(spark, data).where(logs.LogFilter(since_ms=1704672000000, until_ms=1705708799999).condition()).select("line_no", "ts_ms")
+    return _records(spark, data, "ts_ms").where(logs.LogFilter(since_ms=1704672000000, until_ms=1705708799999).condition()).select("line_no", "ts_ms")
 
 
 @query(
@@ -71,54 +71,54 @@ def log_time_window(spark, data):
     SELECT CAST((epoch_us(ts) // 1000) // 1000 // w * w AS BIGINT) AS bucket_start, count(*) AS total, count(*) FILTER (WHERE {_LEVEL_SQL} IN ('warn', 'error')) AS warn_or_higher FROM events, w GROUP BY 1"""
 )
 def log_histogram(spark, data):
-    return logs.histogram(_records(spark, data))
+    return logs.histogram(_records(spark, data, "ts_ms", "level"))
 
 
 @query("SELECT count(*) AS total, min((epoch_us(ts) // 1000)) AS first_ms, max((epoch_us(ts) // 1000)) AS last_ms, CAST(0 AS BIGINT) AS unknown_ts FROM events")
 def log_span(spark, data):
-    return logs.span(_records(spark, data))
+    return logs.span(_records(spark, data, "ts_ms"))
 
 
 @query("SELECT count(*) FILTER (WHERE event_type = 'view') AS unknown_level, CAST(0 AS BIGINT) AS unknown_timestamp FROM events")
 def log_rejected_unknown(spark, data):
-    return logs.rejected_by_unknown(_records(spark, data), logs.LogFilter(min_level="warn"))
+    return logs.rejected_by_unknown(_records(spark, data, "ts_ms", "level", "source"), logs.LogFilter(min_level="warn"))
 
 
 # the same operators over the lines as they were delivered; no SQL reads these
 
 
-def _given(spark: SparkSession, data: str) -> DataFrame:
-    return logs.parse_records(table(spark, data, "log_lines").select("file", "line_no", "raw"), YEAR)
+def _given(spark: SparkSession, data: str, *columns: str) -> DataFrame:
+    return logs.parse_records(table(spark, data, "log_lines").select("file", "line_no", "raw"), YEAR, columns=columns)
 
 
 @query()
 def log_lines_level_counts(spark, data):
-    return logs.level_counts(_given(spark, data))
+    return logs.level_counts(_given(spark, data, "level"))
 
 
 @query()
 def log_lines_min_level(spark, data):
-    return _given(spark, data).where(logs.LogFilter(min_level="warn").condition()).select("file", "line_no", "level")
+    return _given(spark, data, "level").where(logs.LogFilter(min_level="warn").condition(from_text=True)).select("file", "line_no", "level")
 
 
 @query()
 def log_lines_time_window(spark, data):
-    return _given(spark, data).where(logs.LogFilter(since_ms=1704672000000, until_ms=1735689599999).condition()).select("file", "line_no", "ts_ms")
+    return _given(spark, data, "ts_ms").where(logs.LogFilter(since_ms=1704672000000, until_ms=1735689599999).condition()).select("file", "line_no", "ts_ms")
 
 
 @query()
 def log_lines_histogram(spark, data):
-    return logs.histogram(_given(spark, data))
+    return logs.histogram(_given(spark, data, "ts_ms", "level"))
 
 
 @query()
 def log_lines_span(spark, data):
-    return logs.span(_given(spark, data))
+    return logs.span(_given(spark, data, "ts_ms"))
 
 
 @query()
 def log_lines_rejected_unknown(spark, data):
-    return logs.rejected_by_unknown(_given(spark, data), logs.LogFilter(min_level="warn"))
+    return logs.rejected_by_unknown(_given(spark, data, "ts_ms", "level", "source"), logs.LogFilter(min_level="warn"))
 
 
 @query("SELECT doc_id FROM documents WHERE contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'inode')")

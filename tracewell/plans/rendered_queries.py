@@ -80,7 +80,7 @@ def log_source_filter(spark, data):
 @query(f"SELECT line_no FROM ({_RECORDS_SQL}) r JOIN events ON event_id = line_no WHERE level IN ('warn', 'error') AND source LIKE 'app%' AND length(source) = 5 AND event_type = 'error' AND r.ts_ms >= 1704672000000")
 def log_conjunction(spark, data):
     keep = logs.LogFilter(query="DID ERROR", min_level="warn", since_ms=1704672000000, regex=r"(?i)app\d{2}\b")
-    return _parsed(spark, data).where(keep.condition()).select("line_no")
+    return _parsed(spark, data).where(keep.condition(from_text=True)).select("line_no")
 
 
 @query(f"SELECT line_no, strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%dT%H:%M:%SZ') AS at FROM ({_RECORDS_SQL})")

@@ -139,6 +139,18 @@ def read_logs(spark: SparkSession, inputs: list[str], by_stretch: int = 64 << 20
     return numbered.select("input", "file", "piece", "first", "last", "before").mapInArrow(read, "input int, file string, line_no long, byte_offset long, raw string, lossy boolean")
 
 
+def expand_reports(path: str) -> list[str]:
+    """The report files that an input names: a file, the ``*.xml`` of a folder by name, or a pattern of file names. An input
+    that names none is a usage error."""
+    if os.path.isdir(path):
+        found = sorted(_glob.glob(os.path.join(_glob.escape(path), "*.xml")))
+    else:
+        found = [path] if os.path.isfile(path) else sorted(p for p in _glob.glob(path) if os.path.isfile(p))
+    if not found:
+        raise UsageError(f"no reports: {path}")
+    return found
+
+
 def whole_files(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
     """(path, content) of files below a folder, by name."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", "content")
@@ -363,6 +375,30 @@ def read_venv(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return spark.createDataFrame(texts, "env string, text string"), spark.createDataFrame(dists, "env string, name string, top_level string, record string")
 
 
+def editable_packages(folder: str) -> list[tuple[str, str]]:
+    """(normalised name, source folder) of packages that an environment takes from a folder of sources: those whose
+    ``direct_url.json`` names a local folder, and the projects in folders that a ``.pth`` file adds to the path."""
+    found: set[tuple[str, str]] = set()
+    normal = lambda n: re.sub(r"[-_.]+", "-", n).lower()
+    for site in sorted(_glob.glob(os.path.join(folder, "lib", "*", "site-packages"))):
+        for info in sorted(_glob.glob(os.path.join(site, "*.dist-info"))):
+            try:
+                told = json.loads(_text(os.path.join(info, "direct_url.json")) or "{}")
+            except ValueError:
+                continue
+            url = told.get("url", "") if isinstance(told, dict) else ""
+            if isinstance(url, str) and url.startswith("file://") and (told.get("dir_info") or {}).get("editable"):
+                found.add((normal(os.path.basename(info).split("-")[0]), url.removeprefix("file://").rstrip("/")))
+        for pth in sorted(_glob.glob(os.path.join(site, "*.pth"))):
+            for line in _text(pth).splitlines():
+                # lines that import something run code and name no folder
+                if line.strip() and not line.startswith(("#", "import ", "import\t")):
+                    path = os.path.normpath(os.path.join(site, line.strip()))
+                    for source in (path, os.path.dirname(path)) if os.path.basename(path) == "src" else (path,):
+                        found |= {(n, source) for n in own_packages(source)}
+    return sorted(found)
+
+
 def own_packages(project: str) -> list[str]:
     """Names that a project gives itself in its build files."""
     found = []
