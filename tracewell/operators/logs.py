@@ -248,7 +248,13 @@ class LogFilter:
         if self.include_unknown or self.min_level in (None, "unknown") or LEVEL_ORDER.index(self.min_level) < LEVEL_ORDER.index("warn"):
             return F.lit(True)
         names = [n for x in LEVEL_ORDER[LEVEL_ORDER.index(self.min_level) : -1] for n in _NAMES[x]]
-        return raw.rlike(rf"(?i)<\d|severity|priority|level\W{{1,5}}[0-7]|{'|'.join(names)}") | F.contains(raw, F.lit("\x1b")) | F.contains(raw, F.lit("\\u"))
+        low = F.lower(raw)
+        has = lambda text, part: F.contains(text, F.lit(part))
+        out = has(raw, "\x1b") | has(raw, "\\u") | has(low, "severity") | has(low, "priority") | has(raw, "<") & raw.rlike(r"<\d") | has(low, "level") & low.rlike(r"level\W{1,5}[0-7]")
+        for n in names:
+            if not any(other != n and other in n for other in names):  # a name in another one is enough
+                out = out | has(low, n)
+        return out
 
     def time_ok(self, ts_ms: Column) -> Column:
         if self.since_ms is None and self.until_ms is None:
