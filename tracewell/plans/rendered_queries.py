@@ -5,13 +5,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.addresses import _grouped
 from tracewell.functions.redact import redact
 from tracewell.operators import build, bundle, disk, graph, health, junit, logs, net, pyenv, trace, units
 from tracewell.plans import verdicts
+from tracewell.plans.domain_queries import _neighbours
 from tracewell.plans.problems import _IPV6
 from tracewell.session import table
 
@@ -257,15 +258,15 @@ def net_kernel_tables(spark, data):
 
 
 def _owned(spark: SparkSession, data: str) -> DataFrame:
-    """Sockets with owners: inodes that 3 divides have one, users that 5 divides could not be read."""
+    """Sockets with owners: inodes that 3 divides have one, users up to 50 could not be read."""
     s = table(spark, data, "sockets")
     owners = s.where("inode > 0 AND inode % 3 = 0").select("inode").distinct().select("inode", (F.col("inode") + 1).alias("pid"), F.lit(3).alias("fd"), F.lit("p").alias("comm"))
-    unread = s.where("uid % 5 = 0").select("uid").distinct()
+    unread = s.where("uid <= 50").select("uid").distinct()
     known = net.with_owners(s.join(unread.withColumn("__x", F.lit(True)), "uid", "left"), owners)
     return known.withColumn("owner_state", F.when((F.col("owner_state") == "orphan") & F.col("__x"), "owner_unknown").otherwise(F.col("owner_state"))).drop("__x")
 
 
-_STATE_SQL = "CASE WHEN coalesce(inode, 0) <> 0 AND NOT (inode > 0 AND inode % 3 = 0) THEN CASE WHEN uid % 5 = 0 THEN 'owner_unknown' ELSE 'orphan' END END"
+_STATE_SQL = "CASE WHEN coalesce(inode, 0) <> 0 AND NOT (inode > 0 AND inode % 3 = 0) THEN CASE WHEN uid <= 50 THEN 'owner_unknown' ELSE 'orphan' END END"
 _LISTEN_SQL = "coalesce((state = 'LISTEN' AND kind NOT LIKE 'unix%') OR (kind IN ('udp', 'udp6') AND (remote_port = 0 OR remote_address IN ('0.0.0.0', '::', '*')) AND local_port <> 0), false)"
 
 
@@ -433,20 +434,18 @@ def env_diff(spark, data):
 
 
 @query(
-    """WITH r AS (SELECT host, snapshot_no, kind || '|' || local_address || '|' || local_port || '|' || remote_address || '|' || remote_port AS k, max(coalesce(state, '') || coalesce(CAST(inode AS VARCHAR), '')) AS v FROM (SELECT host, snapshot_no, coalesce(kind, '') AS kind, coalesce(local_address, '') AS local_address, coalesce(CAST(local_port AS VARCHAR), '') AS local_port, coalesce(remote_address, '') AS remote_address, coalesce(CAST(remote_port AS VARCHAR), '') AS remote_port, state, inode FROM sockets) GROUP BY ALL),
-    e AS (SELECT host, min(snapshot_no) AS lo, max(snapshot_no) AS hi FROM sockets GROUP BY host), b AS (SELECT r.* FROM r JOIN e ON e.host = r.host AND snapshot_no = lo), a AS (SELECT r.* FROM r JOIN e ON e.host = r.host AND snapshot_no = hi)
-    SELECT coalesce(b.host, a.host) AS host, 'net' AS section, CASE WHEN b.k IS NULL THEN 'added' ELSE 'removed' END AS change, count(*) AS n FROM b FULL JOIN a ON a.host = b.host AND a.k = b.k WHERE b.k IS NULL OR a.k IS NULL GROUP BY ALL"""
+    """WITH r AS (SELECT host, snapshot_no, kind || '|' || local_address || '|' || local_port || '|' || remote_address || '|' || remote_port AS k FROM (SELECT host, snapshot_no, coalesce(kind, '') AS kind, coalesce(local_address, '') AS local_address, coalesce(CAST(local_port AS VARCHAR), '') AS local_port, coalesce(remote_address, '') AS remote_address, coalesce(CAST(remote_port AS VARCHAR), '') AS remote_port FROM sockets) GROUP BY ALL),
+    n AS (SELECT host, snapshot_no, lag(snapshot_no) OVER w AS prev, lead(snapshot_no) OVER w AS next FROM (SELECT DISTINCT host, snapshot_no FROM sockets) WINDOW w AS (PARTITION BY host ORDER BY snapshot_no)),
+    b AS (SELECT r.host, next AS pair, k FROM r JOIN n USING (host, snapshot_no) WHERE next IS NOT NULL), a AS (SELECT r.host, snapshot_no AS pair, k FROM r JOIN n USING (host, snapshot_no) WHERE prev IS NOT NULL)
+    SELECT coalesce(b.host, a.host) AS host, 'net' AS section, CASE WHEN b.k IS NULL THEN 'added' ELSE 'removed' END AS change, count(*) AS n FROM b FULL JOIN a ON a.host = b.host AND a.pair = b.pair AND a.k = b.k WHERE b.k IS NULL OR a.k IS NULL GROUP BY ALL"""
 )
 def bundle_sections(spark, data):
-    s = table(spark, data, "sockets")
-    ends = s.groupBy("host").agg(F.min("snapshot_no").alias("lo"), F.max("snapshot_no").alias("hi"))
     cols = ["kind", "local_address", "local_port", "remote_address", "remote_port", "state", "inode"]
-
-    def document(which: str) -> DataFrame:
-        rows = s.join(ends, "host").where(F.col("snapshot_no") == F.col(which)).select("host", F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in cols]).alias("r"))
-        return rows.groupBy("host").agg(F.to_json(F.collect_list("r")).alias("content")).withColumn("name", F.lit("./reports/net_report.json"))  # one host's report
-
-    found = bundle.diff_sections(*(bundle.section_rows(document(w), ("host",)) for w in ("lo", "hi")), keys=("host",))
+    rows = table(spark, data, "sockets").select("host", "snapshot_no", F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in cols]).alias("r"))
+    # a document is the report of one snapshot of a host
+    documents = rows.groupBy("host", "snapshot_no").agg(F.to_json(F.collect_list("r")).alias("content")).withColumn("name", F.lit("./reports/net_report.json"))
+    before, after = (df.withColumn("pair", F.col("pair").cast("bigint")) for df in _neighbours(documents, "host"))
+    found = bundle.diff_sections(bundle.section_rows(before, ("host", "pair")), bundle.section_rows(after, ("host", "pair")), keys=("host", "pair"))
     return found.where("change <> 'changed'").groupBy("host", "section", "change").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -454,8 +453,6 @@ def bundle_sections(spark, data):
 def bundle_messages(spark, data):
     d = table(spark, data, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL").select(_text("=b", F.pmod("doc_id", F.lit(97))).alias("bundle"), F.col("doc_id").alias("seq"), F.substring("text", 1, 90).alias("message"))
     kept = bundle.bounded_messages(d)
-    from pyspark.sql import Window
-
     return kept.select("bundle", F.row_number().over(Window.partitionBy("bundle").orderBy("seq")).cast("bigint").alias("seq"), F.length("message").cast("bigint").alias("n"))
 
 
@@ -521,3 +518,124 @@ def graph_order_holds(spark, data):
     placed = spark.createDataFrame(list(enumerate(graph.topological(graph.bounded_edges(edges)))), "place int, node string")
     j = edges.join(placed.select(F.col("node").alias("src"), F.col("place").alias("x")), "src").join(placed.select(F.col("node").alias("dst"), F.col("place").alias("y")), "dst")
     return j.agg(F.count(F.lit(1)).alias("edges"), F.count_if(F.col("x") >= F.col("y")).alias("against"))
+
+
+# ---- markers, requirements, modules ----
+
+_MARKERS = [
+    "python_version >= '3.{s}'", "sys_platform == 'win32' and python_version > '3.{s}'", "os_name == 'posix' or extra == 'x'", "'linux' in sys_platform and python_version < '3.{s}'",
+    "(sys_platform == 'darwin' or python_full_version == '3.{s}.1') and implementation_name != 'pypy'", "nonsense_variable == '1' or python_version >= '3.{s}'",
+]
+# the environment is 3.12.1; s is the part's size
+_MARKER_SQL = "CASE i WHEN 0 THEN 12 >= s WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN 12 < s ELSE s = 12 END"
+
+
+@query(f"SELECT p_partkey, CAST(i AS INT) AS i FROM (SELECT p_partkey, p_size AS s FROM part), range(5) r(i) WHERE {_MARKER_SQL}")
+def env_markers(spark, data):
+    """A requirement of a package that no environment has is missing where its marker holds."""
+    p = table(spark, data, "part").where("p_partkey IS NOT NULL")
+    texts = F.array(*[F.concat(F.lit(f"absent-{i} ; "), F.replace(F.lit(m), F.lit("{s}"), F.col("p_size").cast("string"))) for i, m in enumerate(_MARKERS[:5])])
+    packages = p.select(F.lit("e").alias("env"), F.col("p_partkey").cast("string").alias("name"), F.col("p_partkey").cast("string").alias("norm_name"), F.lit("1").alias("version"), texts.alias("requires_dist"))
+    states = pyenv.check_dependencies(packages, pyenv.MarkerEnv.for_python("3.12.1")).where("state = 'missing'")
+    return states.select(F.col("package").cast("bigint").alias("p_partkey"), F.regexp_extract("requirement", r"\Aabsent-(\d)", 1).cast("int").alias("i"))
+
+
+@query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'a|b' || p_size WHEN 1 THEN 'mod' || p_size || '|pkg' ELSE 'my_pkg_' || p_partkey END AS modules FROM part")
+def env_modules(spark, data):
+    p = table(spark, data, "part")
+    third = F.pmod("p_size", F.lit(3))
+    dists = p.select("p_partkey", F.col("p_partkey").cast("string").alias("env"), _text("=My-Pkg.", "p_partkey").alias("name"), F.when(third == 0, _text("=b", "p_size", "=\na\n")).alias("top_level"), F.when(third == 1, _text("=pkg/__init__.py,x,1\nmod", "p_size", "=.py,,\nMy-1.dist-info/RECORD,,\n../bin/x,,\n__pycache__/y.pyc,,\n")).alias("record"))
+    return pyenv.top_level_modules(dists).select(F.col("env").cast("bigint").alias("p_partkey"), F.array_join("modules", "|").alias("modules"))
+
+
+@query("SELECT 'e' || p_partkey % 7 AS env, 'm' || p_size AS module, CASE WHEN p_size <= 10 THEN 'stdlib' ELSE min('dist' || p_size) END AS shadows FROM part WHERE p_size <= 10 OR p_size > 10 AND p_size <= 30 AND p_size <> 20 GROUP BY 1, 2, p_size")
+def env_shadowing(spark, data):
+    p = table(spark, data, "part").select(_text("=e", F.pmod("p_partkey", F.lit(7))).alias("env"), _text("=m", "p_size").alias("module"), "p_size")
+    local = p.select("env", "module")
+    stdlib = spark.range(1, 11).select(_text("=m", "id").alias("module"))
+    installed = p.select("env").distinct().crossJoin(spark.range(1, 31)).select("env", _text("=m", "id").alias("module"), _text("=dist", "id").alias("name"))  # seven environments
+    own = p.select("env").distinct().withColumn("name", F.lit("Dist20"))
+    return pyenv.shadowing(local, stdlib, installed, own)
+
+
+# ---- paths and includes of builds ----
+
+
+@query("SELECT p_partkey, '/w/' || p_size || '/c.h' AS path FROM part")
+def build_paths(spark, data):
+    return table(spark, data, "part").select("p_partkey", build.path_normalised(_text("=/w/./x/../", "p_size", "=//y/../../", "p_size", "=/c.h")).alias("path"))
+
+
+@query("SELECT DISTINCT 's' || p_size || '/u.c' AS src, CASE WHEN p_size % 2 = 0 THEN 's' || p_size || '/h.h' WHEN p_size % 3 = 0 THEN 'inc/h.h' ELSE 'sys/h.h' END AS dst FROM part")
+def build_resolved_includes(spark, data):
+    """Even sizes have the header beside the source, those that 3 divides in the first folder, all in the last."""
+    sizes = table(spark, data, "part").select("p_size").distinct()
+    unit = _text("=s", "p_size", "=/u.c")
+    includes = sizes.select(unit.alias("unit"), unit.alias("path"), F.lit("h.h").alias("name"), F.lit(True).alias("quoted"))
+    search = sizes.select(unit.alias("unit"), F.explode(F.array(F.struct(F.lit(0).alias("place"), F.when(F.pmod("p_size", F.lit(3)) == 0, "inc").otherwise("none").alias("folder")), F.struct(F.lit(1).alias("place"), F.lit("sys").alias("folder")))).alias("x")).select("unit", "x.*")
+    files = sizes.where("p_size % 2 = 0").select(_text("=s", "p_size", "=/h.h").alias("path")).union(spark.createDataFrame([("inc/h.h",), ("sys/h.h",)], "path string"))
+    return build.resolve_includes(includes, search, files)
+
+
+@query("SELECT DISTINCT unnest([file] || coalesce(includes, []::VARCHAR[]) || list_transform(coalesce(forced_includes, []::VARCHAR[]), lambda p: CASE WHEN p LIKE '/%' THEN p ELSE directory || '/' || p END)) AS path FROM compile_units")
+def build_referenced_paths(spark, data):
+    return build.referenced_paths(table(spark, data, "compile_units"))
+
+
+# ---- order of a report of sockets ----
+
+
+@query("SELECT host, snapshot_no, inode, row_number() OVER (PARTITION BY host, snapshot_no ORDER BY CASE kind WHEN 'tcp' THEN 1 WHEN 'tcp6' THEN 2 WHEN 'udp' THEN 3 WHEN 'udp6' THEN 4 WHEN 'unix_stream' THEN 5 WHEN 'unix_dgram' THEN 6 ELSE 99 END, local_address, local_port, remote_address, remote_port, unix_path NULLS FIRST, inode) AS place FROM (SELECT DISTINCT host, snapshot_no, kind, local_address, local_port, remote_address, remote_port, unix_path, inode FROM sockets)")
+def net_order(spark, data):
+    rows = table(spark, data, "sockets").select("host", "snapshot_no", "kind", "local_address", "local_port", "remote_address", "remote_port", "unix_path", "inode").distinct()
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy("host", "snapshot_no").orderBy(*net.total_order())))  # a report is one snapshot of a host
+    return placed.select("host", "snapshot_no", "inode", F.col("place").cast("bigint").alias("place"))
+
+
+# ---- verdicts: findings of each domain, counted ----
+
+
+def _counted(found: DataFrame) -> DataFrame:
+    return found.groupBy("severity", "code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT 'warn' AS severity, 'net.orphan' AS code, count(*) AS n FROM sockets WHERE {_STATE_SQL} = 'orphan'")
+def net_verdict(spark, data):
+    return _counted(verdicts.net(_owned(spark, data)))
+
+
+@query("SELECT 'info' AS severity, 'disk.duplicates' AS code, count(*) AS n FROM (SELECT text FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1)")
+def disk_verdict(spark, data):
+    return _counted(verdicts.disk(disk.duplicates(table(spark, data, "documents"), key="doc_id", content="text")))
+
+
+@query(f"""WITH p AS {_ENV_SQL}, n AS (SELECT b.version FROM (SELECT env, p_partkey + 1 AS partkey FROM p) a LEFT JOIN p b ON b.env = a.env AND b.p_partkey = a.partkey)
+    SELECT 'fail' AS severity, 'env.missing' AS code, count(*) FILTER (WHERE version IS NULL) + (SELECT count(*) FROM p) AS n FROM n UNION ALL SELECT 'fail', 'env.conflict', count(*) FILTER (WHERE CAST(substring(version, 3) AS INT) < 25) FROM n""")
+def env_verdict(spark, data):
+    states = pyenv.check_dependencies(_packages(spark, data), pyenv.MarkerEnv.for_python("3.12.1"))
+    return _counted(verdicts.environment(states, spark.createDataFrame([], "module string, shadows string")))
+
+
+@query("SELECT 'fail' AS severity, 'sys.cycle' AS code, CAST(1 AS BIGINT) AS n UNION ALL SELECT 'warn', 'sys.diagnostic', count(*) FROM supplier")
+def unit_verdict(spark, data):
+    text = spark.createDataFrame([("x.service", "/x", 0, "[Unit]\nAfter=y.service\n"), ("y.service", "/y", 0, "[Unit]\nAfter=x.service\n")], "unit string, path string, precedence int, content string")
+    entries = units.parse_units(_unit_files(spark, data).unionByName(text))
+    edges = graph.bounded_edges(units.ordering_edges(units.references(units.effective(entries))))
+    cycles = spark.createDataFrame([(c,) for c in graph.components(edges)], "members array<string>")
+    return _counted(verdicts.units(cycles, entries))
+
+
+@query("SELECT g AS severity, 'doctor.c' || r AS code, count(*) AS n FROM (SELECT CASE WHEN s_acctbal < 0 THEN 'fail' ELSE 'warn' END AS g, s_nationkey % 3 AS r FROM supplier WHERE s_acctbal < 5000) GROUP BY 1, 2")
+def health_verdict(spark, data):
+    s = table(spark, data, "supplier")
+    checks = s.select(_text("=c", F.pmod("s_nationkey", F.lit(3))).alias("category"), F.col("s_name").alias("name"), F.when(F.col("s_acctbal") < 0, "fail").when(F.col("s_acctbal") < 5000, "warn").otherwise("pass").alias("status"))
+    return _counted(verdicts.health(checks))
+
+
+@query("SELECT 'fail' AS severity, 'trace.fd_leak' AS code, count(*) AS n FROM supplier")
+def trace_verdict(spark, data):
+    """A trace for each supplier: four is opened twice and closed once by a number of its own, five is never closed."""
+    calls = [("openat", '"/a"', "4"), ("close", "4", "0"), ("openat", '"/b"', "5"), ("dup", "5", "6"), ("close", "6", "0"), ("close", "9", "0")]
+    steps = F.array(*[F.struct(F.lit(i).cast("bigint").alias("seq"), F.lit(1).cast("bigint").alias("tid"), F.lit("call").alias("kind"), F.lit(n).alias("syscall"), F.lit(a).alias("arguments"), F.lit(r).alias("result"), F.lit(None).cast("string").alias("error")) for i, (n, a, r) in enumerate(calls)])
+    events = table(spark, data, "supplier").select(F.col("s_suppkey").cast("string").alias("trace_id"), F.inline(steps))
+    return _counted(verdicts.trace(trace.descriptor_leaks(events)))
