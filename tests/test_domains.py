@@ -21,6 +21,7 @@ from tracewell.plans import domain_queries, verdicts
 from tracewell.report import Report, check_schema, findings, human_bytes, no_findings, paginate, render_findings, to_json, within_budget
 from tracewell.sources import files
 from tracewell.streaming import follow as follow_source
+from tracewell.streaming import traces as trace_streams
 
 
 def rows(df, *columns):
@@ -572,3 +573,38 @@ def test_editable_packages_and_report_inputs(tmp_path):
     assert [os.path.basename(p) for p in files.expand_reports(str(tmp_path))] == ["a.xml", "b.xml"] and files.expand_reports(str(tmp_path / "b*")) == [str(tmp_path / "b.xml")]
     with pytest.raises(UsageError):
         files.expand_reports(str(tmp_path / "z*.xml"))
+
+
+def test_streams_of_traces_agree_with_batches(spark, tmp_path):
+    rng = random.Random(4)
+    kinds = "trace_id string, seq long, tid long, kind string, syscall string, arguments string, result string, error string, duration_ns long"
+    data = []
+    for t in ("a", "b"):
+        for seq in range(90):
+            tid = rng.choice([1, 2, 3])
+            kind = rng.choice(["call", "call", "call", "unfinished", "resumed", "exit" if seq > 60 else "call"])
+            name = rng.choice(["openat", "close", "read", "clone"]) if kind != "exit" else None
+            data.append((t, seq, tid, kind, name, "3, CLONE_FILES" if name == "clone" else str(rng.randrange(3, 9)), None if kind == "unfinished" else str(rng.randrange(3, 9)), None, seq))
+    for i in range(3):
+        spark.createDataFrame([r for r in data if r[1] // 30 == i], kinds).coalesce(1).write.parquet(f"{tmp_path}/in/part={i}")
+    batch = spark.createDataFrame(data, kinds)
+    stitched = trace.stitch(batch)
+    source = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+
+    def run(df, name, source_dir):
+        q = df.writeStream.format("memory").queryName(name).option("checkpointLocation", f"{tmp_path}/{name}").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return sorted(map(tuple, spark.table(name).collect()), key=str)
+
+    got = run(trace_streams.follow_calls(source), "stream_calls", None)
+    plain = sorted((tuple(r) for r in stitched.select(*[c.split()[0] for c in kinds.split(", ")]).collect()), key=str)
+    waiting = [r for r in plain if r[3] == "unfinished" and r not in got]
+    assert sorted([*got, *waiting], key=str) == plain and len(waiting) <= 6 and any(r[3] == "call" and r[5].count(",") for r in got)
+    leaks = run(trace_streams.follow_descriptors(source), "stream_leaks", None)
+    walks = {}
+    for t in ("a", "b"):
+        d = trace.Descriptors()
+        for r in sorted(x for x in data if x[0] == t):
+            d.leave(r[2]) if r[3] == "exit" else d.call(r[2], r[4], r[5], r[6] or "", r[7]) if r[3] == "call" else None
+        walks[t] = sorted(set(d.leaks))
+    assert sorted(set(leaks)) == sorted((t, *x) for t, found in walks.items() for x in found) and leaks
