@@ -16,6 +16,7 @@ documents, each distinct text once.
 
 from __future__ import annotations
 
+import pickle
 import re
 import unicodedata
 from collections import Counter
@@ -32,6 +33,7 @@ from tracewell.session import cut_lineage
 #: At most so many documents are fitted on, none longer than so many characters; everything else reads every document whole.
 SAMPLE_DOCUMENTS = 6000
 SAMPLE_LONGEST = 20_000
+SAMPLE_TASKS = 32
 #: A candidate this close to the one before it has transitions of its own.
 NEAR = 12
 #: Sequences are cut into stretches of so many candidates for fitting.
@@ -41,6 +43,7 @@ PLACES = 6
 #: Features of single words count from so many cases on, with a stronger prior than the others.
 LEAST_CASES = 10
 PRIOR, WORD_PRIOR, CHAIN_PRIOR = 0.5, 1.5, 3000.0
+FIRST_STEPS, STEPS = 100, 40
 #: Where the prior expects weights that are not 0: without evidence a mark divides before what may open a sentence.
 EXPECTED = {("opens", "opens"): 1.0, ("opens", "lower"): -1.0, ("opens", "point"): -1.0, ("opens", "other"): -1.0}
 #: A word opens sentences in lower case if it does so in at least so many texts and in this share of all.
@@ -81,6 +84,8 @@ _OPENING_JVM = r"(?:\A|\n[ \t]*\n|(?<=\p{L}{7})\.[ \t]+|[?][ \t]+)([a-zа-яα-
 
 #: Mark, what follows, scripts before, at and after the gap; then shape and word before a full stop, and words beside a number.
 Context = tuple[str, ...]
+#: Contexts, which end a paragraph, their numbers in it, which stand close to the one before.
+Sequence = tuple[list[Context], list[bool], list[int], list[bool]]
 
 
 @cache
@@ -371,7 +376,7 @@ def learn_starters(texts: Iterable[str]) -> frozenset[str]:
     return frozenset(w for w, n in seen.items() if n >= max(LEAST_OPENED, SHARE_OPENED * len(distinct)))
 
 
-def evidence(texts: Iterable[str], starters: frozenset[str]) -> list[tuple[list[Context], list[bool], list[int], list[bool]]]:
+def evidence(texts: Iterable[str], starters: frozenset[str]) -> list[Sequence]:
     """One sequence a text: contexts, which of them end a paragraph that another follows, their number in the paragraph,
     and which stand close to the one before. Between letters of scripts without end marks, punctuation is stripped."""
     reader = Segmenter({}, starters)
@@ -396,7 +401,7 @@ def evidence(texts: Iterable[str], starters: frozenset[str]) -> list[tuple[list[
 class _Field:
     """Sequences as arrays, longest first, and sums over all taggings of them."""
 
-    def __init__(self, sequences: list[tuple[list[Context], list[bool], list[int], list[bool]]]) -> None:
+    def __init__(self, sequences: list[Sequence]) -> None:
         pieces = [tuple(x[i : i + STRETCH] for x in q) for q in sequences for i in range(0, len(q[0]), STRETCH)]
         pieces.sort(key=lambda p: -len(p[0]))
         codes: dict[Context, int] = {}
@@ -458,7 +463,7 @@ class _Climb:
         self.now = self.now + rate * self.mean / (1 - 0.9**self.n) / (np.sqrt(self.square / (1 - 0.99**self.n)) + 1e-8)
 
 
-def fit(texts: Iterable[str], starters: frozenset[str] | None = None, first_steps: int = 100, steps: int = 40) -> Segmenter:
+def fit(texts: Iterable[str], starters: frozenset[str] | None = None, first_steps: int = FIRST_STEPS, steps: int = STEPS) -> Segmenter:
     """A model fitted on texts; starters are learned from them unless given. Without any paragraph's end there is nothing
     to learn from, and the prior decides.
 
@@ -468,7 +473,11 @@ def fit(texts: Iterable[str], starters: frozenset[str] | None = None, first_step
     """
     texts = list(dict.fromkeys(texts))
     starters = learn_starters(texts) if starters is None else starters
-    sequences = evidence(texts, starters)
+    return fit_evidence(evidence(texts, starters), starters, first_steps, steps)
+
+
+def fit_evidence(sequences: list[Sequence], starters: frozenset[str], first_steps: int = FIRST_STEPS, steps: int = STEPS) -> Segmenter:
+    """:func:`fit` on what :func:`evidence` gives."""
     if not any(any(q[1]) for q in sequences):
         return Segmenter(dict(EXPECTED), starters)
     field = _Field(sequences)
@@ -539,8 +548,16 @@ def sentence_units(documents: DataFrame, sample_documents: int = SAMPLE_DOCUMENT
     # a share of all texts, so their number is bounded by what a text opens on average
     starters = frozenset(r[0] for r in told.where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("word").collect())
     ids = [r[0] for r in distinct.where("doc_id IS NOT NULL").orderBy("hash").limit(sample_documents).select("doc_id").collect()]
-    sample = [r[0] for r in whole.where(F.col("doc_id").isin(ids) & (F.length("text") <= sample_longest)).select("text").distinct().orderBy(F.xxhash64("text"), "text").limit(sample_documents).collect()] if ids else []
-    model = fit(sample, starters)
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [pickle.dumps(evidence([text], starters)) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["hash", "seen"])
+
+    # the sample is bounded, so it is read off in a fixed number of tasks; contexts come to the driver, not texts
+    sample = whole.where(F.col("doc_id").isin(ids) & (F.length("text") <= sample_longest)).select(F.xxhash64("text").alias("hash"), "text").distinct().repartition(SAMPLE_TASKS)
+    told_by = sorted((r["hash"], r["seen"]) for r in sample.mapInArrow(seen, "hash bigint, seen binary").collect())[:sample_documents] if ids else []
+    model = fit_evidence([q for _, own in told_by for q in pickle.loads(own)], starters)
     weights = model.weights
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
