@@ -36,6 +36,8 @@ SAMPLE_LONGEST = 20_000
 SAMPLE_TASKS = 32
 #: A candidate this close to the one before it has transitions of its own.
 NEAR = 12
+#: Of a longer run of characters before a full stop the model sees so many.
+LONGEST_WORD = 80
 #: Sequences are cut into stretches of so many candidates for fitting.
 STRETCH = 64
 #: Rates of paragraph ends are told apart for so many first candidates of a paragraph.
@@ -125,7 +127,7 @@ class Segmenter:
 
     def _after(self, text: str, at: int, end: int) -> tuple[str, int]:
         """The kind of what follows a gap, and where it stands."""
-        start = _GAP.match(text, at, end).end()
+        start = at + 1 if at + 1 < end and text[at] == " " and not text[at + 1].isspace() else _GAP.match(text, at, end).end()
         i = start
         while i < end and text[i] in _OPENERS:
             i += 1
@@ -145,8 +147,8 @@ class Segmenter:
 
     def _word(self, text: str, start: int, mark: int, place: int, end: int) -> tuple[str, str, str, str]:
         """The shape of the word before a full stop, the word itself, and for a number the words before and after it."""
-        begin = mark
-        while begin > start and text[begin - 1] not in _APART:
+        begin, least = mark, max(start, mark - LONGEST_WORD)
+        while begin > least and text[begin - 1] not in _APART:
             begin -= 1
         token = text[begin:mark].rstrip(")]}）")
         if not token:
@@ -193,7 +195,9 @@ class Segmenter:
             quoted = inside and reach >= quotes[q][1]
             if inside and not quoted:
                 continue
-            emoji = _EMOJI.match(text, reach, end)
+            # no emoji comes before the arrows
+            near = text[reach : reach + 1] if text[reach : reach + 1] not in (" ", "\t") else text[reach : reach + 8].lstrip(" \t")[:1] or " "
+            emoji = _EMOJI.match(text, reach, end) if near >= "←" or near == " " else None
             if emoji:
                 reach = emoji.end()
             if reach >= end:
