@@ -108,7 +108,7 @@ def compare(spark: SparkSession, before: str, after: str) -> tuple[str, DataFram
         return kind, names.unionByName(bundle.diff_sections(*(bundle.section_rows(x.withColumn("content", F.decode("content", "UTF-8"))) for x in scanned)))
     if kind == "compile_db":
         return kind, build.diff_units(*both(_commands))
-    return kind, trace.diff_stats(*(trace.syscall_stats(x.where("kind = 'call'")) for x in both(_trace)))
+    return kind, trace.diff_stats(*(trace.syscall_sums(x.where("kind = 'call'")) for x in both(_trace)))
 
 
 def compare_reports(spark: SparkSession, section: str, before: str, after: str) -> DataFrame:

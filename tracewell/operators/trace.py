@@ -160,7 +160,7 @@ def lower_percentiles(df: DataFrame, keys: list[str], value: str, ps: list[int])
     run = counted.withColumn("__upto", F.sum("__n").over(w.orderBy("__bin"))).withColumn("__all", F.sum("__n").over(w))
     places = F.array(*[F.struct(F.lit(p).alias("p"), F.floor((F.col("__all") - 1) * p / 100).alias("at")) for p in ps])
     wanted = run.select("__g", "__bin", (F.col("__upto") - F.col("__n")).alias("__below"), F.explode(F.filter(places, lambda x: (x["at"] < F.col("__upto")) & (x["at"] >= F.col("__upto") - F.col("__n")))).alias("__p"))
-    bins = wanted.select(F.col("__g").alias("__wg"), F.col("__bin").alias("__wb")).distinct()
+    bins = wanted.select(F.col("__g").alias("__wg"), F.col("__bin").alias("__wb"))
     here = F.col("__g").eqNullSafe(F.col("__wg")) & (F.col("__bin") == F.col("__wb"))
     within = known.withColumn("__g", group).join(bins, here, "left_semi").groupBy("__g", "__bin", "__v").agg(F.count(F.lit(1)).alias("__n"))
     ranked = within.withColumn("__upto", F.sum("__n").over(Window.partitionBy("__g", "__bin").orderBy("__v")))
@@ -168,13 +168,18 @@ def lower_percentiles(df: DataFrame, keys: list[str], value: str, ps: list[int])
     return found.groupBy("__g").agg(*[F.min(F.when(F.col("__p.p") == p, F.col("__v"))).alias(f"p{p}_{value}") for p in ps]).select(*[F.col(f"__g.{k}").alias(k) for k in keys], *[f"p{p}_{value}" for p in ps])
 
 
-def syscall_stats(calls: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Per syscall: calls, errors, known durations, total, longest and the lower 50th, 95th and 99th percentile."""
-    by = [*keys, "syscall"]
-    sums = calls.groupBy(*by).agg(
+def syscall_sums(calls: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Per syscall: calls, errors, known durations, total and longest; all that a comparison needs."""
+    return calls.groupBy(*keys, "syscall").agg(
         F.count(F.lit(1)).alias("calls"), F.count("error").alias("errors"), F.count("duration_ns").alias("known_duration"),
         F.coalesce(F.sum("duration_ns"), F.lit(0)).alias("total_ns"), F.max("duration_ns").alias("max_ns"),
     )
+
+
+def syscall_stats(calls: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """:func:`syscall_sums` with the lower 50th, 95th and 99th percentile of durations."""
+    by = [*keys, "syscall"]
+    sums = syscall_sums(calls, keys)
     at = lower_percentiles(calls, by, "duration_ns", [50, 95, 99]).withColumnsRenamed({k: f"__{k}" for k in by})
     same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by]
     return sums.join(at, same, "left").drop(*[f"__{k}" for k in by])
@@ -306,7 +311,7 @@ def descriptor_leaks(events: DataFrame) -> DataFrame:
 
 
 def diff_stats(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Per syscall of either: calls and errors before and after, their differences, and ``latency_percent`` where the
+    """Per syscall of either (:func:`syscall_sums`): calls and errors before and after, their differences, and ``latency_percent`` where the
     integer mean grew by half or more from at least a microsecond."""
     side = lambda df, p: df.select("syscall", *[F.col(c).alias(f"{p}_{c}") for c in ("calls", "errors", "known_duration", "total_ns")])
     j = side(before, "before").join(side(after, "after"), "syscall", "full_outer").fillna(0)

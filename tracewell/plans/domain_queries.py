@@ -213,7 +213,7 @@ def trace_io_bytes(spark, data):
 def trace_diff(spark, data):
     c = _calls(spark, data)
     first = F.col("error").isNotNull() | (F.col("seq") <= 200)
-    return trace.diff_stats(trace.syscall_stats(c.where(first)), trace.syscall_stats(c.where(~first)))
+    return trace.diff_stats(trace.syscall_sums(c.where(first)), trace.syscall_sums(c.where(~first)))
 
 
 def _halves(spark: SparkSession, data: str) -> DataFrame:
