@@ -283,7 +283,7 @@ def test_short_forms_are_learned_from_where_paragraphs_end():
 
 def test_sums_over_all_taggings():
     rng = np.random.default_rng(0)
-    contexts = [(m, "upper", "a", "b", "c", "", "", "", "") for m in ("stop", "call")]
+    contexts = [(m, "upper", "a", "b", "", "", "", "") for m in ("stop", "call")]
     sequences = [([contexts[i] for i in (0, 1, 0, 0)], [False] * 4, [0, 1, 2, 3], [False, True, False, True]), ([contexts[1], contexts[0]], [False] * 2, [0, 1], [False, True])]
     field = _Field(sequences)
     scores, tags = rng.normal(size=len(field.code)), rng.normal(size=(2, 2, 2))

@@ -77,6 +77,8 @@ _NUMBERED = re.compile(r"[ \t]*(?:\d{1,4}|[a-zA-Z])[.)][ \t]+")
 _MAILED = re.compile(r"[ \t]{0,3}>")
 _LETTER = re.compile(r"[^\W\d_]")
 _OPENING = re.compile(r"(?:\A|\n[ \t]*\n|(?<=[^\W\d_]{7})\.[ \t]+|[?][ \t]+)([a-zа-яα-ω][\w-]*)(?= )")
+#: Kinds of the commonest marks.
+_KINDS = {".": "stop", "!": "call", "?": "question", "。": "wide", "！": "wide", "？": "wide", "।": "own", "؟": "own", "…": "pause", "...": "pause"}
 #: What a unit's end may look like before a bracket opens the next one.
 _ENDERS = frozenset(".!?…。！？｡।॥؟۔:" + _CLOSERS + "".join(QUOTES.values()))
 #: Kinds of what follows a mark that may open a sentence, seen together as well as apart.
@@ -84,7 +86,7 @@ _OPENS = frozenset(("upper", "starter", "digit", "letter", "open"))
 #: The same for the JVM.
 _OPENING_JVM = r"(?:\A|\n[ \t]*\n|(?<=\p{L}{7})\.[ \t]+|[?][ \t]+)([a-zа-яα-ω][\p{L}\p{N}_-]*)(?= )"
 
-#: Mark, what follows, scripts before, at and after the gap; then shape and word before a full stop, and words beside a number.
+#: Mark, what follows, scripts before and after the gap; then shape and word before a full stop, and words beside a number.
 Context = tuple[str, ...]
 #: Contexts, which end a paragraph, their numbers in it, which stand close to the one before.
 Sequence = tuple[list[Context], list[bool], list[int], list[bool]]
@@ -96,6 +98,17 @@ def _script(c: str) -> str:
     return unicodedata.name(c, "").partition(" ")[0].partition("-")[0] if c.isalpha() else ""
 
 
+def _kind(mark: str) -> str:
+    """The kind of a run of end marks."""
+    if mark in ";\u037e":
+        return "greek"
+    if any(c in mark for c in "。！？｡"):
+        return "wide"
+    if mark[0] in "।॥؟۔":
+        return "own"
+    return "question" if "?" in mark else "call" if "!" in mark else "pause" if "…" in mark or len(mark) > 1 else "stop"
+
+
 def _quote_pairs(text: str) -> list[tuple[int, int]]:
     """Spans of quotation marks that are closed in the same block, outermost ones."""
     pairs: list[tuple[int, int]] = []
@@ -187,7 +200,7 @@ class Segmenter:
             inside = q < len(quotes) and quotes[q][0] < at
             if mark[0] == " ":
                 if not inside:
-                    out.append((at, ("blank", "letter", _script(text[at - 1]), "", "", "", "", "", "")))
+                    out.append((at, ("blank", "letter", _script(text[at - 1]), "", "", "", "", "")))
                 continue
             reach = stop
             while reach < end and (text[reach] in _CLOSERS or reach in closes):
@@ -203,23 +216,11 @@ class Segmenter:
             if reach >= end:
                 break
             gap = text[reach].isspace()
-            if mark in ";\u037e":
+            kind = _KINDS.get(mark) or _kind(mark)
+            if kind == "greek":
                 letters = _LETTER.findall(text[max(start, at - 40) : at])
                 if not gap or not letters or not "Ͱ" <= letters[-1] <= "Ͽ":
                     continue
-                kind = "greek"
-            elif "。" in mark or "！" in mark or "？" in mark or "｡" in mark:
-                kind = "wide"
-            elif mark[0] in "।॥؟۔":
-                kind = "own"
-            elif "?" in mark:
-                kind = "question"
-            elif "!" in mark:
-                kind = "call"
-            elif "…" in mark or len(mark) > 1:
-                kind = "pause"
-            else:
-                kind = "stop"
             nxt, place = self._after(text, reach, end)
             if not gap and kind in ("stop", "call", "question") and not emoji:
                 # a blank is missing between two sentences, or this is inside a name
@@ -239,9 +240,10 @@ class Segmenter:
                 while ahead > start and text[ahead - 1] in " \t\r\n>":
                     ahead -= 1
                 kind = "aside" if opened >= 0 and (ahead == start or text[ahead - 1] in _ENDERS) else "stop"
-            follows = _NAME_WORD.search(text, place, min(end, place + 40))
-            first, final = (_script(follows[0][0]), _script(follows[0][-1])) if follows else ("", "")
-            out.append((reach, (kind, nxt, _script(text[at - 1 : at]), first, final, *word)))
+            opened = place
+            while opened < end and text[opened] in _OPENERS:
+                opened += 1
+            out.append((reach, (kind, nxt, _script(text[at - 1 : at]), _script(text[opened : opened + 1]), *word)))
             last = reach
         return out
 
@@ -257,6 +259,8 @@ class Segmenter:
 
     def decode(self, contexts: list[Context], near: list[bool]) -> list[bool]:
         """The best sequence of tags, by Viterbi's algorithm; near says which candidates stand close to the one before."""
+        if len(contexts) == 1:
+            return [self.score(contexts[0]) > 0]
         inside, boundary = 0.0, float("-inf")
         back: list[tuple[int, int]] = []
         for c, close in zip(contexts, near, strict=True):
@@ -336,11 +340,13 @@ class Segmenter:
                     ends = [e for (e, _), tag in zip(found, self.decode([c for _, c in found], closeness([e for e, _ in found])), strict=True) if tag] + ends
             a = start
             for e in ends:
-                piece = text[a:e]
-                left = len(piece) - len(piece.lstrip())
-                right = len(piece.rstrip())
+                left, right = a, e
+                while left < right and text[left].isspace():
+                    left += 1
+                while left < right and text[right - 1].isspace():
+                    right -= 1
                 if left < right:
-                    out.append((a + left, a + right))
+                    out.append((left, right))
                 a = e
         return out
 
@@ -352,9 +358,9 @@ def closeness(places: list[int]) -> list[bool]:
 
 def features(context: Context) -> list[tuple]:
     """What the model sees of a context: its parts alone and together, and single words."""
-    mark, nxt, before, first, final, shape, word, earlier, later = context
+    mark, nxt, before, first, shape, word, earlier, later = context
     opens = "opens" if nxt in _OPENS else nxt
-    out: list[tuple] = [("any",), ("mark", mark), ("next", nxt), ("opens", opens), ("mark next", mark, nxt), ("mark opens", mark, opens), ("before", mark, before), ("before next", mark, before, nxt), ("scripts", mark, before, first), ("ends", mark, final)]
+    out: list[tuple] = [("any",), ("mark", mark), ("next", nxt), ("opens", opens), ("mark next", mark, nxt), ("mark opens", mark, opens), ("before", mark, before), ("before next", mark, before, nxt), ("scripts", mark, before, first)]
     if shape:
         out += [("shape", mark, shape), ("shape next", mark, shape, nxt), ("shape opens", mark, shape, opens)]
     if word:
