@@ -219,6 +219,22 @@ def test_units(spark, tmp_path):
         files.read_unit_dirs(spark, [str(tmp_path / "no")])
 
 
+def test_instances_of_many_units(spark, monkeypatch):
+    unit = lambda names, text: names.select(F.col("unit"), F.lit("p").alias("path"), F.lit(0).alias("precedence"), text.alias("content"))
+    many = unit(spark.range(5500).select(F.concat(F.lit("s"), "id", F.lit(".service")).alias("unit")), F.concat(F.lit("[Unit]\nWants=t@"), F.col("unit")))
+    template = lambda name, wants: spark.createDataFrame([(name, "p", 0, f"[Unit]\nWants={wants}\n")], "unit string, path string, precedence int, content string")
+    files = many.unionByName(template("t@.service", "u@%i.service")).unionByName(template("u@.service", "end.service"))
+    grown = units.expand_instances(units.parse_units(files))
+    assert grown.columns[-1] == "depth"
+    found = {r.unit: r.depth for r in grown.where("depth > 0").collect() if "%" not in r.unit}
+    assert found == {f"{t}@s{i}.service": d for i in range(5500) for t, d in (("t", 1), ("u", 2))}
+    # a template that brings itself twice each time ends by what one written instance brings, not by the size of the table
+    monkeypatch.setattr(units, "MOST_UNITS", 5)
+    endless = template("a.service", "t@x.service").unionByName(template("t@.service", "t@%ia.service t@%ib.service"))
+    with pytest.raises(LimitExceeded, match="brings more"):
+        units.expand_instances(units.parse_units(endless))
+
+
 def test_graph(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("x", "x"), (None, "q")], "src string, dst string")
     assert rows(graph.mutual(e)) == [("a", "a"), ("a", "b"), ("a", "c"), ("x", "x")]

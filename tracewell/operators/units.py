@@ -23,7 +23,7 @@ SUFFIXES = [".service", ".socket", ".target", ".timer", ".mount", ".automount",
 DEPENDENCY_KEYS = ["Wants", "Requires", "Before", "After", "Requisite", "BindsTo", "PartOf", "Conflicts", "Upholds"]
 REFERENCE_KEYS = ["Wants", "Requires", "Before", "After"]
 CHECKED_SUFFIXES = [".service", ".socket", ".target", ".timer", ".mount"]
-MOST_UNITS, MOST_REFERENCES, MOST_DEPTH, LONGEST_NAME = 10_000, 100_000, 32, 255
+MOST_UNITS, MOST_DEPTH, LONGEST_NAME = 10_000, 32, 255
 
 _ENTRIES = "unit string, path string, precedence int, seq bigint, line int, section string, key string, value string, diagnostic string"
 
@@ -157,19 +157,26 @@ def missing_references(refs: DataFrame, units: DataFrame) -> DataFrame:
 def expand_instances(entries: DataFrame) -> DataFrame:
     """Assignments, with those of every instance that is referred to and whose template exists, to the end.
 
-    Each round adds the instances that the last one brought; limits on units, references, depth and names raise."""
-    known = entries.withColumn("depth", F.lit(0))
+    Each round adds the instances that the last one brought. There is no limit on how many units or references the entries
+    hold; templates that go on without end raise, by depth, by the length of names, and where one instance that is written
+    out brings by itself more than MOST_UNITS others."""
+    columns = [*entries.columns, "depth"]
+    known = entries.withColumn("depth", F.lit(0)).withColumn("__root", F.lit(None).cast("string"))
+    templates = entries.where(is_template(F.col("unit"))).withColumnRenamed("unit", "__t")
     fresh = known
     for depth in range(1, MOST_DEPTH + 1):
-        wanted = references(fresh).select(F.col("target").alias("unit")).distinct().where(template_of(F.col("unit")).isNotNull()).join(known.select("unit").distinct(), "unit", "left_anti")
-        grown = wanted.withColumn("__t", template_of(F.col("unit"))).join(entries.withColumnRenamed("unit", "__t"), "__t").drop("__t").withColumn("depth", F.lit(depth))
+        # the first round brings all that is written out, so later ones only names made by specifiers
+        named = references(fresh.withColumn("unit", F.coalesce("__root", "unit"))).where(template_of(F.col("target")).isNotNull())
+        wanted = named.groupBy(F.col("target").alias("unit")).agg(F.min("target" if depth == 1 else "unit").alias("__root")).join(known.select("unit").distinct(), "unit", "left_anti")
+        grown = wanted.withColumn("__t", template_of(F.col("unit"))).join(templates, "__t").drop("__t").withColumn("depth", F.lit(depth))
         fresh = cut_lineage(expand_specifiers(grown).select(*known.columns), eager=True)
         if fresh.isEmpty():
-            return known
+            return known.select(*columns)
+        if fresh.where(F.length("unit") > LONGEST_NAME).limit(1).count():
+            raise LimitExceeded(f"a name of an instance is longer than {LONGEST_NAME}")
         known = known.unionByName(fresh)
-        size = known.agg(F.countDistinct("unit").alias("u"), F.max(F.length("unit")).alias("l")).first()
-        if size["u"] > MOST_UNITS or size["l"] > LONGEST_NAME or references(known).count() > MOST_REFERENCES:
-            raise LimitExceeded("instances pass the limits on units, references or names")
+        if depth > 1 and known.where("depth > 1").groupBy("__root").agg(F.countDistinct("unit").alias("n")).where(F.col("n") > MOST_UNITS).limit(1).count():
+            raise LimitExceeded(f"one instance brings more than {MOST_UNITS} others")
     raise LimitExceeded(f"instances nest deeper than {MOST_DEPTH}")
 
 
