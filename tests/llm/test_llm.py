@@ -14,7 +14,7 @@ from tracewell.llm.eval_leaks import _Phrases, counted_places, eval_leaks, lette
 from tracewell.llm.event_runs import canonical_arguments, collapse_runs, time_us
 from tracewell.llm.fm_index import FmIndex, suffix_order
 from tracewell.llm.sentences import EXPECTED, Segmenter, _Field, evidence, fit, learn_starters, sentence_units
-from tracewell.llm.source_mix import attainable, fit_topics, mix_sources, rake, with_tokens
+from tracewell.llm.source_mix import RANKS, TOKENIZER_DIR, _encoding, _tokenizer, attainable, fit_topics, mix_sources, rake, with_tokens
 
 EVENT = "trace_id string, seq long, tid long, ts string, syscall string, arguments string, error string, duration_ns long"
 
@@ -188,6 +188,20 @@ def test_topics_come_from_the_texts_in_every_language():
     assert fit_topics([], []).of([[1]], ["en"]) == [0] and topics.of([], []) == []
 
 
+def test_topics_are_fitted_on_all_documents(spark):
+    rng = random.Random(5)
+    words = [[rng.choice("bdfgklmnprst") + rng.choice("aeiou") + rng.choice("bdfgklmnprst") for _ in range(30)] for _ in range(20)]
+    docs = [(i, " ".join(rng.choice(words[i % 20]) for _ in range(rng.randrange(5, 30))) + (" a" * 700 if i == 7 else ""), "s", ("en", "de", "fr")[i % 3] if i else "it") for i in range(2600)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string").repartition(7, "doc_id")
+    encode = _tokenizer(_encoding(TOKENIZER_DIR, RANKS)).encode_ordinary
+    tokens, languages = [encode(t) for _, t, _, _ in docs], [lang for *_, lang in docs]
+    own = fit_topics(tokens, languages).of(tokens, languages)
+    marginals = mix_sources(d, spark.createDataFrame([("r", "s", 1.0, 1)], "recipe string, source string, target_weight double, max_repeats int")).marginals
+    got = {int(r.value): r.pool_share for r in marginals.where("dimension = 'topic'").collect()}
+    want = {k: sum(len(t) for t, o in zip(tokens, own, strict=True) if o == k) / sum(map(len, tokens)) for k in set(own)}
+    assert len(want) == 16 and got == pytest.approx(want)
+
+
 def test_mix_queries_are_not_held_to_the_shortest_source(spark, tmp_path):
     rng = random.Random(8)
     text = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(n))

@@ -7,18 +7,20 @@ cell's weight over the cell's tokens; whole copies are certain, the remainder is
 source, read from a histogram of bounded size, calibrates the draw. Documents that stand next to the threshold, a bounded
 number a source, are then taken one by one where they still fit, so a long one at the cut does not miss the target.
 
-Topics come from the texts: centres of clusters of hashed token counts, less the mean of the text's language, fitted on a
-bounded sample; every document goes to the nearest one. Only sums per cell, histograms of fixed size and the documents
-next to thresholds come to the driver. Tokens are counted once and kept by a checkpoint.
+Topics come from the texts: centres of clusters of hashed token counts, less the mean of the text's language, fitted on all
+documents in passes over their kept counts; every document goes to the nearest one. Only sums per cell, centre and language,
+histograms of fixed size and the documents next to thresholds come to the driver. Tokens are counted once and kept by a
+checkpoint.
 """
 
 from __future__ import annotations
 
 import base64
 import os
-from collections import defaultdict
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -36,8 +38,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 TOPICS = 16
 #: Token counts are hashed into so many places to tell topics.
 PLACES = 512
-#: Topics are fitted on at most so many documents, none longer than so many characters.
-SAMPLE_DOCUMENTS, SAMPLE_LONGEST = 2000, 20_000
+#: Vectors are summed up in whole parts of this, so sums do not depend on how rows are dealt out.
+PARTS = 1 << 30
 #: The languages with the most tokens keep cells and a mean of their own, all others share one.
 MOST_LANGUAGES = 64
 MOST_SOURCES = 2000
@@ -58,12 +60,31 @@ def _tokenizer(vocabulary: bytes) -> object:
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=merges, special_tokens={})
 
 
-def _counted(tokens: list[list[int]]) -> np.ndarray:
-    """Hashed token counts of texts, damped and of length 1."""
+def _hashed(tokens: list[list[int]]) -> np.ndarray:
+    """Hashed token counts of texts."""
     own = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
-    ids = np.fromiter((i for t in tokens for i in t), np.int64, len(own))
-    counts = np.sqrt(np.bincount(own * PLACES + ids * 2654435761 % PLACES, minlength=len(tokens) * PLACES).reshape(-1, PLACES))
-    return counts / np.maximum(np.linalg.norm(counts, axis=1, keepdims=True), 1e-9)
+    ids = np.fromiter(chain.from_iterable(tokens), np.int64, len(own))
+    return np.bincount(own * PLACES + ids * 2654435761 % PLACES, minlength=len(tokens) * PLACES).reshape(-1, PLACES)
+
+
+def _damped(counts: np.ndarray) -> np.ndarray:
+    """Counts damped and of length 1."""
+    return np.sqrt(counts) * _scale(counts.sum(axis=1))[:, None]
+
+
+def _scale(sizes: np.ndarray) -> np.ndarray:
+    """What makes damped counts of texts of so many tokens of length 1."""
+    return 1 / np.sqrt(np.maximum(sizes, 1))
+
+
+def _of_length_1(rows: np.ndarray) -> np.ndarray:
+    return rows * (1 / np.maximum(np.sqrt(np.einsum("ij,ij->i", rows, rows)), 1e-9))[:, None]
+
+
+def _coded(languages: pa.Array, codes: dict[str, int]) -> np.ndarray:
+    """The code of each language, for those without one the number of codes."""
+    one = languages.dictionary_encode()
+    return np.array([codes.get(lang, len(codes)) for lang in one.dictionary.to_pylist()], int)[one.indices.to_numpy()]
 
 
 @dataclass
@@ -74,37 +95,70 @@ class Topics:
     means: dict[str, np.ndarray]
     rest: np.ndarray
 
+    def apart(self, damped: np.ndarray, languages: pa.Array) -> np.ndarray:
+        means = np.vstack([*self.means.values(), self.rest])[_coded(languages, {lang: i for i, lang in enumerate(self.means)})]
+        return np.subtract(damped, means, out=means)
+
+    def nearest(self, damped: np.ndarray, languages: pa.Array) -> np.ndarray:
+        return np.argmax(self.apart(damped, languages) @ self.centres.T, axis=1)
+
     def of(self, tokens: list[list[int]], languages: list[str]) -> list[int]:
         """The nearest centre of each text; 0 for a text without tokens."""
         if not tokens or not len(self.centres):
             return [0] * len(tokens)
-        apart = _counted(tokens) - np.stack([self.means.get(lang, self.rest) for lang in languages])
-        return np.argmax(apart @ self.centres.T, axis=1).tolist()
+        return self.nearest(_damped(_hashed(tokens)), pa.array(languages, pa.string())).tolist()
+
+
+def _sums(rows: np.ndarray, own: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of rows by group in parts, and rows of each group. Floats hold whole numbers of this size exactly."""
+    parts = rows * PARTS
+    return (np.eye(groups)[own].T @ np.rint(parts, out=parts)).astype(np.int64), np.bincount(own, minlength=groups)
+
+
+def _farthest(topics: Topics, damped: np.ndarray, languages: pa.Array, ids: np.ndarray) -> tuple[int, int, bytes]:
+    """(nearness, id, row) of the text least near to all centres, ties by id and row."""
+    rows = _of_length_1(topics.apart(damped, languages))
+    near = np.rint((rows @ topics.centres.T).max(axis=1) * 1e9).astype(np.int64) if len(topics.centres) else np.zeros(len(rows), np.int64)
+    last = np.flatnonzero(near == near.min())
+    last = last[ids[last] == ids[last].min()]
+    return int(near[last[0]]), int(ids[last[0]]), min(rows[i].tobytes() for i in last)
+
+
+def _fitted(sizes: dict[str, int], summed: Callable, farthest: Callable, topics: int, rounds: int) -> Topics:
+    """Spherical k-means over texts less their language's mean, begun with texts far from each other.
+
+    sizes: texts of each language. ``summed(f, groups)`` gives sums over all texts of the rows that f makes, and their
+    number, by the groups it gives; ``farthest(topics)`` the row of :func:`_farthest` over all texts."""
+    whole = sum(sizes.values())
+    found = Topics(np.empty((0, PLACES)), {}, np.zeros(PLACES))
+    if not whole:
+        return found
+    names = [lang for lang, n in sorted(sizes.items(), key=lambda x: (-x[1], x[0]))[:MOST_LANGUAGES] if n >= 10]
+    group = {lang: i for i, lang in enumerate(names)}
+    sums, _ = summed(lambda damped, languages: (damped, _coded(languages, group)), len(names) + 1)
+    found = Topics(found.centres, {lang: sums[i] / PARTS / sizes[lang] for lang, i in group.items()}, sums.sum(axis=0) / PARTS / whole)
+    while len(found.centres) < min(topics, whole):
+        found = replace(found, centres=np.vstack([found.centres, farthest(found)]))
+    for _ in range(rounds):
+        now = found
+
+        def owned(damped: np.ndarray, languages: pa.Array, now: Topics = now) -> tuple[np.ndarray, np.ndarray]:
+            rows = _of_length_1(now.apart(damped, languages))
+            return rows, np.argmax(rows @ now.centres.T, axis=1)
+
+        sums, sizes_ = summed(owned, len(now.centres))
+        found = replace(now, centres=_of_length_1(np.where(sizes_[:, None] > 0, sums / PARTS, now.centres)))
+        if np.array_equal(found.centres, now.centres):
+            break
+    return found
 
 
 def fit_topics(tokens: list[list[int]], languages: list[str], topics: int = TOPICS, rounds: int = 20) -> Topics:
-    """Spherical k-means over texts less their language's mean, begun with texts far from each other."""
+    """Topics of texts in memory; :func:`topics_of` gives the same over a table."""
     rows = [i for i, t in enumerate(tokens) if t]
-    nothing = np.zeros(PLACES)
-    if not rows:
-        return Topics(np.empty((0, PLACES)), {}, nothing)
-    counts, langs = _counted([tokens[i] for i in rows]), np.array([languages[i] for i in rows])
-    rest = counts.mean(axis=0)
-    names, sizes = np.unique(langs, return_counts=True)
-    means = {str(n): counts[langs == n].mean(axis=0) for n in names[np.argsort(-sizes, kind="stable")][:MOST_LANGUAGES] if (langs == n).sum() >= 10}
-    apart = counts - np.stack([means.get(str(n), rest) for n in langs])
-    apart /= np.maximum(np.linalg.norm(apart, axis=1, keepdims=True), 1e-9)
-    chosen = [0]
-    near = apart @ apart[0]
-    while len(chosen) < min(topics, len(rows)):
-        chosen.append(int(np.argmin(near)))
-        near = np.maximum(near, apart @ apart[chosen[-1]])
-    centres = apart[chosen]
-    for _ in range(rounds):
-        own = np.argmax(apart @ centres.T, axis=1)
-        sums = np.stack([apart[own == k].sum(axis=0) if (own == k).any() else centres[k] for k in range(len(centres))])
-        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
-    return Topics(centres, means, rest)
+    damped, langs = _damped(_hashed([tokens[i] for i in rows])), pa.array([languages[i] for i in rows], pa.string())
+    sizes = Counter(langs.to_pylist())
+    return _fitted(sizes, lambda f, groups: _sums(*f(damped, langs), groups), lambda t: np.frombuffer(_farthest(t, damped, langs, np.array(rows))[2]), topics, rounds)
 
 
 def _classed(documents: DataFrame) -> DataFrame:
@@ -112,22 +166,46 @@ def _classed(documents: DataFrame) -> DataFrame:
     return documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), _source("source").alias("source"), F.coalesce(F.nullif(lang, F.lit("")), F.lit("und")).alias("lang"), "text")
 
 
-def topics_of(documents: DataFrame, tokenizer_dir: str = TOKENIZER_DIR, ranks: str = RANKS, sample_documents: int = SAMPLE_DOCUMENTS, sample_longest: int = SAMPLE_LONGEST) -> Topics:
-    """Topics fitted on the documents with the smallest hashes of their ids."""
-    rows = _classed(documents)
-    ids = [r[0] for r in rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_documents).collect()]
-    sample = rows.where(F.col("doc_id").isin(ids) & F.length("text").between(1, sample_longest)).select("doc_id", "lang", "text").orderBy("doc_id", "text").limit(sample_documents).collect() if ids else []
-    encode = _tokenizer(_encoding(tokenizer_dir, ranks)).encode_ordinary
-    return fit_topics([encode(r["text"]) for r in sample], [r["lang"] for r in sample])
+_COUNTED = "doc_id bigint, source string, lang string, n_tokens bigint, places binary, counts binary, more binary"
 
 
-def with_tokens(documents: DataFrame, tokenizer_dir: str = TOKENIZER_DIR, ranks: str = RANKS, topics: Topics | None = None) -> DataFrame:
-    """(doc_id, source, lang, topic, n_tokens): size of each document's whole text, and its classes in one spelling.
+def _binary(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
-    documents: doc_id, text, source, lang; further columns are ignored. A null source is the empty one, a null or
-    unreadable language ``und``. Null and empty texts have no tokens; without topics all documents have topic 0. The
-    vocabulary is read on the driver and sent to the tasks; it is about one megabyte.
-    """
+
+def _packed(counts: np.ndarray) -> list[pa.Array]:
+    """Hashed counts as bits of the places that have any, a byte each, and four more bytes for those of 255 or more."""
+    any_, many = counts > 0, counts >= 255
+    return [_binary(np.packbits(any_, axis=1), np.full(len(counts), PLACES // 8)), _binary(np.minimum(counts[any_], 255).astype(np.uint8), any_.sum(axis=1)), _binary(counts[many].astype("<u4"), many.sum(axis=1) * 4)]
+
+
+def _joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all values, and how many each has."""
+    column = column.cast(pa.binary())
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]], np.diff(ends)
+
+
+def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Parts of a batch of counted documents, small enough for a core's cache, with their damped counts."""
+    for at in range(0, batch.num_rows, 250):
+        part = batch.slice(at, 250)
+        counts, lengths = _joined(part.column("counts"))
+        more = _joined(part.column("more"))[0]
+        values = counts.astype(float)
+        if len(more):
+            values[counts == 255] = np.frombuffer(more.tobytes(), "<u4")
+        out = np.zeros((part.num_rows, PLACES))
+        out.ravel()[np.flatnonzero(np.unpackbits(_joined(part.column("places"))[0]).view(bool))] = np.sqrt(values) * np.repeat(_scale(part.column("n_tokens").to_numpy()), lengths)
+        yield part, out
+
+
+def with_counts(documents: DataFrame, tokenizer_dir: str = TOKENIZER_DIR, ranks: str = RANKS) -> DataFrame:
+    """(doc_id, source, lang, n_tokens, places, counts, more): each document's classes in one spelling, the size of its whole
+    text, and its hashed token counts, packed.
+
+    The vocabulary is read on the driver and sent to the tasks; it is about one megabyte."""
     vocabulary = _encoding(tokenizer_dir, ranks)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,10 +214,87 @@ def with_tokens(documents: DataFrame, tokenizer_dir: str = TOKENIZER_DIR, ranks:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 tokens = [encode(t) if t else [] for t in part.column(3).to_pylist()]
-                own = topics.of(tokens, part.column(2).to_pylist()) if topics else [0] * len(tokens)
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(own, pa.int32()), pa.array(list(map(len, tokens)), pa.int64())], names=["doc_id", "source", "lang", "topic", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(list(map(len, tokens)), pa.int64()), *_packed(_hashed(tokens))], names=[c.split()[0] for c in _COUNTED.split(", ")])
+
+    return _classed(documents).mapInArrow(over, _COUNTED)
+
+
+def topics_of(counted: DataFrame, topics: int = TOPICS, rounds: int = 20) -> Topics:
+    """Topics fitted on all documents of :func:`with_counts` that have tokens, in ``topics + rounds + 1`` passes.
+
+    Each task sums up its documents; by centre or language these sums are added on executors, so the driver gets one
+    row of PLACES numbers for each."""
+    rows = counted.where("n_tokens > 0").select("doc_id", "lang", "n_tokens", "places", "counts", "more")
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # names have two or three letters
+
+    def summed(f: Callable, groups: int) -> tuple[np.ndarray, np.ndarray]:
+        kind = "k int, n bigint, sums binary"
+
+        def told(sums: dict[int, np.ndarray], n: dict[int, int]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([int(n[k]) for k in sums], pa.int64()), pa.array([sums[k].tobytes() for k in sums], pa.binary())], names=["k", "n", "sums"])
+
+        def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums, n = np.zeros((groups, PLACES), np.int64), np.zeros(groups, np.int64)
+            for batch in batches:
+                for part, damped in _unpacked(batch):
+                    more = _sums(*f(damped, part.column("lang")), groups)
+                    sums += more[0]
+                    n += more[1]
+            have = np.flatnonzero(n).tolist()
+            yield told({k: sums[k] for k in have}, dict(enumerate(n)))
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            n: dict[int, int] = defaultdict(int)
+            for batch in batches:
+                for k, more, own in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                    sums[k] = sums.get(k, 0) + np.frombuffer(own, np.int64)
+                    n[k] += more
+            yield told(sums, n)
+
+        sums, n = np.zeros((groups, PLACES), np.int64), np.zeros(groups, np.int64)
+        for r in rows.mapInArrow(over, kind).repartition("k").mapInArrow(add, kind).collect():
+            sums[r["k"]], n[r["k"]] = np.frombuffer(r["sums"], np.int64), r["n"]
+        return sums, n
+
+    def farthest(found: Topics) -> np.ndarray:
+        def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = None
+            for batch in batches:
+                for part, damped in _unpacked(batch):
+                    one = _farthest(found, damped, part.column("lang"), part.column("doc_id").to_numpy())
+                    best = one if best is None else min(best, one)
+            if best is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([best[0]], pa.int64()), pa.array([best[1]], pa.int64()), pa.array([best[2]], pa.binary())], names=["near", "doc_id", "row"])
+
+        return np.frombuffer(rows.mapInArrow(over, "near bigint, doc_id bigint, row binary").orderBy("near", "doc_id", "row").limit(1).collect()[0]["row"])
+
+    return _fitted(sizes, summed, farthest, topics, rounds)
+
+
+def with_topics(counted: DataFrame, topics: Topics | None = None) -> DataFrame:
+    """(doc_id, source, lang, topic, n_tokens) of :func:`with_counts`; without topics all documents have topic 0, and so have
+    those without tokens."""
+    if topics is None or not len(topics.centres):
+        return counted.select("doc_id", "source", "lang", F.lit(0).alias("topic"), "n_tokens")
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, damped in _unpacked(batch):
+                sizes = part.column("n_tokens").to_numpy()
+                own = np.where(sizes > 0, topics.nearest(damped, part.column("lang")), 0)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(own, pa.int32()), part.column("n_tokens")], names=["doc_id", "source", "lang", "topic", "n_tokens"])
+
+    return counted.mapInArrow(over, "doc_id bigint, source string, lang string, topic int, n_tokens bigint")
 
-    return _classed(documents).mapInArrow(over, "doc_id bigint, source string, lang string, topic int, n_tokens bigint")
+
+def with_tokens(documents: DataFrame, tokenizer_dir: str = TOKENIZER_DIR, ranks: str = RANKS, topics: Topics | None = None) -> DataFrame:
+    """(doc_id, source, lang, topic, n_tokens): size of each document's whole text, and its classes in one spelling.
+
+    documents: doc_id, text, source, lang; further columns are ignored. A null source is the empty one, a null or
+    unreadable language ``und``. Null and empty texts have no tokens; without topics all documents have topic 0.
+    """
+    return with_topics(with_counts(documents, tokenizer_dir, ranks), topics)
 
 
 def _source(name: str) -> Column:
@@ -237,7 +392,8 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: float |
         recipes[r["recipe"]][r["source"]] = (max(0.0, r["w"] or 0.0), max(0, r["cap"] or 0))
     names = sorted({s for r in recipes.values() for s in r})
     wanted_rows = documents.where(_source("source").isin(names))
-    sized = cut_lineage(with_tokens(wanted_rows, tokenizer_dir, topics=topics_of(wanted_rows, tokenizer_dir)).where("n_tokens > 0"), eager=True)
+    counted = cut_lineage(with_counts(wanted_rows, tokenizer_dir).where("n_tokens > 0"), eager=True)
+    sized = cut_lineage(with_topics(counted, topics_of(counted)), eager=True)
     languages = [r[0] for r in sized.groupBy("lang").agg(F.sum("n_tokens").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES - 1).collect()]
     classed = sized.withColumn("lang", F.when(F.col("lang").isin(languages), F.col("lang")).otherwise("rest"))
     cells = classed.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("n")).collect()  # at most sources x 64 x 16
